@@ -1,4 +1,520 @@
-"""Queries of the engine's operators, by name, and their SQL."""
+"""Queries of the engine's operators, by name, each over whole tables, and the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import operators as o
+from .plans import recipes
+from .plans.core import Pipeline
+from .plans.storage import new_path
+from .sources.loaders import LoadCsv, LoadDatasets, LoadJsonl
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+
+
+def _query(name: str, sql: str | None = None):
+    def keep(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(spark, lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet"))
+
+        QUERIES[name] = run
+        if sql:
+            ORACLE[name] = sql
+        return f
+
+    return keep
+
+
+def text(c: str | Column) -> Column:
+    """A list as text, so that results compare alike everywhere."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+
+
+def nested(c: str | Column) -> Column:
+    c = F.col(c) if isinstance(c, str) else c
+    return F.array_join(F.transform(c, lambda y: F.array_join(F.transform(y, lambda x: x.cast("string")), ",")), ";")
+
+
+def long(c: Column | str) -> Column:
+    return (F.col(c) if isinstance(c, str) else c).cast("long")
+
+
+_WS = r"regexp_extract_all(text, '\S+')"
+_PLUS = r"regexp_extract_all(text, '[\p{L}\p{M}\p{N}\p{Pc}]+|[^\p{L}\p{M}\p{N}\p{Pc}\s]+')"
+_JOIN = "array_to_string({}, ',')"
+
+
+# fields
+@_query("keep_fields", "SELECT c_custkey, c_name FROM customer")
+def _(spark, t):
+    return o.ChangeFields(keep_fields=("c_custkey", "c_name")).map(t("customer"))
+
+
+@_query("drop_fields", "SELECT * EXCLUDE (c_name, c_acctbal) FROM customer")
+def _(spark, t):
+    return o.ChangeFields(drop_fields=("c_name", "c_acctbal")).map(t("customer"))
+
+
+@_query("rename_fields", "SELECT c_custkey AS id, c_name AS name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
+def _(spark, t):
+    return o.RenameFields({"c_custkey": "id", "c_name": "name"}).map(t("customer"))
+
+
+@_query("make_field", "SELECT c_custkey, 'x' AS kind FROM customer")
+def _(spark, t):
+    return (o.MakeField("kind", "x") >> o.ChangeFields(keep_fields=("c_custkey", "kind"))).map(t("customer"))
+
+
+@_query("make_field_shaped", "SELECT vec_id, array_to_string(list_transform(embedding, lambda x: 7), ',') AS ones FROM embeddings")
+def _(spark, t):
+    return o.MakeField("ones", 7, shape_like="embedding").map(t("embeddings")).select("vec_id", text("ones").alias("ones"))
+
+
+@_query("enumerate_values", "SELECT doc_id, dense_rank() OVER (ORDER BY f) - 1 AS number FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY source) AS f FROM documents)")
+def _(spark, t):
+    return o.EnumerateField("source", "number").map(t("documents").select("doc_id", "source"), order_by=["doc_id"]).select("doc_id", "number")
+
+
+@_query("enumerate_rows", "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS number FROM documents")
+def _(spark, t):
+    return o.EnumerateField("source", "number", same_id_for_repeated=False).map(t("documents").select("doc_id", "source"), order_by=["doc_id"]).select("doc_id", "number")
+
+
+@_query("extract_path", "SELECT vec_id, embedding[1]::DOUBLE AS head, embedding[-1]::DOUBLE AS tail FROM embeddings")
+def _(spark, t):
+    return o.ExtractPath({"head": "embedding.0", "tail": ("embedding", "-1")}).map(t("embeddings")).select("vec_id", F.col("head").cast("double").alias("head"), F.col("tail").cast("double").alias("tail"))
+
+
+# filters
+for _name, (_field, _op, _value, _sql) in {
+    "filter_ge": ("l_quantity", ">=", 40.0, "l_quantity >= 40"),
+    "filter_gt": ("l_quantity", ">", 40.0, "l_quantity > 40"),
+    "filter_lt": ("l_discount", "<", 0.03, "l_discount < 0.03"),
+    "filter_le": ("l_discount", "<=", 0.03, "l_discount <= 0.03"),
+    "filter_eq": ("l_returnflag", "==", "R", "l_returnflag = 'R'"),
+    "filter_ne": ("l_returnflag", "!=", "R", "l_returnflag IS DISTINCT FROM 'R'"),
+    "filter_is": ("l_linenumber", "is", 1, "l_linenumber = 1"),
+    "filter_mod": ("l_orderkey", "%", 3, "l_orderkey % 3 <> 0"),
+    "filter_and": ("l_linenumber", "&", 2, "l_linenumber & 2 <> 0"),
+    "filter_minus": ("l_linenumber", "-", 1, "l_linenumber - 1 <> 0"),
+    "filter_contains": ("l_linestatus", "in", "O", "contains(l_linestatus, 'O')"),
+    "filter_not_contains": ("l_linestatus", "not in", "O", "NOT contains(l_linestatus, 'O')"),
+}.items():
+
+    @_query(_name, f"SELECT l_orderkey, l_linenumber, l_quantity, l_discount, l_returnflag, l_linestatus FROM lineitem WHERE {_sql}")
+    def _(spark, t, args=(_field, _op, _value)):
+        return o.Filter(*args).map(t("lineitem")).select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_returnflag", "l_linestatus")
+
+
+@_query("filter_list_all", "SELECT vec_id, label FROM embeddings WHERE len(list_filter(embedding, lambda x: NOT x < 0.2)) = 0")
+def _(spark, t):
+    return o.Filter("embedding", "<", 0.2).map(t("embeddings").withColumn("embedding", F.col("embedding").cast("array<double>"))).select("vec_id", "label")
+
+
+# generators
+@_query("unpack_repeat", f"SELECT doc_id, lang, unnest({_WS}) AS word FROM documents")
+def _(spark, t):
+    words = o.TextToWords(("text",), "ws") >> o.RenameFields({"text": "word"}) >> o.Unpacking(("word",), ignored_behavior="repeat")
+    return words.map(t("documents").select("doc_id", "lang", "text"))
+
+
+@_query("unpack_drop", f"SELECT unnest({_WS}) AS word FROM documents")
+def _(spark, t):
+    return (o.TextToWords(("text",), "ws") >> o.RenameFields({"text": "word"}) >> o.Unpacking(("word",), ignored_behavior="drop")).map(t("documents").select("doc_id", "text"))
+
+
+@_query("unpack_shortest", f"WITH w AS (SELECT doc_id, {_WS} AS a, regexp_extract_all(text, '\\S+')[3:] AS b FROM documents) SELECT doc_id, unnest(a[1:len(b)]) AS a, unnest(b) AS b FROM w")
+def _(spark, t):
+    rows = o.TextToWords(("text",), "ws").map(t("documents").select("doc_id", "text")).select("doc_id", F.col("text").alias("a"), F.slice("text", 3, F.greatest(F.size("text"), F.lit(1))).alias("b"))
+    return o.Unpacking(("a", "b"), ignored_behavior="repeat").map(rows)
+
+
+@_query("flatten_words", f"SELECT doc_id, array_to_string(flatten(list_transform(string_split(text, chr(10)), lambda l: regexp_extract_all(l, '\\S+'))), ',') AS words FROM documents")
+def _(spark, t):
+    lines = t("documents").select("doc_id", F.split("text", "\n").alias("words"))
+    return (o.TextToWords(("words",), "ws") >> o.Flatten(("words",))).map(lines).select("doc_id", text("words").alias("words"))
+
+
+@_query("concat_sequences", "SELECT conv_id, string_agg(array_to_string(regexp_extract_all(text, '\\S+'), ','), ',' ORDER BY turn) AS words FROM conversations GROUP BY conv_id")
+def _(spark, t):
+    turns = t("conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("t")).select("conv_id", F.transform("t", lambda x: x["text"]).alias("words"))
+    return (o.TextToWords(("words",), "ws") >> o.SequencesConcatenate(("words",))).map(turns).select("conv_id", text("words").alias("words"))
+
+
+@_query(
+    "stride_words",
+    f"WITH w AS (SELECT doc_id, {_WS} AS w FROM documents), s AS (SELECT doc_id, w, unnest(CASE WHEN len(w) < 50 THEN [0] ELSE range(0, len(w) - 50 + 1, 20) END) AS i FROM w) SELECT doc_id, array_to_string(w[i + 1:i + 50], ' ') AS text FROM s",
+)
+def _(spark, t):
+    return (o.TextToWords(("text",), "ws") >> o.SingleSequenceStrider(("text",), 50, 20) >> o.WordsToText(("text",))).map(t("documents").select("doc_id", "text"))
+
+
+@_query(
+    "stride_keep_last",
+    f"WITH w AS (SELECT doc_id, {_WS} AS w FROM documents), s AS (SELECT doc_id, w, unnest(CASE WHEN len(w) < 50 THEN [0] ELSE range(0, len(w), 50) END) AS i FROM w) SELECT doc_id, array_to_string(w[i + 1:i + 50], ' ') AS text FROM s",
+)
+def _(spark, t):
+    return (o.TextToWords(("text",), "ws") >> o.SingleSequenceStrider(("text",), 50, 50, keep_last=True) >> o.WordsToText(("text",))).map(t("documents").select("doc_id", "text"))
+
+
+@_query("stride_chars", "WITH s AS (SELECT doc_id, text, unnest(CASE WHEN length(text) < 400 THEN [0] ELSE range(0, length(text) - 400 + 1, 300) END) AS i FROM documents) SELECT doc_id, substring(text, i + 1, 400) AS text FROM s")
+def _(spark, t):
+    return o.SingleSequenceStrider(("text",), 400, 300).map(t("documents").select("doc_id", "text"))
+
+
+@_query(
+    "stride_with_locations",
+    f"WITH w AS (SELECT doc_id, {_WS} AS w FROM documents), s AS (SELECT doc_id, w, unnest(CASE WHEN len(w) < 40 THEN [0] ELSE range(0, len(w) - 40 + 1, 40) END) AS i FROM w) SELECT doc_id, array_to_string(w[i + 1:i + 40], ' ') AS text, CASE WHEN (i <= 45 AND 45 < i + len(w[i + 1:i + 40])) OR (i < 60 AND 60 <= i + len(w[i + 1:i + 40])) THEN 'hit' ELSE 'none' END AS answer FROM s",
+)
+def _(spark, t):
+    rows = t("documents").select("doc_id", "text", F.array(F.array(F.lit(45), F.lit(60))).alias("locations"), F.lit("hit").alias("answer"))
+    made = o.TextToWords(("text",), "ws") >> o.SingleSequenceStriderWithLocations(("text",), 40, field_with_locations="locations", fields_replacement_map={"answer": "none"}) >> o.WordsToText(("text",))
+    return made.map(rows).drop("locations")
+
+
+@_query("pack_turns")
+def _(spark, t):
+    turns = t("conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("t")).select("conv_id", F.transform("t", lambda x: x["text"]).alias("words"))
+    return (o.TextToWords(("words",), "ws") >> o.MultiSequenceStrider(3, "words", ("words",), extra_length_per_seq=2)).map(turns).select("conv_id", nested("words").alias("words"))
+
+
+@_query("value_to_sequence", f"WITH w AS (SELECT doc_id, {_WS} AS w FROM documents) SELECT doc_id, array_to_string(list_transform(w, lambda x, i: CASE WHEN i = 1 THEN 5 ELSE -100 END), ',') AS labels FROM w WHERE len(w) > 0")
+def _(spark, t):
+    rows = o.TextToWords(("text",), "ws").map(t("documents").select("doc_id", "text")).where(F.size("text") > 0).select("doc_id", F.array("text").alias("input_ids"), F.array(F.lit(5)).alias("labels"))
+    return o.SingleValueToSequence("labels").map(rows).select("doc_id", text(F.flatten("labels")).alias("labels"))
+
+
+@_query("mask_labels_one", "SELECT vec_id, array_to_string(list_transform(range(1, 5), lambda j: CASE WHEN j = k THEN j * 10 ELSE -100 END), ',') AS labels FROM embeddings, range(1, 5) AS r(k)")
+def _(spark, t):
+    return o.LabelsMasker("labels", "one").map(t("embeddings").select("vec_id", F.array(*[F.lit(j * 10) for j in range(1, 5)]).alias("labels"))).select("vec_id", text("labels").alias("labels"))
+
+
+@_query("mask_labels_sample")
+def _(spark, t):
+    return o.LabelsMasker("labels", "sample", sample_prob=0.5).map(t("embeddings").select("vec_id", F.array(*[F.lit(j) for j in range(5)]).alias("labels"))).select("vec_id", text("labels").alias("labels"))
+
+
+# batches
+_BATCH = "WITH r AS (SELECT doc_id, source, row_number() OVER (ORDER BY doc_id) - 1 AS n FROM documents)"
+
+
+@_query("batch_fixed", _BATCH + " SELECT string_agg(doc_id::VARCHAR, ',' ORDER BY n) AS ids, string_agg(source, ',' ORDER BY n) AS sources FROM r GROUP BY n // 7")
+def _(spark, t):
+    return o.FixedBatchSize(7).map(t("documents").select("doc_id", "source"), order_by=["doc_id"]).select(text("doc_id").alias("ids"), text("source").alias("sources"))
+
+
+@_query("batch_drop_last", _BATCH + " SELECT string_agg(doc_id::VARCHAR, ',' ORDER BY n) AS ids FROM r GROUP BY n // 7 HAVING count(*) = 7")
+def _(spark, t):
+    return o.FixedBatchSize(7, keep_last=False).map(t("documents").select("doc_id"), order_by=["doc_id"]).select(text("doc_id").alias("ids"))
+
+
+@_query("batch_max", "SELECT string_agg(n_nationkey::VARCHAR, ',' ORDER BY n_nationkey) AS ids FROM nation")
+def _(spark, t):
+    return o.FixedBatchSize("max").map(t("nation").select("n_nationkey"), order_by=["n_nationkey"]).select(text("n_nationkey").alias("ids"))
+
+
+_LENGTHS = f"WITH w AS (SELECT doc_id, list_transform({_WS}, lambda x: length(x)) AS w, row_number() OVER (ORDER BY doc_id) - 1 AS n FROM documents), m AS (SELECT *, max(len(w)) OVER (PARTITION BY n // 4) AS m FROM w)"
+
+
+def _collated(t, **options):
+    rows = o.TextToWords(("text",), "ws").map(t("documents").select("doc_id", "text")).select("doc_id", F.transform("text", lambda x: F.length(x)).alias("w"))
+    made = (o.FixedBatchSize(4) >> o.ListCollator(fields_pad_ids={"w": -1}, **options)).map(rows, order_by=["doc_id"])
+    return made.select(F.explode(F.arrays_zip("doc_id", "w")).alias("x")).select("x.doc_id", text(F.col("x.w")).alias("w"))
+
+
+@_query("collate_right", _LENGTHS + " SELECT doc_id, array_to_string(list_concat(w, list_transform(range(m - len(w)), lambda x: -1)), ',') AS w FROM m")
+def _(spark, t):
+    return _collated(t)
+
+
+@_query("collate_left", _LENGTHS + " SELECT doc_id, array_to_string(list_concat(list_transform(range(m - len(w)), lambda x: -1), w), ',') AS w FROM m")
+def _(spark, t):
+    return _collated(t, left_pad_fields=("w",))
+
+
+@_query("collate_multiple", _LENGTHS + " SELECT doc_id, array_to_string(list_concat(w, list_transform(range((m + 7) // 8 * 8 - len(w)), lambda x: -1)), ',') AS w FROM m")
+def _(spark, t):
+    return _collated(t, pad_to_multiple_of=8)
+
+
+@_query("pad_fixed", "SELECT l_orderkey, l_linenumber, array_to_string(list_concat(list_transform(range(l_linenumber), lambda x: 1), list_transform(range(10 - l_linenumber), lambda x: 0)), ',') AS ones FROM lineitem")
+def _(spark, t):
+    rows = t("lineitem").select("l_orderkey", "l_linenumber", F.array_repeat(F.lit(1), F.col("l_linenumber").cast("int")).alias("ones"))
+    return o.Padding(10, 0, ("ones",)).map(rows).select("l_orderkey", "l_linenumber", text("ones").alias("ones"))
+
+
+# masks
+def _places(t):
+    k = F.col("vec_id")
+    ids = F.array((k % 64).cast("int"), ((k * 7) % 64).cast("int"))
+    ranges = F.array(F.array((k % 30).cast("int"), (k % 30 + 5).cast("int")), F.array((k % 30 + 20).cast("int"), (k % 30 + 22).cast("int")))
+    return t("embeddings").select("vec_id", "embedding", ids.alias("ids"), ranges.alias("ranges"))
+
+
+_IDS = "list_transform(range(64), lambda i: CASE WHEN i = vec_id % 64 OR i = (vec_id * 7) % 64 THEN 1 ELSE 0 END)"
+_RANGES = "list_transform(range(64), lambda i: CASE WHEN (i >= vec_id % 30 AND i < vec_id % 30 + 5) OR (i >= vec_id % 30 + 20 AND i < vec_id % 30 + 22) THEN 1 ELSE 0 END)"
+
+
+@_query("indices_to_mask", f"SELECT vec_id, array_to_string({_IDS}, ',') AS mask FROM embeddings")
+def _(spark, t):
+    return o.IndicesToMask("mask", "embedding", "ids").map(_places(t)).select("vec_id", text("mask").alias("mask"))
+
+
+@_query("range_to_mask", f"SELECT vec_id, array_to_string({_RANGES}, ',') AS mask FROM embeddings")
+def _(spark, t):
+    return o.RangeToMask("mask", "embedding", "ranges").map(_places(t)).select("vec_id", text("mask").alias("mask"))
+
+
+@_query("mask_to_indices", "SELECT vec_id, array_to_string(list_sort(list_distinct([vec_id % 64, (vec_id * 7) % 64])), ',') AS ids FROM embeddings")
+def _(spark, t):
+    return (o.IndicesToMask("mask", "embedding", "ids") >> o.MaskToIndices("mask", "ids")).map(_places(t)).select("vec_id", text("ids").alias("ids"))
+
+
+@_query("mask_to_range", "SELECT vec_id, concat(vec_id % 30, ',', vec_id % 30 + 5, ';', vec_id % 30 + 20, ',', vec_id % 30 + 22) AS ranges FROM embeddings")
+def _(spark, t):
+    return (o.RangeToMask("mask", "embedding", "ranges") >> o.MaskToRange("mask", "ranges")).map(_places(t)).select("vec_id", nested("ranges").alias("ranges"))
+
+
+@_query("attention_mask", f"SELECT doc_id, array_to_string(list_transform({_WS}, lambda x: 1), ',') AS attention_mask FROM documents")
+def _(spark, t):
+    rows = o.TextToWords(("text",), "ws").map(t("documents").select("doc_id", "text")).select("doc_id", F.array("text").alias("input_ids"))
+    return o.MakeAttentionMask().map(rows).select("doc_id", nested("attention_mask").alias("attention_mask"))
+
+
+@_query("one_vs_other", "SELECT c_custkey, c_nationkey::DOUBLE AS preds, (c_custkey + 3) / 2.0 AS labels FROM customer")
+def _(spark, t):
+    rows = t("customer").select("c_custkey", F.array(F.col("c_nationkey").cast("double"), F.col("c_custkey").cast("double"), F.lit(3.0)).alias("annotations"))
+    return o.OneVsOther().map(rows).drop("annotations")
+
+
+@_query("unique_list", f"WITH w AS (SELECT doc_id, unnest({_WS}) AS w, generate_subscripts({_WS}, 1) AS i FROM documents), f AS (SELECT doc_id, w, min(i) AS i FROM w GROUP BY ALL) SELECT doc_id, string_agg(w, ',' ORDER BY i) AS words FROM f GROUP BY doc_id")
+def _(spark, t):
+    rows = o.TextToWords(("text",), "ws").map(t("documents").select("doc_id", "text")).where(F.size("text") > 0)
+    return o.UniqueAnswer("text").map(rows).select("doc_id", text("text").alias("words"))
+
+
+# types
+@_query("cast_fields", "SELECT o_orderkey::VARCHAR AS o_orderkey, trunc(o_totalprice)::BIGINT AS o_totalprice, length(o_orderpriority) > 0 AS o_orderpriority FROM orders")
+def _(spark, t):
+    return o.Cast({"o_orderkey": "str", "o_totalprice": "int", "o_orderpriority": "bool"}).map(t("orders").select("o_orderkey", "o_totalprice", "o_orderpriority"))
+
+
+@_query("binarize", "SELECT l_orderkey, l_linenumber, (l_quantity > 25)::BIGINT AS l_quantity FROM lineitem")
+def _(spark, t):
+    return o.Binarizer("l_quantity", 25).map(t("lineitem").select("l_orderkey", "l_linenumber", "l_quantity")).withColumn("l_quantity", long("l_quantity"))
+
+
+@_query("binarize_nested", "SELECT vec_id, array_to_string(list_transform(embedding, lambda x: (x > 0)::INT), ',') AS embedding FROM embeddings")
+def _(spark, t):
+    return o.Binarizer("embedding", 0.0).map(t("embeddings").select("vec_id", "embedding")).select("vec_id", text("embedding").alias("embedding"))
+
+
+@_query("lookup", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'open' ELSE 'partly' END AS o_orderstatus FROM orders")
+def _(spark, t):
+    return o.Lookup("o_orderstatus", {"F": "done", "O": "open", "P": "partly"}).map(t("orders").select("o_orderkey", "o_orderstatus"))
+
+
+@_query("one_hot", "SELECT l_orderkey, l_linenumber AS number, array_to_string(list_transform(range(8), lambda i: (i = l_linenumber)::INT), ',') AS l_linenumber FROM lineitem")
+def _(spark, t):
+    rows = t("lineitem").select("l_orderkey", F.col("l_linenumber").alias("number"), "l_linenumber")
+    return o.OneHot(8, "l_linenumber").map(rows).withColumn("l_linenumber", text("l_linenumber"))
+
+
+@_query("dense_types", "SELECT l_orderkey, l_linenumber::SMALLINT AS l_linenumber, l_quantity::FLOAT AS l_quantity FROM lineitem")
+def _(spark, t):
+    return o.ToDense({"l_linenumber": "torch.int16", "l_quantity": "float32"}).map(t("lineitem").select("l_orderkey", "l_linenumber", "l_quantity"))
+
+
+# text
+@_query("words_ws", f"SELECT doc_id, array_to_string({_WS}, ',') AS words FROM documents")
+def _(spark, t):
+    return o.TextToWords(("text",), "ws").map(t("documents")).select("doc_id", text("text").alias("words"))
+
+
+@_query("words_plus", f"SELECT doc_id, array_to_string({_PLUS}, '~') AS words FROM documents")
+def _(spark, t):
+    return o.TextToWords(("text",)).map(t("documents")).select("doc_id", F.array_join("text", "~").alias("words"))
+
+
+@_query("words_trail", r"SELECT doc_id, array_to_string(regexp_extract_all(text, '(?:[\p{L}\p{M}\p{N}\p{Pc}]+|[^\p{L}\p{M}\p{N}\p{Pc}\s]+)\s*'), '~') AS words FROM documents")
+def _(spark, t):
+    return o.TextToWords(("text",), "trail").map(t("documents")).select("doc_id", F.array_join("text", "~").alias("words"))
+
+
+@_query("words_join", f"SELECT doc_id, array_to_string({_WS}, '_') AS text FROM documents")
+def _(spark, t):
+    return (o.TextToWords(("text",), "ws") >> o.WordsToText(("text",), "_")).map(t("documents").select("doc_id", "text"))
+
+
+@_query("valid_unicode", f"SELECT doc_id, array_to_string(list_transform({_PLUS}, lambda x: CASE WHEN regexp_full_match(x, '[\\p{{P}}\\p{{S}}]*') THEN '[UNK]' ELSE x END), ' ') AS text FROM documents")
+def _(spark, t):
+    return (o.TextToWords(("text",)) >> o.ValidUnicode(("text",), ("P", "S"), "[UNK]") >> o.WordsToText(("text",))).map(t("documents").select("doc_id", "text"))
+
+
+@_query("truncate_single", "SELECT doc_id, left(text, 30) AS text, CASE WHEN length(source) > 1 THEN left(source, length(source) - 1) ELSE '' END AS source FROM documents")
+def _(spark, t):
+    return o.TruncateSingleField({"text": 30, "source": -1}).map(t("documents").select("doc_id", "text", "source"))
+
+
+@_query(
+    "truncate_uniform",
+    "WITH s AS (SELECT doc_id, text, source, 200 - length(lang) AS b, length(text) + length(source) AS n FROM documents) SELECT doc_id, left(text, CASE WHEN n = 0 OR b::DOUBLE / n >= 1 THEN length(text) ELSE floor(length(text) * (b::DOUBLE / n))::BIGINT END) AS text, left(source, CASE WHEN n = 0 OR b::DOUBLE / n >= 1 THEN length(source) ELSE floor(length(source) * (b::DOUBLE / n))::BIGINT END) AS source FROM s",
+)
+def _(spark, t):
+    return o.TruncateMultipleFields(("text", "source"), 200, ("lang",), strategy="uniform").map(t("documents")).select("doc_id", "text", "source")
+
+
+@_query(
+    "truncate_longest",
+    "WITH s AS (SELECT doc_id, text, source, length(text) AS a, length(source) AS c, 200 - length(lang) AS b FROM documents), e AS (SELECT *, greatest(a - b // 2, 0) AS ea, greatest(c - b // 2, 0) AS ec, b - (b // 2) * 2 + greatest(b // 2 - a, 0) + greatest(b // 2 - c, 0) AS r FROM s) SELECT doc_id, left(text, CASE WHEN a + c <= b OR a <= b // 2 THEN a ELSE b // 2 + CASE WHEN r::DOUBLE / (ea + ec) >= 1 THEN ea ELSE floor(ea * (r::DOUBLE / (ea + ec)))::BIGINT END END) AS text, left(source, CASE WHEN a + c <= b OR c <= b // 2 THEN c ELSE b // 2 + CASE WHEN r::DOUBLE / (ea + ec) >= 1 THEN ec ELSE floor(ec * (r::DOUBLE / (ea + ec)))::BIGINT END END) AS source FROM e",
+)
+def _(spark, t):
+    return o.TruncateMultipleFields(("text", "source"), 200, ("lang",)).map(t("documents")).select("doc_id", "text", "source")
+
+
+@_query("truncate_nested")
+def _(spark, t):
+    lines = t("documents").select("doc_id", F.split("text", "\n").alias("lines"))
+    return (o.TextToWords(("lines",), "ws") >> o.TruncateMultipleNestedFields(("lines",), 60)).map(lines).select("doc_id", nested("lines").alias("lines"))
+
+
+@_query("concat_context", "SELECT conv_id, '<' || string_agg('[' || text || ']', '' ORDER BY turn) || '>' AS context FROM conversations GROUP BY conv_id")
+def _(spark, t):
+    turns = t("conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("t")).select("conv_id", F.transform("t", lambda x: x["text"]).alias("context"))
+    return o.ConcatenateContext(section_bos="[", section_eos="]", document_bos="<", document_eos=">").map(turns)
+
+
+@_query("evidence_locations", "SELECT doc_id, CASE WHEN strpos(text, ' the ') = 0 THEN '-1,-1' ELSE concat(strpos(text, ' the ') - 1, ',', strpos(text, ' the ') + 4) END AS locations FROM documents")
+def _(spark, t):
+    rows = t("documents").select("doc_id", F.col("text").alias("context"), F.array(F.lit(" the ")).alias("evidences"))
+    return o.AddEvidencesLocation().map(rows).select("doc_id", nested("locations").alias("locations"))
+
+
+@_query("fix_text")
+def _(spark, t):
+    return o.FixText(("text",)).map(t("documents").select("doc_id", "text"))
+
+
+# prompts and templates
+@_query("fill_text_prompt", "SELECT c_custkey, c_name || ' is in ' || c_mktsegment || '.' AS prompt FROM customer")
+def _(spark, t):
+    return o.FillTextPrompt("{c_name} is in {c_mktsegment}.", "prompt").map(t("customer")).select("c_custkey", "prompt")
+
+
+@_query("render_template", "SELECT c_custkey, 'Name: ' || upper(c_name) || CASE WHEN c_acctbal > 0 THEN ' (credit)' ELSE ' (debit)' END AS source, c_mktsegment AS target FROM customer")
+def _(spark, t):
+    return o.Jinja("Name: {{ c_name | upper }}{% if c_acctbal > 0 %} (credit){% else %} (debit){% endif %} ||| {{ c_mktsegment }}").map(t("customer")).select("c_custkey", "source", "target")
+
+
+@_query("multi_target", "SELECT c_custkey, c_name AS source, c_mktsegment || ',' || c_nationkey AS target FROM customer")
+def _(spark, t):
+    return o.Jinja("{{ c_name }} ||| {{ c_mktsegment }} ||| {{ c_nationkey }}", return_multiple_targets=True).map(t("customer")).select("c_custkey", "source", text("target").alias("target"))
+
+
+_SHOT = "{% for s in __shots__ %}{{ s.c_name }}: {{ s.c_mktsegment }}; {% endfor %}{{ c_name }}: ||| {{ c_mktsegment }}"
+
+
+@_query("few_shot", "WITH r AS (SELECT *, row_number() OVER (ORDER BY c_custkey) - 1 AS n FROM customer) SELECT string_agg(CASE WHEN n % 3 < 2 THEN c_name || ': ' || c_mktsegment || '; ' ELSE c_name || ':' END, '' ORDER BY n) AS source, max(c_mktsegment) FILTER (n % 3 = 2) AS target FROM r GROUP BY n // 3 HAVING count(*) = 3")
+def _(spark, t):
+    return o.FewShotJinja(_SHOT, num_shots=2).map(t("customer"), order_by=["c_custkey"]).select("source", "target")
+
+
+@_query("few_shot_max", "SELECT string_agg(CASE WHEN n_nationkey < 24 THEN n_name || ', ' ELSE n_name END, '' ORDER BY n_nationkey) AS source FROM nation")
+def _(spark, t):
+    return o.FewShotJinja("{% for s in __shots__ %}{{ s.n_name }}, {% endfor %}{{ n_name }}", num_shots="max").map(t("nation"), order_by=["n_nationkey"]).select("source")
+
+
+# tokens
+def _spec() -> o.TokenizerSpec:
+    return o.TokenizerSpec.from_file(TOKENIZER, bos=(50256,), sep=(50256,), eos=(50256,))
+
+
+@_query("tokenize_words")
+def _(spark, t):
+    made = o.Tokenize(_spec(), "text", return_offsets_mapping=True, return_length=True).map(t("documents").select("doc_id", "text"))
+    return made.select("doc_id", F.col("length").cast("long").alias("length"), F.xxhash64("input_ids").alias("ids_hash"), F.size("offset_mapping").cast("long").alias("offsets"))
+
+
+@_query("encode_offsets")
+def _(spark, t):
+    made = o.EncodeFields(("source", "lang"), _spec(), fields_to_return_offset_mapping=("source",)).map(t("documents").select("doc_id", "source", "lang"))
+    return made.select("doc_id", text("source").alias("source"), nested("offset_source").alias("offset_source"))
+
+
+@_query("decode_round_trip", "SELECT doc_id, text FROM documents")
+def _(spark, t):
+    made = o.Tokenize(_spec(), "text", output_rename_map={"input_ids": "ids", "attention_mask": "mask"}) >> o.RenameFields({"doc_id": "doc_id", "ids": "text"}, remove_rest=True)
+    return (made >> o.Decode(_spec(), ("text",), clean_up_tokenization_spaces=False)).map(t("documents").select("doc_id", "text"))
+
+
+@_query("special_tokens_pad", "SELECT vec_id, '50256,1,2,50256;3,50256' AS input_ids, '1,1,1,1;1,1' AS attention_mask FROM embeddings")
+def _(spark, t):
+    ids = F.array(F.array(F.lit(1), F.lit(2)), F.array(F.lit(3)))
+    rows = o.MakeAttentionMask().map(t("embeddings").select("vec_id", ids.alias("input_ids")))
+    return (o.TokensSequencesPadding(_spec()) >> o.AttentionMaskSequencePadding(_spec())).map(rows).select("vec_id", nested("input_ids").alias("input_ids"), nested("attention_mask").alias("attention_mask"))
+
+
+# sources and kept segments
+@_query("load_csv", "SELECT c_custkey::VARCHAR AS c_custkey, c_name, c_mktsegment FROM customer")
+def _(spark, t):
+    path = new_path(spark)
+    t("customer").select("c_custkey", "c_name", "c_mktsegment").write.csv(path, header=True, compression="gzip")
+    return LoadCsv("path").map(spark.createDataFrame([(path,)], "path string"))
+
+
+@_query("load_jsonl", "SELECT c_custkey, c_name, c_acctbal FROM customer")
+def _(spark, t):
+    path = new_path(spark)
+    t("customer").select("c_custkey", "c_name", "c_acctbal").write.json(path)
+    return LoadJsonl("path", schema="c_custkey long, c_name string, c_acctbal double").map(spark.createDataFrame([(path,)], "path string"))
+
+
+def _two(spark, t, strategy):
+    paths = []
+    for rows in (t("supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name")), t("customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"))):
+        paths.append((new_path(spark),))
+        rows.write.parquet(paths[-1][0])
+    return LoadDatasets(strategy, ("k", "name"), order_by=("k",)).map(spark.createDataFrame(paths, "path string"))
+
+
+@_query("concat_sources", "SELECT s_suppkey AS k, s_name AS name FROM supplier UNION ALL SELECT c_custkey, c_name FROM customer")
+def _(spark, t):
+    return _two(spark, t, "concatenate")
+
+
+@_query("interleave_sources", "WITH a AS (SELECT s_suppkey AS k, s_name AS name FROM supplier), b AS (SELECT c_custkey AS k, c_name AS name, row_number() OVER (ORDER BY c_custkey) AS n FROM customer), m AS (SELECT least((SELECT count(*) FROM a), (SELECT count(*) FROM b)) AS m) SELECT k, name FROM (SELECT k, name, row_number() OVER (ORDER BY k) AS n FROM a UNION ALL SELECT k, name, n FROM b), m WHERE n <= m")
+def _(spark, t):
+    return _two(spark, t, "interleave")
+
+
+@_query("cache_round_trip", "SELECT c_custkey, c_name AS name FROM customer WHERE c_acctbal >= 0")
+def _(spark, t):
+    made = o.StartCaching() >> o.Filter("c_acctbal", ">=", 0.0) >> o.EndCaching() >> o.RenameFields({"c_custkey": "c_custkey", "c_name": "name"}, remove_rest=True)
+    made.map(t("customer"))
+    return made.map(t("customer"))
+
+
+# recipes
+@_query("recipe_template", "SELECT 'Q: ' || array_to_string(regexp_extract_all(text, '\\S+')[1:11], ' ') || ' A:' AS source, source AS target FROM documents")
+def _(spark, t):
+    return recipes.jinja(None, "Q: {{ text }} A: ||| {{ source }}", max_source_length_per_shot=13, max_target_length_per_shot=5).map(t("documents").select("text", "source")).select("source", "target")
+
+
+@_query("recipe_collate", _LENGTHS + " SELECT doc_id, array_to_string(list_concat(w, list_transform(range(m - len(w)), lambda x: 0)), ',') AS w FROM m")
+def _(spark, t):
+    rows = o.TextToWords(("text",), "ws").map(t("documents").select("doc_id", "text")).select("doc_id", F.transform("text", lambda x: F.length(x)).alias("w"))
+    made = recipes.collator(batch_size=4, fields_pad_ids={"w": 0}, field_cast_map={"w": "int64"}).map(rows, order_by=["doc_id"])
+    return made.select(F.explode(F.arrays_zip("doc_id", "w")).alias("x")).select("x.doc_id", text(F.col("x.w")).alias("w"))
+
+
+@_query("recipe_prompting")
+def _(spark, t):
+    made: Pipeline = recipes.prompting(_spec(), "Text: {text}\nFrom: {source}", "{lang}", fields_to_truncate=("text",), max_source_length=128, fields_to_keep=("doc_id",))
+    return made.map(t("documents").select("doc_id", "text", "source", "lang")).select("doc_id", text("input_ids").alias("input_ids"), text("labels").alias("labels"))

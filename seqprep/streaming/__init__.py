@@ -1 +1,26 @@
+"""Pipelines on streams: row-local operators run as they are; operators that depend on order run on each micro-batch."""
 
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StreamingQuery
+
+from ..operators.cache import EndCaching, StartCaching
+from ..plans.core import Operator, Pipeline
+
+
+def run_stream(pipeline: Pipeline | Operator, stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, order_by: list[str] | None = None, trigger: dict | None = None) -> StreamingQuery:
+    """Start the pipeline on a stream. sink gets each micro-batch's result and number, again after a failure, so it should overwrite by number.
+
+    With a batching operator, batches don't reach over micro-batches: the rest of each is a batch of its own (or dropped, without keep_last).
+    """
+    pipeline = Pipeline(pipeline)
+    if any(isinstance(o, (StartCaching, EndCaching)) for o in pipeline.operators):
+        raise ValueError("streams can't be kept")
+    if any(o.kind in "BS" for o in pipeline.operators):
+        made, each = stream, lambda batch, k: sink(pipeline.map(batch, order_by=order_by), k)
+    else:
+        made, each = pipeline.map(stream), sink
+    return made.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
