@@ -90,6 +90,19 @@ def old_ids(result: DataFrame, names: DataFrame | None, columns: list[str]) -> D
     return result.select(*order)
 
 
+def boxed(docs: DataFrame, *more: str) -> tuple[DataFrame, DataFrame | None]:
+    """(doc_id, text, more and row, a struct of all columns; the names of unique_ids()): joins can't meet clashing names, and row.* is the input."""
+    column = lambda c: F.col(f"`{c}`")
+    rows = docs.select(column("doc_id").cast("long").alias("doc_id"), column("text").cast("string").alias("text"), *map(column, more), F.struct(*map(column, docs.columns)).alias("row"))
+    return unique_ids(rows, "doc_id", "text")
+
+
+def chosen(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The input rows of boxed() whose id is in ids, a table of one column."""
+    ids = ids.toDF("chosen_id")
+    return rows.join(ids, F.col("doc_id") == F.col("chosen_id"), "left_semi").select("row.*")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) for each node of edges(u, v): component is the smallest id that links reach.
 

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import old_ids, table, unique_ids
+from .common import boxed, chosen, table
 from .op10_extraction import main_text
 from .textkernel import _U, flat, pieces
 
@@ -166,6 +166,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The documents whose language is identified, with their columns as they are: lang as the declared label, source as the host."""
-    rows, names = unique_ids(docs, "doc_id", "text")
-    kept = language_id(rows, "doc_id", "text", declared="lang", host="source").where("kept").select(F.col("id").alias("_id"))
-    return old_ids(rows.join(kept, F.col("doc_id") == F.col("_id"), "left_semi"), names, ["doc_id"]).select(*docs.columns)
+    rows, _ = boxed(docs, "lang", "source")
+    return chosen(rows, language_id(rows, "doc_id", "text", declared="lang", host="source").where("kept").select("id"))

@@ -141,7 +141,7 @@ def fit(rows: list[tuple], totals: list[float], freed: list[float], shared_total
                 low[rest] = np.prod(freed[k + 1 :])
                 low = np.where(rest, low * shared, low * shared / np.maximum(np.array([share.get(u, 1.0) for u in up.tolist()]), shared))
             p[c] = np.maximum(np.array(d[:, 2 + c], float) - DISCOUNT, 0) / totals[c] + freed[k] * low
-        ratio = np.log(p[1]) - np.log(p[0])
+        ratio = np.round((np.log(p[1]) - np.log(p[0])) * 2**20) / 2**20  # sums are exact, in any order
         if k:
             upper_p = {c: (dict(zip(signed(key).tolist(), p[c].tolist(), strict=True)), dict(zip(signed(key).tolist(), shared.tolist(), strict=True))) for c in (0, 1)}
         o = np.argsort(key)

@@ -443,3 +443,17 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept_text")
+
+
+SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, unnest(range(0, length(h) // 2 - 99)) AS p, h FROM d WHERE length(h) >= 200),
+k AS (SELECT doc_id, p, md5(substring(h, 2 * p + 1, 200)) AS s FROM w),
+late AS (SELECT doc_id, p FROM k QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, p) > 1),
+new AS (SELECT doc_id, p, CASE WHEN p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 THEN 1 ELSE 0 END AS n FROM late),
+runs AS (SELECT doc_id, min(p) AS s, max(p) + 100 AS e FROM (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY p) AS r FROM new) GROUP BY doc_id, r),
+gaps AS (SELECT doc_id, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS b FROM runs),
+cut AS (SELECT g.doc_id, sum(e - s)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substring(h, 2 * b + 1, 2 * (s - b)), '' ORDER BY s) || substring(any_value(h), 2 * max(e) + 1) AS kept FROM gaps g JOIN d USING (doc_id) GROUP BY g.doc_id)
+SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)
+"""

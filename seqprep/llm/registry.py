@@ -28,4 +28,9 @@ QUERIES = {
     "op10_html_extraction": op10_extraction.query,
 }
 
-ORACLE = {name: sql for name, sql in (("op3_quality_rules", op03_quality.SQL), ("op6_embedding_dedup", op06_embedding_dedup.SQL)) if sql}
+ORACLE = {
+    "op1_ngram_join": op01_ngram_join.SQL,
+    "op3_quality_rules": op03_quality.SQL,
+    "op6_embedding_dedup": op06_embedding_dedup.SQL,
+    "op8_suffix_dedup": op08_suffix_dedup.SQL,
+}
