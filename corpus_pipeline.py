@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqprep.llm import op01_ngram_join, op02_language, op04_toxicity, op08_suffix_dedup, op09_packing
-from seqprep.llm.common import old_ids, shared_dir, unique_ids
+from seqprep.llm.common import boxed, chosen, shared_dir
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,30 +18,26 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not scored toxic."""
-    rows, names = unique_ids(docs, "doc_id", "text")
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rows, names = boxed(docs)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     if names is not None:
         labels = labels.join(names, F.col("doc_id") == F.col("_old")).select(F.col("_seq").alias("doc_id"), "toxic")
-    clean = op04_toxicity.toxicity(rows, labels).where("predicted = 0").select(F.col("doc_id").alias("_id"))
-    return old_ids(rows.join(clean, F.col("doc_id") == F.col("_id"), "left_semi"), names, ["doc_id"]).select(*docs.columns)
+    return chosen(rows, op04_toxicity.toxicity(rows, labels).where("predicted = 0").select("doc_id"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the smallest id."""
-    rows, names = unique_ids(docs, "doc_id", "text")
-    kept = op01_ngram_join.ngram_join(rows).where("kept").select(F.col("doc_id").alias("_id"))
-    return old_ids(rows.join(kept, F.col("doc_id") == F.col("_id"), "left_semi"), names, ["doc_id"]).select(*docs.columns)
+    rows, _ = boxed(docs)
+    return chosen(rows, op01_ngram_join.ngram_join(rows).where("kept").select("doc_id"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that occur earlier; those left without a word go."""
-    rows, names = unique_ids(docs, "doc_id", "text")
-    rest = op08_suffix_dedup.suffix_dedup(rows).select(F.col("doc_id").alias("_id"), F.col("kept_text").alias("_text"))
-    joined = rows.drop("text").join(rest, F.col("doc_id") == F.col("_id")).where(F.col("_text").rlike(r"[^\x20\x09-\x0D]"))
-    joined = joined.withColumn("text", F.col("_text"))
-    if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.length("_text").cast(docs.schema["n_chars"].dataType))
-    return old_ids(joined.drop("_id", "_text"), names, ["doc_id"]).select(*docs.columns)
+    rows, _ = boxed(docs)
+    rest = op08_suffix_dedup.suffix_dedup(rows).select(F.col("doc_id").alias("rest_id"), "kept_text")
+    joined = rows.select("doc_id", "row").join(rest, F.col("doc_id") == F.col("rest_id")).where(F.col("kept_text").rlike(r"[^\x20\x09-\x0D]"))
+    new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text")}
+    return joined.select(*[new[f.name].cast(f.dataType).alias(f.name) if f.name in new else F.col("row")[f.name].alias(f.name) for f in docs.schema])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
