@@ -217,12 +217,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
-long AS (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5),
-grams AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM long UNION SELECT doc_id, concat(len(w), '# ', array_to_string(w, ' ')) FROM w WHERE len(w) BETWEEN 1 AND 4),
+wide AS (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5),
+grams AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM wide UNION SELECT doc_id, concat(len(w), '# ', array_to_string(w, ' ')) FROM w WHERE len(w) BETWEEN 1 AND 4),
 sizes AS (SELECT doc_id, count(*) AS n, md5(string_agg(g, chr(10) ORDER BY g)) AS k FROM grams GROUP BY doc_id),
 copies AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY k) AS copy_id FROM sizes),
-shared AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS both FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
-links AS (SELECT u, v FROM shared JOIN sizes x ON u = x.doc_id JOIN sizes y ON v = y.doc_id WHERE 10 * both >= 8 * (x.n + y.n - both)),
+shared AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS n_both FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT u, v FROM shared JOIN sizes x ON u = x.doc_id JOIN sizes y ON v = y.doc_id WHERE 10 * n_both >= 8 * (x.n + y.n - n_both)),
 reach(u, v) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u),
 least AS (SELECT u, min(v) AS class_id FROM reach GROUP BY u),
 degree AS (SELECT u, count(*) AS n FROM links GROUP BY u)
