@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import components, old_ids, partitions, table, unique_ids
 from .op01_ngram_join import forest
 
-CODES, FILTERS, BUCKET = 4, 10, 32
+CODES, FILTERS, BUCKET = 8, 5, 32
 #: Vectors in one part of a bucket.
 PART = 512
 
@@ -81,7 +81,7 @@ def _key_rows(batches):
 
 
 def _filters(batches):
-    """Rows with n, the number of vectors of their label and length: one row for each filter, with all filters and the unit vector."""
+    """Rows with n, the number of vectors of their label and length: one row for each filter, with the filters before it and the vector as it came."""
     made: dict[tuple, tuple] = {}
     for b in batches:
         n, vectors = b.column("n").to_pylist(), matrix(b.column("embedding"))
@@ -106,22 +106,21 @@ def _filters(batches):
                 if not len(to):
                     continue
                 take = pa.array(np.array(rows[at : at + 256])[to])
-                vector = pa.array([x[at + k] for k in range(len(part))], pa.list_(pa.float64())).take(pa.array(to))
-                every = pa.array(part, pa.list_(pa.int64())).take(pa.array(to))
-                yield pa.RecordBatch.from_arrays([*(b.column(c).take(take) for c in ("vec_id", "label", "dim", "copies")), pa.array(np.concatenate(part)), every, vector], names=["vec_id", "label", "dim", "copies", "filter", "filters", "unit"])
+                before = pa.array([f[:k] for f in part for k in range(len(f))], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(take) for c in ("vec_id", "label", "dim", "copies")), pa.array(np.concatenate(part)), before, b.column("embedding").take(take)], names=["vec_id", "label", "dim", "copies", "filter", "before", "embedding"])
 
 
 def _verify(cosine: float):
-    def solve(rows, here):
+    def solve(rows):
         ids, copies, part = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows])
-        x = np.array([r[3] for r in rows])
+        x = np.array([unit(r[3]) for r in rows])
         linked = x @ x.T >= cosine
         np.fill_diagonal(linked, False)
         if len(np.unique(part)) > 1:
             linked &= part[:, None] != part[None, :]
         if not linked.any():
             return None
-        earlier = [f[f < here] for f in (np.asarray(r[4]) for r in rows)]
+        earlier = [r[4] for r in rows]
         names, column = np.unique(np.concatenate(earlier), return_inverse=True)
         if len(names):
             met = np.zeros((len(rows), len(names)), np.float32)
@@ -146,18 +145,18 @@ def _verify(cosine: float):
 
         for batch in batches:
             cols = [batch.column(c).to_pylist() for c in ("label", "dim", "filter", "p", "q", "vec_id", "copies", "part")]
-            units, lists = batch.column("unit"), batch.column("filters")
+            vectors, lists = batch.column("embedding"), batch.column("before")
             for k in range(batch.num_rows):
                 block = tuple(c[k] for c in cols[:5])
                 if block != last:
                     if len(held) > 1:
-                        found.append(solve(held, last[2]))
+                        found.append(solve(held))
                     if len(found) > 500:
                         yield from out()
                     held, last = [], block
-                held.append((cols[5][k], cols[6][k], cols[7][k], np.array(units[k].values.to_numpy()), np.array(lists[k].values.to_numpy())))
+                held.append((cols[5][k], cols[6][k], cols[7][k], vectors[k].values.to_numpy().astype(float), np.array(lists[k].values.to_numpy())))
         if len(held) > 1:
-            found.append(solve(held, last[2]))
+            found.append(solve(held))
         yield from out()
 
     return run
@@ -172,13 +171,14 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     """
     spark = vectors.sparkSession
     n = partitions(spark)
-    base = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("embedding"))
+    kind = "float" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "double"  # floats travel as floats; all sums are in double
+    base = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast(f"array<{kind}>").alias("embedding"))
     base, names = unique_ids(base, "vec_id", "label", "embedding")
     keyed = table(base.where("label is not null").mapInArrow(_key_rows, "vec_id long, label string, dim int, k1 long, k2 long"))
     classes = table(keyed.groupBy("label", "dim", "k1", "k2").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies")))
     sizes = classes.groupBy("label", "dim").agg(F.count("*").alias("n"))
     firsts = classes.join(sizes, ["label", "dim"]).select(F.col("first").alias("vec_id"), "dim", "copies", "n").join(base, "vec_id")
-    rows = firsts.mapInArrow(_filters, "vec_id long, label string, dim int, copies long, filter long, filters array<long>, unit array<double>")
+    rows = firsts.mapInArrow(_filters, f"vec_id long, label string, dim int, copies long, filter long, before array<long>, embedding array<{kind}>")
     rows = table(rows)
     large = rows.groupBy("label", "dim", "filter").agg(F.count("*").alias("m")).where("m > 1").select("label", "dim", "filter", F.ceil(F.col("m") / PART).cast("int").alias("parts"))
     dealt = rows.join(large, ["label", "dim", "filter"]).withColumn("part", F.expr("pmod(xxhash64(vec_id), parts)").cast("int"))
