@@ -113,7 +113,9 @@ def _filters(batches):
 def _verify(cosine: float):
     def solve(rows):
         ids, copies, part = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows])
-        x = np.array([unit(r[3]) for r in rows])
+        x = np.array([r[3] for r in rows])
+        x /= np.abs(x).max(axis=1, keepdims=True)
+        x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
         linked = x @ x.T >= cosine
         np.fill_diagonal(linked, False)
         if len(np.unique(part)) > 1:
