@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import operators as o
 from .plans import recipes
 from .plans.core import Pipeline
-from .plans.storage import new_path
+from .plans.storage import new_path, spread
 from .sources.loaders import LoadCsv, LoadDatasets, LoadJsonl
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -399,7 +399,7 @@ def _(spark, t):
 
 @_query("fix_text")
 def _(spark, t):
-    return o.FixText(("text",)).map(t("documents").select("doc_id", "text"))
+    return o.FixText(("text",)).map(spread(t("documents").select("doc_id", "text")))
 
 
 # prompts and templates
@@ -438,7 +438,7 @@ def _spec() -> o.TokenizerSpec:
 
 @_query("tokenize_words")
 def _(spark, t):
-    made = o.Tokenize(_spec(), "text", return_offsets_mapping=True, return_length=True).map(t("documents").select("doc_id", "text"))
+    made = o.Tokenize(_spec(), "text", return_offsets_mapping=True, return_length=True).map(spread(t("documents").select("doc_id", "text")))
     return made.select("doc_id", F.col("length").cast("long").alias("length"), F.xxhash64("input_ids").alias("ids_hash"), F.size("offset_mapping").cast("long").alias("offsets"))
 
 
@@ -451,7 +451,7 @@ def _(spark, t):
 @_query("decode_round_trip", "SELECT doc_id, text FROM documents")
 def _(spark, t):
     made = o.Tokenize(_spec(), "text", output_rename_map={"input_ids": "ids", "attention_mask": "mask"}) >> o.RenameFields({"doc_id": "doc_id", "ids": "text"}, remove_rest=True)
-    return (made >> o.Decode(_spec(), ("text",), clean_up_tokenization_spaces=False)).map(t("documents").select("doc_id", "text"))
+    return (made >> o.Decode(_spec(), ("text",), clean_up_tokenization_spaces=False)).map(spread(t("documents").select("doc_id", "text")))
 
 
 @_query("special_tokens_pad", "SELECT vec_id, '50256,1,2,50256;3,50256' AS input_ids, '1,1,1,1;1,1' AS attention_mask FROM embeddings")
@@ -517,4 +517,4 @@ def _(spark, t):
 @_query("recipe_prompting")
 def _(spark, t):
     made: Pipeline = recipes.prompting(_spec(), "Text: {text}\nFrom: {source}", "{lang}", fields_to_truncate=("text",), max_source_length=128, fields_to_keep=("doc_id",))
-    return made.map(t("documents").select("doc_id", "text", "source", "lang")).select("doc_id", text("input_ids").alias("input_ids"), text("labels").alias("labels"))
+    return made.map(spread(t("documents").select("doc_id", "text", "source", "lang"))).select("doc_id", text("input_ids").alias("input_ids"), text("labels").alias("labels"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from dataclasses import dataclass, field
 from functools import lru_cache
 from typing import Any
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,6 +60,38 @@ class TokenizerSpec:
         return _built(self.json).encode(text, add_special_tokens=False).ids
 
 
+def _lists(parts: list, values) -> pa.ListArray:
+    """Lists of the lengths of the parts over values, their concatenation."""
+    ends = np.zeros(len(parts) + 1, np.int32)
+    np.cumsum([len(x) for x in parts], out=ends[1:])
+    return pa.ListArray.from_arrays(pa.array(ends), values)
+
+
+def _integers(parts: list[np.ndarray]) -> pa.ListArray:
+    return _lists(parts, pa.array(np.concatenate([*parts, np.zeros(0, np.int32)])))
+
+
+def _pairs(parts: list[np.ndarray]) -> pa.ListArray:
+    """Lists of [start, end) from flat arrays of starts and ends."""
+    flat = np.concatenate([*parts, np.zeros(0, np.int32)])
+    each = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, 2, dtype=np.int32)), pa.array(flat))
+    return _lists([x[::2] for x in parts], each)
+
+
+def _flat_offsets(e) -> np.ndarray:
+    return np.fromiter(itertools.chain.from_iterable(e.offsets), np.int32, 2 * len(e))
+
+
+def _rows(items: pa.Array, counts: list[int | None], many: bool) -> pa.Array:
+    """A batch's column of sequences: counts[r] items for row r, as a list or else as the one item itself; null where it is None."""
+    known = np.array([n is not None for n in counts], bool)
+    if not many:
+        return items.take(pa.array(np.where(known, np.cumsum(known) - 1, 0), mask=~known))
+    ends = np.zeros(len(counts) + 1, np.int32)
+    np.cumsum([n or 0 for n in counts], out=ends[1:])
+    return pa.ListArray.from_arrays(pa.array(ends), items, mask=pa.array(~known))
+
+
 _I, _L = T.ArrayType(T.IntegerType()), T.ArrayType(T.ArrayType(T.IntegerType()))
 
 
@@ -114,8 +148,8 @@ class Tokenize(Operator):
         schema = T.StructType([T.StructField(c, T.ArrayType(one.get(c, _I)) if many else one.get(c, _I)) for c in self.plain()])
         plain, op = self.plain(), self
 
-        @F.pandas_udf(schema)
-        def run(column: pd.Series) -> pd.DataFrame:
+        @F.arrow_udf(schema)
+        def run(column: pa.Array) -> pa.Array:
             from tokenizers import Tokenizer
 
             t = Tokenizer.from_str(op.tokenizer.json)
@@ -123,29 +157,21 @@ class Tokenize(Operator):
             t.no_truncation()
             if op.max_length is not None:
                 t.enable_truncation(op.max_length)
-            rows = []
+            found: dict[str, list] = {c: [] for c in plain}
+            counts: list[int | None] = []
             for value in column:
+                value = value.as_py()
                 if value is None:
-                    rows.append([None] * len(plain))
+                    counts.append(None)
                     continue
-                texts = list(value) if listed else [value if isinstance(value, str) else list(value)]
-                texts = [x if isinstance(x, str) else list(x) for x in texts]
+                texts = value if listed else [value]
                 got = []
                 for k, e in enumerate(t.encode_batch(texts, is_pretokenized=op.is_split_into_words, add_special_tokens=op.add_special_tokens)):
                     got += [(k, x) for x in ([e, *e.overflowing] if op.return_overflowing_tokens else [e])]
-                values = {
-                    "input_ids": [e.ids for _, e in got],
-                    "token_type_ids": [e.type_ids for _, e in got],
-                    "attention_mask": [e.attention_mask for _, e in got],
-                    "special_tokens_mask": [e.special_tokens_mask for _, e in got],
-                    "offset_mapping": [[list(o) for o in e.offsets] for _, e in got],
-                    "length": [len(e.ids) for _, e in got],
-                    "overflow_to_sample_mapping": [k for k, _ in got],
-                    "word_ids": [e.word_ids for _, e in got],
-                    "words": [[_word(texts[k], e, i) for i in range(len(e.ids))] for k, e in got] if op.return_words else [],
-                }
-                rows.append([values[c] if many else values[c][0] for c in plain])
-            return pd.DataFrame(rows, columns=plain)
+                counts.append(len(got))
+                for c in plain:
+                    found[c] += [_OUTPUTS[c](texts[k], k, e) for k, e in got]
+            return pa.StructArray.from_arrays([_rows(_ITEMS.get(c, _integers)(found[c]), counts, many) for c in plain], names=plain)
 
         made = run(F.col(self.input_field))
         return {self.named(c): made[c] for c in plain}
@@ -155,14 +181,36 @@ class Tokenize(Operator):
         return df.withColumns(made)
 
 
-def _word(text, e, i: int) -> str | None:
-    k = e.word_ids[i]
-    if k is None:
-        return None
-    if not isinstance(text, str):
-        return text[k]
-    span = e.word_to_chars(k)
-    return text[span[0] : span[1]] if span else None
+def _words(text, e) -> list[str | None]:
+    def word(k):
+        if not isinstance(text, str):
+            return text[k]
+        span = e.word_to_chars(k)
+        return text[span[0] : span[1]] if span else None
+
+    known = {k: word(k) for k in set(e.word_ids) - {None}}
+    return [known.get(k) for k in e.word_ids]
+
+
+#: What a sequence (its text, its text's number in the row, its encoding) gives to each output, and how a batch's sequences become a column.
+_OUTPUTS = {
+    "input_ids": lambda text, k, e: np.array(e.ids, np.int32),
+    "token_type_ids": lambda text, k, e: np.array(e.type_ids, np.int32),
+    "attention_mask": lambda text, k, e: np.array(e.attention_mask, np.int32),
+    "special_tokens_mask": lambda text, k, e: np.array(e.special_tokens_mask, np.int32),
+    "offset_mapping": lambda text, k, e: _flat_offsets(e),
+    "length": lambda text, k, e: len(e),
+    "overflow_to_sample_mapping": lambda text, k, e: k,
+    "word_ids": lambda text, k, e: e.word_ids,
+    "words": lambda text, k, e: _words(text, e),
+}
+_ITEMS = {
+    "offset_mapping": _pairs,
+    "length": lambda x: pa.array(x, pa.int32()),
+    "overflow_to_sample_mapping": lambda x: pa.array(x, pa.int32()),
+    "word_ids": lambda x: pa.array(x, pa.list_(pa.int32())),
+    "words": lambda x: pa.array(x, pa.list_(pa.string())),
+}
 
 
 @dataclass(frozen=True, eq=False, repr=False)
@@ -187,28 +235,28 @@ class EncodeFields(Operator):
         nested = {c: A.depth(df.schema[c].dataType) > base for c in self.fields_to_encode}
         schema = T.StructType([T.StructField(c, T.ArrayType(_I) if nested[c] else _I) for c in self.fields_to_encode] + [T.StructField(f"{self.offset_prefix}_{c}", T.ArrayType(_L) if nested[c] else _L) for c in self.fields_to_return_offset_mapping])
 
-        @F.pandas_udf(schema)
-        def run(*columns: pd.Series) -> pd.DataFrame:
+        @F.arrow_udf(schema)
+        def run(*columns: pa.Array) -> pa.Array:
             from tokenizers import Tokenizer
 
             t = Tokenizer.from_str(op.tokenizer.json)
             t.no_truncation()
             t.no_padding()
-            out: dict[str, list] = {n: [] for n in names}
+            out: dict[str, pa.Array] = {}
             for c, column in zip(op.fields_to_encode, columns, strict=True):
+                with_offsets = c in op.fields_to_return_offset_mapping
+                ids, offsets, counts = [], [], []
                 for value in column:
-                    if value is None:
-                        ids, offsets = None, None
-                    else:
-                        texts = [x if isinstance(x, str) else list(x) for x in value] if nested[c] else [value if isinstance(value, str) else list(value)]
-                        es = t.encode_batch(texts, is_pretokenized=op.is_split_into_words, add_special_tokens=False)
-                        ids, offsets = [e.ids for e in es], [[list(o) for o in e.offsets] for e in es]
-                        if not nested[c]:
-                            ids, offsets = ids[0], offsets[0]
-                    out[c].append(ids)
-                    if c in op.fields_to_return_offset_mapping:
-                        out[f"{op.offset_prefix}_{c}"].append(offsets)
-            return pd.DataFrame(out)
+                    value = value.as_py()
+                    texts = [] if value is None else value if nested[c] else [value]
+                    es = t.encode_batch(texts, is_pretokenized=op.is_split_into_words, add_special_tokens=False)
+                    counts.append(None if value is None else len(es))
+                    ids += [np.array(e.ids, np.int32) for e in es]
+                    offsets += [_flat_offsets(e) for e in es] if with_offsets else []
+                out[c] = _rows(_integers(ids), counts, nested[c])
+                if with_offsets:
+                    out[f"{op.offset_prefix}_{c}"] = _rows(_pairs(offsets), counts, nested[c])
+            return pa.StructArray.from_arrays([out[n] for n in names], names=names)
 
         made = run(*[F.col(c) for c in self.fields_to_encode])
         return {n: made[n] for n in names}
@@ -235,15 +283,16 @@ class Decode(Operator):
     def _decoder(self, nested: bool):
         op = self
 
-        @F.pandas_udf("array<string>" if nested else "string")
-        def run(s: pd.Series) -> pd.Series:
+        @F.arrow_udf("array<string>" if nested else "string")
+        def run(column: pa.Array) -> pa.Array:
             t = _built(op.tokenizer.json)
 
             def one(ids):
-                text = t.decode([int(i) for i in ids], skip_special_tokens=op.skip_special_tokens)
+                text = t.decode(ids, skip_special_tokens=op.skip_special_tokens)
                 return re.sub(r" ([.?!,]|n't|'(?:m|s|ve|re)\b)", r"\1", text) if op.clean_up_tokenization_spaces else text
 
-            return s.map(lambda x: None if x is None else [one(y) for y in x] if nested else one(x))
+            made = (None if (x := v.as_py()) is None else [one(y) for y in x] if nested else one(x) for v in column)
+            return pa.array(made, pa.list_(pa.string()) if nested else pa.string())
 
         return run
 

@@ -34,6 +34,17 @@ def table(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a small scan to all cores, ahead of costly Python: a file of one row group is one task otherwise.
+
+    Scans with enough data for a full partition on every core stay as they are, so what is shuffled has a bound.
+    """
+    spark = df.sparkSession
+    cores, plan = spark.sparkContext.defaultParallelism, df._jdf.queryExecution().optimizedPlan()
+    most = cores * df._jdf.sparkSession().sessionState().conf().filesMaxPartitionBytes()
+    return df.repartition(cores) if not df.isStreaming and int(str(plan.stats().sizeInBytes())) < most else df
+
+
 def cleanup() -> None:
     """Delete the tables written so far; results that read them can't be used afterwards. Runs when the driver ends."""
     while _WRITTEN:

@@ -5,7 +5,7 @@ import pytest
 
 from seqprep import operators as o
 from seqprep.operators.tokenize import TokenizerSpec
-from seqprep.plans import recipes
+from seqprep.plans import recipes, storage
 from seqprep.sources import files
 from seqprep.sources.loaders import LoadCsv, LoadDatasets, LoadJsonl
 from seqprep.streaming import run_stream
@@ -131,3 +131,27 @@ def test_streams(spark, tmp_path):
     assert sum(v for k, v in made.items() if k[0] == "rows") == 10 and sum(v for k, v in made.items() if k[0] == "batches") == 3
     with pytest.raises(ValueError):
         o.FixedBatchSize(8).map(stream)
+
+
+def test_tokenize_nulls_and_empty_rows(spark):
+    flat = spark.createDataFrame([(1, "a b"), (2, None), (3, "")], "k int, text string").coalesce(1)
+    every = dict(add_special_tokens=False, return_token_type_ids=True, return_offsets_mapping=True, return_length=True, return_word_ids=True, return_words=True, return_special_tokens_mask=True)
+    rows = {r.k: r for r in o.Tokenize(spec(), "text", **every).map(flat).collect()}
+    assert rows[1].offset_mapping == [[0, 1], [2, 3]] and rows[1].length == 2 and rows[1].words == ["a", "b"] and rows[1].word_ids == [0, 1]
+    assert rows[2].input_ids is None and rows[2].offset_mapping is None and rows[2].length is None and rows[2].words is None
+    assert rows[3].input_ids == [] and rows[3].offset_mapping == [] and rows[3].length == 0
+    nested = spark.createDataFrame([(1, ["a", "b a"]), (2, None), (3, [])], "k int, text array<string>").coalesce(1)
+    rows = {r.k: r for r in o.Tokenize(spec(), "text", **every).map(nested).collect()}
+    assert [len(x) for x in rows[1].input_ids] == [1, 2] and rows[1].length == [1, 2] and rows[1].offset_mapping == [[[0, 1]], [[0, 1], [2, 3]]]
+    assert rows[2].input_ids is None and rows[2].length is None and rows[3].input_ids == [] and rows[3].words == []
+    rows = {r.k: r for r in o.EncodeFields(("text",), spec(), fields_to_return_offset_mapping=("text",)).map(nested).collect()}
+    assert rows[2].text is None and rows[2].offset_text is None and rows[3].text == [] and rows[1].offset_text == [[[0, 1]], [[0, 1], [2, 3]]]
+    back = o.Decode(spec(), ("text",)).map(o.EncodeFields(("text",), spec()).map(nested))
+    assert {r.k: r.text for r in back.collect()} == {1: ["a", "b a"], 2: None, 3: []}
+
+
+def test_spread_has_a_bound(spark):
+    small = spark.range(10).selectExpr("id", "cast(id as string) as text").coalesce(1)
+    assert storage.spread(small).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert storage.spread(spark.range(1 << 40)).rdd.getNumPartitions() == spark.range(1 << 40).rdd.getNumPartitions()
+    assert "Exchange" not in storage.spread(spark.range(1 << 40))._jdf.queryExecution().executedPlan().toString()
