@@ -4,7 +4,8 @@ Every window of `length` bytes is assigned one anchor, the position of its small
 get equal anchors, so a window can only repeat where its anchor's gram repeats. Anchors that occur once are settled by a
 count. Consecutive windows with one anchor share a context, the bytes that they cover: all but the first of equal contexts
 are repeats entirely, and leave the job as byte ranges, first within a task (so that a hot passage sends one row a task), then
-by anchor. Only where different contexts share an anchor (the edges of copies) suffix arrays are built: contexts are dealt to
+by anchor. Anchors with more contexts than a shard holds are found in a sample of the documents (it steers the plan and changes no
+result) and dealt by context instead. Only where different contexts share an anchor (the edges of copies) suffix arrays are built: contexts are dealt to
 shards by anchor, large anchor groups to several shards; in each shard Larsson-Sadakane refinement in numpy sorts the suffixes,
 Kasai's rule yields the common prefixes, and runs of suffixes that share `length` bytes keep their earliest. Runs of split
 groups are merged across shards by binary search in sorted run tables.
@@ -28,7 +29,9 @@ _U = np.uint64
 #: Bytes of a gram whose hash picks the anchors.
 GRAM = 24
 #: Contexts of one anchor in one shard at most; larger groups are split.
-SHARD_CONTEXTS = 4096
+SHARD_CONTEXTS = 1024
+#: Share of the documents whose anchors are counted to find hot ones, and the number of hot anchors at most: those beyond hold less than 1 / HOT of all rows each.
+SAMPLE, HOT = 1 / 32, 10_000
 #: Bytes sorted at once in a shard; whole anchor groups, so one may exceed it.
 SORT_BYTES = 1 << 20
 #: Rows held by a task before its repeated contexts are settled.
@@ -166,13 +169,16 @@ _RANGES = "doc_id long, lo int, n int, kh long, parts int"
 
 
 def _by_anchor(batches):
-    """All rows of an anchor are in one task: settle equal contexts, pass on the first of each where contexts differ (parts > 0)."""
+    """Settle equal contexts, pass on the first of each where contexts differ (parts > 0).
+
+    All rows of an anchor are in one task, but for hot ones: there, all rows of a context are, and each first goes on with parts -1.
+    """
     got = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
     if not got:
         return
-    kh, ch, doc, lo, n, settled = (np.concatenate(x) for x in zip(*got, strict=True))
+    kh, ch, doc, lo, n, settled, hot = (np.concatenate(x) for x in zip(*got, strict=True))
     del got
-    fresh = np.flatnonzero(~settled)
+    fresh = np.flatnonzero(~settled & ~hot)
     at = fresh[_repeats(kh[fresh])]
     at = at[np.lexsort((lo[at], doc[at], ch[at], kh[at]))]
     group = np.ones(len(at), bool)
@@ -182,10 +188,15 @@ def _by_anchor(batches):
     number = np.cumsum(group) - 1
     kinds = np.bincount(number[first], minlength=number[-1] + 1 if len(number) else 0)
     many = first & (kinds[number] > 1) if len(number) else first
-    gone = np.concatenate([np.flatnonzero(settled), at[~first]])
+    spread = np.flatnonzero(~settled & hot)
+    spread = spread[np.lexsort((lo[spread], doc[spread], ch[spread], kh[spread]))]
+    new = np.ones(len(spread), bool)
+    new[1:] = (kh[spread[1:]] != kh[spread[:-1]]) | (ch[spread[1:]] != ch[spread[:-1]])
+    gone = np.concatenate([np.flatnonzero(settled), at[~first], spread[~new]])
     d, a, m = _merged(doc[gone], lo[gone].astype(np.int64), n[gone].astype(np.int64))
     edge = at[many]
     parts = -(-kinds[number[many]] // SHARD_CONTEXTS) if len(edge) else np.zeros(0, np.int64)
+    edge, parts = np.concatenate([edge, spread[new]]), np.concatenate([parts, np.full(new.sum(), -1)])
     cols = [np.concatenate([d, doc[edge]]), np.concatenate([a, lo[edge]]).astype(np.int32), np.concatenate([m, n[edge]]).astype(np.int32), np.concatenate([d, kh[edge]]), np.concatenate([np.zeros(len(d), np.int32), parts.astype(np.int32)])]
     for k in range(0, len(cols[0]), 1 << 17):
         yield pa.RecordBatch.from_arrays([pa.array(c[k : k + (1 << 17)]) for c in cols], names=["doc_id", "lo", "n", "kh", "parts"])
@@ -424,9 +435,15 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows, names = unique_ids(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), "doc_id", "text")
     n = partitions(spark)
     anchors = rows.mapInArrow(_anchor_rows(length, gram), _ANCHORS)
-    ranges = table(anchors.repartition(n, "kh").mapInArrow(_by_anchor, _RANGES))
+    counted = rows.sample(SAMPLE, 1).mapInArrow(_anchor_rows(length, gram), _ANCHORS).where("not settled").groupBy("kh").agg(F.count("*").alias("c"))
+    hot = table(counted.where(F.col("c") >= SHARD_CONTEXTS * SAMPLE).orderBy(F.desc("c"), "kh").limit(HOT).select(F.col("kh").alias("hot_kh")))
+    anchors = anchors.join(F.broadcast(hot), F.col("kh") == F.col("hot_kh"), "left").select("kh", "ch", "doc_id", "lo", "n", "settled", F.col("hot_kh").isNotNull().alias("hot"))  # HOT rows at most
+    ranges = table(anchors.repartition(n, "kh", F.when(F.col("hot"), F.col("ch")).otherwise(0)).mapInArrow(_by_anchor, _RANGES))
+    kinds = ranges.where("parts = -1").groupBy(F.col("kh").alias("hot_kh")).agg(F.count("*").alias("kinds"))  # a row for each hot anchor
+    edges = ranges.where("parts <> 0").join(F.broadcast(kinds), F.col("kh") == F.col("hot_kh"), "left").where("kinds is null or kinds > 1")
+    edges = edges.withColumn("parts", F.when(F.col("parts") == -1, F.ceil(F.col("kinds") / SHARD_CONTEXTS)).otherwise(F.col("parts")).cast("int"))
     dealt = rows.repartition(n, "doc_id")
-    edges = ranges.where("parts > 0").groupBy("doc_id").agg(F.collect_list(F.struct("kh", "parts", "lo", "n")).alias("ranges"))
+    edges = edges.groupBy("doc_id").agg(F.collect_list(F.struct("kh", "parts", "lo", "n")).alias("ranges"))
     shards = (
         dealt.join(edges.hint("shuffle_hash"), "doc_id")
         .mapInArrow(_cut_contexts(length), "kh long, parts int, doc_id long, lo int, n int, context binary")

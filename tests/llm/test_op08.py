@@ -67,6 +67,7 @@ def test_split_groups_merge_across_shards(spark, monkeypatch):
 
     b = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], names=["doc_id", "text"])
     anchors = list(op8._anchor_rows(100, 24)([b]))
+    anchors = [x.append_column("hot", pa.array([False] * x.num_rows)) for x in anchors]
     ranges = pa.Table.from_batches(list(op8._by_anchor(anchors))).to_pylist()
     edges = {}
     for r in ranges:
@@ -91,6 +92,16 @@ def test_split_groups_merge_across_shards(spark, monkeypatch):
     assert got.count() == len(rows)
 
 
+@pytest.mark.parametrize("most", [10_000, 3])
+def test_hot_anchors_are_dealt_by_context(spark, monkeypatch, most):
+    rows = corpus(4, 80)
+    monkeypatch.setattr(op8, "SAMPLE", 1.0)
+    monkeypatch.setattr(op8, "SHARD_CONTEXTS", 2)  # in the driver: which anchors are hot, and their shards
+    monkeypatch.setattr(op8, "HOT", most)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert result(op8.suffix_dedup(df)) == brute(rows, 100)
+
+
 def test_edges(spark):
     schema = "doc_id long, text string, n_bytes int, lang string"
     assert op8.suffix_dedup(spark.createDataFrame([], schema)).collect() == []
