@@ -3,7 +3,7 @@
 The context of a word is its class (toxic or ordinary). A class counts a word once for each different word before it
 (continuation counts, so copies of a text add nothing), discounts each count and gives the freed mass (one weight, pooled over both classes) to the class's model
 of six-byte stems, that to four-byte stems, and that to the corpus: continuation counts over all documents, shared by both
-classes. Expressions that a class has not seen therefore get the same relative share in both, and a rare inflection is
+classes, from sketches of the words before a word (LEVELS bitmaps, each with half the words of the one above; off by about a tenth, with no ceiling). Expressions that a class has not seen therefore get the same relative share in both, and a rare inflection is
 judged by its stem. A passage's score is the difference of the two log-likelihoods by its length in words; a logistic fit
 on labelled documents outside the models' counts turns the highest passage score and the document's own into a probability.
 
@@ -20,12 +20,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .textkernel import SPACE, Text, _U, flat, pieces, signed
+from .textkernel import SPACE, Text, _U, flat, mix, pieces, signed
 
 #: Labelled documents of which the models and the fit are made, at most.
 SAMPLE = 16_000
 SHARE = 4e-6
 DISCOUNT = 0.75
+#: Bitmaps of a word's sketch; LEVEL_BITS: bits set beyond which a bitmap is too full to be read.
+LEVELS = 27
+LEVEL_BITS = 48
 #: Words in a passage.
 PASSAGE = 8
 STEMS = (6, 4)
@@ -54,21 +57,33 @@ assert not _SEPARATOR[list(b"az09")].any() and SPACE[32]
 _COUNTS = "h long, h6 long, h4 long, class int, before long, bits long"
 
 
+def _sketched(before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(level, bit) of each word before in a sketch: level k has a share of 2^-(k + 1) of the words, the last level the rest."""
+    x = mix(before + _U(1))
+    low = (x & _U((1 << (LEVELS - 1)) - 1)) | _U(1 << (LEVELS - 1))
+    return np.bitwise_count((low & (~low + _U(1))) - _U(1)).astype(_U), _U(1) << (x >> _U(58))
+
+
 def _corpus_counts(batches):
-    """For each task and word: the set of (hashed) words before it as 64 bits; in documents of the sample also each (class, word before)."""
+    """For each task, word and level: the sketch's bitmap of the words before it (before: the level); in documents of the sample also each (class, word before).
+
+    Of a word's rows in a task, one has the stems.
+    """
     words, rows, sampled = [], 0, []
 
     def pack():
-        h, h6, h4, bits = (np.concatenate(x) for x in zip(*words, strict=True))
-        o = np.argsort(h)
-        h = h[o]
-        s = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-        return h[s], h6[o][s], h4[o][s], np.bitwise_or.reduceat(bits[o], s)
+        h, h6, h4, level, bits = (np.concatenate(x) for x in zip(*words, strict=True))
+        o = np.argsort((h & ~_U(31)) | level)
+        h, level = h[o], level[o]
+        s = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (level[1:] != level[:-1])))
+        return h[s], h6[o][s], h4[o][s], level[s], np.bitwise_or.reduceat(bits[o], s)
 
     def out(h, h6, h4, kind, before, bits):
+        again = np.append(False, h[1:] == h[:-1]) if h6 is not None else np.ones(len(h), bool)
         for k in range(0, len(h), 1 << 17):
             e = k + (1 << 17)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(h[k:e])), pa.array(signed(h6[k:e])), pa.array(signed(h4[k:e])), pa.array(kind[k:e]), pa.array(signed(before[k:e])), pa.array(signed(bits[k:e]))], names=["h", "h6", "h4", "class", "before", "bits"])
+            stems = [pa.array(signed((x if x is not None else h)[k:e]), mask=again[k:e]) for x in (h6, h4)]
+            yield pa.RecordBatch.from_arrays([pa.array(signed(h[k:e])), *stems, pa.array(kind[k:e]), pa.array(signed(before[k:e])), pa.array(signed(bits[k:e]))], names=["h", "h6", "h4", "class", "before", "bits"])
 
     for batch in batches:
         kind = batch.column("class").to_numpy(zero_copy_only=False)
@@ -79,25 +94,42 @@ def _corpus_counts(batches):
             before = np.zeros_like(w.word)
             same = t.row[1:] == t.row[:-1]
             before[1:][same] = w.word[:-1][same]
-            bits = _U(1) << (before >> _U(58))
-            words.append((w.word, w.stems[0], w.stems[1], bits))
-            rows += len(bits)
+            words.append((w.word, w.stems[0], w.stems[1], *_sketched(before)))
+            rows += len(before)
             of = kind[a:b][t.row]
             pick = of >= 0
             if pick.any():
-                sampled.append((w.word[pick], w.stems[0][pick], w.stems[1][pick], of[pick].astype(np.int32), before[pick]))
+                sampled.append((w.word[pick], of[pick].astype(np.int32), before[pick]))
             if rows > 2_000_000:
                 words[:] = [pack()]
                 rows = len(words[0][0]) if len(words[0][0]) < 1_000_000 else 0
                 if not rows:
-                    h, h6, h4, bits = words.pop()
-                    yield from out(h, h6, h4, np.full(len(h), -1, np.int32), np.zeros(len(h), _U), bits)
-        for h, h6, h4, c, p in sampled:
-            yield from out(h, h6, h4, c, p, np.zeros(len(h), _U))
+                    h, h6, h4, level, bits = words.pop()
+                    yield from out(h, h6, h4, np.full(len(h), -1, np.int32), level, bits)
+        for h, c, p in sampled:
+            yield from out(h, None, None, c, p, np.zeros(len(h), _U))
         sampled.clear()
     if words:
-        h, h6, h4, bits = pack()
-        yield from out(h, h6, h4, np.full(len(h), -1, np.int32), np.zeros(len(h), _U), bits)
+        h, h6, h4, level, bits = pack()
+        yield from out(h, h6, h4, np.full(len(h), -1, np.int32), level, bits)
+
+
+def _distinct(packed: list):
+    """Words in a sketch, from its levels' numbers of set bits, nine in a long: linear counting from the first level after the last too full one."""
+    n = [F.shiftright(packed[k // 9], 7 * (k % 9)).bitwiseAND(127) for k in range(LEVELS)]
+    first = F.greatest(F.lit(0), *[F.when(n[k] > LEVEL_BITS, k + 1).otherwise(0) for k in range(LEVELS - 1)])
+    counted = [F.when(first <= k, F.when(n[k] > 0, 64 * F.log(64 / F.greatest(64 - n[k], F.lit(0.5)))).otherwise(0.0)).otherwise(0.0) for k in range(LEVELS)]
+    return F.pow(F.lit(2.0), first) * sum(counted[1:], counted[0])
+
+
+def word_counts(marked: DataFrame) -> DataFrame:
+    """h, h6, h4, c0, c1 (exact continuation counts in the sample's classes), shared (that over all rows, from sketches) of each word of marked (text, class; -1: not in the sample)."""
+    kind = F.col("class")
+    types = marked.mapInArrow(_corpus_counts, _COUNTS).groupBy("h", "class", "before").agg(F.max("h6").alias("h6"), F.max("h4").alias("h4"), F.bit_or("bits").alias("bits"))
+    bits = F.expr("shiftleft(cast(bit_count(bits) as bigint), cast(before % 9 * 7 as int))")
+    packed = [F.sum(F.when((kind == -1) & (F.floor(F.col("before") / 9) == k), bits).otherwise(0)).alias(f"p{k}") for k in range(LEVELS // 9)]
+    sums = types.groupBy("h").agg(F.max("h6").alias("h6"), F.max("h4").alias("h4"), *[F.sum(F.when(kind == c, 1).otherwise(0)).alias(f"c{c}") for c in (0, 1)], *packed)
+    return sums.select("h", "h6", "h4", "c0", "c1", _distinct([F.col(f"p{k}") for k in range(LEVELS // 9)]).alias("shared"))
 
 
 class Model:
@@ -210,19 +242,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     picked = table(known.groupBy("l_id").agg(F.max("class").alias("class")).orderBy(F.xxhash64("l_id"), "l_id").limit(sample))
     fitted = F.pmod(F.xxhash64("l_id", F.lit(7)), F.lit(4)) == 0
     marked = base.join(F.broadcast(picked.where(~fitted)), base.doc_id == picked.l_id, "left").select("text", F.coalesce("class", F.lit(-1)).alias("class"))
-    counted = marked.mapInArrow(_corpus_counts, _COUNTS)
-    kind = F.col("class")
-    types = counted.groupBy("h", "class", "before").agg(F.first("h6").alias("h6"), F.first("h4").alias("h4"), F.bit_or("bits").alias("bits"))
-    free = F.greatest(64 - F.bit_count("bits"), F.lit(0.5))
-    words = table(
-        types.groupBy("h").agg(
-            F.first("h6").alias("h6"),
-            F.first("h4").alias("h4"),
-            F.sum(F.when(kind == 0, 1).otherwise(0)).alias("c0"),
-            F.sum(F.when(kind == 1, 1).otherwise(0)).alias("c1"),
-            F.sum(F.when(kind == -1, 64 * F.log(64 / free)).otherwise(0.0)).alias("shared"),
-        )
-    )
+    words = table(word_counts(marked))
     levels = {0: words.select("h", F.col("h6").alias("up"), "c0", "c1", "shared"), 1: words.groupBy("h6").agg(F.first("h4").alias("up"), *_sums()).select(F.col("h6").alias("h"), "up", "c0", "c1", "shared"), 2: words.groupBy("h4").agg(*_sums()).select(F.col("h4").alias("h"), F.lit(0).cast("long").alias("up"), "c0", "c1", "shared")}
     weights, model = None, Model([np.zeros(0, _U)] * 3, [np.zeros(0)] * 3)
     total = words.agg(F.sum("c0"), F.sum("c1"), F.sum("shared")).first()

@@ -67,3 +67,17 @@ def test_backoff_is_shared():
     h = lambda *x: [np.array([v], np.uint64) for v in x]
     assert model.of(h(7, 8, other)) == 0
     assert model.of(h(7, 2, 3)) > 1 and model.of(h(1, 2, 3)) > 1
+
+
+def test_backoff_counts_have_no_ceiling(spark):
+    """A word with 20,000 different words before it counts about as many, in any number of tasks; rare words count nearly exactly."""
+    rows = [(" ".join(f"w{k} common" for k in range(a, a + 100)), -1) for a in range(0, 20_000, 100)] + [("few rare few rare", 0), ("some rare", 1)]
+    names = {n: int(o4._Words(np.frombuffer(n.encode(), np.uint8), np.array([0, len(n)])).word.view(np.int64)[0]) for n in ("common", "rare", "w7")}
+    for parts in (1, 7):
+        df = spark.createDataFrame(rows, "text string, class int").repartition(parts)
+        got = {r.h: r for r in o4.word_counts(df).collect()}
+        assert len(got) == 20_004
+        assert 14_000 < got[names["common"]].shared < 26_000
+        assert 1.5 < got[names["rare"]].shared < 2.5 and 0.9 < got[names["w7"]].shared < 1.1
+        assert (got[names["rare"]].c0, got[names["rare"]].c1) == (1, 1)
+        assert all(r.h6 is not None and r.h4 is not None for r in got.values())
