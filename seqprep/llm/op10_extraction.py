@@ -4,7 +4,8 @@ A tolerant parser builds the tree (unclosed paragraphs and list items are closed
 library is needed). Elements that are boilerplate by name, role or class leave first. Every other node has a density: characters for each
 tag, lowered where a node's characters or tags are links, against the body's share of linked characters. The sum of a
 node's child densities is highest for the node whose children are the paragraphs; that subtree is the main text. The smallest density on its
-path from the body is the threshold: blocks beside the path that reach it, within the same article, belong to the text too.
+path from the body, the body's own included, is the threshold: blocks beside the path that reach it belong to the text too, with the headings right before
+them. <article> and <main> only widen: the one around the subtree, or with most of it, is taken whole before the path is followed from there.
 Pages are independent rows: one Arrow pass, memory bounded by a batch.
 """
 
@@ -35,6 +36,7 @@ _BOILERPLATE = frozenset(
     "related recommended recommendations widget toolbar pagination pager copyright disclaimer contentinfo complementary search skip".split()
 )
 _INSIDE = frozenset(("article", "main"))
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup header".split())
 
 
 class _Node:
@@ -174,26 +176,73 @@ def _select(root: _Node) -> list[_Node]:
         todo += [k for k in x.kids if isinstance(k, _Node) and not k.dropped]
     if best.sum == 0.0:
         return [bodies]
-    path = []
     x = best
     while x is not None and x is not bodies:
-        path.append(x)
         x = x.parent
-    article = next((x for x in path if x.name in _INSIDE), None)
-    if article is not None:
-        return [article]
-    least = min((x.density for x in path), default=0.0)
-    top = best
-    # text right beside the subtree, or blocks as dense as the path's thinnest node, widen it
-    for x in path[1:]:
-        if _has_text(x) or any(isinstance(k, _Node) and not k.dropped and k not in path and k.density >= least and k.linked * 2 < k.chars for k in x.kids):
-            top = x
-    inner = [x for x in _walk(top) if x.name in _INSIDE]
-    if inner:
-        largest = max(inner, key=lambda x: x.chars)
-        if largest.chars * 2 >= top.chars:
-            return [largest]
-    return [top]
+    if x is None:  # the text is outside the last body
+        bodies = root
+    path = _path(best, bodies)
+    start = next((x for x in path if x.name in _INSIDE), None)
+    if start is None:
+        least = min(x.density for x in [*path, bodies])
+        start, on = best, set(map(id, path))
+        # text right beside the subtree, or blocks as dense as the path's thinnest node, widen it
+        for x in path[1:]:
+            if _has_text(x) or any(isinstance(k, _Node) and id(k) not in on and _reaches(k, least) for k in x.kids):
+                start = x
+        inner = [x for x in _walk(start) if x.name in _INSIDE]
+        if inner:
+            largest = max(inner, key=lambda x: x.chars)
+            if largest.chars * 2 >= start.chars:
+                start = largest
+    return _beside(start, bodies)
+
+
+def _path(node: _Node, body: _Node) -> list[_Node]:
+    """node and the nodes above it, below the body."""
+    out = []
+    while node is not None and node is not body:
+        out.append(node)
+        node = node.parent
+    return out
+
+
+def _reaches(node: _Node, least: float) -> bool:
+    return not node.dropped and node.chars > 0 and node.density >= least and node.linked * 2 < node.chars
+
+
+def _beside(start: _Node, body: _Node) -> list[_Node]:
+    """start and all blocks beside its path from the body that reach the path's threshold, in page order."""
+    path = _path(start, body)
+    if not path:
+        return [start]
+    least = min(x.density for x in [*path, body])
+    share = body.linked / body.chars
+    out = [start]
+    for k, above in enumerate([*path[1:], body]):
+        before: list[_Node] = []
+        after: list[_Node] = []
+        side, heads = before, []
+        for x in above.kids:
+            if x is path[k]:
+                before += heads
+                side, heads = after, []
+            elif isinstance(x, str):
+                n = len(" ".join(x.split()))
+                if n and n * math.log(n + 1) / math.log(share * n + math.e) >= least:
+                    text = _Node("", None, False)
+                    text.kids.append(x)
+                    side += [*heads, text]
+                heads = heads if not n else []
+            elif _reaches(x, least):
+                side += [*heads, x]
+                heads = []
+            elif x.name in _HEADINGS and not x.dropped:
+                heads.append(x)
+            elif x.chars and not x.dropped:
+                heads = []
+        out = [*before, *out, *after]
+    return out
 
 
 def _walk(node: _Node):

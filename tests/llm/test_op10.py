@@ -55,3 +55,24 @@ def test_edges(spark):
     assert sorted(map(str, html_extraction(df).collect())) == sorted(map(str, [*html_extraction(df.where("page_id = 1")).collect(), *html_extraction(df.where("page_id is null")).collect()]))
     assert [(r.page_id, r.text, r.n_chars) for r in html_extraction(df).collect() if r.page_id is None] == [(None, "", 0)]
     assert html_extraction(spark.createDataFrame([], schema)).collect() == []
+
+
+OTHER = "Another paragraph, of other words and about as long, which goes on with the matter in a second block of the page."
+LINKS = "<div>" + "<a href=1>one link and</a> <a href=2>the next</a> " * 5 + "</div>"
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<body>{LINKS}<article><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></article><article><h2>B</h2><p>{OTHER}</p><p>{OTHER}</p></article></body>", f"{LONG} {LONG} {LONG} B {OTHER} {OTHER}"),
+        (f"<body><div><article><p>{LONG}</p><p>{LONG}</p></article>{LINKS}<article><p>{OTHER}</p></article></div></body>", f"{LONG} {LONG} {OTHER}"),
+        (f"<body>{LINKS}<main><h1>T</h1><article><p>{LONG}</p><p>{LONG}</p></article><section><p>{OTHER}</p></section><h2>U</h2><p>{OTHER}</p></main></body>", f"T {LONG} {LONG} {OTHER} U {OTHER}"),
+        (f"<body><section><p>{OTHER}</p></section><main><p>{LONG}</p><p>{LONG}</p></main>{LINKS}</body>", f"{OTHER} {LONG} {LONG}"),
+    ],
+)
+def test_text_beside_an_article(page, want):
+    assert main_text(page) == want
+
+
+def test_text_outside_the_body():
+    assert main_text(f"<div><p>{LONG}</p><p>{OTHER}</p></div><body></body>") == f"{LONG} {OTHER}"
