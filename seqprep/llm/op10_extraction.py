@@ -1,7 +1,7 @@
 """Main text of HTML pages by composite text density.
 
-A tolerant parser builds the tree (unclosed paragraphs and list items are closed by what follows; the bodies of scripts and styles are skipped; no
-library is needed). Elements that are boilerplate by name, role or class leave first. Every other node has a density: characters for each
+A tolerant parser builds the tree (unclosed paragraphs and list items are closed by what follows; the bodies of scripts and styles are skipped; drawings, formulas
+and templates are parsed and dropped, and those left open end at the first HTML block or, templates, with the element around them; no library is needed). Elements that are boilerplate by name, role or class leave first. Every other node has a density: characters for each
 tag, lowered where a node's characters or tags are links, against the body's share of linked characters. The sum of a
 node's child densities is highest for the node whose children are the paragraphs; that subtree is the main text. The smallest density on its
 path from the body, the body's own included, is the threshold: blocks beside the path that reach it belong to the text too, with the headings right before
@@ -24,7 +24,12 @@ _NAMED = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\
 _WORDS = re.compile(r"[A-Za-z][a-z]*|[0-9]+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _SKIPPED = frozenset("script style noscript template iframe svg math object canvas audio video select textarea button title".split())
-_RAW = frozenset("script style noscript template iframe textarea title svg math".split())
+_RAW = frozenset("script style noscript iframe textarea title".split())
+_FOREIGN = frozenset(("svg", "math"))
+#: Elements of drawings and formulas that hold HTML.
+_HTML_IN = frozenset("foreignobject desc annotation-xml mi mo mn ms mtext".split())
+#: HTML elements that end a drawing or formula that was left open.
+_BREAKS_OUT = frozenset("article aside b big blockquote body br center code dd div dl dt em embed figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr i img li main menu nav ol p pre ruby s section small span strong strike sub sup table tt u ul var".split())
 _DROPPED = frozenset("nav footer aside form menu dialog".split()) | _SKIPPED
 _BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
@@ -40,13 +45,14 @@ _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup header".split())
 
 
 class _Node:
-    __slots__ = ("name", "parent", "kids", "chars", "linked", "tags", "links", "dropped", "density", "sum")
+    __slots__ = ("name", "parent", "kids", "chars", "linked", "tags", "links", "dropped", "foreign", "density", "sum")
 
     def __init__(self, name: str, parent: _Node | None, dropped: bool):
         self.name, self.parent, self.dropped = name, parent, dropped
         self.kids: list[_Node | str] = []
         self.chars = self.linked = self.tags = self.links = 0
         self.density = self.sum = 0.0
+        self.foreign = name in _FOREIGN or parent is not None and parent.foreign and parent.name not in _HTML_IN
         if parent is not None:
             parent.kids.append(self)
 
@@ -100,6 +106,9 @@ def parse(page: str) -> _Node:
                 inside -= node.name in _INSIDE
                 node = node.parent
             continue
+        if name in _BREAKS_OUT and node.name not in _HTML_IN:
+            while node.foreign and node.name not in _HTML_IN:
+                node = node.parent
         if name in ("html", "body", "head"):
             if name == "body":
                 while node.parent is not None:
@@ -123,10 +132,11 @@ def parse(page: str) -> _Node:
                 node = last.parent
         more = m["more"] if m["name"] else m["more2"]
         new = _Node(name, node, _is_boilerplate(name, more or "", inside > 0))
-        if name in _RAW:
+        closed = (more or "").endswith("/")
+        if name in _RAW and not (closed and new.foreign):
             for_raw = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             at = for_raw.end() if for_raw else end
-        elif name not in _VOID and not (more or "").endswith("/"):
+        elif name not in _VOID and not closed:
             node = new
             inside += name in _INSIDE
     return root

@@ -76,3 +76,23 @@ def test_text_beside_an_article(page, want):
 
 def test_text_outside_the_body():
     assert main_text(f"<div><p>{LONG}</p><p>{OTHER}</p></div><body></body>") == f"{LONG} {OTHER}"
+
+
+@pytest.mark.parametrize(
+    "inner",
+    [
+        "<svg class=i viewBox='0 0 1 1'/>",
+        "<math display='block' />",
+        "<svg><title/><style/><path d='M0 0'/></svg>",
+        "<svg><title>drawn</title><g><text>drawn</text></g></svg>",
+        "<svg><foreignObject><div><p>drawn</p></div></foreignObject></svg>",
+        "<math><mi>x</mi><mo>=</mo></math>",
+        "<template><p>later</p></template>",
+        "<svg><path d='M0 0'>",
+        "<math><mrow>",
+        "<div><template><p>later</p></div>",
+    ],
+)
+def test_drawings_and_templates_end(inner):
+    """No text after a drawing, formula or template that is self-closed or left open is lost."""
+    assert main_text(f"<body><article><p>{LONG}</p>{inner}<p>{LONG}</p></article></body>") == f"{LONG} {LONG}"
