@@ -5,7 +5,7 @@ neighbouring trigrams are not independent), the declared markup language, the ad
 host's prior. Declared languages and suffixes count through their grouped confusion with the text's own best guess over
 all rows, so a label that is often wrong weighs little. Host priors are smoothed hierarchically: all rows, then the domain, then
 the host, each drawn towards the one above by STRENGTH rows. Trigram counts are hashed to BUCKETS cells for each declared language and summed
-over all rows; languages below LEAST_SHARE of the rows are not modelled, which bounds the model at BUCKETS / LEAST_SHARE cells.
+over all rows; languages below LEAST_SHARE of the rows share one model, OTHER, which bounds the model at BUCKETS x (1 / LEAST_SHARE + 1) cells.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from .textkernel import _U, flat, pieces
 
 BUCKETS = 1 << 13
 LEAST_SHARE = 0.002
+#: The language of the declared languages below LEAST_SHARE, longer than any label.
+OTHER = "other"
 STRENGTH = 20.0
 #: Trigrams that count in full; the log-likelihood of a longer text is scaled down to as many.
 TRIGRAMS = 60
@@ -54,7 +56,7 @@ def _counts(languages: list[str], extract: bool):
         total = np.zeros((len(languages), BUCKETS), np.int64)
         index = {x: k for k, x in enumerate(languages)}
         for batch in batches:
-            of = np.array([index.get(x, -1) for x in batch.column("declared").to_pylist()])
+            of = np.array([-1 if x is None else index.get(x, index.get(OTHER, -1)) for x in batch.column("declared").to_pylist()])
             for a, b, row, cell in _trigrams(batch, extract):
                 k = of[a:b][row]
                 total += np.bincount(k[k >= 0] * BUCKETS + cell[k >= 0], minlength=total.size).reshape(total.shape)
@@ -95,8 +97,8 @@ def language_id(rows: DataFrame, id_col: str, text: str, declared: str | None =
 
     text, declared, url and host are column names; html: text and markup language are read from pages; declared labels also train
     the trigram models. Null ids, texts, urls and labels are allowed: what is missing is no evidence, and its group is null. kept: the text has trigrams, its language has
-    a posterior of CONFIDENT or more, and a declared, modelled language isn't excluded by the text (a posterior under 1 - 0.999 of being right). Without
-    any modelled language: lang null, not kept. Repeated ids: each row is judged alone. No rows: no rows. Other columns are ignored.
+    a posterior of CONFIDENT or more, and the declared language, or OTHER for one below LEAST_SHARE, isn't excluded by the text (a posterior under 1 - 0.999 of being right).
+    Texts like those of the languages below LEAST_SHARE: lang and text_lang are OTHER. Without any declared language: lang null, not kept. Repeated ids: each row is judged alone. No rows: no rows. Other columns are ignored.
     """
     spark = rows.sparkSession
     given = lambda c: F.col(c).cast("string") if c else F.lit(None).cast("string")
@@ -110,6 +112,9 @@ def language_id(rows: DataFrame, id_col: str, text: str, declared: str | None =
     sizes = base.groupBy("declared").agg(F.count("*").alias("n"))
     total = sizes.agg(F.sum("n")).first()[0] or 0
     languages = [r[0] for r in sizes.where(F.col("declared").isNotNull() & (F.col("n") >= max(1.0, LEAST_SHARE * total))).orderBy("declared").collect()]  # 1 / LEAST_SHARE at most
+    frequent = list(languages)
+    if sizes.where(F.col("declared").isNotNull() & ~F.col("declared").isin(frequent)).limit(1).count():
+        languages.append(OTHER)
     out = lambda df: df.select("id", "host", "declared", "n_trigrams", "text_lang", "lang", "prob", "kept")
     if not languages:
         none = F.lit(None).cast("string")
@@ -148,7 +153,7 @@ def language_id(rows: DataFrame, id_col: str, text: str, declared: str | None =
     names = F.array(*[F.lit(x) for x in languages])
     judged = joined.withColumn("logs", logs).withColumn("top", F.array_max("logs"))
     judged = judged.withColumn("mass", F.aggregate("logs", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top"))))
-    own = F.array_position(names, F.col("declared")).cast("int")
+    own = F.array_position(names, F.when(F.col("declared").isin(frequent), F.col("declared")).when(F.col("declared").isNotNull(), F.lit(OTHER))).cast("int")
     stands = F.when(own > 0, F.exp(F.get("logs", own - 1) - F.col("top")) / F.col("mass") >= 0.001).otherwise(F.lit(True))
     return out(
         judged.withColumn("prob", 1 / F.col("mass"))

@@ -45,3 +45,15 @@ def test_held_out_accuracy(spark):
     got = o2.language_id(pages, "page_id", "html", url="url", html=True).collect()
     assert sum(r.text_lang == r.declared for r in got) / len(got) > 0.93
     assert sum(r.lang == r.declared for r in got) / len(got) > 0.96
+
+
+def test_rare_languages_have_a_model(spark):
+    """Languages under LEAST_SHARE of the rows are OTHER, not one of the large ones; their label doesn't excuse text of another language."""
+    rows = [(k, make("en de fr".split()[k % 3], 30, k), "en de fr".split()[k % 3]) for k in range(1500)]
+    rare = {"eu": "eta ezin baina honek zuen dugu bertan gizonak etxera", "cy": "mae hynny wrth gyfer llywodraeth ysgol ddweud rhywbeth"}
+    rows += [(2000 + k, " ".join([w] * 5), x) for k, (x, w) in enumerate(rare.items())]
+    rows += [(2100, " ".join([rare["eu"]] * 5), None), (2200, make("en", 40, 9), "eu")]
+    got = {r.id: r for r in o2.language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", declared="lang").collect()}
+    assert all(got[k].lang == "en de fr".split()[k % 3] and got[k].kept for k in range(1500))
+    assert all(got[k].lang == got[k].text_lang == o2.OTHER and got[k].kept for k in (2000, 2001, 2100))
+    assert got[2200].lang == "en" and got[2200].declared == "eu" and not got[2200].kept
