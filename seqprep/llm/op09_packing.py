@@ -4,7 +4,8 @@ Documents are dealt by hash to shards of about SHARD pieces, so that a shard's b
 falling length: each goes to the open bin that it fills best; else a bin is opened at the least-cost permitted size for the
 policy in force. Every permitted length is tried as the policy's smallest opening size; each outcome is downsized (every bin to the
 smallest size that holds its contents) and the cheapest is kept. A bin costs its length plus OVERHEAD. Documents longer than the largest
-length are cut into pieces of that length and a rest; no token is lost.
+length are cut into pieces of that length and a rest; nothing is lost. The unit is that of the given lengths: white-space words in the query and in the pipeline, so a
+full bin can hold more tokens of a model's vocabulary than its length.
 """
 
 from __future__ import annotations
