@@ -4,11 +4,17 @@ Every window of `length` bytes is assigned one anchor, the position of its small
 get equal anchors, so a window can only repeat where its anchor's gram repeats. Anchors that occur once are settled by a
 count. Consecutive windows with one anchor share a context, the bytes that they cover: all but the first of equal contexts
 are repeats entirely, and leave the job as byte ranges, first within a task (so that a hot passage sends one row a task), then
-by anchor. Anchors with more contexts than a shard holds are found in a sample of the documents (it steers the plan and changes no
-result) and dealt by context instead. Only where different contexts share an anchor (the edges of copies) suffix arrays are built: contexts are dealt to
-shards by anchor, large anchor groups to several shards; in each shard Larsson-Sadakane refinement in numpy sorts the suffixes,
-Kasai's rule yields the common prefixes, and runs of suffixes that share `length` bytes keep their earliest. Runs of split
-groups are merged across shards by binary search in sorted run tables.
+by anchor.
+
+Anchors with more different contexts than a shard holds are split by content, not by document: the windows of a context whose place
+relative to the anchor lies in one interval of INTERVAL places share length - INTERVAL + 1 bytes, and these bytes are their new key. Equal windows
+have equal keys, so nothing has to be merged between keys; keys that occur once are settled again, as are equal contexts. Anchors with
+many contexts are found in a sample of the documents beforehand (it steers the plan and changes no result) and dealt by context.
+
+Where different contexts share an anchor or key (the edges of copies), suffix arrays are built: contexts are dealt to
+shards by key; in each shard Larsson-Sadakane refinement in numpy sorts the suffixes, Kasai's rule yields the common prefixes, and runs of
+suffixes that share `length` bytes keep their earliest. A key that still has more contexts than a shard holds is dealt to several shards,
+and the run tables of its shards are merged by binary search.
 """
 
 from __future__ import annotations
@@ -30,12 +36,17 @@ _U = np.uint64
 GRAM = 24
 #: Contexts of one anchor in one shard at most; larger groups are split.
 SHARD_CONTEXTS = 1024
-#: Share of the documents whose anchors are counted to find hot ones, and the number of hot anchors at most: those beyond hold less than 1 / HOT of all rows each.
+#: Places of a window relative to its anchor in one part of a split context.
+INTERVAL = 8
+#: Share of the documents whose anchors are counted to find hot ones, and the number of hot anchors at most: those beyond hold less than 1 / HOT of all rows each
+#: and are streamed in order of their contexts, so they need time in one task but no memory.
 SAMPLE, HOT = 1 / 32, 10_000
 #: Bytes sorted at once in a shard; whole anchor groups, so one may exceed it.
 SORT_BYTES = 1 << 20
 #: Rows held by a task before its repeated contexts are settled.
 HELD_ROWS = 4_000_000
+#: Rows of whole anchors that a task takes at once.
+CHUNK = 500_000
 _BITS = 21
 
 
@@ -131,21 +142,23 @@ def _repeats(key: np.ndarray) -> np.ndarray:
     return o[hit]
 
 
-def _anchor_rows(length: int, gram: int):
-    def settle(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        doc, lo, n, kh, ch = (np.concatenate(x) for x in zip(*held, strict=True))
-        at = _repeats(kh ^ mix(ch))
-        at = at[np.lexsort((lo[at], doc[at], ch[at], kh[at]))]
-        again = np.zeros(len(at), bool)
-        again[1:] = (kh[at[1:]] == kh[at[:-1]]) & (ch[at[1:]] == ch[at[:-1]])
-        gone = np.zeros(len(doc), bool)
-        gone[at[again]] = True
-        d, a, m = _merged(doc[gone], lo[gone], n[gone])
-        keep = ~gone
-        cols = [np.concatenate([kh[keep].view(np.int64), d]), np.concatenate([ch[keep].view(np.int64), np.zeros(len(d), np.int64)]), np.concatenate([doc[keep], d]), np.concatenate([lo[keep], a]).astype(np.int32), np.concatenate([n[keep], m]).astype(np.int32), np.arange(keep.sum() + len(d)) >= keep.sum()]
-        for k in range(0, len(cols[0]), 1 << 17):
-            yield pa.RecordBatch.from_arrays([pa.array(c[k : k + (1 << 17)]) for c in cols], names=["kh", "ch", "doc_id", "lo", "n", "settled"])
+def _settle(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """Anchor rows with the equal contexts of a task made ranges: (kh, ch, doc_id, lo, n, settled)."""
+    doc, lo, n, kh, ch = (np.concatenate(x) for x in zip(*held, strict=True))
+    at = _repeats(kh ^ mix(ch))
+    at = at[np.lexsort((lo[at], doc[at], ch[at], kh[at]))]
+    again = np.zeros(len(at), bool)
+    again[1:] = (kh[at[1:]] == kh[at[:-1]]) & (ch[at[1:]] == ch[at[:-1]])
+    gone = np.zeros(len(doc), bool)
+    gone[at[again]] = True
+    d, a, m = _merged(doc[gone], lo[gone], n[gone])
+    keep = ~gone
+    cols = [np.concatenate([kh[keep].view(np.int64), d]), np.concatenate([ch[keep].view(np.int64), np.zeros(len(d), np.int64)]), np.concatenate([doc[keep], d]), np.concatenate([lo[keep], a]).astype(np.int32), np.concatenate([n[keep], m]).astype(np.int32), np.arange(keep.sum() + len(d)) >= keep.sum()]
+    for k in range(0, len(cols[0]), 1 << 17):
+        yield pa.RecordBatch.from_arrays([pa.array(c[k : k + (1 << 17)]) for c in cols], names=["kh", "ch", "doc_id", "lo", "n", "settled"])
 
+
+def _anchor_rows(length: int, gram: int):
     def run(batches):
         held, rows = [], 0
         for batch in batches:
@@ -157,10 +170,10 @@ def _anchor_rows(length: int, gram: int):
                     held.append((ids[row + r], lo + skipped, n, kh, ch))
                     rows += len(r)
             if rows > HELD_ROWS:
-                yield from settle(held)
+                yield from _settle(held)
                 held, rows = [], 0
         if held:
-            yield from settle(held)
+            yield from _settle(held)
 
     return run
 
@@ -169,37 +182,96 @@ _RANGES = "doc_id long, lo int, n int, kh long, parts int"
 
 
 def _by_anchor(batches):
-    """Settle equal contexts, pass on the first of each where contexts differ (parts > 0).
+    """Rows in the order of kh, ch, doc_id, lo. Settle equal contexts, pass on the first of each where contexts differ (parts > 0).
 
-    All rows of an anchor are in one task, but for hot ones: there, all rows of a context are, and each first goes on with parts -1.
+    All rows of an anchor are in one task, but for hot ones: there, all rows of a context are, and each first goes on with parts -1. So do
+    those of an anchor with more than CHUNK rows: it is never held whole.
     """
-    got = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
-    if not got:
-        return
-    kh, ch, doc, lo, n, settled, hot = (np.concatenate(x) for x in zip(*got, strict=True))
-    del got
-    fresh = np.flatnonzero(~settled & ~hot)
-    at = fresh[_repeats(kh[fresh])]
-    at = at[np.lexsort((lo[at], doc[at], ch[at], kh[at]))]
-    group = np.ones(len(at), bool)
-    group[1:] = kh[at[1:]] != kh[at[:-1]]
-    first = group.copy()
-    first[1:] |= ch[at[1:]] != ch[at[:-1]]
-    number = np.cumsum(group) - 1
-    kinds = np.bincount(number[first], minlength=number[-1] + 1 if len(number) else 0)
-    many = first & (kinds[number] > 1) if len(number) else first
-    spread = np.flatnonzero(~settled & hot)
-    spread = spread[np.lexsort((lo[spread], doc[spread], ch[spread], kh[spread]))]
-    new = np.ones(len(spread), bool)
-    new[1:] = (kh[spread[1:]] != kh[spread[:-1]]) | (ch[spread[1:]] != ch[spread[:-1]])
-    gone = np.concatenate([np.flatnonzero(settled), at[~first], spread[~new]])
-    d, a, m = _merged(doc[gone], lo[gone].astype(np.int64), n[gone].astype(np.int64))
-    edge = at[many]
-    parts = -(-kinds[number[many]] // SHARD_CONTEXTS) if len(edge) else np.zeros(0, np.int64)
-    edge, parts = np.concatenate([edge, spread[new]]), np.concatenate([parts, np.full(new.sum(), -1)])
-    cols = [np.concatenate([d, doc[edge]]), np.concatenate([a, lo[edge]]).astype(np.int32), np.concatenate([m, n[edge]]).astype(np.int32), np.concatenate([d, kh[edge]]), np.concatenate([np.zeros(len(d), np.int32), parts.astype(np.int32)])]
-    for k in range(0, len(cols[0]), 1 << 17):
-        yield pa.RecordBatch.from_arrays([pa.array(c[k : k + (1 << 17)]) for c in cols], names=["doc_id", "lo", "n", "kh", "parts"])
+    held: list[list[np.ndarray]] = []
+    last = long = None  # the context before the held rows, the anchor that is not held whole
+
+    def solve(cols, whole: bool):
+        nonlocal last, long
+        kh, ch, doc, lo, n, settled, hot = cols
+        fresh = np.flatnonzero(~settled)
+        k, c = kh[fresh], ch[fresh]
+        group, first = np.ones(len(k), bool), np.ones(len(k), bool)
+        group[1:] = k[1:] != k[:-1]
+        first[1:] = group[1:] | (c[1:] != c[:-1])
+        if len(k) and last == (k[0], c[0]):
+            first[0] = False
+        number = np.cumsum(group) - 1
+        kinds = np.bincount(number, first)[number].astype(np.int64) if len(k) else np.zeros(0, np.int64)
+        apart = hot[fresh] | (k == long if long is not None else False)
+        if not whole and len(k):
+            long = k[-1]
+            apart |= k == long
+        edge = first & (apart | (kinds > 1))
+        parts = np.where(apart, -1, -(-kinds // SHARD_CONTEXTS))[edge].astype(np.int32)
+        edge, gone = fresh[edge], np.concatenate([np.flatnonzero(settled), fresh[~first]])
+        if len(k):
+            last = (k[-1], c[-1])
+        d, a, m = _merged(doc[gone], lo[gone].astype(np.int64), n[gone].astype(np.int64))
+        out = [np.concatenate([d, doc[edge]]), np.concatenate([a, lo[edge]]).astype(np.int32), np.concatenate([m, n[edge]]).astype(np.int32), np.concatenate([d, kh[edge]]), np.concatenate([np.zeros(len(d), np.int32), parts])]
+        for at in range(0, len(out[0]), 1 << 17):
+            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + (1 << 17)]) for x in out], names=["doc_id", "lo", "n", "kh", "parts"])
+
+    def joined():
+        return [np.concatenate(x) for x in zip(*held, strict=True)]
+
+    for b in batches:
+        held.append([c.to_numpy(zero_copy_only=False) for c in b.columns])
+        if sum(len(x[0]) for x in held) >= CHUNK:
+            cols = joined()
+            cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last anchor may go on
+            if cut:
+                yield from solve([x[:cut] for x in cols], True)
+                held = [[x[cut:] for x in cols]]
+            else:
+                yield from solve(cols, False)
+                held = []
+    if held:
+        yield from solve(joined(), True)
+
+
+def _extended(length: int, gram: int, interval: int):
+    """Contexts of hot anchors cut to the windows of one interval of places relative to the anchor, with the hash of the bytes that such windows share as key."""
+
+    def run(batches):
+        held, rows = [], 0
+        for b in batches:
+            data, offsets = flat(b.column("text"))
+            found, texts = [], []
+            for k, (doc, ranges) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("ranges").to_pylist(), strict=True)):
+                text = data[offsets[k] : offsets[k + 1]]
+                for r in ranges:
+                    found.append((doc, r["lo"], r["n"], r["kh"]))
+                    texts.append(text[r["lo"] : r["lo"] + r["n"] - 1 + length].tobytes())
+            if not found:
+                continue
+            whole = np.frombuffer(b"".join(texts), np.uint8)
+            begin = np.concatenate([[0], np.cumsum([len(x) for x in texts])[:-1]])
+            keys = _gram_hashes(whole, gram).view(np.int64)
+            same = np.flatnonzero(keys == np.repeat(np.array([f[3] for f in found], np.int64), [len(x) for x in texts])[: len(keys)])
+            anchor = same[np.searchsorted(same, begin)] - begin
+            out: list[list[int]] = [[], [], [], [], []]
+            digest = xxhash.xxh3_64_intdigest
+            for (doc, lo, n, _), text, p in zip(found, texts, anchor.tolist(), strict=True):
+                for i in range((p - n + 1) // interval, p // interval + 1):
+                    most, least = min((i + 1) * interval - 1, p), max(i * interval, p - n + 1)
+                    a, e = p - most, p - least  # first and last window
+                    common = text[p - i * interval : p - (i + 1) * interval + 1 + length]
+                    for c, v in zip(out, (doc, lo + a, e - a + 1, digest(common, i + 1), digest(text[a : e + length])), strict=True):
+                        c.append(v)
+            held.append((np.array(out[0], np.int64), np.array(out[1], np.int64), np.array(out[2], np.int64), np.array(out[3], _U), np.array(out[4], _U)))
+            rows += len(out[0])
+            if rows > HELD_ROWS:
+                yield from _settle(held)
+                held, rows = [], 0
+        if held:
+            yield from _settle(held)
+
+    return run
 
 
 def suffix_array(text: np.ndarray, depth: int, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -277,18 +349,18 @@ def common_prefixes(text: np.ndarray, first: np.ndarray, count: np.ndarray, orde
     return out[order]
 
 
-_MARKS = "doc_id long, lo int, n int, d1 long, d2 long"
+_MARKS = "doc_id long, lo int, n int, d1 long, d2 long, shard int"
 
 
 def _by_shard(length: int):
-    """Contexts in the order of their anchor: marks of windows that occur earlier in the shard; for split anchors (parts > 1) also the
-    first window of each run with its digest, to be merged with other shards."""
+    """Contexts in the order of their key: marks of windows that occur earlier in the shard; for split keys (parts > 1) also the
+    first window of each run with its digest and the shard's number, to be merged with other shards."""
 
-    def out(doc, lo, n, d1=None, d2=None):
+    def out(doc, lo, n, d1=None, d2=None, shard=None):
         none = pa.nulls(len(doc), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32)), none if d1 is None else pa.array(d1), none if d2 is None else pa.array(d2)], names=["doc_id", "lo", "n", "d1", "d2"])
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32)), none if d1 is None else pa.array(d1), none if d2 is None else pa.array(d2), pa.nulls(len(doc), pa.int32()) if shard is None else pa.array(shard.astype(np.int32))], names=["doc_id", "lo", "n", "d1", "d2", "shard"])
 
-    def solve(kh, parts, doc, lo, n, texts):
+    def solve(kh, parts, salt, doc, lo, n, texts):
         text = np.frombuffer(b"".join(texts), np.uint8)
         begin = np.concatenate([[0], np.cumsum([len(x) for x in texts])[:-1]]).astype(np.int64)
         first = np.concatenate([[0], np.cumsum(n)[:-1]])
@@ -311,19 +383,19 @@ def _by_shard(length: int):
             view = memoryview(text)
             digests = b"".join(xxhash.xxh3_128_digest(view[s : s + length]) for s in starts[split].tolist())
             d = np.frombuffer(digests, np.int64).reshape(-1, 2)
-            yield out(doc[context[split]], lo[context[split]] + t[split], np.ones(len(split), np.int64), d[:, 0].copy(), d[:, 1].copy())
+            yield out(doc[context[split]], lo[context[split]] + t[split], np.ones(len(split), np.int64), d[:, 0].copy(), d[:, 1].copy(), salt[context[split]])
 
     def run(batches):
         held, size, last = [], 0, None
         for batch in batches:
-            cols = [batch.column(c).to_pylist() if c == "context" else batch.column(c).to_numpy(zero_copy_only=False) for c in ("kh", "parts", "doc_id", "lo", "n", "context")]
+            cols = [batch.column(c).to_pylist() if c == "context" else batch.column(c).to_numpy(zero_copy_only=False) for c in ("kh", "parts", "salt", "doc_id", "lo", "n", "context")]
             for k in range(batch.num_rows):
-                if size > SORT_BYTES and cols[0][k] != last:
+                if size > SORT_BYTES and (cols[0][k], cols[2][k]) != last:
                     yield from solve(*_columns(held))
                     held, size = [], 0
                 held.append(tuple(c[k] for c in cols))
-                size += len(cols[5][k])
-                last = cols[0][k]
+                size += len(cols[6][k])
+                last = cols[0][k], cols[2][k]
         if held:
             yield from solve(*_columns(held))
 
@@ -331,54 +403,67 @@ def _by_shard(length: int):
 
 
 def _columns(held):
-    kh, parts, doc, lo, n, text = zip(*held, strict=True)
-    return (*(np.array(x, np.int64) for x in (kh, parts, doc, lo, n)), text)
+    kh, parts, salt, doc, lo, n, text = zip(*held, strict=True)
+    return (*(np.array(x, np.int64) for x in (kh, parts, salt, doc, lo, n)), text)
 
 
 def _merge_shards(batches):
-    """Marks pass; sorted run tables of shards are merged one after another by binary search, and all but the first of equal runs are marked."""
-    runs = []
+    """Marks pass; rows with digests are in the order of slice and shard: of each slice, the sorted run tables of the shards are merged one after another by
+    binary search, and all but the first of equal runs are marked. One slice is held at a time."""
+    kind = np.dtype([("a", np.int64), ("b", np.int64), ("doc", np.int64), ("lo", np.int64)])
+
+    def solve(rows: list[tuple]):
+        shard, a, b, doc, lo = (np.concatenate(x) for x in zip(*rows, strict=True))
+        late: list[np.ndarray] = []
+
+        def firsts(at: np.ndarray) -> np.ndarray:
+            t = np.empty(len(at), kind)
+            for name, c in zip(kind.names, (a, b, doc, lo), strict=True):
+                t[name] = c[at]
+            t = t[np.lexsort((t["lo"], t["doc"], t["b"], t["a"]))]
+            again = np.zeros(len(t), bool)
+            again[1:] = (t["a"][1:] == t["a"][:-1]) & (t["b"][1:] == t["b"][:-1])
+            late.append(t[again])
+            return t[~again]
+
+        bounds = np.append(np.flatnonzero(np.append(True, shard[1:] != shard[:-1])), len(shard))
+        tables = [firsts(np.arange(x, y)) for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+        while len(tables) > 1:
+            tables.sort(key=len)
+            x, y = tables.pop(0), tables.pop(0)
+            at = np.searchsorted(y["a"], x["a"])
+            end = np.append(y, y[-1:])
+            while (less := (at < len(y)) & (end["a"][at] == x["a"]) & (end["b"][at] < x["b"])).any():
+                at[less] += 1
+            met = (at < len(y)) & (end["a"][at] == x["a"]) & (end["b"][at] == x["b"])
+            mine, theirs = x[met], at[met]
+            wins = (mine["doc"] < y["doc"][theirs]) | (mine["doc"] == y["doc"][theirs]) & (mine["lo"] < y["lo"][theirs])
+            late += [y[theirs[wins]], mine[~wins]]
+            y[theirs[wins]] = mine[wins]
+            tables.append(np.insert(y, at[~met], x[~met]))
+        gone = np.concatenate(late)
+        d, a, m = _merged(gone["doc"].copy(), gone["lo"].copy(), np.ones(len(gone), np.int64))
+        if len(d):
+            yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(a.astype(np.int32)), pa.array(m.astype(np.int32))], names=["doc_id", "lo", "n"])
+
+    held, last = [], None
     for b in batches:
         split = b.column("d1").is_valid().to_numpy(zero_copy_only=False)
         marks = b.filter(pa.array(~split))
         if marks.num_rows:
             yield marks.select(["doc_id", "lo", "n"])
-        if split.any():
-            runs.append([b.column(c).to_numpy(zero_copy_only=False)[split] for c in ("d1", "d2", "doc_id", "lo")])
-    if not runs:
-        return
-    late: list[np.ndarray] = []
-    kind = np.dtype([("a", np.int64), ("b", np.int64), ("doc", np.int64), ("lo", np.int64)])
-
-    def sorted_table(cols) -> np.ndarray:
-        t = np.empty(len(cols[0]), kind)
-        for k, c in zip(kind.names, cols, strict=True):
-            t[k] = c
-        return t[np.lexsort((t["lo"], t["doc"], t["b"], t["a"]))]
-
-    def firsts(t: np.ndarray) -> np.ndarray:
-        again = np.zeros(len(t), bool)
-        again[1:] = (t["a"][1:] == t["a"][:-1]) & (t["b"][1:] == t["b"][:-1])
-        late.append(t[again])
-        return t[~again]
-
-    tables = [firsts(sorted_table(r)) for r in runs]
-    while len(tables) > 1:
-        tables.sort(key=len)
-        x, y = tables.pop(0), tables.pop(0)
-        at = np.searchsorted(y["a"], x["a"])
-        held = np.append(y, y[-1:]) if len(y) else np.zeros(1, kind)
-        while (less := (at < len(y)) & (held["a"][at] == x["a"]) & (held["b"][at] < x["b"])).any():
-            at[less] += 1
-        met = (at < len(y)) & (held["a"][at] == x["a"]) & (held["b"][at] == x["b"])
-        mine, theirs = x[met], at[met]
-        wins = (mine["doc"] < y["doc"][theirs]) | (mine["doc"] == y["doc"][theirs]) & (mine["lo"] < y["lo"][theirs])
-        late += [y[theirs[wins]], mine[~wins]]
-        y[theirs[wins]] = mine[wins]
-        tables.append(np.insert(y, at[~met], x[~met]))
-    gone = np.concatenate(late)
-    if len(gone):
-        yield pa.RecordBatch.from_arrays([pa.array(gone["doc"].copy()), pa.array(gone["lo"].astype(np.int32)), pa.array(np.ones(len(gone), np.int32))], names=["doc_id", "lo", "n"])
+        if not split.any():
+            continue
+        cols = [b.column(c).to_numpy(zero_copy_only=False)[split].astype(np.int64) for c in ("slice", "shard", "d1", "d2", "doc_id", "lo")]
+        cuts = np.append(np.flatnonzero(np.append(True, cols[0][1:] != cols[0][:-1])), len(cols[0]))
+        for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if cols[0][x] != last and held:
+                yield from solve(held)
+                held = []
+            held.append(tuple(c[x:y] for c in cols[1:]))
+            last = cols[0][x]
+    if held:
+        yield from solve(held)
 
 
 def _cut_contexts(length: int):
@@ -438,21 +523,33 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     counted = rows.sample(SAMPLE, 1).mapInArrow(_anchor_rows(length, gram), _ANCHORS).where("not settled").groupBy("kh").agg(F.count("*").alias("c"))
     hot = table(counted.where(F.col("c") >= SHARD_CONTEXTS * SAMPLE).orderBy(F.desc("c"), "kh").limit(HOT).select(F.col("kh").alias("hot_kh")))
     anchors = anchors.join(F.broadcast(hot), F.col("kh") == F.col("hot_kh"), "left").select("kh", "ch", "doc_id", "lo", "n", "settled", F.col("hot_kh").isNotNull().alias("hot"))  # HOT rows at most
-    ranges = table(anchors.repartition(n, "kh", F.when(F.col("hot"), F.col("ch")).otherwise(0)).mapInArrow(_by_anchor, _RANGES))
-    kinds = ranges.where("parts = -1").groupBy(F.col("kh").alias("hot_kh")).agg(F.count("*").alias("kinds"))  # a row for each hot anchor
-    edges = ranges.where("parts <> 0").join(F.broadcast(kinds), F.col("kh") == F.col("hot_kh"), "left").where("kinds is null or kinds > 1")
-    edges = edges.withColumn("parts", F.when(F.col("parts") == -1, F.ceil(F.col("kinds") / SHARD_CONTEXTS)).otherwise(F.col("parts")).cast("int"))
+
+    def settled(anchors: DataFrame) -> DataFrame:
+        dealt = anchors.repartition(n, "kh", F.when(F.col("hot"), F.col("ch")).otherwise(0))
+        return table(dealt.sortWithinPartitions("kh", "ch", "doc_id", "lo").mapInArrow(_by_anchor, _RANGES))
+
     dealt = rows.repartition(n, "doc_id")
-    edges = edges.groupBy("doc_id").agg(F.collect_list(F.struct("kh", "parts", "lo", "n")).alias("ranges"))
+
+    def with_ranges(edges: DataFrame) -> DataFrame:
+        edges = edges.groupBy("doc_id").agg(F.collect_list(F.struct("kh", "parts", "lo", "n")).alias("ranges"))
+        return dealt.join(edges.hint("shuffle_hash"), "doc_id")
+
+    ranges = settled(anchors)
+    large = with_ranges(ranges.where("parts > 1 or parts = -1")).mapInArrow(_extended(length, gram, INTERVAL), _ANCHORS).withColumn("hot", F.lit(True))
+    split = settled(large)
+    kinds = split.where("parts = -1").groupBy(F.col("kh").alias("key")).agg(F.count("*").alias("kinds")).where("kinds > 1")
+    parts = F.ceil(F.col("kinds") / SHARD_CONTEXTS).cast("int").alias("parts")
+    edges = split.where("parts = -1").join(kinds, F.col("kh") == F.col("key")).select("doc_id", "lo", "n", "kh", parts).union(ranges.where("parts = 1"))
     shards = (
-        dealt.join(edges.hint("shuffle_hash"), "doc_id")
+        with_ranges(edges)
         .mapInArrow(_cut_contexts(length), "kh long, parts int, doc_id long, lo int, n int, context binary")
-        .withColumn("salt", F.expr("pmod(xxhash64(doc_id, lo), parts)"))
+        .withColumn("salt", F.expr("cast(pmod(xxhash64(doc_id, lo), parts) as int)"))
         .repartition(n, "kh", "salt")
         .sortWithinPartitions("kh", "salt")
-        .drop("salt")
     )
-    marks = shards.mapInArrow(_by_shard(length), _MARKS).repartition(n, F.coalesce("d1", "doc_id"), F.col("d2")).mapInArrow(_merge_shards, "doc_id long, lo int, n int")
+    runs = shards.mapInArrow(_by_shard(length), _MARKS).withColumn("slice", F.shiftright("d1", 56).cast("int"))
+    marks = runs.repartition(n, F.coalesce("d1", "doc_id"), F.col("d2")).sortWithinPartitions("slice", "shard").mapInArrow(_merge_shards, "doc_id long, lo int, n int")
+    marks = marks.union(split.where("parts = 0").select("doc_id", "lo", "n"))
     marks = marks.union(ranges.where("parts = 0").select("doc_id", "lo", "n")).groupBy("doc_id").agg(F.collect_list("lo").alias("los"), F.collect_list("n").alias("ns"))
     result = dealt.join(marks.hint("shuffle_hash"), "doc_id", "left").mapInArrow(_cut(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
     return old_ids(result, names, ["doc_id"])

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 
 from seqprep.llm import op08_suffix_dedup as op8
@@ -57,39 +58,73 @@ def test_matches_brute_force(spark, seed):
     assert result(op8.suffix_dedup(df)) == brute(rows, 100)
 
 
-def test_split_groups_merge_across_shards(spark, monkeypatch):
-    rows = corpus(3, 80)
-    monkeypatch.setattr(op8, "SHARD_CONTEXTS", 2)
-    seen = []
-    got = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
-    # the split takes place in the workers, so run the functions here
-    import pyarrow as pa
+def gone(rows, marks):
+    out = {d: bytearray(len((t or "").encode())) for d, t in rows}
+    for m in marks:
+        out[m["doc_id"]][m["lo"] : m["lo"] + m["n"] + 99] = b"\1" * (m["n"] + 99)
+    return {d: sum(g) for d, g in out.items()}
+
 
+def anchored(rows, hot):
+    """The first stage in this process, so that its bounds can be set: the rows of _by_anchor."""
     b = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], names=["doc_id", "text"])
-    anchors = list(op8._anchor_rows(100, 24)([b]))
-    anchors = [x.append_column("hot", pa.array([False] * x.num_rows)) for x in anchors]
-    ranges = pa.Table.from_batches(list(op8._by_anchor(anchors))).to_pylist()
-    edges = {}
+    return settled(list(op8._anchor_rows(100, 24)([b])), hot)
+
+
+def settled(anchors, hot):
+    t = pa.Table.from_batches(anchors).sort_by([("kh", "ascending"), ("ch", "ascending"), ("doc_id", "ascending"), ("lo", "ascending")])
+    t = t.append_column("hot", pa.array([hot] * t.num_rows))
+    return [r for x in op8._by_anchor(t.to_batches(max_chunksize=min(50, op8.CHUNK))) for r in x.to_pylist()]
+
+
+def shards(rows, edges, salt):
+    texts = {d: (t or "").encode() for d, t in rows}
+    ctx = sorted((r["kh"], salt(r) % r["parts"], r["parts"], r["doc_id"], r["lo"], r["n"], texts[r["doc_id"]][r["lo"] : r["lo"] + r["n"] + 99]) for r in edges)
+    kh, s, parts, doc, lo, n, text = zip(*ctx, strict=True)
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((kh, s, parts, doc, lo, n, text), kinds, strict=True)], names=["kh", "salt", "parts", "doc_id", "lo", "n", "context"])
+    return list(op8._by_shard(100)([batch]))
+
+
+def merged(seen):
+    t = pa.Table.from_batches(seen)
+    t = t.append_column("slice", pa.array([None if x is None else x >> 56 for x in t["d1"].to_pylist()], pa.int32())).sort_by([("slice", "ascending"), ("shard", "ascending")])
+    return [m for x in op8._merge_shards(t.to_batches(max_chunksize=64)) for m in x.to_pylist()]
+
+
+@pytest.mark.parametrize("chunk", [500_000, 20, 3])
+def test_split_groups_merge_across_shards(monkeypatch, chunk):
+    """Anchor groups in several shards, and anchors that are not held whole (small chunks)."""
+    rows = corpus(3, 80)
+    monkeypatch.setattr(op8, "SHARD_CONTEXTS", 2)
+    monkeypatch.setattr(op8, "CHUNK", chunk)
+    ranges = anchored(rows, False)
+    kinds = {}
     for r in ranges:
+        kinds[r["kh"]] = kinds.get(r["kh"], 0) + (r["parts"] == -1)
+    edges = [r | {"parts": r["parts"] if r["parts"] > 0 else -(-kinds[r["kh"]] // 2)} for r in ranges if r["parts"]]
+    assert any(r["parts"] > 1 for r in edges) and any(r["parts"] == -1 for r in ranges) == (chunk < 500_000)
+    seen = shards(rows, edges, lambda r: r["doc_id"] + r["lo"])
+    assert gone(rows, merged(seen) + [r for r in ranges if not r["parts"]]) == {d: v[1] for d, v in brute(rows, 100).items()}
+
+
+@pytest.mark.parametrize("interval", [1, 8, 50])
+def test_large_groups_are_split_by_content(interval):
+    """All contexts cut by interval: every key is a shard of its own, and nothing is left to merge."""
+    rows = corpus(5, 80)
+    first = anchored(rows, True)
+    by_doc = {}
+    for r in first:
         if r["parts"]:
-            edges.setdefault(r["doc_id"], []).append(r)
-    assert any(r["parts"] > 1 for r in ranges)
+            by_doc.setdefault(r["doc_id"], []).append(r)
     texts = dict(rows)
-    ctx = [(r["kh"], (r["doc_id"] + r["lo"]) % r["parts"], r["parts"], r["doc_id"], r["lo"], r["n"], (texts[r["doc_id"]] or "").encode()[r["lo"] : r["lo"] + r["n"] + 99]) for e in edges.values() for r in e]
-    shards = {}
-    for c in sorted(ctx):
-        shards.setdefault(c[:2], []).append(c)
-    for s in shards.values():
-        kh, _, parts, doc, lo, n, text = zip(*s, strict=True)
-        batch = pa.RecordBatch.from_arrays([pa.array(kh, pa.int64()), pa.array(parts, pa.int32()), pa.array(doc, pa.int64()), pa.array(lo, pa.int32()), pa.array(n, pa.int32()), pa.array(text, pa.binary())], names=["kh", "parts", "doc_id", "lo", "n", "context"])
-        seen += list(op8._by_shard(100)([batch]))
-    marks = [m for x in op8._merge_shards(seen) for m in x.to_pylist()] + [r for r in ranges if not r["parts"]]
-    gone = {d: bytearray(len((t or "").encode())) for d, t in rows}
-    for m in marks:
-        for i in range(m["lo"], m["lo"] + m["n"] + 99):
-            gone[m["doc_id"]][i] = 1
-    assert {d: sum(g) for d, g in gone.items()} == {d: v[1] for d, v in brute(rows, 100).items()}
-    assert got.count() == len(rows)
+    kind = pa.list_(pa.struct([("kh", pa.int64()), ("parts", pa.int32()), ("lo", pa.int32()), ("n", pa.int32())]))
+    batch = pa.RecordBatch.from_arrays([pa.array(list(by_doc), pa.int64()), pa.array([texts[d] for d in by_doc], pa.string()), pa.array([[{k: r[k] for k in ("kh", "parts", "lo", "n")} for r in v] for v in by_doc.values()], kind)], names=["doc_id", "text", "ranges"])
+    second = settled(list(op8._extended(100, 24, interval)([batch])), True)
+    edges = [r | {"parts": 1} for r in second if r["parts"]]
+    seen = shards(rows, edges, lambda r: 0)
+    assert all(x.column("d1").null_count == x.num_rows for x in seen)
+    assert gone(rows, merged(seen) + [r for r in first + second if not r["parts"]]) == {d: v[1] for d, v in brute(rows, 100).items()}
 
 
 @pytest.mark.parametrize("most", [10_000, 3])
