@@ -1,14 +1,18 @@
 """Toxicity by two class-conditional Kneser-Ney models with shared backoff.
 
-The context of a word is its class (toxic or ordinary). A class counts a word once for each different word before it
-(continuation counts, so copies of a text add nothing), discounts each count and gives the freed mass (one weight, pooled over both classes) to the class's model
-of six-byte stems, that to four-byte stems, and that to the corpus: continuation counts over all documents, shared by both
-classes, from sketches of the words before a word (LEVELS bitmaps, each with half the words of the one above; off by about a tenth, with no ceiling). Expressions that a class has not seen therefore get the same relative share in both, and a rare inflection is
-judged by its stem. A passage's score is the difference of the two log-likelihoods by its length in words; a logistic fit
+The context of a word is its class (toxic or ordinary); the models are unigram models of a class, no word is conditioned on the word before it. A class
+counts a word once for each different word before it (continuation counts, so copies of a text add nothing), discounts each count and gives the freed mass to
+its model of six-byte stems, that to its model of four-byte stems, and that to the corpus: continuation counts over all documents, shared by both
+classes. A freed mass is passed on in proportion to the shared counts below a stem, so the probabilities of a class add up to one. Each class has its own discount at
+each level, such that both free the same share; so an expression that neither class has seen weighs nothing, and a rare inflection is judged by its stem.
+Words seen once are kept like all others: what the discount takes from them goes to their stems. Words before a word are counted over the corpus by sketches (LEVELS bitmaps of BITS bits, each with half
+the words of the one above; exact for a few words, off by about an eighth for many, with no ceiling).
+
+A passage's score is the difference of the two log-likelihoods by its length in words; a logistic fit
 on labelled documents outside the models' counts turns the highest passage score and the document's own into a probability.
 
-Labels come from a sample of at most SAMPLE documents (the smallest hashes of labelled ids), corpus counts from all documents.
-Class tables hold the words with a count of at least max(2, SHARE x the class's counts), so they have 1 / SHARE entries at most.
+Labels come from a sample of at most SAMPLE documents, half of each class at most (the smallest hashes of labelled ids; the fit weighs the classes as they are
+among all labels), corpus counts from all documents. The class tables hold the words of the sample.
 """
 
 from __future__ import annotations
@@ -24,26 +28,36 @@ from .textkernel import SPACE, Text, _U, flat, mix, pieces, signed
 
 #: Labelled documents of which the models and the fit are made, at most.
 SAMPLE = 16_000
-SHARE = 4e-6
-DISCOUNT = 0.75
-#: Bitmaps of a word's sketch; LEVEL_BITS: bits set beyond which a bitmap is too full to be read.
-LEVELS = 27
-LEVEL_BITS = 48
+#: Discount of the class that frees more by it (that with fewer repeated words, as a rule); the other's is larger. Below 2, words that some ordinary topic
+#: brought into a few toxic documents weigh too much.
+DISCOUNT = 3.0
+#: Bitmaps of a word's sketch, bits of each, and bits set beyond which a bitmap is too full to be read.
+LEVELS, BITS, FULL = 28, 32, 24
 #: Words in a passage.
 PASSAGE = 8
-STEMS = (6, 4)
 _SEPARATOR = np.ones(256, bool)
 _SEPARATOR[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
 
 class _Words:
-    """Lower-case words of the rows of a slice: runs of letters and digits; hashes of words and of their stems."""
+    """Lower-case words of the rows of a slice: runs of letters and digits; hashes of words, and their first six and four bytes as numbers."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         self.text = Text(np.where(_SEPARATOR[data], np.uint8(32), data), offsets)
         t = self.text
         self.word = t.word_hashes()
-        self.stems = [t.hashes(t.starts, np.minimum(t.ends, t.starts + n)) for n in STEMS]
+        six = np.zeros(len(t.starts), np.int64)
+        padded = np.concatenate([t.data, np.zeros(6, np.uint8)])
+        for k in range(6):
+            six = (six << 8) | np.where(t.starts + k < t.ends, padded[t.starts + k], 0)
+        self.stems = [six, six >> 16]
+
+    def before(self) -> np.ndarray:
+        """The word before each word in its text, 0 for the first."""
+        out = np.zeros_like(self.word)
+        same = self.text.row[1:] == self.text.row[:-1]
+        out[1:][same] = self.word[:-1][same]
+        return out
 
 
 def _slices(batch: pa.RecordBatch, most: int = 1 << 19):
@@ -54,82 +68,83 @@ def _slices(batch: pa.RecordBatch, most: int = 1 << 19):
 
 
 assert not _SEPARATOR[list(b"az09")].any() and SPACE[32]
-_COUNTS = "h long, h6 long, h4 long, class int, before long, bits long"
+_PLANES = [f"p{k}" for k in range(LEVELS * BITS // 64)]
 
 
 def _sketched(before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(level, bit) of each word before in a sketch: level k has a share of 2^-(k + 1) of the words, the last level the rest."""
     x = mix(before + _U(1))
     low = (x & _U((1 << (LEVELS - 1)) - 1)) | _U(1 << (LEVELS - 1))
-    return np.bitwise_count((low & (~low + _U(1))) - _U(1)).astype(_U), _U(1) << (x >> _U(58))
+    return np.bitwise_count((low & (~low + _U(1))) - _U(1)).astype(_U), _U(1) << (x >> _U(64 - 5))
 
 
 def _corpus_counts(batches):
-    """For each task, word and level: the sketch's bitmap of the words before it (before: the level); in documents of the sample also each (class, word before).
-
-    Of a word's rows in a task, one has the stems.
-    """
-    words, rows, sampled = [], 0, []
+    """For each task and word: its first bytes and the sketch of the words before it, two bitmaps in a long. One row a word, whatever its count."""
+    words, rows = [], 0
 
     def pack():
-        h, h6, h4, level, bits = (np.concatenate(x) for x in zip(*words, strict=True))
+        h, six, level, bits = (np.concatenate(x) for x in zip(*words, strict=True))
         o = np.argsort((h & ~_U(31)) | level)
         h, level = h[o], level[o]
         s = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (level[1:] != level[:-1])))
-        return h[s], h6[o][s], h4[o][s], level[s], np.bitwise_or.reduceat(bits[o], s)
-
-    def out(h, h6, h4, kind, before, bits):
-        again = np.append(False, h[1:] == h[:-1]) if h6 is not None else np.ones(len(h), bool)
-        for k in range(0, len(h), 1 << 17):
-            e = k + (1 << 17)
-            stems = [pa.array(signed((x if x is not None else h)[k:e]), mask=again[k:e]) for x in (h6, h4)]
-            yield pa.RecordBatch.from_arrays([pa.array(signed(h[k:e])), *stems, pa.array(kind[k:e]), pa.array(signed(before[k:e])), pa.array(signed(bits[k:e]))], names=["h", "h6", "h4", "class", "before", "bits"])
+        return h[s], six[o][s], level[s], np.bitwise_or.reduceat(bits[o], s)
+
+    def out(h, six, level, bits):
+        o = np.argsort(h, kind="stable")
+        h, six, level, bits = h[o], six[o], level[o].astype(np.int64), bits[o]
+        first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        word = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(h))))
+        for a in range(0, len(first), 1 << 16):
+            e = min(a + (1 << 16), len(first))
+            lo, hi = first[a], first[e] if e < len(first) else len(h)
+            planes = np.zeros((len(_PLANES), e - a), _U)
+            for odd in (0, 1):
+                at = lo + np.flatnonzero(level[lo:hi] % 2 == odd)
+                planes[level[at] // 2, word[at] - a] |= bits[at] << _U(BITS * odd)
+            yield pa.RecordBatch.from_arrays([pa.array(signed(h[first[a:e]])), pa.array(six[first[a:e]]), *(pa.array(signed(x)) for x in planes)], names=["h", "six", *_PLANES])
 
     for batch in batches:
-        kind = batch.column("class").to_numpy(zero_copy_only=False)
-        for a, b, w in _slices(batch):
-            t = w.text
+        for _, _, w in _slices(batch):
             if not len(w.word):
                 continue
-            before = np.zeros_like(w.word)
-            same = t.row[1:] == t.row[:-1]
-            before[1:][same] = w.word[:-1][same]
-            words.append((w.word, w.stems[0], w.stems[1], *_sketched(before)))
-            rows += len(before)
-            of = kind[a:b][t.row]
-            pick = of >= 0
-            if pick.any():
-                sampled.append((w.word[pick], of[pick].astype(np.int32), before[pick]))
+            words.append((w.word, w.stems[0], *_sketched(w.before())))
+            rows += len(w.word)
             if rows > 2_000_000:
                 words[:] = [pack()]
-                rows = len(words[0][0]) if len(words[0][0]) < 1_000_000 else 0
-                if not rows:
-                    h, h6, h4, level, bits = words.pop()
-                    yield from out(h, h6, h4, np.full(len(h), -1, np.int32), level, bits)
-        for h, c, p in sampled:
-            yield from out(h, None, None, c, p, np.zeros(len(h), _U))
-        sampled.clear()
+                rows = len(words[0][0])
+                if rows > 1_000_000:
+                    yield from out(*words.pop())
+                    rows = 0
     if words:
-        h, h6, h4, level, bits = pack()
-        yield from out(h, h6, h4, np.full(len(h), -1, np.int32), level, bits)
+        yield from out(*pack())
 
 
-def _distinct(packed: list):
-    """Words in a sketch, from its levels' numbers of set bits, nine in a long: linear counting from the first level after the last too full one."""
-    n = [F.shiftright(packed[k // 9], 7 * (k % 9)).bitwiseAND(127) for k in range(LEVELS)]
-    first = F.greatest(F.lit(0), *[F.when(n[k] > LEVEL_BITS, k + 1).otherwise(0) for k in range(LEVELS - 1)])
-    counted = [F.when(first <= k, F.when(n[k] > 0, 64 * F.log(64 / F.greatest(64 - n[k], F.lit(0.5)))).otherwise(0.0)).otherwise(0.0) for k in range(LEVELS)]
+def _distinct():
+    """Words in a sketch: linear counting from the first level after the last too full one."""
+    n = [F.bit_count(F.shiftrightunsigned(_PLANES[k // 2], BITS * (k % 2)).bitwiseAND((1 << BITS) - 1)) for k in range(LEVELS)]
+    first = F.greatest(F.lit(0), *[F.when(n[k] > FULL, k + 1).otherwise(0) for k in range(LEVELS - 1)])
+    counted = [F.when(first <= k, F.when(n[k] > 0, BITS * F.log(BITS / F.greatest(BITS - n[k], F.lit(0.5)))).otherwise(0.0)).otherwise(0.0) for k in range(LEVELS)]
     return F.pow(F.lit(2.0), first) * sum(counted[1:], counted[0])
 
 
-def word_counts(marked: DataFrame) -> DataFrame:
-    """h, h6, h4, c0, c1 (exact continuation counts in the sample's classes), shared (that over all rows, from sketches) of each word of marked (text, class; -1: not in the sample)."""
-    kind = F.col("class")
-    types = marked.mapInArrow(_corpus_counts, _COUNTS).groupBy("h", "class", "before").agg(F.max("h6").alias("h6"), F.max("h4").alias("h4"), F.bit_or("bits").alias("bits"))
-    bits = F.expr("shiftleft(cast(bit_count(bits) as bigint), cast(before % 9 * 7 as int))")
-    packed = [F.sum(F.when((kind == -1) & (F.floor(F.col("before") / 9) == k), bits).otherwise(0)).alias(f"p{k}") for k in range(LEVELS // 9)]
-    sums = types.groupBy("h").agg(F.max("h6").alias("h6"), F.max("h4").alias("h4"), *[F.sum(F.when(kind == c, 1).otherwise(0)).alias(f"c{c}") for c in (0, 1)], *packed)
-    return sums.select("h", "h6", "h4", "c0", "c1", _distinct([F.col(f"p{k}") for k in range(LEVELS // 9)]).alias("shared"))
+def word_counts(docs: DataFrame) -> DataFrame:
+    """h, six (first bytes), shared (continuation count over all rows of docs(text), from sketches) of each word."""
+    sketches = docs.select("text").mapInArrow(_corpus_counts, "h long, six long, " + ", ".join(f"{p} long" for p in _PLANES))
+    return sketches.groupBy("h").agg(F.max("six").alias("six"), *[F.bit_or(p).alias(p) for p in _PLANES]).select("h", "six", _distinct().alias("shared"))
+
+
+def _class_pairs(batches):
+    for batch in batches:
+        kind = batch.column("class").to_numpy(zero_copy_only=False)
+        for a, b, w in _slices(batch):
+            if len(w.word):
+                yield pa.RecordBatch.from_arrays([pa.array(kind[a:b][w.text.row]), pa.array(signed(w.word)), pa.array(w.stems[0]), pa.array(signed(w.before()))], names=["class", "h", "six", "before"])
+
+
+def class_counts(sample: DataFrame) -> DataFrame:
+    """h, six, c0, c1 of each word of sample(text, class): exact continuation counts in the classes."""
+    pairs = sample.select("class", "text").mapInArrow(_class_pairs, "class int, h long, six long, before long").distinct()
+    return pairs.groupBy("h", "six").agg(*[F.count_if(F.col("class") == c).alias(f"c{c}") for c in (0, 1)])
 
 
 class Model:
@@ -151,35 +166,51 @@ class Model:
         return out
 
 
-def fit(rows: list[tuple], totals: list[float], freed: list[float], shared_total: float) -> Model:
-    """rows: (level, key, upper key, ordinary, toxic, shared); level 0 words, 1 and 2 stems. freed[level]: mass that discounts free in both."""
-    level = np.array([r[0] for r in rows], int)
-    data = np.array([r[1:] for r in rows], dtype=object).reshape(-1, 5)
-    keys, ratios, upper_p = [], [], {}
-    for k in (2, 1, 0):
-        d = data[level == k]
-        key = np.array(d[:, 0], np.int64).view(_U)
-        shared = np.maximum(np.array(d[:, 4], float), 1) / shared_total
-        p = np.zeros((2, len(key)))
-        for c in (0, 1):
-            if k == 2:
-                low = shared
-            else:
-                found, share = upper_p[c]
-                up = np.array(d[:, 1], np.int64)
-                # an upper stem outside the tables has the class's freed mass of all levels above
-                low = np.array([found.get(u, None) or 0.0 for u in up.tolist()])
-                rest = low == 0
-                low[rest] = np.prod(freed[k + 1 :])
-                low = np.where(rest, low * shared, low * shared / np.maximum(np.array([share.get(u, 1.0) for u in up.tolist()]), shared))
-            p[c] = np.maximum(np.array(d[:, 2 + c], float) - DISCOUNT, 0) / totals[c] + freed[k] * low
-        ratio = np.round((np.log(p[1]) - np.log(p[0])) * 2**20) / 2**20  # sums are exact, in any order
-        if k:
-            upper_p = {c: (dict(zip(signed(key).tolist(), p[c].tolist(), strict=True)), dict(zip(signed(key).tolist(), shared.tolist(), strict=True))) for c in (0, 1)}
+def _discount(counts: np.ndarray, freed: float) -> float:
+    """The discount that frees so much: freed = sum(min(counts, discount))."""
+    falling = np.append(np.sort(counts)[::-1], 0.0)
+    sums = np.cumsum(falling[::-1])[::-1]  # of a count and those below
+    at = np.arange(1, len(falling))  # the counts above the discount
+    k = int(np.argmax(np.append(at * falling[1:] + sums[1:] <= freed, True)))  # the first that may be all above it
+    return float((freed - sums[k + 1]) / (k + 1)) if k < len(counts) else float(counts.max())
+
+
+def fit(h: np.ndarray, six: np.ndarray, counts: np.ndarray, shared: np.ndarray, stems: list[tuple[np.ndarray, np.ndarray]], total: float) -> Model:
+    """The words of both classes: hash, first bytes, (2, words) counts and shared counts; (ascending keys, shared counts) of their six- and four-byte stems; sum of all shared counts."""
+    (six_keys, six_shared), (four_keys, four_shared) = stems
+    of_six, of_four = np.searchsorted(six_keys, six), np.searchsorted(four_keys, six_keys >> 16)
+    c6 = np.array([np.bincount(of_six, c, minlength=len(six_keys)) for c in counts])
+    c4 = np.array([np.bincount(of_four, c, minlength=len(four_keys)) for c in c6])
+    mass = counts.sum(axis=1)
+    p = None
+    ratios = []
+    for c, low in ((c4, four_shared / total), (c6, six_shared / four_shared[of_four]), (counts, shared / six_shared[of_six])):
+        freed = max(np.minimum(x, DISCOUNT).sum() / m for x, m in zip(c, mass, strict=True))
+        discount = np.array([_discount(x, freed * m) for x, m in zip(c, mass, strict=True)])
+        above = low if p is None else p[:, of_four if c is c6 else of_six] * low
+        p = np.maximum(c - discount[:, None], 0) / mass[:, None] + freed * above
+        ratios.append(np.round((np.log(p[1]) - np.log(p[0])) * 2**20) / 2**20)  # sums are exact, in any order
+    o = np.argsort(h)
+    return Model([h[o], six_keys, four_keys], [ratios[2][o], ratios[1], ratios[0]])
+
+
+def learn(sample: DataFrame, words: DataFrame) -> Model | None:
+    """The model of sample(text, class) over the corpus counts words; None where a class has no words. To the driver: the words and stems of the sample."""
+    seen = table(class_counts(sample))
+    rows = seen.join(words.select("h", "shared"), "h").toArrow()
+    h, six, c0, c1, shared = (rows.column(c).to_numpy() for c in ("h", "six", "c0", "c1", "shared"))
+    counts = np.array([c0, c1], float)
+    if not len(h) or not counts.sum(axis=1).all():
+        return None
+    sums = table(words.groupBy("six").agg(F.sum("shared").alias("shared")))
+    four = F.shiftright("six", 16).alias("four")
+    stems = []
+    for name, all_, some in (("six", sums, seen.select("six")), ("four", sums.groupBy(four).agg(F.sum("shared").alias("shared")), seen.select(four))):
+        got = all_.join(some.distinct(), name, "left_semi").toArrow()
+        key, n = got.column(name).to_numpy(), got.column("shared").to_numpy()
         o = np.argsort(key)
-        keys.insert(0, key[o])
-        ratios.insert(0, ratio[o])
-    return Model(keys, ratios)
+        stems.append((key[o], n[o]))
+    return fit(h.view(_U), six, counts, shared, stems, sums.agg(F.sum("shared")).first()[0])
 
 
 def _features(w: _Words, rows: int, model: Model) -> np.ndarray:
@@ -211,14 +242,14 @@ def _score(shared):
     return run
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Weights (intercept first) of a logistic fit with a small ridge, by Newton's steps."""
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Weights (intercept first) of a logistic fit of weighted rows with a small ridge, by Newton's steps."""
     x = np.column_stack([np.ones(len(x)), x])
     w = np.zeros(x.shape[1])
     ridge = np.diag([1e-6, *[1e-2] * (x.shape[1] - 1)])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + ridge, x.T @ (y - p) - ridge @ w)
+        step = np.linalg.solve(x.T @ (x * (weight * p * (1 - p))[:, None]) + ridge, x.T @ (weight * (y - p)) - ridge @ w)
         w += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-6:
             break
@@ -239,39 +270,28 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     known = labels.select(F.col(id_col).cast("long").alias("l_id"), F.col(label_col).cast("int").alias("class")).where("l_id is not null and class in (0, 1)").where(~held_out(F.col("l_id")))
-    picked = table(known.groupBy("l_id").agg(F.max("class").alias("class")).orderBy(F.xxhash64("l_id"), "l_id").limit(sample))
+    known = table(known.groupBy("l_id").agg(F.max("class").alias("class")))
+    sizes = {r[0]: r[1] for r in known.groupBy("class").agg(F.count("*")).collect()}
+    some = [known.where(F.col("class") == c).orderBy(F.xxhash64("l_id"), "l_id").limit(max(1, sample // 2)) for c in (0, 1)]
+    picked = table(some[0].union(some[1]))  # sample rows at most
     fitted = F.pmod(F.xxhash64("l_id", F.lit(7)), F.lit(4)) == 0
-    marked = base.join(F.broadcast(picked.where(~fitted)), base.doc_id == picked.l_id, "left").select("text", F.coalesce("class", F.lit(-1)).alias("class"))
-    words = table(word_counts(marked))
-    levels = {0: words.select("h", F.col("h6").alias("up"), "c0", "c1", "shared"), 1: words.groupBy("h6").agg(F.first("h4").alias("up"), *_sums()).select(F.col("h6").alias("h"), "up", "c0", "c1", "shared"), 2: words.groupBy("h4").agg(*_sums()).select(F.col("h4").alias("h"), F.lit(0).cast("long").alias("up"), "c0", "c1", "shared")}
-    weights, model = None, Model([np.zeros(0, _U)] * 3, [np.zeros(0)] * 3)
-    total = words.agg(F.sum("c0"), F.sum("c1"), F.sum("shared")).first()
-    only = 0.0
-    if total[0] and total[1]:
-        rows, freed = [], []
-        for k, df in levels.items():
-            kinds = df.agg(F.sum(F.least("c0", F.lit(DISCOUNT))), F.sum(F.least("c1", F.lit(DISCOUNT)))).first()
-            freed.append((kinds[0] + kinds[1]) / (total[0] + total[1]))
-            keep = df.where((F.col("c0") >= max(2.0, SHARE * total[0])) | (F.col("c1") >= max(2.0, SHARE * total[1])))
-            rows += [(k, *r) for r in keep.toPandas().itertuples(index=False, name=None)]  # 2 / SHARE rows at most
-        model = fit(rows, [total[0], total[1]], freed, max(total[2], 1.0))
+    rows_of = lambda ids: base.join(F.broadcast(ids), base.doc_id == ids.l_id).select("class", "text")
+    model = learn(rows_of(picked.where(~fitted)), table(word_counts(base))) if len(sizes) == 2 else None
+    weights = None
+    if model is not None:
         shared = spark.sparkContext.broadcast((model, None))
-        fit_rows = base.join(F.broadcast(picked.where(fitted)), base.doc_id == picked.l_id).select("class", "text")
-        got = fit_rows.mapInArrow(_score(shared), "class int, passage double, whole double, score double").toPandas()  # a quarter of the sample
+        got = rows_of(picked.where(fitted)).mapInArrow(_score(shared), "class int, passage double, whole double, score double").toPandas()  # a quarter of the sample
         y = got["class"].to_numpy(float)
         if 0 < y.sum() < len(y):
-            weights = _logistic(got[["passage", "whole"]].to_numpy(), y)
-    else:
-        only = 1.0 if total[1] else 0.0
+            share = {c: sizes[c] / min(sizes[c], max(1, sample // 2)) for c in sizes}
+            weights = _logistic(got[["passage", "whole"]].to_numpy(), y, np.where(y == 1, share[1], share[0]))
+    only = 1.0 if set(sizes) == {1} else 0.0
+    model = model or Model([np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64)], [np.zeros(0)] * 3)
     shared = spark.sparkContext.broadcast((model, weights))
     scored = base.mapInArrow(_score(shared), "doc_id long, passage double, whole double, score double")
     score = F.col("score") if weights is not None else F.lit(only)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), (score >= cut).cast("int").alias("predicted"), "passage", "whole")
 
 
-def _sums():
-    return [F.sum(c).alias(c) for c in ("c0", "c1", "shared")]
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
