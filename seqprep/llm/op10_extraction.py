@@ -1,11 +1,14 @@
 """Main text of HTML pages by composite text density.
 
 A tolerant parser builds the tree (unclosed paragraphs and list items are closed by what follows; the bodies of scripts and styles are skipped; drawings, formulas
-and templates are parsed and dropped, and those left open end at the first HTML block or, templates, with the element around them; no library is needed). Elements that are boilerplate by name, role or class leave first. Every other node has a density: characters for each
-tag, lowered where a node's characters or tags are links, against the body's share of linked characters. The sum of a
-node's child densities is highest for the node whose children are the paragraphs; that subtree is the main text. The smallest density on its
-path from the body, the body's own included, is the threshold: blocks beside the path that reach it belong to the text too, with the headings right before
-them. <article> and <main> only widen: the one around the subtree, or with most of it, is taken whole before the path is followed from there.
+and templates are parsed and dropped, and those left open end at the first HTML block or, templates, with the element around them; no library is needed). It reads a page once:
+what is nested deeper than DEPTH is put beside the element at that depth. Elements that are no article text by their kind (menus, forms, footers, scripts, hidden ones) leave first.
+
+Every other node has a density: characters for each tag, lowered where a node's characters or tags are links, against the body's share of linked characters. Class names, ids and roles that tell of
+boilerplate multiply the densities in their subtree by WEIGHT; they never remove a subtree that is dense all the same. The sum of the densities of a node's child blocks is highest for the node whose children
+are the paragraphs; that subtree is the main text (markup within a line doesn't divide a text, so it isn't summed). The smallest density on its
+path from the body, the body's own included, is the threshold: while blocks beside it reach that, the subtree is widened to the node above; blocks beside the path that reach it belong to the text too, with the headings right before
+them, and blocks within the text that don't reach it leave if they are marked or mostly links. No element is taken for its name.
 Pages are independent rows: one Arrow pass, memory bounded by a batch.
 """
 
@@ -19,8 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<data>.*?)\]\]>|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<more>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<more2>[^>]*)>""", re.S)
-_NAMED = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: Elements nested deeper are put beside the one at this depth.
+DEPTH = 512
+#: Factor of the densities in subtrees that are marked as boilerplate.
+WEIGHT = 0.1
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r"[>\"']")
+_NAMED = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden|style)(?![\w-])(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _WORDS = re.compile(r"[A-Za-z][a-z]*|[0-9]+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _SKIPPED = frozenset("script style noscript template iframe svg math object canvas audio video select textarea button title".split())
@@ -40,87 +48,170 @@ _BOILERPLATE = frozenset(
     "comment comments commentlist disqus respond reply replies cookie cookies consent notice notices gdpr popup modal overlay newsletter subscribe subscription signup login share sharing social "
     "related recommended recommendations widget toolbar pagination pager copyright disclaimer contentinfo complementary search skip".split()
 )
+#: Words before or after these that say that there is none, or that it is elsewhere.
+_ELSEWHERE = (frozenset("no not non without has have with hide".split()), frozenset(("free", "less", "none", "off")))
 _INSIDE = frozenset(("article", "main"))
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup header".split())
 
 
 class _Node:
-    __slots__ = ("name", "parent", "kids", "chars", "linked", "tags", "links", "dropped", "foreign", "density", "sum")
+    __slots__ = ("name", "parent", "kids", "chars", "linked", "tags", "links", "dropped", "foreign", "block", "weight", "marked", "density", "sum", "depth")
 
-    def __init__(self, name: str, parent: _Node | None, dropped: bool):
-        self.name, self.parent, self.dropped = name, parent, dropped
+    def __init__(self, name: str, parent: _Node | None, dropped: bool, marked: bool = False):
+        self.name, self.parent, self.dropped, self.marked = name, parent, dropped, marked
         self.kids: list[_Node | str] = []
         self.chars = self.linked = self.tags = self.links = 0
         self.density = self.sum = 0.0
+        self.block = name in _BLOCKS
         self.foreign = name in _FOREIGN or parent is not None and parent.foreign and parent.name not in _HTML_IN
+        self.weight, self.depth = (WEIGHT if marked else 1.0), 0
         if parent is not None:
+            self.weight *= parent.weight
+            self.depth = parent.depth + 1
             parent.kids.append(self)
 
 
-def _is_boilerplate(name: str, more: str, inside: bool) -> bool:
+def _kind(name: str, more: str, inside: bool) -> tuple[bool, bool]:
+    """(dropped, marked as boilerplate) for an element."""
     if name in _DROPPED or name == "header" and not inside:
-        return True
-    if not more or name in ("html", "body", "article", "main"):
-        return False
-    for key, value in _NAMED.findall(more):
-        key, value = key.lower(), value.strip("\"'").lower()
-        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-        if key in ("class", "id", "role") and (not _BOILERPLATE.isdisjoint(_WORDS.findall(value)) or value == "header" and not inside):
-            return True
-    return False
+        return True, False
+    marked = False
+    if more and name not in ("html", "body", "article", "main"):
+        for key, value in _NAMED.findall(more):
+            key, value = key.lower(), value.strip("\"'").lower()
+            if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
+                return True, False
+            if key in ("class", "id", "role"):
+                marked |= any(map(_marks, value.split())) or value == "header" and not inside
+    return False, marked
+
+
+def _marks(label: str) -> bool:
+    words = _WORDS.findall(label)
+    return any(w in _BOILERPLATE and not (k and words[k - 1] in _ELSEWHERE[0]) and not (k + 1 < len(words) and words[k + 1] in _ELSEWHERE[1]) for k, w in enumerate(words))
+
+
+def _tokens(page: str):
+    """(text, None, None) and (None, tag name with its slash, rest of the tag), in one pass: an unclosed quote or tag is looked for once."""
+    at, text, end = 0, 0, len(page)
+    last = page.rfind(">")
+    open_quote = -1  # no tag before it is read with quotes
+    while True:
+        lt = page.find("<", at)
+        if lt < 0:
+            break
+        m = _NAME.match(page, lt + 1) if lt < last else None
+        if m is None:
+            comment = page.startswith("<!--", lt)
+            if not comment and (lt > last or page[lt + 1] not in "!?"):
+                at = lt + 1
+                continue
+            if lt > text:
+                yield html.unescape(page[text:lt]), None, None
+            if comment:
+                stop = page.find("-->", lt + 4)
+                at = end if stop < 0 else stop + 3
+            elif page.startswith("<![CDATA[", lt) and (stop := page.find("]]>", lt)) >= 0:
+                yield page[lt + 9 : stop], None, None
+                at = stop + 3
+            else:
+                at = page.find(">", lt) + 1
+            text = at
+            continue
+        if lt > text:
+            yield html.unescape(page[text:lt]), None, None
+        close = m.end()
+        while lt >= open_quote and page[close] != ">":
+            stop = _STOP.search(page, close)
+            close = stop.start()
+            if page[close] == ">":
+                break
+            other = page.find(page[close], close + 1)
+            if other < 0 or other > last:
+                open_quote = close + 1
+                break
+            close = other + 1
+        if page[close] != ">":
+            close = page.find(">", m.end())
+        yield None, m[1] + m[2].lower(), page[m.end() : close]
+        at = text = close + 1
+        name = m[2].lower()
+        if name in _RAW and not m[1]:
+            skip = yield None, None, None  # the parser says whether the element is skipped
+            if skip:
+                stop = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+                at = text = stop.end() if stop else end
+    if text < end:
+        yield html.unescape(page[text:]), None, None
 
 
 def parse(page: str) -> _Node:
-    """The tree of a page; text is in the kids as strings, white space and references as in the source."""
+    """The tree of a page; text is in the kids as strings, decoded node by node, white space as in the source."""
     root = node = _Node("html", None, False)
-    at, end = 0, len(page)
-    inside = 0
-    for_raw = None
-    while at < end:
-        m = _TAG.search(page, at)
-        if m is None:
-            node.kids.append(page[at:])
-            break
-        if m.start() > at:
-            node.kids.append(page[at : m.start()])
-        at = m.end()
-        if m["data"] is not None:
-            node.kids.append(html.escape(m["data"], False))
+    scopes: list[dict[str, int]] = [{}]  # open elements by name, in each article or main
+    beyond: dict[str, int] = {}  # elements below DEPTH that are still open
+
+    def leave(x: _Node) -> _Node:
+        if x.name in _INSIDE:
+            scopes.pop()
+        scopes[-1][x.name] -= 1
+        return x.parent
+
+    def up_to(x: _Node) -> _Node:
+        """Close all elements within x."""
+        nonlocal node
+        while node is not x:
+            node = leave(node)
+        return node
+
+    tokens = _tokens(page)
+    reply = None
+    while True:
+        try:
+            data, name, more = tokens.send(reply)
+        except StopIteration:
+            return root
+        reply = None
+        if data is not None:
+            node.kids.append(data)
             continue
-        name = m["name"] or m["name2"]
         if name is None:
+            reply = raw
+            # the generator goes on from the skipped element; its next item comes with this reply
             continue
-        name = name.lower()
-        if m["end"] or m["end2"]:
+        raw = False
+        if name[0] == "/":
+            name = name[1:]
+            if beyond.get(name):
+                beyond[name] -= 1
+                continue
+            free = name in ("html", "body", "main", "article")
+            if not (any(s.get(name) for s in scopes) if free else scopes[-1].get(name)) and node.name != name:
+                continue
             up = node
             while up is not None and up.name != name:
-                if up.name in _INSIDE and name not in ("html", "body", "main", "article"):
-                    up = None
-                    break
                 up = up.parent
             if up is not None and up.parent is not None:
-                while node is not up:
-                    inside -= node.name in _INSIDE
-                    node = node.parent
-                inside -= node.name in _INSIDE
-                node = node.parent
+                up_to(up)
+                node = leave(node)
             continue
         if name in _BREAKS_OUT and node.name not in _HTML_IN:
             while node.foreign and node.name not in _HTML_IN:
-                node = node.parent
+                node = leave(node)
         if name in ("html", "body", "head"):
             if name == "body":
-                while node.parent is not None:
-                    node = node.parent
+                up_to(root)
+                beyond.clear()
                 node = _Node("body", node, False)
+                scopes[-1]["body"] = scopes[-1].get("body", 0) + 1
             continue
-        if name in _BLOCKS:
+        if name in _BLOCKS and scopes[-1].get("p"):
             up = node
             while up is not None and up.name not in ("p", "td", "th", "li", "div", "article", "body", "html", "section", "blockquote", "button"):
                 up = up.parent
             if up is not None and up.name == "p":
-                node = up.parent
+                up_to(up)
+                node = leave(node)
         if name in _CLOSES:
             closed, scope = _CLOSES[name]
             up, last = node, None
@@ -129,26 +220,34 @@ def parse(page: str) -> _Node:
                     last = up
                 up = up.parent
             if last is not None and up is not None:
-                node = last.parent
-        more = m["more"] if m["name"] else m["more2"]
-        new = _Node(name, node, _is_boilerplate(name, more or "", inside > 0))
-        closed = (more or "").endswith("/")
-        if name in _RAW and not (closed and new.foreign):
-            for_raw = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            at = for_raw.end() if for_raw else end
-        elif name not in _VOID and not closed:
-            node = new
-            inside += name in _INSIDE
-    return root
-
-
-def _measure(node: _Node) -> None:
-    """Characters, linked characters, tags and links of each subtree; iterative, for deep pages."""
+                up_to(last)
+                node = leave(node)
+        new = _Node(name, node, *_kind(name, more, len(scopes) > 1))
+        closed = more.endswith("/")
+        raw = name in _RAW and not (closed and new.foreign)
+        if raw or name in _VOID or closed:
+            continue
+        if new.depth > DEPTH:
+            node.kids.pop()
+            beyond[name] = beyond.get(name, 0) + 1
+            continue
+        node = new
+        scopes[-1][name] = scopes[-1].get(name, 0) + 1
+        if name in _INSIDE:
+            scopes.append({})
+
+
+def _kids(x: _Node) -> list[_Node]:
+    return [k for k in x.kids if isinstance(k, _Node) and not k.dropped]
+
+
+def _measure(node: _Node) -> list[_Node]:
+    """Characters, linked characters, tags, links, density and sum of each node that isn't dropped; iterative, for deep pages. The nodes."""
     order, todo = [], [node]
     while todo:
         x = todo.pop()
         order.append(x)
-        todo += [k for k in x.kids if isinstance(k, _Node) and not k.dropped]
+        todo += _kids(x)
     for x in reversed(order):
         for k in x.kids:
             if isinstance(k, str):
@@ -158,75 +257,70 @@ def _measure(node: _Node) -> None:
                 x.linked += k.linked
                 x.tags += k.tags + 1
                 x.links += k.links + (k.name == "a")
+                x.block |= k.block
         if x.name == "a":
             x.linked = x.chars
     body = order[0]
     share = body.linked / body.chars if body.chars else 0.0
     for x in order:
-        if x.chars:
-            plain = max(x.chars - x.linked, 1)
-            base = math.log(x.chars / plain * x.linked + share * x.chars + math.e)
-            x.density = x.chars / max(x.tags, 1) * math.log(x.chars / max(x.linked, 1) * max(x.tags, 1) / max(x.links, 1) + 1) / base
+        x.density = _density(x.chars, x.linked, x.tags, x.links, share)
     for x in order:
-        x.sum = sum(k.density for k in x.kids if isinstance(k, _Node) and not k.dropped)
-
-
-def _has_text(node: _Node) -> bool:
-    return any(isinstance(k, str) and not k.isspace() and k for k in node.kids)
-
-
-def _select(root: _Node) -> list[_Node]:
-    best, todo, bodies = root, [root], root
-    while todo:
-        x = todo.pop()
-        if x.name == "body":
-            bodies = x
-        if x.sum > best.sum or x.sum == best.sum and x.chars > best.chars and x.sum > 0:
-            best = x
-        todo += [k for k in x.kids if isinstance(k, _Node) and not k.dropped]
-    if best.sum == 0.0:
-        return [bodies]
-    x = best
-    while x is not None and x is not bodies:
-        x = x.parent
-    if x is None:  # the text is outside the last body
-        bodies = root
-    path = _path(best, bodies)
-    start = next((x for x in path if x.name in _INSIDE), None)
-    if start is None:
-        least = min(x.density for x in [*path, bodies])
-        start, on = best, set(map(id, path))
-        # text right beside the subtree, or blocks as dense as the path's thinnest node, widen it
-        for x in path[1:]:
-            if _has_text(x) or any(isinstance(k, _Node) and id(k) not in on and _reaches(k, least) for k in x.kids):
-                start = x
-        inner = [x for x in _walk(start) if x.name in _INSIDE]
-        if inner:
-            largest = max(inner, key=lambda x: x.chars)
-            if largest.chars * 2 >= start.chars:
-                start = largest
-    return _beside(start, bodies)
-
-
-def _path(node: _Node, body: _Node) -> list[_Node]:
-    """node and the nodes above it, below the body."""
+        x.sum = sum(k.density * k.weight for k in _kids(x) if k.block and k.name != "body")
+    return order
+
+
+def _density(chars: int, linked: int, tags: int, links: int, share: float) -> float:
+    """Characters for each tag, link-adjusted: linked characters and link tags lower it, the more so the fewer links the body has."""
+    if not chars:
+        return 0.0
+    base = math.log(chars / max(chars - linked, 1) * linked + share * chars + math.e)
+    return chars / max(tags, 1) * math.log(chars / max(linked, 1) * max(tags, 1) / max(links, 1) + 1) / base
+
+
+def _reaches(node: _Node, least: float, weight: float) -> bool:
+    return not node.dropped and node.chars > 0 and node.density * node.weight / weight >= least and node.linked * 2 < node.chars
+
+
+def _select(nodes: list[_Node]) -> tuple[list[_Node], float]:
+    """(the main text's subtrees in page order, the threshold)."""
+    root = nodes[0]
+    best = max(nodes, key=lambda x: (x.sum, x.chars))
+    body = next((x for x in reversed(nodes) if x.name == "body"), root)
+    path = _path(best, body)
+    if path is None:  # the text is outside the body
+        body, path = root, _path(best, root)
+    if best.sum == 0.0 or not path:
+        plain = _Node("", None, False)
+        plain.kids = [k for k in body.kids if isinstance(k, str) or not (k.block and k.links > 1 and k.linked * 2 > k.chars)]
+        plain.weight = body.weight
+        return [plain if best.sum else body], body.density
+    least = min(x.density for x in [*path, body])
+    on, start = set(map(id, path)), best
+    for x in path[1:]:
+        if any(isinstance(k, str) and not k.isspace() or isinstance(k, _Node) and id(k) not in on and k.block and _reaches(k, least, best.weight) for k in x.kids):
+            start = x
+    todo = [start]
+    while todo:  # lists of links between the blocks
+        for k in _kids(todo.pop()):
+            if k.block and k.links > 1 and k.linked * 2 > k.chars and k.density < least:
+                k.dropped = True
+            else:
+                todo.append(k)
+    return _beside(start, body, least), least
+
+
+def _path(node: _Node, body: _Node) -> list[_Node] | None:
+    """node and the nodes above it, below the body; None if it is outside."""
     out = []
     while node is not None and node is not body:
         out.append(node)
         node = node.parent
-    return out
-
+    return out if node is body else None
 
-def _reaches(node: _Node, least: float) -> bool:
-    return not node.dropped and node.chars > 0 and node.density >= least and node.linked * 2 < node.chars
 
-
-def _beside(start: _Node, body: _Node) -> list[_Node]:
+def _beside(start: _Node, body: _Node, least: float) -> list[_Node]:
     """start and all blocks beside its path from the body that reach the path's threshold, in page order."""
     path = _path(start, body)
-    if not path:
-        return [start]
-    least = min(x.density for x in [*path, body])
     share = body.linked / body.chars
     out = [start]
     for k, above in enumerate([*path[1:], body]):
@@ -239,15 +333,15 @@ def _beside(start: _Node, body: _Node) -> list[_Node]:
                 side, heads = after, []
             elif isinstance(x, str):
                 n = len(" ".join(x.split()))
-                if n and n * math.log(n + 1) / math.log(share * n + math.e) >= least:
+                if n and _density(n, 0, 0, 0, share) >= least:
                     text = _Node("", None, False)
                     text.kids.append(x)
                     side += [*heads, text]
                 heads = heads if not n else []
-            elif _reaches(x, least):
+            elif _reaches(x, least, start.weight):
                 side += [*heads, x]
                 heads = []
-            elif x.name in _HEADINGS and not x.dropped:
+            elif x.name in _HEADINGS and not x.dropped and not x.marked:
                 heads.append(x)
             elif x.chars and not x.dropped:
                 heads = []
@@ -255,38 +349,29 @@ def _beside(start: _Node, body: _Node) -> list[_Node]:
     return out
 
 
-def _walk(node: _Node):
-    todo = [node]
-    while todo:
-        x = todo.pop()
-        yield x
-        todo += [k for k in x.kids if isinstance(k, _Node) and not k.dropped]
-
-
-def _text(node: _Node) -> str:
-    """Blocks in page order, each with white space made one space, joined by one space."""
+def _text(node: _Node, least: float) -> str:
+    """Blocks in page order, each with white space made one space, joined by one space; without marked subtrees under the threshold."""
     parts: list[str] = []
     todo: list = [node]
     while todo:
         x = todo.pop()
         if isinstance(x, str):
             parts.append(x)
-        elif not x.dropped:
+        elif not x.dropped and (x is node or not x.marked or x.density * x.weight / node.weight >= least):
             gap = x.name in _BLOCKS or x.name == "br"
             if gap:
                 parts.append("\n")
                 todo.append("\n")
             todo += reversed(x.kids)
-    return " ".join(html.unescape("".join(parts)).split())
+    return " ".join("".join(parts).split())
 
 
 def main_text(page: str | None) -> str:
     """The main text of one page; empty if there is none."""
     if not page:
         return ""
-    root = parse(page)
-    _measure(root)
-    return " ".join(t for t in map(_text, _select(root)) if t)
+    chosen, least = _select(_measure(parse(page)))
+    return " ".join(t for t in (_text(x, least) for x in chosen) if t)
 
 
 def _run(batches):

@@ -1,5 +1,7 @@
 import html
+import random
 import re
+import time
 
 import pytest
 
@@ -32,8 +34,79 @@ def test_pages(page, want):
     assert main_text(page) == want
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<body><nav><a href=1>x</a></nav><div class='content no-sidebar'><p>{LONG}</p><p>{LONG}</p></div><footer>foot</footer></body>", f"{LONG} {LONG}"),
+        (f"<body class=has-sidebar><div class='ad-free'><h1>T</h1><p>{LONG}</p><p>{LONG}</p></div><div class='sidebar'><p>{LONG}</p></div></body>", f"T {LONG} {LONG}"),
+        (f"<body><div class=share><h1>T</h1><p>{LONG}</p><p>{LONG}</p></div><div class=footer>foot</div></body>", f"T {LONG} {LONG}"),
+        (f"<body><div id=top><a href=1>Home</a> <a href=2>About us</a></div><div><h1>T</h1><p>{LONG}</p><p>so</p><p>{LONG}</p><div class=comments><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div></div></body>", f"T {LONG} so {LONG}"),
+        ("<p>Q&<em>not</em></p>", "Q&not"),
+        ("<p>a &lt;<b>b</b></p>", "a <b"),
+        ("<p>text</p><!-- left open <p>no", "text"),
+        ("<p>text</p><![CDATA[ &amp; ]]>", "text &amp;"),
+    ],
+)
+def test_density_decides(page, want):
+    """No element is taken for its name, and no dense subtree leaves for a class name."""
+    assert main_text(page) == want
+
+
+def brute(page):
+    """The densest subtree of a well-formed page, by the formulas and nothing else: sums over all pairs of a node and a child."""
+    import math
+    import xml.etree.ElementTree as tree
+
+    body = tree.fromstring(page).find("body")
+    blocks = {"div", "p", "h1", "ul", "li", "section", "article"}
+    squash = lambda x: " ".join((x or "").split())
+    own = lambda e: [squash(e.text), *(squash(k.tail) for k in e)]
+    chars = lambda e: sum(len(t) for x in e.iter() for t in own(x))
+    linked = lambda e: sum(chars(x) for x in e.iter("a"))
+    share = linked(body) / chars(body)
+
+    def density(e):
+        n, m = chars(e), linked(e)
+        tags, links = len(list(e.iter())) - 1, len([x for x in e.iter("a") if x is not e])
+        return n / max(tags, 1) * math.log(n / max(m, 1) * max(tags, 1) / max(links, 1) + 1) / math.log(n / max(n - m, 1) * m + share * n + math.e) if n else 0.0
+
+    best = max((e for e in body.iter()), key=lambda e: sum(density(k) for k in e if k.tag in blocks))
+    return squash(" ".join(t for x in best.iter() for t in (x.text or "", x.tail or "") if x is not best or t is x.text)), sum(density(k) for k in best if k.tag in blocks)
+
+
+def test_selection_equals_brute_force():
+    """Random well-formed pages: the node that was selected first is the one of maximum density sum."""
+    from seqprep.llm.op10_extraction import _measure, parse
+
+    rng = random.Random(5)
+    words = lambda n: " ".join(rng.choice("alpha beta gamma delta epsilon zeta".split()) for _ in range(n))
+
+    def block(depth):
+        kind = rng.randrange(6 if depth else 3)
+        if kind == 0:
+            return f"<p>{words(rng.randrange(1, 60))} <b>{words(2)}</b></p>"
+        if kind == 1:
+            return "<ul>" + "".join(f"<li><a>{words(2)}</a></li>" for _ in range(rng.randrange(1, 6))) + "</ul>"
+        if kind == 2:
+            return f"<h1>{words(4)}</h1>"
+        return f"<{(tag := rng.choice(['div', 'section', 'article']))}>" + "".join(block(depth - 1) for _ in range(rng.randrange(1, 5))) + f"</{tag}>"
+
+    for _ in range(200):
+        page = "<html><body>" + "".join(block(3) for _ in range(rng.randrange(1, 5))) + "</body></html>"
+        nodes = _measure(parse(page))
+        assert max(x.sum for x in nodes) == pytest.approx(brute(page)[1])
+
+
+@pytest.mark.parametrize("page", ["<a " * 333_000, '<a href="' * 120_000, '<a href="' * 120_000 + ">", "<b>" * 20_000 + "<p>x</p>" * 20_000, "<div>" * 20_000 + "</span>" * 20_000, "<a '\">" * 100_000, "<" * 500_000, "<!--" * 100_000, '<a "<a >" ' * 50_000 + "'x>"])
+def test_broken_markup_is_read_once(page):
+    start = time.perf_counter()
+    main_text(page)
+    assert time.perf_counter() - start < 5
+
+
 def test_deep_and_broken_pages_end():
     assert main_text("<div>" * 20_000 + "deep") == "deep"
+    assert main_text("<div>" * 20_000 + "deep" + "</div>" * 19_999 + "<p>after</p>") == "deep after"
     assert main_text("<p " * 20_000)
     assert len(main_text("<p>word</p>" * 20_000)) == 20_000 * 5 - 1
 
