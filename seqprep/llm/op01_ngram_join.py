@@ -1,11 +1,11 @@
 """N-gram Jaccard join: near-duplicate documents by MinHash banding, verified on full sets of word n-grams.
 
-Documents with equal n-gram sets form one class; only the smallest id of each goes on. BANDS bands of ROWS minimum hashes
-miss a pair at the threshold with probability (1 - 0.8**4)**20 = 3e-5, and fewer still as members of one chain of bands
-are all compared. Bands are dealt by hash; each bucket is a star to its smallest id (a grouped minimum and a join, no pairs), and the
+Documents with equal n-gram sets form one class; only the smallest id of each goes on, and of those only sets that are large enough to link with a different one. BANDS bands of ROWS minimum
+hashes miss a pair at the threshold with probability (1 - 0.8**6)**34 = 3e-5, and fewer still as members of one chain of bands
+are all compared; pairs at 0.5 meet with probability 0.4, at 0.3 with 0.02. Bands are dealt by hash; each bucket is a star to its smallest id (a grouped minimum and a join, no pairs), and the
 components of the stars are the blocks of verification: each class's n-gram set is sent once for each block pair it is in,
-never once for each band. A component with many n-grams is cut into parts, and each pair of parts is a task of bounded size,
-so that a hot group is spread over the cluster. A task compares all of its classes by matrix products over shared n-grams,
+never once for each band. A component with many sets or n-grams is cut by size, as sets whose sizes differ by more than the threshold can't link, and into parts of PART_SETS sets and PART_GRAMS n-grams; each
+pair of parts that can link is a task of bounded size, so that a hot group is spread over the cluster. A task compares all of its classes by matrix products over shared n-grams,
 and returns link counts and a spanning forest of its links, never the pairs.
 """
 
@@ -16,16 +16,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import components, old_ids, partitions, table, unique_ids
 from .textkernel import mix, signed, texts
 
 _U = np.uint64
-BANDS, ROWS = 20, 4
-#: N-grams in one part of a component.
-PART_GRAMS = 200_000
+BANDS, ROWS = 34, 6
+#: N-grams and sets in one part of a component.
+PART_GRAMS, PART_SETS = 200_000, 256
 #: Columns of a matrix product.
 _COLUMNS = 4096
 
@@ -49,7 +49,7 @@ def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, np.ndarray]]
 def _signatures(width: int, bands: int, rows: int):
     rng = np.random.default_rng(20240601)
     k = bands * rows
-    mult = (rng.integers(1, 1 << 63, k, dtype=np.int64).astype(_U) * _U(2) + _U(1))[:, None]
+    mult = (rng.integers(0, 1 << 31, (2, k, 1), dtype=np.int64).astype(np.uint32) * np.uint32(2)) + np.uint32(1)
     fold = (rng.integers(1, 1 << 63, rows, dtype=np.int64).astype(_U) * _U(2) + _U(1))[None, :]
     number = np.arange(bands, dtype=_U) * _U(0x9E3779B97F4A7C15)
 
@@ -63,13 +63,13 @@ def _signatures(width: int, bands: int, rows: int):
                 filled[row] = True
                 size[row] = len(h)
                 key[row] = np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), np.int64)
-                least = np.full(k, _U((1 << 64) - 1))
-                for at in range(0, len(h), 2048):
-                    x = h[at : at + 2048] * mult
-                    x ^= x >> _U(31)
-                    x *= mult
+                least, high = np.full(k, np.uint32((1 << 32) - 1)), (h >> _U(32)).astype(np.uint32)
+                for at in range(0, len(h), 1024):
+                    x = high[at : at + 1024] * mult[0]
+                    x ^= x >> np.uint32(15)
+                    x *= mult[1]
                     least = np.minimum(least, x.min(axis=1))
-                made[row] = mix((least.reshape(bands, rows) * fold).sum(axis=1, dtype=_U) + number)
+                made[row] = mix((least.astype(_U).reshape(bands, rows) * fold).sum(axis=1, dtype=_U) + number)
             keep = pa.array(filled)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), pa.array(signed(made.reshape(-1))))
             out = pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(key[:, 0].copy()), pa.array(key[:, 1].copy()), pa.array(size), lists], names=["doc_id", "k1", "k2", "size", "bands"])
@@ -133,18 +133,18 @@ _FOUND = "doc_id long, other long, n_links long"
 
 
 def _verify(threshold: float):
-    """Rows sorted by block; a block is (component, part, other part): (doc_id, null, links found in it) and (doc_id, other, null) for a spanning forest."""
+    """Rows sorted by block; a block is (component, part, other part), its sides the two parts: (doc_id, null, links found in it) and (doc_id, other, null) for a spanning forest."""
     num, den = int(round(threshold * 1000)), 1000
 
-    def solve(rows):
+    def solve(rows, cross):
         ids = np.array([r[0] for r in rows], np.int64)
-        sets, copies, part = [r[1] for r in rows], np.array([r[2] for r in rows], np.int64), np.array([r[3] for r in rows])
+        sets, copies, side = [r[1] for r in rows], np.array([r[2] for r in rows], np.int64), np.array([r[3] for r in rows])
         both = overlaps(sets)
         size = np.array([len(s) for s in sets], np.int64)
         linked = both * (num + den) >= num * (size[:, None] + size[None, :])  # J >= t, J = both / (sum - both)
         np.fill_diagonal(linked, False)
-        if len(np.unique(part)) > 1:
-            linked &= part[:, None] != part[None, :]  # within a part: in the block of that part with itself
+        if cross:
+            linked &= side[:, None] != side[None, :]  # within a part: in the block of that part with itself
         links = linked @ copies
         a, b = np.nonzero(np.triu(linked))
         hit = np.flatnonzero(links)
@@ -160,25 +160,52 @@ def _verify(threshold: float):
         held, last, found = [], None, []
         for batch in batches:
             block = list(zip(*(batch.column(c).to_pylist() for c in ("component", "p", "q")), strict=True))
-            ids, copies, part = (batch.column(c).to_pylist() for c in ("doc_id", "copies", "part"))
+            ids, copies, side = (batch.column(c).to_pylist() for c in ("doc_id", "copies", "side"))
             lists = batch.column("grams")
             for k in range(batch.num_rows):
                 if block[k] != last:
                     if len(held) > 1:
-                        found.append(solve(held))
+                        found.append(solve(held, last[1] != last[2]))
                     if len(found) > 500:
                         yield out(found)
                         found = []
                     held, last = [], block[k]
-                held.append((ids[k], np.array(lists[k].values.to_numpy()).view(_U), copies[k], part[k]))
+                held.append((ids[k], np.array(lists[k].values.to_numpy()).view(_U), copies[k], side[k]))
         if len(held) > 1:
-            found.append(solve(held))
+            found.append(solve(held, last[1] != last[2]))
         if found:
             yield out(found)
 
     return run
 
 
+def block_pairs(members: DataFrame, threshold: float) -> DataFrame:
+    """doc_id, copies and the blocks (component, p, q) of each row of members(doc_id, component, size, copies), with the row's side in the block.
+
+    p and q are numbers of a size class and a part in it. Components within the bounds of a part are one block.
+    """
+    size = members.groupBy("component").agg(_parts().alias("whole"))
+    base = float(np.log(1.0001 / threshold))  # sets that can link are in one size class or in neighbours
+    cell = F.when(F.col("whole") > 1, F.floor(F.log("size") / base)).otherwise(0).cast("long")
+    celled = members.join(size, "component").withColumn("cell", cell)
+    w = Window.partitionBy("component").orderBy("cell").rangeBetween(1, 1)  # a component has few size classes
+    cells = celled.groupBy("component", "cell").agg(_parts().alias("parts")).withColumn("above", F.coalesce(F.max("parts").over(w), F.lit(0)))
+    cells = cells.withColumn("below", F.coalesce(F.max("parts").over(Window.partitionBy("component").orderBy("cell").rangeBetween(-1, -1)), F.lit(0)))
+    at = lambda cell, part: F.shiftleft(cell, 32) + part
+    here = at(F.col("cell"), F.col("part"))
+    pair = lambda p, q, side: F.struct(p.alias("p"), q.alias("q"), side.cast("int").alias("side"))
+    upto = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
+    own = F.transform(upto("parts"), lambda x: pair(at(F.col("cell"), F.least("part", x)), at(F.col("cell"), F.greatest("part", x)), (F.col("part") > x)))
+    above = F.transform(upto("above"), lambda x: pair(here, at(F.col("cell") + 1, x), F.lit(0)))
+    below = F.transform(upto("below"), lambda x: pair(at(F.col("cell") - 1, x), here, F.lit(1)))
+    dealt = celled.join(cells, ["component", "cell"]).withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts").cast("int"))
+    return dealt.select("doc_id", "copies", "component", F.explode(F.concat(own, above, below)).alias("x")).select("doc_id", "copies", "component", "x.p", "x.q", "x.side")
+
+
+def _parts():
+    return F.greatest(F.ceil(F.sum("size") / PART_GRAMS), F.ceil(F.count("*") / PART_SETS)).cast("int")
+
+
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per document: doc_id, class_id, copy_id, n_links, kept.
 
@@ -193,13 +220,12 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     signed_rows = table(base.mapInArrow(_signatures(width, bands, rows), "doc_id long, k1 long, k2 long, size int, bands array<long>"))
     classes = table(signed_rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("copies")))
     firsts = signed_rows.join(classes, (signed_rows.doc_id == classes.copy_id) & (signed_rows.k1 == classes.k1) & (signed_rows.k2 == classes.k2)).select("doc_id", "size", "copies", "bands")
-    buckets = firsts.select("doc_id", F.posexplode("bands").alias("band", "h"))
+    least = int(np.ceil(threshold / (1 - threshold) - 1e-9)) if threshold < 1 else 1 << 31  # a smaller set and a different one have a union too large to link
+    buckets = firsts.where(F.col("size") >= least).select("doc_id", F.posexplode("bands").alias("band", "h"))
     stars = buckets.groupBy("band", "h").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").select("band", "h", "least")
     blocks = table(components(buckets.join(stars, ["band", "h"]).where("doc_id <> least").select(F.col("doc_id").alias("u"), F.col("least").alias("v"))))
     members = table(firsts.drop("bands").join(blocks.withColumnRenamed("id", "doc_id"), "doc_id"))
-    parts = members.groupBy("component").agg(F.ceil(F.sum("size") / PART_GRAMS).cast("int").alias("parts"))
-    dealt = members.join(parts, "component").withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts").cast("int"))
-    pairs = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("doc_id", "copies", "component", "part", F.least("part", "with").alias("p"), F.greatest("part", "with").alias("q"))
+    pairs = block_pairs(members, threshold)
     sets = base.join(members.select("doc_id"), "doc_id", "left_semi").mapInArrow(_gram_sets(width), "doc_id long, grams array<long>")
     found = table(sets.join(pairs, "doc_id").repartition(n, "component", "p", "q").sortWithinPartitions("component", "p", "q").mapInArrow(_verify(threshold), _FOUND))
     links = found.where("other is null").groupBy("doc_id").agg(F.sum("n_links").alias("links")).withColumnRenamed("doc_id", "l_id")
