@@ -5,7 +5,8 @@ neighbouring trigrams are not independent), the declared markup language, the ad
 host's prior. Declared languages and suffixes count through their grouped confusion with the text's own best guess over
 all rows, so a label that is often wrong weighs little. Host priors are smoothed hierarchically: all rows, then the domain, then
 the host, each drawn towards the one above by STRENGTH rows. Trigram counts are hashed to BUCKETS cells for each declared language and summed
-over all rows; languages below LEAST_SHARE of the rows share one model, OTHER, which bounds the model at BUCKETS x (1 / LEAST_SHARE + 1) cells.
+over all rows. Every language that LEAST rows declare has its own model, whatever its share of the rows; those declared by fewer share one, OTHER. Language codes have two or three letters,
+so there are 18,252 models at most, of 32 KB each.
 """
 
 from __future__ import annotations
@@ -21,8 +22,9 @@ from .op10_extraction import main_text
 from .textkernel import _U, flat, pieces
 
 BUCKETS = 1 << 13
-LEAST_SHARE = 0.002
-#: The language of the declared languages below LEAST_SHARE, longer than any label.
+#: Rows that declare a language, for it to have a model.
+LEAST = 3
+#: The language of the declared languages with fewer rows, longer than any label.
 OTHER = "other"
 STRENGTH = 20.0
 #: Trigrams that count in full; the log-likelihood of a longer text is scaled down to as many.
@@ -33,12 +35,15 @@ _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
-def _trigrams(batch: pa.RecordBatch, extract: bool):
+def _extract(batches):
+    for b in batches:
+        text = pa.array([main_text(x) for x in b.column("text").to_pylist()], pa.string())
+        yield pa.RecordBatch.from_arrays([text, *b.columns[1:]], names=b.schema.names)
+
+
+def _trigrams(batch: pa.RecordBatch):
     """(first row, last row, row of each trigram, its cell): byte trigrams with two letters or more of the lower-case text."""
-    column = batch.column("text")
-    if extract:
-        column = pa.array([main_text(x) for x in column.to_pylist()], pa.large_string())
-    data, offsets = flat(pc.utf8_lower(pc.fill_null(column.cast(pa.large_string()), "")))
+    data, offsets = flat(pc.utf8_lower(pc.fill_null(batch.column("text").cast(pa.large_string()), "")))
     for a, b in pieces(offsets, 1 << 19):
         d, o = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         if len(d) < 3:
@@ -51,13 +56,13 @@ def _trigrams(batch: pa.RecordBatch, extract: bool):
         yield a, b, row[2:][ok], cell[ok].astype(np.int64)
 
 
-def _counts(languages: list[str], extract: bool):
+def _counts(languages: list[str]):
     def run(batches):
         total = np.zeros((len(languages), BUCKETS), np.int64)
         index = {x: k for k, x in enumerate(languages)}
         for batch in batches:
             of = np.array([-1 if x is None else index.get(x, index.get(OTHER, -1)) for x in batch.column("declared").to_pylist()])
-            for a, b, row, cell in _trigrams(batch, extract):
+            for a, b, row, cell in _trigrams(batch):
                 k = of[a:b][row]
                 total += np.bincount(k[k >= 0] * BUCKETS + cell[k >= 0], minlength=total.size).reshape(total.shape)
         lang, cell = np.nonzero(total)
@@ -66,13 +71,13 @@ def _counts(languages: list[str], extract: bool):
     return run
 
 
-def _likelihoods(shared, extract: bool):
+def _likelihoods(shared):
     def run(batches):
         model = shared.value
         for batch in batches:
             n = np.zeros(batch.num_rows, np.int64)
             ll = np.zeros((batch.num_rows, len(model)))
-            for a, b, row, cell in _trigrams(batch, extract):
+            for a, b, row, cell in _trigrams(batch):
                 n[a:b] = np.bincount(row, minlength=b - a)
                 for k, logs in enumerate(model):
                     ll[a:b, k] = np.bincount(row, logs[cell], minlength=b - a)
@@ -97,8 +102,8 @@ def language_id(rows: DataFrame, id_col: str, text: str, declared: str | None =
 
     text, declared, url and host are column names; html: text and markup language are read from pages; declared labels also train
     the trigram models. Null ids, texts, urls and labels are allowed: what is missing is no evidence, and its group is null. kept: the text has trigrams, its language has
-    a posterior of CONFIDENT or more, and the declared language, or OTHER for one below LEAST_SHARE, isn't excluded by the text (a posterior under 1 - 0.999 of being right).
-    Texts like those of the languages below LEAST_SHARE: lang and text_lang are OTHER. Without any declared language: lang null, not kept. Repeated ids: each row is judged alone. No rows: no rows. Other columns are ignored.
+    a posterior of CONFIDENT or more, and the declared language, or OTHER for one of fewer than LEAST rows, isn't excluded by the text (a posterior under 1 - 0.999 of being right).
+    Texts like those of the languages of fewer rows: lang and text_lang are OTHER. Without any declared language: lang null, not kept. Repeated ids: each row is judged alone. No rows: no rows. Other columns are ignored.
     """
     spark = rows.sparkSession
     given = lambda c: F.col(c).cast("string") if c else F.lit(None).cast("string")
@@ -108,10 +113,11 @@ def language_id(rows: DataFrame, id_col: str, text: str, declared: str | None =
     some = lambda c: F.when(c == "", None).otherwise(c)
     base = rows.select(F.col(id_col).cast("long").alias("id"), given(text).alias("text"), some(F.lower(label)).alias("declared"), some(address).alias("host"), path.alias("path"))
     domain = F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)
+    if html:  # extracted once
+        base = table(base.select("text", "id", "declared", "host", "path").mapInArrow(_extract, "text string, id long, declared string, host string, path string"))
     base = base.withColumn("domain", F.when(domain == "", F.col("host")).otherwise(domain)).withColumn("suffix", F.concat_ws("/", F.regexp_extract("host", r"\.([^.]+)$", 1), "path"))
     sizes = base.groupBy("declared").agg(F.count("*").alias("n"))
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    languages = [r[0] for r in sizes.where(F.col("declared").isNotNull() & (F.col("n") >= max(1.0, LEAST_SHARE * total))).orderBy("declared").collect()]  # 1 / LEAST_SHARE at most
+    languages = [r[0] for r in sizes.where(F.col("declared").isNotNull() & (F.col("n") >= LEAST)).orderBy("declared").collect()]  # codes of two or three letters
     frequent = list(languages)
     if sizes.where(F.col("declared").isNotNull() & ~F.col("declared").isin(frequent)).limit(1).count():
         languages.append(OTHER)
@@ -121,12 +127,12 @@ def language_id(rows: DataFrame, id_col: str, text: str, declared: str | None =
         return out(base.select("id", "host", "declared", F.lit(0).cast("long").alias("n_trigrams"), none.alias("text_lang"), none.alias("lang"), F.lit(0.0).alias("prob"), F.lit(False).alias("kept")))
     size = len(languages)
     model = np.zeros((size, BUCKETS))
-    for r in base.select("text", "declared").mapInArrow(_counts(languages, html), "k int, cell int, n long").groupBy("k", "cell").agg(F.sum("n").alias("n")).toPandas().itertuples(index=False):  # a bounded table
+    for r in base.select("text", "declared").mapInArrow(_counts(languages), "k int, cell int, n long").groupBy("k", "cell").agg(F.sum("n").alias("n")).toPandas().itertuples(index=False):  # a bounded table
         model[r.k, r.cell] = r.n
     even = model.sum(axis=0) / max(model.sum(), 1)
-    model = np.log((model + 50 * even + 1e-3) / (model.sum(axis=1, keepdims=True) + 50 + 1e-3 * BUCKETS))
+    model = np.log((model + 50 * even + 1e-3) / (model.sum(axis=1, keepdims=True) + 50 + 1e-3 * BUCKETS)).astype(np.float32)
     shared = spark.sparkContext.broadcast(model)
-    scored = table(base.select("id", "declared", "host", "domain", "suffix", "text").mapInArrow(_likelihoods(shared, html), "id long, declared string, host string, domain string, suffix string, n long, ll array<double>"))
+    scored = table(base.select("id", "declared", "host", "domain", "suffix", "text").mapInArrow(_likelihoods(shared), "id long, declared string, host string, domain string, suffix string, n long, ll array<double>"))
     guess = F.array_position("ll", F.array_max("ll")).cast("int") - 1
     scored = scored.withColumn("guess", F.when(F.col("n") > 0, guess))
     all_ = np.array(_tally(scored.where("guess is not null"), [], size).first()[0]) if scored.where("guess is not null").limit(1).count() else np.full(size, 1 / size)
@@ -141,9 +147,10 @@ def language_id(rows: DataFrame, id_col: str, text: str, declared: str | None =
     ratio = lambda p: F.transform(p, lambda x, k: F.log(x / prior[k]))
     by_label = _tally(scored.withColumn("_all", prior), ["declared"], size, "_all").select(F.col("declared").alias("l_declared"), ratio(F.col("p")).alias("l_r"))
     by_suffix = _tally(scored.withColumn("_all", prior), ["suffix"], size, "_all").select(F.col("suffix").alias("s_suffix"), ratio(F.col("p")).alias("s_r"))
+    # by_label has a row for each code, 18,252 at most
     joined = (
         scored.join(by_host, F.col("host").eqNullSafe(F.col("h_host")), "left")
-        .join(by_label, F.col("declared").eqNullSafe(F.col("l_declared")), "left")
+        .join(F.broadcast(by_label), F.col("declared").eqNullSafe(F.col("l_declared")), "left")
         .join(by_suffix, F.col("suffix").eqNullSafe(F.col("s_suffix")), "left")
     )
     nothing = F.array(*[F.lit(0.0)] * size)
