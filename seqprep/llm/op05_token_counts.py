@@ -2,7 +2,8 @@
 
 Each task collects the distinct pre-tokens it has not met before, puts them in a trie and computes the forward scores of every shared prefix
 once; terminal nodes hold the token counts, which are then looked up for each occurrence and summed by document. What a task
-remembers is bounded by REMEMBERED pre-tokens. No shuffle: documents are independent.
+remembers is bounded by REMEMBERED pre-tokens. Pre-tokens over LONGEST bytes (a script without spaces, encoded data) would fill the trie with prefixes that nothing shares: the same
+forward pass runs over each by itself. No shuffle: documents are independent.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .piece_lattice import DEFAULT_MODEL, LONGEST, PieceTable, Trie, load, nbest, pretokens
+from .piece_lattice import DEFAULT_MODEL, LONGEST, Lattice, PieceTable, Trie, load, pretokens
 from .textkernel import _U
 
 REMEMBERED = 1_000_000
@@ -37,7 +38,7 @@ def _run(shared):
                 short = e - s <= LONGEST
                 fresh[short] = Trie(d, ranges, s[short], e[short], table).terminals()[0]
                 for k in np.flatnonzero(~short):
-                    fresh[k] = len(nbest(d[s[k] : e[k]].tobytes(), table, 1)[0][1])
+                    fresh[k] = len(Lattice(d[s[k] : e[k]].tobytes(), table).best())
                 n[new] = fresh
                 if len(keys) + len(fresh) > REMEMBERED:
                     keys, counts = h, n

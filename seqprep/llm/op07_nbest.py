@@ -12,13 +12,15 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .piece_lattice import DEFAULT_MODEL, LONGEST, PieceTable, Trie, load, nbest, pretokens
 
 N_BEST = 3
-REMEMBERED = 200_000
+#: Bytes of the lists of segmentations that a task remembers, about.
+REMEMBERED = 64 << 20
 
 
 def combine(lists: list[list[tuple[float, list[int]]]], n: int) -> list[tuple[float, tuple[int, ...]]]:
@@ -42,13 +44,20 @@ def _run(shared, n: int):
     def run(batches):
         table: PieceTable = shared.value
         known: dict[bytes, list] = {}
+        held = 0
 
         def lists(word: bytes):
+            nonlocal held
             got = known.get(word)
             if got is None:
-                if len(known) > REMEMBERED:
+                got = nbest(word, table, n)
+                size = 200 + len(word) + sum(100 + 8 * len(ids) for _, ids in got)
+                if held + size > REMEMBERED:
                     known.clear()
-                got = known[word] = nbest(word, table, n)
+                    held = 0
+                if size <= REMEMBERED >> 4:
+                    known[word] = got
+                    held += size
             return got
 
         for batch in batches:
@@ -120,14 +129,23 @@ def encode(docs: DataFrame, n: int = N_BEST, model: str = DEFAULT_MODEL, id_col:
 
 
 def decode(encoded: DataFrame, model: str = DEFAULT_MODEL, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
-    """encoded with ids replaced by their text; null ids give null, ids outside the vocabulary fail."""
+    """encoded with ids replaced by their text, without the space that encoding adds in front.
+
+    Null ids, null elements and ids outside the vocabulary give null; control ids (begin, end, padding) are nothing, the unknown id is a double question mark, bytes that are no UTF-8
+    are replaced. No rows: no rows; a column with the name of text_col is replaced.
+    """
     shared = encoded.sparkSession.sparkContext.broadcast(load(model))
     names = [c for c in encoded.columns if c not in (ids_col, text_col)]
 
     def run(batches):
         table: PieceTable = shared.value
         for b in batches:
-            out = [None if x is None else table.decode(x) for x in b.column(ids_col).to_pylist()]
+            lists = b.column(ids_col)
+            kind = lists.type.value_type
+            offsets = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+            values = pc.fill_null(pc.list_flatten(lists).cast(kind), -1).to_numpy(zero_copy_only=False)
+            found = table.decode(values, offsets)
+            out = [x if ok else None for x, ok in zip(found, lists.is_valid().to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(out, pa.string())], names=[*names, text_col])
 
     schema = ", ".join([*(f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in names), f"`{text_col}` string"])
@@ -135,6 +153,7 @@ def decode(encoded: DataFrame, model: str = DEFAULT_MODEL, ids_col: str = "ids",
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each text and rank: the number of ids, the score and a hash of the ids."""
+    """For each text and rank: the number of ids, the score, a hash of the ids and one of the text that they decode to."""
     found = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.select("doc_id", "rank", F.round("score", 6).alias("score"), F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"))
+    hashed = found.select("doc_id", "rank", F.round("score", 6).alias("score"), F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"), "ids")
+    return decode(hashed).select("doc_id", "rank", "score", "n_ids", "ids_hash", F.xxhash64("text").alias("text_hash"))

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from .textkernel import _U, Ranges, flat, pieces
 
 FALLBACK = 5.0
-#: Longer pre-tokens are solved one by one, not in the trie.
+#: Longer pre-tokens are solved one by one, not in the trie: the same sums in the same order, so the same result, in time linear in their length.
 LONGEST = 64
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -26,8 +26,8 @@ DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 class PieceTable:
     """Pieces as bytes with their scores, found by hash."""
 
-    def __init__(self, pieces: list[tuple[bytes, int, float]], bytes_: list[int]):
-        """pieces: (bytes, id, score); bytes_: ids of the 256 byte tokens."""
+    def __init__(self, pieces: list[tuple[bytes, int, float]], bytes_: list[int], others: dict[int, bytes] | None = None):
+        """pieces: (bytes, id, score); bytes_: ids of the 256 byte tokens; others: spelling of ids that no text is encoded to."""
         pieces = [p for p in pieces if p[0] and not _crosses(p[0])]
         self.scores_by_piece = {b: (i, s) for b, i, s in pieces}
         self.width = max((len(p[0]) for p in pieces), default=1)
@@ -40,7 +40,12 @@ class PieceTable:
         self.maybe[self.keys >> _U(44)] = True
         self.bytes = np.array(bytes_, np.int64)
         self.fallback = float(self.scores.min() if len(self.scores) else 0.0) - FALLBACK
-        self.spelling = {i: b for b, i, _ in pieces} | {i: bytes([k]) for k, i in enumerate(bytes_)}
+        spelling = {i: b for b, i, _ in pieces} | {i: bytes([k]) for k, i in enumerate(bytes_)} | (others or {})
+        size = max(spelling) + 1
+        self.known = np.zeros(size, bool)
+        self.known[list(spelling)] = True
+        self.ends = np.cumsum([len(spelling.get(i, b"")) for i in range(size)])
+        self.spelled = np.frombuffer(b"".join(spelling.get(i, b"") for i in range(size)), np.uint8)
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Index of each hash in ids and scores, or -1."""
@@ -52,8 +57,18 @@ class PieceTable:
             out[some[hit]] = at[hit]
         return out
 
-    def decode(self, ids) -> str:
-        return b"".join(self.spelling[int(i)] for i in ids).decode("utf-8", "replace")[1:]
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[str | None]:
+        """The text of each list of ids: piece bytes joined, without the first space; bytes that are no UTF-8 are replaced. Null for a list with ids outside the vocabulary."""
+        ids = np.asarray(ids, np.int64)
+        fine = (ids >= 0) & (ids < len(self.known))
+        at = np.where(fine, ids, 0)
+        fine &= self.known[at]
+        size = np.where(fine, np.diff(self.ends, prepend=0)[at], 0)
+        ends = np.cumsum(size)
+        data = self.spelled[np.repeat(self.ends[at] - ends, size) + np.arange(int(ends[-1]) if len(ends) else 0)].tobytes()
+        place = np.concatenate([[0], ends])[offsets].tolist()
+        wrong = np.concatenate([[0], np.cumsum(~fine)])[offsets]
+        return [None if w else data[a:b].decode("utf-8", "replace")[1:] for a, b, w in zip(place[:-1], place[1:], np.diff(wrong).tolist(), strict=True)]
 
 
 def _crosses(piece: bytes) -> bool:
@@ -66,15 +81,19 @@ def load(path: str = DEFAULT_MODEL) -> PieceTable:
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    found, bytes_ = [], [0] * 256
+    found, bytes_, others = [], [0] * 256, {}
     for i in range(model.get_piece_size()):
         piece = model.id_to_piece(i)
         if model.is_byte(i):
             bytes_[int(piece[3:5], 16)] = i
-        elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
+        elif model.is_unknown(i):
+            others[i] = " \u2047 ".encode()
+        elif model.is_control(i) or model.is_unused(i):
+            others[i] = b""
+        else:
             found.append((piece.replace("▁", " ").encode(), i, -model.get_score(i)))
     found.sort(key=lambda x: x[2])
-    return PieceTable([(b, i, -float(np.log(rank + 2))) for rank, (b, i, _) in enumerate(found)], bytes_)
+    return PieceTable([(b, i, -float(np.log(rank + 2))) for rank, (b, i, _) in enumerate(found)], bytes_, others)
 
 
 def pretokens(batch: pa.RecordBatch, name: str = "text", most: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, Ranges]]:
@@ -173,41 +192,96 @@ class Trie:
         return ids, offsets
 
 
+class Lattice:
+    """The pieces that end at each place of one pre-token, longer ones first, and the best forward scores, by the trie's sums. Time and memory are linear in its length."""
+
+    def __init__(self, word: bytes, table: PieceTable):
+        n = self.size = len(word)
+        data = np.frombuffer(word, np.uint8)
+        ranges = Ranges(data)
+        ends, sizes, ids, scores = [], [], [], []
+        for size in range(min(n, table.width), 0, -1):
+            end = np.arange(size, n + 1)
+            found = table.find(ranges.hashes(end - size, end))
+            if size == 1:
+                hit = np.arange(len(end))
+                some = found >= 0
+                own = np.where(some, table.ids[found], table.bytes[data]) if len(table.ids) else table.bytes[data]
+                score = np.where(some, table.scores[found], table.fallback) if len(table.ids) else np.full(n, table.fallback)
+            else:
+                hit = np.flatnonzero(found >= 0)
+                own, score = table.ids[found[hit]], table.scores[found[hit]]
+            ends.append(end[hit])
+            sizes.append(np.full(len(hit), size))
+            ids.append(own)
+            scores.append(score)
+        end, size = (np.concatenate(x) if n else np.zeros(0, np.int64) for x in (ends, sizes))
+        o = np.argsort(end, kind="stable")
+        self.at = np.searchsorted(end[o], np.arange(n + 2)).tolist()
+        self.start = (end - size)[o].tolist()
+        self.ids, self.scores = (np.concatenate(x)[o].tolist() if n else [] for x in (ids, scores))
+        forward, back = [0.0] * (n + 1), [0] * (n + 1)
+        at, start, score = self.at, self.start, self.scores
+        for e in range(1, n + 1):
+            most, which = -np.inf, 0
+            for k in range(at[e], at[e + 1]):
+                x = forward[start[k]] + score[k]
+                if x > most:
+                    most, which = x, k
+            forward[e], back[e] = most, which
+        self.forward, self.back = forward, back
+
+    def best(self) -> list[int]:
+        """Ids of the best segmentation; ties go to the longer last piece."""
+        out, e = [], self.size
+        while e:
+            out.append(self.ids[self.back[e]])
+            e = self.start[self.back[e]]
+        return out[::-1]
+
+
 def nbest(word: bytes, table: PieceTable, n: int) -> list[tuple[float, list[int]]]:
     """The n best segmentations of a pre-token, best first: (score, ids).
 
     Forward Viterbi scores of the prefixes are the exact cost of what a backward search has still to cover, so A-star from the end pops
-    complete segmentations in falling order. Ties: the longer piece at the end first.
+    complete segmentations in falling order. The frontier holds the best open piece of each partial path: a popped one opens the next best piece beside it and the
+    best piece before it. No place is entered more than n times, so there are n times its length entries at most. Ties (to 1e-9): what was opened last, the longer piece first.
     """
-    size = len(word)
-    edges: list[list[tuple[int, int, float]]] = [[]]
-    forward = [0.0]
-    get = table.scores_by_piece.get
-    for e in range(1, size + 1):
-        here, most = [], -np.inf
-        for s in range(max(0, e - table.width), e):
-            hit = get(word[s:e])
-            if hit is None:
-                if s < e - 1:
-                    continue
-                hit = (int(table.bytes[word[s]]), table.fallback)
-            here.append((s, *hit))
-            if forward[s] + hit[1] > most:
-                most = forward[s] + hit[1]
-        edges.append(here)
-        forward.append(most)
-    heap: list[tuple] = [(-forward[size], 0, size, 0.0, None)]
-    made, out = 0, []
+    lattice = Lattice(word, table)
+    at, start, ids, scores, forward = lattice.at, lattice.start, lattice.ids, lattice.scores, lattice.forward
+    ranked: dict[int, list[int]] = {}
+    heap: list[tuple] = []
+    nodes: list[tuple[int, int]] = [(-1, -1)]  # piece, node after it
+    entered: dict[int, int] = {}
+    out = [(forward[-1], lattice.best())]  # so that ties for the first place are broken as in the trie
+
+    def push(e: int, rank: int, done: float, node: int) -> None:
+        if e not in ranked:
+            ranked[e] = sorted(range(at[e], at[e + 1]), key=lambda k: -round(forward[start[k]] + scores[k], 9))
+        if rank < len(ranked[e]):
+            k = ranked[e][rank]
+            heapq.heappush(heap, (-round(forward[start[k]] + scores[k] + done, 9), -len(nodes), rank, e, done, node))
+
+    if not word:
+        return out
+    push(lattice.size, 0, 0.0, 0)
     while heap and len(out) < n:
-        _, _, at, done, path = heapq.heappop(heap)
-        if at == 0:
-            ids = []
-            while path is not None:
-                ids.append(path[0])
-                path = path[1]
-            out.append((done, ids))
+        _, _, rank, e, done, node = heapq.heappop(heap)
+        k = ranked[e][rank]
+        s = start[k]
+        push(e, rank + 1, done, node)
+        entered[s] = entered.get(s, 0) + 1
+        if entered[s] > n:
+            continue
+        nodes.append((k, node))
+        if s:
+            push(s, 0, done + scores[k], len(nodes) - 1)
             continue
-        for s, i, score in edges[at]:
-            made += 1
-            heapq.heappush(heap, (-(forward[s] + score + done), made, s, done + score, (i, path)))
+        path, x = [], len(nodes) - 1
+        while x:
+            path.append(nodes[x][0])
+            x = nodes[x][1]
+        found = [ids[k] for k in path]
+        if found != out[0][1]:
+            out.append((sum((scores[k] for k in path), 0.0), found))
     return out

@@ -1,7 +1,9 @@
 import itertools
 import math
 import random
+import time
 
+import numpy as np
 import pytest
 
 from seqprep.llm import op07_nbest as o7
@@ -38,7 +40,7 @@ def test_nbest_is_exact(table):
         got = pl.nbest(word, table, 5)
         assert [round(s, 9) for s, _ in got] == [round(s, 9) for s in every[:5]]
         assert len({tuple(i) for _, i in got}) == len(got)
-        assert all(b"".join(table.spelling[i] for i in ids) == word for _, ids in got)
+        assert table.decode(np.concatenate([ids for _, ids in got]), np.cumsum([0, *(len(ids) for _, ids in got)])) == [word.decode()[1:]] * len(got)
 
 
 def test_counts_match_single_words(spark, table):
@@ -68,7 +70,71 @@ def test_nbest_of_texts(spark, table):
     every = [sorted((s for s, _ in segmentations(w, table)), reverse=True)[:3] for w in (b" hello", b" world")]
     want = sorted((a + b for a, b in itertools.product(*every)), reverse=True)[:3]
     assert [round(rows[2, k][0], 9) for k in (1, 2, 3)] == [round(x, 9) for x in want]
+    spelled = {i: s for i, s in table.scores_by_piece.values()}
     for (doc, rank), (score, ids) in rows.items():
-        exact = sum(next((s for s in [table.scores_by_piece.get(table.spelling[i], (0, table.fallback))[1]])) for i in ids)
+        exact = sum(next((s for s in [spelled.get(i, table.fallback)])) for i in ids)
         assert math.isclose(score, exact, abs_tol=1e-6), (doc, rank)
     assert len({ids for _, ids in rows.values()}) == len(rows)
+
+
+def best_lists(word: bytes, table, n: int):
+    """The n best scores by a list at every place, without any search."""
+    lists = [[0.0]]
+    for e in range(1, len(word) + 1):
+        here = []
+        for s in range(max(0, e - table.width), e):
+            hit = table.scores_by_piece.get(word[s:e], (0, table.fallback) if s == e - 1 else None)
+            if hit is not None:
+                here += [x + hit[1] for x in lists[s]]
+        lists.append(sorted(here, reverse=True)[:n])
+    return lists[-1]
+
+
+@pytest.mark.parametrize("size", [1, 63, 64, 65, 200, 3000])
+def test_long_words_are_exact(table, size):
+    rng = random.Random(size)
+    for letters in ("abteingoes", "漢字日本語", "x"):
+        word = "".join(rng.choice(letters) for _ in range(size)).encode()[:size]
+        got = pl.nbest(word, table, 4)
+        want = best_lists(word, table, 4)
+        assert np.allclose([s for s, _ in got], want, atol=1e-6) and len({tuple(i) for _, i in got}) == len(want)
+
+
+def test_the_trie_and_the_lattice_agree(table):
+    """Both sides of LONGEST: the same segmentation, ties included, and the same score to the last bit."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abteingo é漢") for _ in range(rng.randrange(1, 40))).replace(" ", "").encode()[:64] or b"a" for _ in range(80)] + [b"a" * k for k in range(1, 65)]
+    data = np.frombuffer(b"".join(words), np.uint8)
+    ends = np.cumsum([len(w) for w in words])
+    trie = pl.Trie(data, pl.Ranges(data), ends - [len(w) for w in words], ends, table)
+    _, best, gap = trie.terminals()
+    ids, offsets = trie.segmentations()
+    for k, w in enumerate(words):
+        got = pl.nbest(w, table, 2)
+        assert got[0] == (best[k], ids[offsets[k] : offsets[k + 1]].tolist())
+        assert len(got) == 1 and not np.isfinite(gap[k]) or abs(got[0][0] - got[1][0] - gap[k]) < 1e-9
+
+
+def test_a_megabyte_without_spaces(spark, table):
+    rng = random.Random(2)
+    text = "".join(rng.choice("abteingoes漢字") for _ in range(700_000))
+    start = time.perf_counter()
+    docs = spark.createDataFrame([(1, text), (2, "x" * 100_000)], "doc_id long, text string")
+    counts = {r.doc_id: r.n_tokens for r in token_counts(docs).collect()}
+    found = o7.decode(o7.encode(docs)).collect()
+    assert {(r.doc_id, r.rank) for r in found} == {(d, k) for d in (1, 2) for k in (1, 2, 3)}
+    assert all(r.text == (text if r.doc_id == 1 else "x" * 100_000) for r in found) and counts[1] > 100_000
+    assert time.perf_counter() - start < 120
+
+
+def test_clashing_names_and_odd_ids(spark):
+    schema = "doc_id long, text string, rank string, score string, ids string, n_tokens string"
+    df = spark.createDataFrame([(None, "a b", "", "", "", ""), (1, "a b", "", "", "", ""), (1, None, "", "", "", "")], schema)
+    found = o7.encode(df)
+    assert found.columns == ["doc_id", "rank", "score", "ids"] and found.count() == 6
+    assert sorted((r.doc_id is None, r.n_tokens > 0) for r in token_counts(df).collect()) == [(False, False), (False, True), (True, True)]
+    assert o7.encode(df.limit(0)).collect() == [] and o7.decode(found.limit(0)).collect() == []
+    first = found.where("rank = 1").first().ids
+    odd = spark.createDataFrame([(0, None, "x"), (1, [], "x"), (2, [10**8], "x"), (3, [-5], "x"), (4, [None], "x"), (5, [1, *first, 2], "x"), (6, [0], "x")], "k int, ids array<int>, text string")
+    got = {r.k: r.text for r in o7.decode(odd).collect()}
+    assert (got[0], got[1], got[2], got[3], got[4], got[5]) == (None, "", None, None, None, "a b") and "\u2047" in got[6]
