@@ -1,72 +1,19 @@
-"""Shared helpers: tables in the cluster's shared folder, unique row ids, connected components."""
+"""Shared helpers: unique row ids, boxed rows, connected components."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_WRITTEN: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='seqprep-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def table(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage and survives the loss of executors.
-
-    The files are removed when the driver ends, or by cleanup().
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/seqprep/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
+from ..plans.storage import cleanup, new_path, numbered, shared_dir, table
 
-def cleanup() -> None:
-    """Delete the tables written so far; results that read them can't be used afterwards."""
-    while _WRITTEN:
-        spark, path = _WRITTEN.pop()
-        try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # noqa: BLE001  the session may be gone at exit
-            return
-
-
-atexit.register(cleanup)
+__all__ = ["boxed", "chosen", "cleanup", "components", "new_path", "numbered", "old_ids", "partitions", "shared_dir", "table", "unique_ids"]
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def numbered(df: DataFrame, order: list) -> DataFrame:
-    """df with _seq: 0, 1, 2, ... in the given order. A range-partitioned sort, then an offset for each partition."""
-    spark = df.sparkSession
-    rows = table(df.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()))
-    part = F.shiftright("_m", 33)
-    sizes = rows.groupBy(part.alias("_p")).agg(F.count("*").alias("_n"))  # one row a partition
-    offsets = sizes.select("_p", (F.sum("_n").over(_before("_p")) - F.col("_n")).alias("_o"))
-    return rows.withColumn("_p", part).join(F.broadcast(offsets), "_p").withColumn("_seq", F.col("_o") + F.col("_m").bitwiseAND((1 << 33) - 1)).drop("_m", "_p", "_o")
-
-
-def _before(column: str):
-    from pyspark.sql import Window
-
-    return Window.orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
-
-
 def unique_ids(df: DataFrame, key: str, *more: str) -> tuple[DataFrame, DataFrame | None]:
     """(df with a unique, not null long id in key, None), or (df renumbered in key's order, the table of _seq and the old key).
 

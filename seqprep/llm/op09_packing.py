@@ -1,11 +1,10 @@
 """Variable-capacity best-fit packing of documents into training sequences of several permitted lengths.
 
-Documents are dealt by hash to shards of about SHARD pieces, so that a shard's bins fit in one task whatever the number of documents. A shard packs its pieces in
+Pieces are dealt by their place in the table to shards of about SHARD pieces, so that a shard's bins fit in one task whatever the number of documents, and rows alike in id and length are spread. A shard packs its pieces in
 falling length: each goes to the open bin that it fills best; else a bin is opened at the least-cost permitted size for the
 policy in force. Every permitted length is tried as the policy's smallest opening size; each outcome is downsized (every bin to the
 smallest size that holds its contents) and the cheapest is kept. A bin costs its length plus OVERHEAD. Documents longer than the largest
-length are cut into pieces of that length and a rest; nothing is lost. The unit is that of the given lengths: white-space words in the query and in the pipeline, so a
-full bin can hold more tokens of a model's vocabulary than its length.
+length are cut into pieces of that length and a rest; nothing is lost. The unit is that of the given lengths: tokens of the piece vocabulary in the query and in the pipeline.
 """
 
 from __future__ import annotations
@@ -18,7 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import partitions, table
-from .textkernel import texts
+from .op05_token_counts import token_counts
+from .piece_lattice import DEFAULT_MODEL
 
 LENGTHS = (512, 1024, 2048, 4096)
 OVERHEAD = 16
@@ -95,27 +95,20 @@ def best_fit_packing(items: DataFrame, sizes: Sequence[int] = LENGTHS, overhead:
     most = max(sizes)
     base = items.select(F.col(id_col).cast("long").alias("doc_id"), F.greatest(F.coalesce(F.col(length_col).cast("long"), F.lit(0)), F.lit(0)).alias("length"))
     number = F.greatest(F.ceil(F.col("length") / most), F.lit(1)).cast("int")
-    cut = table(base.select("doc_id", "length", F.explode(F.sequence(F.lit(0), number - 1)).alias("piece")).select("doc_id", "piece", F.least(F.col("length") - F.col("piece").cast("long") * most, F.lit(most).cast("long")).alias("length")))
+    # the place is written with the rows, so it stays when a task runs again
+    cut = table(base.select("doc_id", "length", F.monotonically_increasing_id().alias("place"), F.explode(F.sequence(F.lit(0), number - 1)).alias("piece")).select("doc_id", "piece", "place", F.least(F.col("length") - F.col("piece").cast("long") * most, F.lit(most).cast("long")).alias("length")))
     some = cut.where("length > 0")
     shards = max(1, -(-some.count() // SHARD))
-    dealt = some.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "length"), F.lit(shards)))
+    dealt = some.withColumn("shard", F.pmod(F.xxhash64("place", "piece"), F.lit(shards)))
     packed = dealt.repartition(min(shards, max(partitions(spark), shards // 8)), "shard").mapInArrow(_shard(tuple(sizes), overhead), "doc_id long, piece int, length long, bin_id long, bin_start long, capacity long")
     none = F.lit(None).cast("long")
     return packed.unionByName(cut.where("length = 0").select("doc_id", "piece", "length", none.alias("bin_id"), none.alias("bin_start"), none.alias("capacity")))
 
 
-def _lengths(batches):
-    for b in batches:
-        n = np.zeros(b.num_rows, np.int64)
-        for lo, hi, t in texts(b, "text"):
-            n[lo:hi] = t.n_words
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n)], names=["doc_id", "length"])
-
-
-def word_lengths(docs: DataFrame) -> DataFrame:
-    """doc_id, length: words of the whole text (null: 0)."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_lengths, "doc_id long, length long")
+def token_lengths(docs: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:
+    """doc_id, length: tokens of the whole text by the piece vocabulary (null and empty texts: 0). Ids may be null or repeat. Other columns are ignored. No rows: no rows."""
+    return token_counts(docs, model).select("doc_id", F.col("n_tokens").alias("length"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return best_fit_packing(word_lengths(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return best_fit_packing(token_lengths(spark.read.parquet(f"{sf_dir}/documents.parquet")))

@@ -71,5 +71,32 @@ def test_packing(spark, monkeypatch):
 
 
 def test_lengths(spark):
-    df = spark.createDataFrame([(1, "a b  c"), (2, None), (None, "")], "doc_id long, text string")
-    assert sorted(((r.doc_id, r.length) for r in o9.word_lengths(df).collect()), key=str) == sorted([(1, 3), (2, 0), (None, 0)], key=str)
+    df = spark.createDataFrame([(1, "a b  c", 1), (2, None, 1), (None, "", 1)], "doc_id long, text string, length int")
+    got = {r.doc_id: r.length for r in o9.token_lengths(df).collect()}
+    assert got[1] >= 3 and got[2] == got[None] == 0 and len(got) == 3
+
+
+def test_rows_alike_are_spread(spark, monkeypatch):
+    """Null ids of one length, the hottest key there is: shards are even."""
+    monkeypatch.setattr(o9, "SHARD", 1000)
+    df = spark.range(16_000).selectExpr("cast(null as long) doc_id", "100L length")
+    got = o9.best_fit_packing(df).selectExpr("shiftright(bin_id, 32) shard").groupBy("shard").count().collect()
+    assert len(got) == 16 and max(r["count"] for r in got) < 1300
+
+
+def test_packing_equals_brute_force(spark):
+    """One shard: the cost of the whole is the least of the plain searches over all opening policies."""
+    rng = random.Random(6)
+    items = [(k, rng.randrange(1, 4096)) for k in range(300)]
+    bins = {}
+    for r in o9.best_fit_packing(spark.createDataFrame(items, "doc_id long, length long")).collect():
+        bins[r.bin_id] = r.capacity
+    costs = []
+    for least in o9.LENGTHS:
+        lengths = sorted((n for _, n in items), reverse=True)
+        rooms, where = plain_best_fit(lengths, o9.LENGTHS, least)
+        fill = [0] * len(rooms)
+        for n, k in zip(lengths, where, strict=True):
+            fill[k] += n
+        costs.append(sum(min(s for s in o9.LENGTHS if s >= f) + o9.OVERHEAD for f in fill))
+    assert sum(bins.values()) + o9.OVERHEAD * len(bins) == min(costs)

@@ -3,7 +3,7 @@ import re
 import pytest
 
 import corpus_pipeline
-from seqprep.llm import op02_language, op04_toxicity
+from seqprep.llm import op02_language, op04_toxicity, piece_lattice
 
 from .test_op01 import brute as near_groups
 
@@ -51,7 +51,9 @@ def test_stages_match_plain_versions(spark, tmp_path):
     packed = {}
     for r in seen[4][1].collect():
         packed[r.doc_id] = packed.get(r.doc_id, 0) + r.length
-    assert packed == {d: len(re.findall(r"[^\x20\x09-\x0D]+", t)) for d, t in rest.items()}
+    table = piece_lattice.load()
+    count = lambda t: sum(len(piece_lattice.Lattice(x.encode(), table).best()) for x in re.findall(r"\n| +[^ \n]*|[^ \n]+", " " + t))
+    assert packed == {d: count(t) for d, t in rest.items()}
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).collect())) == sorted(map(tuple, seen[4][1].collect()))
 
 
