@@ -1,14 +1,16 @@
-"""From raw documents to packed training sequences: five stages, each written as Parquet and read again."""
+"""From raw documents to packed training sequences: five stages, each written as Parquet and read again.
 
-from __future__ import annotations
+Every stage takes null texts and labels, empty and very long texts, null and repeated ids (each row is a document of its own, the first of copies stays) and extra columns, which go on
+unchanged whatever their names; the last returns the columns of the packing. Documents of null or empty text have no language and go in the first stage. No rows: no rows.
+"""
 
-import uuid
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqprep.llm import op01_ngram_join, op02_language, op04_toxicity, op08_suffix_dedup, op09_packing
-from seqprep.llm.common import boxed, chosen, shared_dir
+from seqprep.llm.common import boxed, chosen, new_path
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +43,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents with their places in sequences."""
-    return op09_packing.best_fit_packing(op09_packing.word_lengths(docs))
+    """The pieces of the documents, in tokens, with their places in sequences."""
+    return op09_packing.best_fit_packing(op09_packing.token_lengths(docs))
 
 
 STAGES = [
@@ -59,7 +61,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_dir(spark)}/seqprep/{uuid.uuid4().hex}"
+    folder = new_path(spark)  # removed when the driver ends
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}_{name}")
         docs = spark.read.parquet(f"{folder}/{k}_{name}")
