@@ -25,7 +25,7 @@ from .textkernel import mix, signed, texts
 _U = np.uint64
 BANDS, ROWS = 34, 6
 #: N-grams and sets in one part of a component.
-PART_GRAMS, PART_SETS = 200_000, 256
+PART_GRAMS, PART_SETS = 200_000, 128
 #: Columns of a matrix product.
 _COLUMNS = 4096
 
