@@ -104,6 +104,15 @@ for _name, (_field, _op, _value, _sql) in {
     "filter_mod": ("l_orderkey", "%", 3, "l_orderkey % 3 <> 0"),
     "filter_and": ("l_linenumber", "&", 2, "l_linenumber & 2 <> 0"),
     "filter_minus": ("l_linenumber", "-", 1, "l_linenumber - 1 <> 0"),
+    "filter_plus": ("l_linenumber", "+", -1, "l_linenumber + -1 <> 0"),
+    "filter_times": ("l_discount", "*", 2.0, "l_discount * 2 <> 0"),
+    "filter_divide": ("l_discount", "/", 2.0, "l_discount / 2 <> 0"),
+    "filter_power": ("l_tax", "**", 2.0, "pow(l_tax, 2) <> 0"),
+    "filter_xor": ("l_linenumber", "^", 2, "xor(l_linenumber, 2) <> 0"),
+    "filter_or": ("l_linenumber", "|", 1, "(l_linenumber | 1) <> 0"),
+    "filter_shift_left": ("l_linenumber", "<<", 1, "(l_linenumber << 1) <> 0"),
+    "filter_shift_right": ("l_linenumber", ">>", 2, "(l_linenumber >> 2) <> 0"),
+    "filter_is_not": ("l_linenumber", "is not", 1, "l_linenumber IS DISTINCT FROM 1"),
     "filter_contains": ("l_linestatus", "in", "O", "contains(l_linestatus, 'O')"),
     "filter_not_contains": ("l_linestatus", "not in", "O", "NOT contains(l_linestatus, 'O')"),
 }.items():

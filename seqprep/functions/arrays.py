@@ -71,6 +71,25 @@ def flat(c: Column, kind: T.DataType) -> tuple[Column, T.DataType]:
     return c, kind
 
 
+def flat_with_sizes(c: Column, kind: T.DataType) -> tuple[Column, list[Column]]:
+    """(all levels of lists made one, sizes of the lists of each level below the first, outermost first): what nested_again() undoes."""
+    sizes = []
+    while isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.ArrayType):
+        sizes.append(F.transform(c, F.size))
+        c, kind = F.flatten(c), kind.elementType
+    return c, sizes
+
+
+def nested_again(c: Column, sizes: list[Column]) -> Column:
+    """The nested list whose flat form and sizes are given."""
+    def cut(c: Column, n: Column) -> Column:
+        return F.transform(n, lambda k, i: F.slice(c, before(n, i) + 1, k))
+
+    for n in reversed(sizes):
+        c = cut(c, n)
+    return c
+
+
 def filled(value: Column, count: Column) -> Column:
     return F.array_repeat(value, F.greatest(count, F.lit(0)).cast("int"))
 

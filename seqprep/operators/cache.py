@@ -1,11 +1,12 @@
-"""Segments of a pipeline that are kept: computed once, later read from a table keyed by input plan and operators."""
+"""Segments of a pipeline that are kept: computed once, later read from a table keyed by input plan, input files as they are now, and operators."""
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.core import Operator
 from ..plans.storage import shared_dir
@@ -49,13 +50,30 @@ def _kept(df: DataFrame, segment: tuple[Operator, ...], folder: str | None, remo
     if df.isStreaming:
         raise ValueError("streams can't be kept")
     spark = df.sparkSession
-    plan = f"{df._jdf.queryExecution().analyzed().canonicalized().toString()}{sorted(df.inputFiles())}{remove_columns}"
+    plan = f"{df._jdf.queryExecution().analyzed().canonicalized().toString()}{_versions(spark, df.inputFiles())}{remove_columns}"
     key = hashlib.sha1((plan + "".join(o.fingerprint for o in segment)).encode()).hexdigest()
     path = f"{folder or shared_dir(spark) + '/seqprep-cache'}/{key}"
-    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+    to, written = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (path, f"{path}-{uuid.uuid4().hex}"))
+    files = to.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(to):
         out = df
         for o in segment:
             out = o.apply(out, remove_columns)
-        out.write.mode("overwrite").parquet(path)
+        out.write.parquet(written.toString())
+        # a table appears whole or not at all; where another driver was first, its table holds
+        if files.exists(to) or not files.rename(written, to):
+            files.delete(written, True)
     return spark.read.parquet(path)
+
+
+def _versions(spark: SparkSession, names: list[str]) -> list[tuple]:
+    """Path, length and modification time of the files: one listing for each folder."""
+    jvm, out = spark._jvm, []
+    paths = [jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(x)) for x in names]
+    wanted = {p.toUri().getPath() for p in paths}
+    for folder in {p.getParent().toString(): p.getParent() for p in paths}.values():
+        for f in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder):
+            name = f.getPath().toUri().getPath()
+            if name in wanted:
+                out.append((name, f.getLen(), f.getModificationTime()))
+    return sorted(out)

@@ -43,14 +43,21 @@ class RowFunction(Operator):
 
 @dataclass(frozen=True, eq=False, repr=False)
 class BatchFunction(Operator):
-    """A function from an iterable of samples to an iterable of samples, over every group of batch_size consecutive rows; its samples replace the rows."""
+    """A function from an iterable of samples to an iterable of samples, over every group of batch_size consecutive rows; its samples replace the rows.
+
+    batch_size "max": one group of all rows, in one task; for functions that need the whole of a small dataset.
+    """
 
     kind: ClassVar[str] = "B"
     function: Callable[[Iterable[dict[str, Any]]], Iterable[dict[str, Any]]]
     schema: str
-    batch_size: int = 1000
+    batch_size: int | str
     input_fields: tuple[str, ...] = ()
 
+    def __post_init__(self):
+        if self.batch_size != "max" and (not isinstance(self.batch_size, int) or self.batch_size < 1):
+            raise ValueError('batch_size is a positive number or "max"')
+
     def inputs(self):
         return tuple(self.input_fields)
 
@@ -65,7 +72,7 @@ class BatchFunction(Operator):
             rows = list(call(dict(zip(frame.columns, r, strict=True)) for r in frame.itertuples(index=False, name=None)))
             return pd.DataFrame({n: pd.Series([r[n] for r in rows], dtype=object) for n in made.names} | {ORDER: [[int(key[0]), i] for i in range(len(rows))]})
 
-        return dense(df).withColumn("__g", F.floor(F.col(ORDER) / self.batch_size)).groupBy("__g").applyInPandas(run, T.StructType([*made.fields, T.StructField(ORDER, T.ArrayType(T.LongType()))]))
+        return dense(df).withColumn("__g", F.lit(0).cast("long") if self.batch_size == "max" else F.floor(F.col(ORDER) / self.batch_size)).groupBy("__g").applyInPandas(run, T.StructType([*made.fields, T.StructField(ORDER, T.ArrayType(T.LongType()))]))
 
 
 @dataclass(frozen=True, eq=False, repr=False)

@@ -86,6 +86,8 @@ def repair(text: str, **options) -> str:
     on = lambda name: options.get(name, True)
     if on("unescape_html") and "<" not in text:
         text = re.sub(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);", lambda m: (lambda u: u if u != m[0] else html.unescape(m[0].lower()).upper() if m[0].isupper() or m[0][1:-1].isupper() else u)(html.unescape(m[0])), text)
+    if on("fix_encoding") and _BROKEN.search(text):
+        text = re.sub(r"\bÃ (?=\w)", "à ", text)  # its no-break space has become a plain one
     while on("fix_encoding") and _BROKEN.search(text):
         try:
             better = _single_bytes(text).decode("utf-8")

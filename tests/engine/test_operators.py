@@ -192,7 +192,7 @@ def test_text(spark):
     assert o.AddEvidencesLocation().map(rows(spark, [("größe x", ["x", "y"])], "context string, evidences array<string>")).first().locations == [[6, 7], [-1, -1]]
 
 
-@pytest.mark.parametrize(("broken", "want"), [("âœ” No problems", "✔ No problems"), ("schÃ¶n", "schön"), ("&lt;a&gt; &amp; b", "<a> & b"), ("“quoted” ‘x’", "\"quoted\" 'x'"), ("ﬁne ﬂow", "fine flow"), ("ＬＯＵＤ", "LOUD"), ("a\r\nb\x07", "a\nb"), ("plain déjà vu", "plain déjà vu"), ("l’humanitÃ©", "l'humanité")])
+@pytest.mark.parametrize(("broken", "want"), [("âœ” No problems", "✔ No problems"), ("schÃ¶n", "schön"), ("&lt;a&gt; &amp; b", "<a> & b"), ("“quoted” ‘x’", "\"quoted\" 'x'"), ("ﬁne ﬂow", "fine flow"), ("ＬＯＵＤ", "LOUD"), ("a\r\nb\x07", "a\nb"), ("plain déjà vu", "plain déjà vu"), ("l’humanitÃ©", "l'humanité"), ("The Mona Lisa doesnÃƒÂ¢Ã¢â€šÂ¬Ã¢â€žÂ¢t have eyebrows.", "The Mona Lisa doesn't have eyebrows."), ("Ã\xa0 perturber la rÃ©flexion", "à perturber la réflexion"), ("Ã perturber la rÃ©flexion", "à perturber la réflexion"), ("P&EACUTE;REZ", "PÉREZ"), ("Ã propos", "Ã propos")])
 def test_repair(broken, want):
     assert repair(broken) == want
 
@@ -234,7 +234,7 @@ def test_user_functions(spark):
         for x in samples[::2]:
             yield {"b": x["a"]}
 
-    assert sorted(values(o.BatchFunction(pairs, "b int", batch_size=4).map(df), "b")) == [0, 2, 4, 6]
+    assert sorted(values(o.BatchFunction(pairs, "b int", 4).map(df), "b")) == [0, 2, 4, 6]
     seen = []
     o.Debug(seen.append).map(df)
     assert seen[0].columns == ["a"]
@@ -259,3 +259,39 @@ def test_results_do_not_depend_on_partitions(spark):
     df = spark.range(50).selectExpr("id", "array(id, id + 1) a")
     run = lambda n: sorted(str(r.id) for r in o.FixedBatchSize(7).map(df.repartition(n), order_by=["id"]).collect())
     assert run(1) == run(7)
+
+
+def test_batch_function_over_all_rows(spark):
+    total = lambda samples: [{"n": sum(s["a"] for s in samples)}]
+    df = spark.range(2500).selectExpr("cast(id as int) a").repartition(4)
+    assert o.BatchFunction(total, "n long", "max").map(df).first().n == sum(range(2500))
+    assert o.BatchFunction(total, "n long", 1000).map(df).count() == 3
+    for size in (0, "all", None):
+        with pytest.raises(ValueError):
+            o.BatchFunction(total, "n long", size)
+
+
+@pytest.mark.parametrize(("value", "kind"), [([1, 2, 3], "array<int>"), ([[1], [], [2, 3]], "array<array<int>>"), ([[[1, 2], []], [], [[3]]], "array<array<array<int>>>"), ([[[[1], [2, 3]]], [[[]], [[4]]]], "array<array<array<array<int>>>>"), ([], "array<array<int>>"), ([[[]]], "array<array<array<string>>>")])
+def test_flat_lists_are_nested_again(spark, value, kind):
+    from pyspark.sql import functions as F
+
+    from seqprep.functions import arrays
+
+    df = rows(spark, [(value,)], f"a {kind}")
+    flat, sizes = arrays.flat_with_sizes(F.col("a"), df.schema["a"].dataType)
+    leaves = lambda x: [z for y in x for z in (leaves(y) if isinstance(y, list) else [y])]
+    assert df.select(flat.alias("a")).first().a == leaves(value)
+    assert df.select(arrays.nested_again(flat, sizes).alias("a")).first().a == value
+
+
+def test_kept_tables_follow_their_input_files(spark, tmp_path):
+    path = tmp_path / "in"
+    path.mkdir()
+    made = o.StartCaching(str(tmp_path / "kept")) >> o.AddConstant(1) >> o.EndCaching()
+    got = []
+    for k in (1, 1, 500):
+        if not got or k != got[-1] - 1:
+            (path / "a.json").write_text(f'{{"a": {k}}}\n')
+        got.append(made.map(spark.read.schema("a long").json(str(path))).first().a)
+    assert got == [2, 2, 501]
+    assert len(list((tmp_path / "kept").iterdir())) == 2
