@@ -44,7 +44,8 @@ class PieceTable:
         size = max(spelling) + 1
         self.known = np.zeros(size, bool)
         self.known[list(spelling)] = True
-        self.ends = np.cumsum([len(spelling.get(i, b"")) for i in range(size)])
+        self.sizes = np.array([len(spelling.get(i, b"")) for i in range(size)])
+        self.ends = np.cumsum(self.sizes)
         self.spelled = np.frombuffer(b"".join(spelling.get(i, b"") for i in range(size)), np.uint8)
 
     def find(self, h: np.ndarray) -> np.ndarray:
@@ -59,16 +60,25 @@ class PieceTable:
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[str | None]:
         """The text of each list of ids: piece bytes joined, without the first space; bytes that are no UTF-8 are replaced. Null for a list with ids outside the vocabulary."""
-        ids = np.asarray(ids, np.int64)
-        fine = (ids >= 0) & (ids < len(self.known))
-        at = np.where(fine, ids, 0)
-        fine &= self.known[at]
-        size = np.where(fine, np.diff(self.ends, prepend=0)[at], 0)
-        ends = np.cumsum(size)
-        data = self.spelled[np.repeat(self.ends[at] - ends, size) + np.arange(int(ends[-1]) if len(ends) else 0)].tobytes()
-        place = np.concatenate([[0], ends])[offsets].tolist()
-        wrong = np.concatenate([[0], np.cumsum(~fine)])[offsets]
-        return [None if w else data[a:b].decode("utf-8", "replace")[1:] for a, b, w in zip(place[:-1], place[1:], np.diff(wrong).tolist(), strict=True)]
+        out: list[str | None] = []
+        for a, b in pieces(offsets, 1 << 16):
+            parts, sizes, wrong = [], [], []
+            for at in range(int(offsets[a]), int(offsets[b]), 1 << 16):  # a long list in slices
+                x = np.asarray(ids[at : min(at + (1 << 16), int(offsets[b]))], np.int64)
+                fine = (x >= 0) & (x < len(self.known))
+                x = np.where(fine, x, 0)
+                fine &= self.known[x]
+                size = np.where(fine, self.sizes[x], 0)
+                ends = np.cumsum(size)
+                parts.append(self.spelled[np.repeat(self.ends[x] - ends, size) + np.arange(int(ends[-1]))].tobytes())
+                sizes.append(size)
+                wrong.append(~fine)
+            data = b"".join(parts)
+            own = offsets[a : b + 1] - offsets[a]
+            place = np.cumsum(np.concatenate([[0], *sizes]))[own].tolist()
+            bad = np.diff(np.cumsum(np.concatenate([[0], *wrong]))[own]).tolist()
+            out += [None if w else data[x:y].decode("utf-8", "replace")[1:] for x, y, w in zip(place[:-1], place[1:], bad, strict=True)]
+        return out
 
 
 def _crosses(piece: bytes) -> bool:
