@@ -207,6 +207,37 @@ class Lattice:
 
     def __init__(self, word: bytes, table: PieceTable):
         n = self.size = len(word)
+        (self._look_up if n <= LONGEST else self._join)(word, table)
+        forward, back = [0.0] * (n + 1), [0] * (n + 1)
+        at, start, score = self.at, self.start, self.scores
+        for e in range(1, n + 1):
+            most, which = -np.inf, 0
+            for k in range(at[e], at[e + 1]):
+                x = forward[start[k]] + score[k]
+                if x > most:
+                    most, which = x, k
+            forward[e], back[e] = most, which
+        self.forward, self.back = forward, back
+
+    def _look_up(self, word: bytes, table: PieceTable) -> None:
+        """The pieces of a short word, one by one."""
+        self.at, self.start, self.ids, self.scores = [0, 0], [], [], []
+        get, width = table.scores_by_piece.get, table.width
+        for e in range(1, len(word) + 1):
+            for s in range(max(0, e - width), e):
+                hit = get(word[s:e])
+                if hit is None:
+                    if s < e - 1:
+                        continue
+                    hit = int(table.bytes[word[s]]), table.fallback
+                self.start.append(s)
+                self.ids.append(hit[0])
+                self.scores.append(hit[1])
+            self.at.append(len(self.ids))
+
+    def _join(self, word: bytes, table: PieceTable) -> None:
+        """The pieces of a long word, all places of a length at once."""
+        n = len(word)
         data = np.frombuffer(word, np.uint8)
         ranges = Ranges(data)
         ends, sizes, ids, scores = [], [], [], []
@@ -230,16 +261,6 @@ class Lattice:
         self.at = np.searchsorted(end[o], np.arange(n + 2)).tolist()
         self.start = (end - size)[o].tolist()
         self.ids, self.scores = (np.concatenate(x)[o].tolist() if n else [] for x in (ids, scores))
-        forward, back = [0.0] * (n + 1), [0] * (n + 1)
-        at, start, score = self.at, self.start, self.scores
-        for e in range(1, n + 1):
-            most, which = -np.inf, 0
-            for k in range(at[e], at[e + 1]):
-                x = forward[start[k]] + score[k]
-                if x > most:
-                    most, which = x, k
-            forward[e], back[e] = most, which
-        self.forward, self.back = forward, back
 
     def best(self) -> list[int]:
         """Ids of the best segmentation; ties go to the longer last piece."""
