@@ -20,7 +20,7 @@ from .piece_lattice import DEFAULT_MODEL, LONGEST, PieceTable, Trie, load, nbest
 
 N_BEST = 3
 #: Bytes of the lists of segmentations that a task remembers, about.
-REMEMBERED = 64 << 20
+REMEMBERED = 32 << 20
 
 
 def combine(lists: list[list[tuple[float, list[int]]]], n: int) -> list[tuple[float, tuple[int, ...]]]:
@@ -40,7 +40,7 @@ def combine(lists: list[list[tuple[float, list[int]]]], n: int) -> list[tuple[fl
     return out
 
 
-def _run(shared, n: int):
+def _run(shared, n: int, with_text: bool):
     def run(batches):
         table: PieceTable = shared.value
         known: dict[bytes, list] = {}
@@ -111,21 +111,25 @@ def _run(shared, n: int):
                 if not out[0]:
                     continue
                 lengths = np.cumsum([0, *map(len, out[3])])
-                arrays = pa.ListArray.from_arrays(pa.array(lengths.astype(np.int32)), pa.array(np.concatenate(out[3]).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([ids_col.take(pa.array(out[0])), pa.array(out[1], pa.int32()), pa.array(out[2], pa.float64()), arrays], names=["doc_id", "rank", "score", "ids"])
+                joined = np.concatenate(out[3])
+                arrays = pa.ListArray.from_arrays(pa.array(lengths.astype(np.int32)), pa.array(joined.astype(np.int32)))
+                text = [pa.array(table.decode(joined, lengths), pa.string())] if with_text else []
+                yield pa.RecordBatch.from_arrays([ids_col.take(pa.array(out[0])), pa.array(out[1], pa.int32()), pa.array(out[2], pa.float64()), arrays, *text], names=["doc_id", "rank", "score", "ids", *(["text"] if with_text else [])])
 
     return run
 
 
-def encode(docs: DataFrame, n: int = N_BEST, model: str = DEFAULT_MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, n: int = N_BEST, model: str = DEFAULT_MODEL, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """The n best segmentations of each text: doc_id, rank (from 1), score, ids; fewer rows where a text has fewer segmentations.
 
+    with_text: also text, what decode() makes of the ids, in the same pass.
+
     Null and empty texts have no row. Ids may be null or repeat. Ties between segmentations are broken by the order of the search,
     which depends on the text alone. Other columns are ignored. No rows: no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(load(model))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return base.mapInArrow(_run(shared, n), "doc_id long, rank int, score double, ids array<int>")
+    return base.mapInArrow(_run(shared, n, with_text), "doc_id long, rank int, score double, ids array<int>" + ", text string" * with_text)
 
 
 def decode(encoded: DataFrame, model: str = DEFAULT_MODEL, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
@@ -154,6 +158,5 @@ def decode(encoded: DataFrame, model: str = DEFAULT_MODEL, ids_col: str = "ids",
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each text and rank: the number of ids, the score, a hash of the ids and one of the text that they decode to."""
-    found = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    hashed = found.select("doc_id", "rank", F.round("score", 6).alias("score"), F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"), "ids")
-    return decode(hashed).select("doc_id", "rank", "score", "n_ids", "ids_hash", F.xxhash64("text").alias("text_hash"))
+    found = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_text=True)
+    return found.select("doc_id", "rank", F.round("score", 6).alias("score"), F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"), F.xxhash64("text").alias("text_hash"))

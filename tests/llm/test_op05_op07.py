@@ -138,3 +138,12 @@ def test_clashing_names_and_odd_ids(spark):
     odd = spark.createDataFrame([(0, None, "x"), (1, [], "x"), (2, [10**8], "x"), (3, [-5], "x"), (4, [None], "x"), (5, [1, *first, 2], "x"), (6, [0], "x")], "k int, ids array<int>, text string")
     got = {r.k: r.text for r in o7.decode(odd).collect()}
     assert (got[0], got[1], got[2], got[3], got[4], got[5]) == (None, "", None, None, None, "a b") and "\u2047" in got[6]
+
+
+def test_query_decodes_whole_texts(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    own = {r.doc_id: r.h for r in docs.where("length(text) > 0").select("doc_id", F.xxhash64("text").alias("h")).collect()}
+    got = o7.query(spark, "/root/testdata/sf0.001").collect()
+    assert {r.doc_id for r in got} == set(own) and all(r.text_hash == own[r.doc_id] for r in got)
