@@ -188,15 +188,18 @@ def _(spark, t):
     return made.map(rows).drop("locations")
 
 
-@_query("pack_turns")
+@_query(
+    "pack_turns",
+    f"WITH w AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS n, array_to_string({_WS}, ',') AS w FROM conversations) SELECT conv_id, string_agg(w, ';' ORDER BY n) AS words FROM w GROUP BY conv_id, n // 3",
+)
 def _(spark, t):
     turns = t("conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("t")).select("conv_id", F.transform("t", lambda x: x["text"]).alias("words"))
     return (o.TextToWords(("words",), "ws") >> o.MultiSequenceStrider(3, "words", ("words",), extra_length_per_seq=2)).map(turns).select("conv_id", nested("words").alias("words"))
 
 
-@_query("value_to_sequence", f"WITH w AS (SELECT doc_id, {_WS} AS w FROM documents) SELECT doc_id, array_to_string(list_transform(w, lambda x, i: CASE WHEN i = 1 THEN 5 ELSE -100 END), ',') AS labels FROM w WHERE len(w) > 0")
+@_query("value_to_sequence", f"WITH w AS (SELECT doc_id, {_WS} AS w FROM documents) SELECT doc_id, array_to_string(list_transform(range(greatest(len(w), 1)), lambda i: CASE WHEN i = 0 THEN 5 ELSE -100 END), ',') AS labels FROM w")
 def _(spark, t):
-    rows = o.TextToWords(("text",), "ws").map(t("documents").select("doc_id", "text")).where(F.size("text") > 0).select("doc_id", F.array("text").alias("input_ids"), F.array(F.lit(5)).alias("labels"))
+    rows = o.TextToWords(("text",), "ws").map(t("documents").select("doc_id", "text")).select("doc_id", F.array("text").alias("input_ids"), F.array(F.lit(5)).alias("labels"))
     return o.SingleValueToSequence("labels").map(rows).select("doc_id", text(F.flatten("labels")).alias("labels"))
 
 
@@ -205,6 +208,13 @@ def _(spark, t):
     return o.LabelsMasker("labels", "one").map(t("embeddings").select("vec_id", F.array(*[F.lit(j * 10) for j in range(1, 5)]).alias("labels"))).select("vec_id", text("labels").alias("labels"))
 
 
+@_query("mask_labels_sample_union", "SELECT vec_id, 3::BIGINT AS n_rows, '1,2,2' AS sizes, '0,1,2,3,4' AS labels FROM embeddings")
+def _(spark, t):
+    rows = o.LabelsMasker("labels", "sample", sample_prob=0.5).map(t("embeddings").select("vec_id", F.array(*[F.lit(j) for j in range(5)]).alias("labels")))
+    kept = rows.select("vec_id", F.filter("labels", lambda x: x >= 0).alias("kept")).groupBy("vec_id").agg(F.count("*").alias("n_rows"), F.sort_array(F.collect_list(F.size("kept"))).alias("sizes"), F.sort_array(F.flatten(F.collect_list("kept"))).alias("labels"))
+    return kept.select("vec_id", "n_rows", text("sizes").alias("sizes"), text("labels").alias("labels"))
+
+
 @_query("mask_labels_sample")
 def _(spark, t):
     return o.LabelsMasker("labels", "sample", sample_prob=0.5).map(t("embeddings").select("vec_id", F.array(*[F.lit(j) for j in range(5)]).alias("labels"))).select("vec_id", text("labels").alias("labels"))
@@ -303,9 +313,9 @@ def _(spark, t):
     return o.OneVsOther().map(rows).drop("annotations")
 
 
-@_query("unique_list", f"WITH w AS (SELECT doc_id, unnest({_WS}) AS w, generate_subscripts({_WS}, 1) AS i FROM documents), f AS (SELECT doc_id, w, min(i) AS i FROM w GROUP BY ALL) SELECT doc_id, string_agg(w, ',' ORDER BY i) AS words FROM f GROUP BY doc_id")
+@_query("unique_list", f"WITH w AS (SELECT doc_id, unnest({_WS}) AS w, generate_subscripts({_WS}, 1) AS i FROM documents), f AS (SELECT doc_id, w, min(i) AS i FROM w GROUP BY ALL) SELECT doc_id, coalesce(string_agg(w, ',' ORDER BY i), '') AS words FROM documents LEFT JOIN f USING (doc_id) GROUP BY doc_id")
 def _(spark, t):
-    rows = o.TextToWords(("text",), "ws").map(t("documents").select("doc_id", "text")).where(F.size("text") > 0)
+    rows = o.TextToWords(("text",), "ws").map(t("documents").select("doc_id", "text"))
     return o.UniqueAnswer("text").map(rows).select("doc_id", text("text").alias("words"))
 
 
@@ -388,7 +398,12 @@ def _(spark, t):
     return o.TruncateMultipleFields(("text", "source"), 200, ("lang",)).map(t("documents")).select("doc_id", "text", "source")
 
 
-@_query("truncate_nested")
+@_query(
+    "truncate_nested",
+    "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents), "
+    f"w AS (SELECT doc_id, i, {_WS} AS w FROM l), c AS (SELECT *, sum(len(w)) OVER (PARTITION BY doc_id ORDER BY i) - len(w) AS b FROM w) "
+    "SELECT doc_id, string_agg(coalesce(array_to_string(w[1:greatest(60 - b, 0)::BIGINT], ','), ''), ';' ORDER BY i) AS lines FROM c GROUP BY doc_id",
+)
 def _(spark, t):
     lines = t("documents").select("doc_id", F.split("text", "\n").alias("lines"))
     return (o.TextToWords(("lines",), "ws") >> o.TruncateMultipleNestedFields(("lines",), 60)).map(lines).select("doc_id", nested("lines").alias("lines"))
@@ -406,6 +421,67 @@ def _(spark, t):
     return o.AddEvidencesLocation().map(rows).select("doc_id", nested("locations").alias("locations"))
 
 
+# evidence: contexts with single spaces, the third to fifth word as evidence, a tokenizer whose tokens stand between spaces (3: "the", 4: any other)
+def _plain() -> o.TokenizerSpec:
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    made = Tokenizer(models.WordLevel({"the": 3, "other": 4}, unk_token="other"))
+    made.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
+    return o.TokenizerSpec.from_tokenizer_json(made.to_str(), bos=(2,), sep=(1,), eos=(1,))
+
+
+def _evidence(t):
+    rows = t("documents").select("doc_id", F.trim(F.regexp_replace("text", r"[ \t\n\r]+", " ")).alias("context"))
+    words = F.split("context", " ")
+    found = F.when(F.size(words) >= 5, F.array_join(F.slice(words, 3, 3), " ")).otherwise("no such words")
+    return rows.select("doc_id", "context", F.array(found).alias("evidences"), F.array(F.lit("the"), F.lit("a b")).alias("answers"))
+
+
+_EVIDENCE = """WITH d AS (SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g')) AS x FROM documents),
+e AS (SELECT *, CASE WHEN x = '' THEN [] ELSE string_split(x, ' ') END AS w FROM d),
+v AS (SELECT *, CASE WHEN len(w) >= 5 THEN array_to_string(w[3:5], ' ') ELSE 'no such words' END AS v FROM e),
+p AS (SELECT doc_id, w, strpos(x, v) - 1 AS a, strpos(x, v) - 1 + length(v) AS b FROM v),
+u AS (SELECT doc_id, a, b, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM p),
+s AS (SELECT *, sum(length(word) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(word) - 1 AS s FROM u),
+g AS (SELECT doc_id, list(CASE WHEN word = 'the' THEN 3 ELSE 4 END ORDER BY i) AS ids, list(CASE WHEN a >= 0 AND s < b AND s + length(word) > a THEN 1 ELSE 0 END ORDER BY i) AS hits FROM s GROUP BY doc_id),
+m AS (SELECT doc_id, coalesce(ids, []) AS ids, coalesce(hits, []) AS hits FROM p LEFT JOIN g USING (doc_id)),
+n AS (SELECT *, unnest(CASE WHEN len(ids) < 40 THEN [0] ELSE range(0, len(ids) - 40 + 1, 20) END) AS i FROM m),
+k AS (SELECT doc_id, ids[i + 1:i + 40] AS ids, hits[i + 1:i + 40] AS hits FROM n)
+"""
+_FILLED = "array_to_string(list_concat([2], ids, [1]), ',')"
+
+
+@_query("encode_evidence", _EVIDENCE + "SELECT doc_id, coalesce(array_to_string(ids, ','), '') AS context, coalesce(array_to_string(hits, ','), '') AS locations FROM m")
+def _(spark, t):
+    made = o.AddEvidencesLocation() >> o.EncoderWithEvidenceLocation(("context",), _plain())
+    return made.map(spread(_evidence(t))).select("doc_id", text("context").alias("context"), text("locations").alias("locations"))
+
+
+@_query("stride_evidence", _EVIDENCE + "SELECT doc_id, coalesce(array_to_string(ids, ','), '') AS context, coalesce(array_to_string(hits, ','), '') AS locations FROM k")
+def _(spark, t):
+    made = o.AddEvidencesLocation() >> o.EncoderWithEvidenceLocation(("context",), _plain()) >> o.strider_with_evidence("context", "locations", 40, 20)
+    return made.map(spread(_evidence(t))).select("doc_id", text("context").alias("context"), text("locations").alias("locations"))
+
+
+@_query("replace_no_evidence", _EVIDENCE + "SELECT doc_id, CASE WHEN list_contains(hits, 1) THEN '9,9' ELSE '2,3,4,1' END AS target FROM k")
+def _(spark, t):
+    made = o.AddEvidencesLocation() >> o.EncoderWithEvidenceLocation(("context",), _plain()) >> o.strider_with_evidence("context", "locations", 40, 20)
+    made = made >> o.MakeField("target", [9, 9]) >> o.ReplaceIfNoEvidencePrompt("the none", _plain())
+    return made.map(spread(_evidence(t))).select("doc_id", text("target").alias("target"))
+
+
+@_query("recipe_evidence_train", _EVIDENCE + f"SELECT {_FILLED} AS input_ids, CASE WHEN list_contains(hits, 1) THEN r.answer ELSE '3,3,4,1' END AS labels FROM k, (VALUES ('3,1'), ('4,4,1')) AS r(answer)")
+def _(spark, t):
+    made = recipes.evidence_prompting(_plain(), "{context}", "{answers}", "the the none", max_length=40, stride=20)
+    return made.map(spread(_evidence(t))).select(text("input_ids").alias("input_ids"), text("labels").alias("labels"))
+
+
+@_query("recipe_evidence_valid", _EVIDENCE + f"SELECT {_FILLED} AS input_ids, '2' AS decoder_input_ids FROM k")
+def _(spark, t):
+    made = recipes.evidence_prompting(_plain(), "{context}", "{answers}", "the the none", max_length=40, stride=20, train=False)
+    return made.map(spread(_evidence(t))).select(text("input_ids").alias("input_ids"), text("decoder_input_ids").alias("decoder_input_ids"))
+
+
 @_query("fix_text")
 def _(spark, t):
     return o.FixText(("text",)).map(spread(t("documents").select("doc_id", "text")))
@@ -453,8 +529,8 @@ def _(spark, t):
 
 @_query("encode_offsets")
 def _(spark, t):
-    made = o.EncodeFields(("source", "lang"), _spec(), fields_to_return_offset_mapping=("source",)).map(t("documents").select("doc_id", "source", "lang"))
-    return made.select("doc_id", text("source").alias("source"), nested("offset_source").alias("offset_source"))
+    made = o.EncodeFields(("source", "text"), _spec(), fields_to_return_offset_mapping=("text",)).map(spread(t("documents").select("doc_id", "source", "text")))
+    return made.select("doc_id", text("source").alias("source"), F.xxhash64("text").alias("ids_hash"), F.xxhash64("offset_text").alias("offsets_hash"))
 
 
 @_query("decode_round_trip", "SELECT doc_id, text FROM documents")
@@ -470,6 +546,13 @@ def _(spark, t):
     return (o.TokensSequencesPadding(_spec()) >> o.AttentionMaskSequencePadding(_spec())).map(rows).select("vec_id", nested("input_ids").alias("input_ids"), nested("attention_mask").alias("attention_mask"))
 
 
+@_query("token_types_pad", "SELECT vec_id, concat_ws(',', vec_id % 2, vec_id % 2, vec_id % 2, ';1,1,1') AS token_type_ids FROM embeddings")
+def _(spark, t):
+    kind = (F.col("vec_id") % 2).cast("int")
+    made = o.TokenTypeIdsSequencePadding(_spec()).map(t("embeddings").select("vec_id", F.array(F.array(kind, kind), F.array(F.lit(1))).alias("token_type_ids")))
+    return made.select("vec_id", F.array_join(F.transform("token_type_ids", text), ",;").alias("token_type_ids"))
+
+
 # sources and kept segments
 @_query("load_csv", "SELECT c_custkey::VARCHAR AS c_custkey, c_name, c_mktsegment FROM customer")
 def _(spark, t):

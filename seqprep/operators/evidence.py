@@ -54,7 +54,7 @@ class ReplaceIfNoEvidencePrompt(FillEncodedPrompt):
         filled = next(iter(super().columns(df).values()))
         kind = df.schema[self.target_field].dataType
         other = F.array(filled) if A.depth(kind) > 1 else filled
-        return {self.target_field: F.when(F.exists(F.col(self.location_field), lambda x: x > 0), F.col(self.target_field)).otherwise(other.cast(kind))}
+        return {self.target_field: F.when(F.exists(F.col(self.location_field), lambda x: x > 0), F.col(self.target_field)).otherwise(other.cast(kind.simpleString()))}
 
     def outputs(self, df):
         return [self.target_field]
