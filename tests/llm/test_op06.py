@@ -82,3 +82,30 @@ def test_sql_agrees(spark):
     con.execute(f"create view embeddings as select * from '{SF}/embeddings.parquet'")
     want = con.execute(f"select vec_id, n_links, component_id, kept from ({o6.SQL}) order by 1").fetchall()
     assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in o6.query(spark, SF).collect()) == want
+
+
+def test_packed_differences():
+    rng = np.random.default_rng(7)
+    lists = [np.sort(rng.integers(0, 1 << 40, n)) for n in (5, 0, 1, 300)] + [np.arange(3), np.array([0])]
+    ends = np.cumsum([len(v) for v in lists])
+    data, places = o6.packed(o6.differences(np.concatenate(lists), ends))
+    places = np.concatenate([[0], places])
+    for v, end in zip(lists, ends, strict=True):
+        whole = data[places[end - len(v)] : places[end]]
+        assert o6.unpacked(whole).tolist() == v.tolist()
+        assert o6.unpacked(data[places[end - len(v)] : places[end - len(v) + len(v) // 2]]).tolist() == v[: len(v) // 2].tolist()
+    codes = [o6.packed(o6.differences(v, np.array([len(v)])))[0] for v in (np.array([1, 5, 900]), np.array([2, 900]), np.array([3, 4]), np.array([], np.int64))]
+    assert o6.shared(codes, np.array([0, 0, 1, 0]), np.array([1, 2, 2, 3])).tolist() == [True, False, False, False]
+
+
+def test_recall_with_many_filters(spark):
+    """20,000 vectors of one label: 56 codewords a block, so blocks are cut from rows of filters; 3,000 planted neighbours near the limit."""
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((20_000, 48)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[17_000:] = x[:3_000] + rng.standard_normal((3_000, 48)) * 0.18 / np.sqrt(48)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = np.concatenate([(u[k : k + 1000] @ u.T >= 0.98).sum(axis=1) - 1 for k in range(0, len(u), 1000)])
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int").repartition(8)
+    got = np.array([r.n_links for r in o6.embedding_dedup(df).orderBy("vec_id").collect()])
+    assert 1_000 < want.sum() and (got <= want).all() and got.sum() >= 0.98 * want.sum()
