@@ -8,7 +8,7 @@ from seqprep.operators.tokenize import TokenizerSpec
 from seqprep.plans import recipes, storage
 from seqprep.sources import files
 from seqprep.sources.loaders import LoadCsv, LoadDatasets, LoadJsonl
-from seqprep.streaming import run_stream
+from seqprep.streaming import rest_of_stream, run_stream
 
 
 def spec():
@@ -128,11 +128,34 @@ def test_streams(spark, tmp_path):
     made = {}
     run_stream(o.TextToWords(("t",)) >> o.Filter("id", ">=", 10), stream, lambda df, k: made.__setitem__(("rows", k), df.count()), str(tmp_path / "c1")).awaitTermination(120)
     run_stream(o.FixedBatchSize(8), stream, lambda df, k: made.__setitem__(("batches", k), df.count()), str(tmp_path / "c2"), order_by=["id"]).awaitTermination(120)
-    assert sum(v for k, v in made.items() if k[0] == "rows") == 10 and sum(v for k, v in made.items() if k[0] == "batches") == 3
+    assert sum(v for k, v in made.items() if k[0] == "rows") == 10 and sum(v for k, v in made.items() if k[0] == "batches") == 2
+    assert rest_of_stream(o.FixedBatchSize(8), spark, str(tmp_path / "c2")).first().id == [16, 17, 18, 19]
     with pytest.raises(ValueError):
         o.FixedBatchSize(8).map(stream)
 
 
+def test_streams_go_on(spark, tmp_path):
+    for k, (low, high) in enumerate([(0, 5), (5, 6), (6, 13), (13, 20)]):
+        spark.range(low, high).selectExpr("id", "id % 4 v").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id long, v long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+
+    def rows(made, name):
+        out = {}
+        run_stream(made, stream, lambda df, k: out.__setitem__(k, df.collect()), str(tmp_path / name), order_by=["id"]).awaitTermination(240)
+        assert sorted(out) == [0, 1, 2, 3]
+        return [r for k in sorted(out) for r in sorted(out[k])]
+
+    made = o.Filter("id", "!=", 1) >> o.FixedBatchSize(4) >> o.RenameFields({"id": "ids"}, remove_rest=True)
+    whole = rows(made, "c1")
+    left = rest_of_stream(made, spark, str(tmp_path / "c1")).collect()
+    assert [r.ids for r in whole + left] == [r.ids for r in sorted(made.map(spark.read.parquet(str(tmp_path / "in")), order_by=["id"]).collect())]
+    assert len(whole) == 4 and left[0].ids == [17, 18, 19]
+    made = o.EnumerateField("v", "n")
+    assert {(r.v, r.n) for r in rows(made, "c2")} == {(v, v) for v in range(4)}
+    made = o.EnumerateField("v", "n", same_id_for_repeated=False)
+    assert sorted((r.id, r.n) for r in rows(made, "c3")) == [(k, k) for k in range(20)]
+
+
 def test_tokenize_nulls_and_empty_rows(spark):
     flat = spark.createDataFrame([(1, "a b"), (2, None), (3, "")], "k int, text string").coalesce(1)
     every = dict(add_special_tokens=False, return_token_type_ids=True, return_offsets_mapping=True, return_length=True, return_word_ids=True, return_words=True, return_special_tokens_mask=True)
