@@ -16,6 +16,8 @@ from .sources.loaders import LoadCsv, LoadDatasets, LoadJsonl
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+#: Queries whose plans hold Python: tokenizers and text repair. All others are native, built of DataFrame and SQL functions only.
+PYTHON = frozenset({"encode_evidence", "stride_evidence", "replace_no_evidence", "recipe_evidence_train", "recipe_evidence_valid", "fix_text", "tokenize_words", "encode_offsets", "decode_round_trip", "recipe_prompting"})
 
 
 def _query(name: str, sql: str | None = None):

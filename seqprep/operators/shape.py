@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions import arrays as A
 from ..plans.core import ORDER, FieldError, Operator, extended
+from .tokenize import TokenizerSpec
 
 
 def _fields(df: DataFrame) -> list[str]:
@@ -136,14 +137,18 @@ class SingleSequenceStriderWithLocations(SingleSequenceStrider):
 
 @dataclass(frozen=True, eq=False, repr=False)
 class MultiSequenceStrider(Operator):
-    """Pack consecutive sequences of a list into groups of at most max_stride_count, and max_length symbols with extra_length_per_seq each."""
+    """Pack consecutive sequences of a list into groups of at most max_stride_count, and max_length symbols with extra_length_per_seq each.
+
+    Where no extra length is given, a tokenizer sets it: room on both sides for its longest separator.
+    """
 
     kind: ClassVar[str] = "G"
     max_stride_count: int
     length_reference_field: str
     fields_to_stride: tuple[str, ...] | None = None
     max_length: int | None = None
-    extra_length_per_seq: int = 0
+    extra_length_per_seq: int | None = None
+    tokenizer: TokenizerSpec | None = None
 
     def inputs(self):
         return tuple(dict.fromkeys((self.length_reference_field, *(self.fields_to_stride or ()))))
@@ -151,7 +156,8 @@ class MultiSequenceStrider(Operator):
     def transform(self, df):
         some = self.fields_to_stride or [c for c in _fields(df) if A.depth(df.schema[c].dataType) > 1]
         most, count = F.lit(self.max_length if self.max_length is not None else 2**31 - 1).cast("long"), F.lit(self.max_stride_count)
-        extra = self.extra_length_per_seq
+        separators = (self.tokenizer.bos, self.tokenizer.sep, self.tokenizer.eos) if self.tokenizer else ()
+        extra = self.extra_length_per_seq if self.extra_length_per_seq is not None else 2 * max(map(len, separators), default=0)
         sizes = F.transform(F.col(self.length_reference_field), lambda x, j: F.struct(j.alias("j"), (F.size(x) + extra).cast("long").alias("x")))
         group = lambda s, e, c: F.struct(s.cast("int").alias("s"), e.cast("int").alias("e"), c.cast("long").alias("c"))
         start = F.array(group(F.lit(0), F.lit(0), F.lit(0)))

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions import arrays as A
 from ..plans.core import FieldError, Operator
+from .tokenize import TokenizerSpec
 
 #: Patterns of the splitters.
 SPLITTERS = {"ws": r"(?U)\S+", "plus": r"(?U)\w+|[^\w\s]+", "trail": r"(?U)(?:\w+|[^\w\s]+)\s*", "blingfire": r"(?U)\w+|[^\w\s]+"}
@@ -199,18 +200,24 @@ def longest(lengths: list[Column], budget: Column) -> list[Column]:
 
 @dataclass(frozen=True, eq=False, repr=False)
 class TruncateMultipleFields(Operator):
-    """Cut several texts or lists so that together with the preserved ones they fit max_length - length_penalty."""
+    """Cut several texts or lists so that together with the preserved ones they fit max_length - length_penalty; max_length may come from a tokenizer."""
 
     fields_to_truncate: tuple[str, ...]
-    max_length: int
+    max_length: int | None = None
     fields_to_preserve: tuple[str, ...] = ()
     length_penalty: int = 0
     strategy: str = "longest"
+    tokenizer: TokenizerSpec | None = None
 
     def __post_init__(self):
+        if self._most() is None:
+            raise ValueError("give max_length, or a tokenizer that has one")
         if self.strategy not in ("longest", "uniform"):
             raise ValueError("strategy is longest or uniform")
 
+    def _most(self):
+        return self.max_length if self.max_length is not None else self.tokenizer and self.tokenizer.max_length
+
     def inputs(self):
         return (*self.fields_to_truncate, *self.fields_to_preserve)
 
@@ -221,7 +228,7 @@ class TruncateMultipleFields(Operator):
         kinds = {c: self._flat(df, c) for c in self.inputs()}
         names = sorted(self.fields_to_truncate)
         size = {c: A.size_of(*k) for c, k in kinds.items()}
-        budget = F.lit(self.max_length - self.length_penalty)
+        budget = F.lit(self._most() - self.length_penalty)
         for c in self.fields_to_preserve:
             budget = budget - size[c]
         fit = (longest if self.strategy == "longest" else uniform)([size[c] for c in names], budget)

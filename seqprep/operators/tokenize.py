@@ -27,7 +27,7 @@ def _built(text: str):
 
 @dataclass(frozen=True)
 class TokenizerSpec:
-    """A tokenizer's JSON and the ids of its special tokens (None: it has none)."""
+    """A tokenizer's JSON, the ids of its special tokens (empty: it has none) and the longest input of its model (None: not known)."""
 
     json: str = field(repr=False)
     bos: tuple[int, ...] = ()
@@ -35,6 +35,7 @@ class TokenizerSpec:
     eos: tuple[int, ...] = ()
     pad_id: int = 0
     pad_type_id: int = 0
+    max_length: int | None = None
 
     @classmethod
     def from_file(cls, path: str, **more: Any) -> TokenizerSpec:
@@ -52,6 +53,8 @@ class TokenizerSpec:
             i = ids.index(one[0])
             j = len(ids) - 1 - ids[::-1].index(two[0])
             found = {"bos": tuple(ids[:i]), "sep": tuple(ids[i + 1 : j]), "eos": tuple(ids[j + 1 :])}
+        if t.truncation:
+            found["max_length"] = t.truncation["max_length"]
         if t.padding:
             found |= {"pad_id": t.padding["pad_id"], "pad_type_id": t.padding["pad_type_id"]}
         return cls(text, **(found | more))

@@ -178,3 +178,60 @@ def test_spread_has_a_bound(spark):
     assert storage.spread(small).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     assert storage.spread(spark.range(1 << 40)).rdd.getNumPartitions() == spark.range(1 << 40).rdd.getNumPartitions()
     assert "Exchange" not in storage.spread(spark.range(1 << 40))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lengths_from_a_tokenizer(spark):
+    from dataclasses import replace
+
+    limited = replace(spec(), max_length=3)
+    df = spark.createDataFrame([([1, 2, 3, 4], [9])], "a array<int>, b array<int>")
+    assert o.TruncateMultipleFields(("a",), fields_to_preserve=("b",), tokenizer=limited).map(df).first().a == [1, 2]
+    for bad in ({}, {"tokenizer": spec()}):
+        with pytest.raises(ValueError):
+            o.TruncateMultipleFields(("a",), **bad)
+    df = spark.createDataFrame([([[1], [2], [3]],)], "s array<array<int>>")
+    cut = lambda **more: [r.s for r in o.MultiSequenceStrider(3, "s", ("s",), max_length=6, **more).map(df).collect()]
+    assert cut() == [[[1], [2], [3]]]
+    assert cut(tokenizer=spec()) == [[[1], [2]], [[3]]]
+    assert cut(tokenizer=spec(), extra_length_per_seq=0) == [[[1], [2], [3]]]
+
+
+def test_text_is_written(spark, tmp_path):
+    df = spark.createDataFrame([("a",), ("é b",)], "t string")
+    for k, compression in enumerate((None, "gzip")):
+        files.write_text(df, str(tmp_path / str(k)), compression=compression)
+        assert sorted(r.value for r in spark.read.text(str(tmp_path / str(k))).collect()) == ["a", "é b"]
+    files.write_text(df.limit(0), str(tmp_path / "none"), skip_if_empty=True)
+    assert not files.exists(spark, str(tmp_path / "none"))
+    files.write_text(df.limit(0), str(tmp_path / "0"))
+    assert spark.read.text(str(tmp_path / "0")).count() == 0
+
+
+def test_upload_on_success(spark, tmp_path):
+    local, remote = tmp_path / "local", tmp_path / "remote"
+    with files.upload_on_success(spark, str(remote), str(local)) as folder:
+        (local / "a.txt").write_text("x")
+        assert folder == str(local)
+    assert (remote / "a.txt").read_text() == "x" and not local.exists()
+    with pytest.raises(RuntimeError), files.upload_on_success(spark, str(tmp_path / "no"), str(local), keep_local=True):
+        raise RuntimeError
+    assert not (tmp_path / "no").exists() and local.exists()
+
+
+def test_batch_hooks(spark):
+    from seqprep.operators import batch
+
+    made = batch.collate([{"a": [1, 2]}, {"a": [3]}], batch.ListCollator(fields_pad_ids={"a": 0}), spark, "a array<int>")
+    assert made == {"a": [[1, 2], [3, 0]]}
+    left = batch.collate([{"a": [[1, 2], [3]]}, {"a": [[4]]}], batch.tensor_collator(fields_pad_ids={"a": 0}, left_pad_fields=("a",)), spark, "a array<array<int>>")
+    assert left == {"a": [[[1, 2], [0, 3]], [[0, 0], [0, 4]]]}
+    df = spark.createDataFrame([([1],), ([2],)], "a array<int>")
+    assert [r["a"] for r in batch.batches(df.coalesce(1))] == [[1], [2]]
+    assert o.FromDense().map(df).collect() == df.collect()
+
+
+def test_templates_by_name(spark):
+    df = spark.createDataFrame([("x",)], "t string")
+    assert o.registered({"q": "Q: {{ t }}"}, "q").map(df).first() == o.Jinja("Q: {{ t }}").map(df).first()
+    with pytest.raises(KeyError):
+        o.registered({}, "q")

@@ -255,6 +255,15 @@ def test_no_python_in_plans(spark):
     assert "Python" not in made._jdf.queryExecution().executedPlan().toString()
 
 
+def test_native_queries_hold_no_python(spark):
+    from seqprep import catalog
+
+    assert catalog.PYTHON < set(catalog.QUERIES)
+    for name, query in catalog.QUERIES.items():
+        plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert any(w in plan for w in ("Python", "Pandas", "InArrow")) == (name in catalog.PYTHON), name
+
+
 def test_results_do_not_depend_on_partitions(spark):
     df = spark.range(50).selectExpr("id", "array(id, id + 1) a")
     run = lambda n: sorted(str(r.id) for r in o.FixedBatchSize(7).map(df.repartition(n), order_by=["id"]).collect())
