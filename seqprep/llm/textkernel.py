@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -14,6 +15,8 @@ _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _SHINGLE = [_U(pow(0xD6E8FEB86659FD93, i + 1, 1 << 64)) for i in range(64)]
+#: Ranges of this many bytes or more are hashed byte by byte: sums of powers modulo 2**64 can be made to agree from 1,024 bytes on.
+_LONG = 512
 _TABLES: list[np.ndarray] = [np.ones(0, _U), np.ones(0, _U)]
 
 
@@ -62,12 +65,17 @@ class Ranges:
     """64-bit hashes of byte ranges: the same bytes, the same hash, wherever they stand."""
 
     def __init__(self, data: np.ndarray):
+        self._data = data
         power, self._inverse = _powers(len(data) + 1)
         self._sums = np.zeros(len(data) + 1, _U)
         np.cumsum((data.astype(_U) + _U(1)) * power[: len(data)], out=self._sums[1:])
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self._sums[ends] - self._sums[starts]) * self._inverse[starts] + (ends - starts).astype(_U) * _U(0xA24BAED4963EE407))
+        starts, ends = np.asarray(starts), np.asarray(ends)
+        h = mix((self._sums[ends] - self._sums[starts]) * self._inverse[starts] + (ends - starts).astype(_U) * _U(0xA24BAED4963EE407))
+        for k in np.flatnonzero(ends - starts >= _LONG).tolist():
+            h[k] = xxhash.xxh3_64_intdigest(self._data[starts[k] : ends[k]].tobytes())
+        return h
 
 
 class Text:

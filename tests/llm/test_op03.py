@@ -49,3 +49,16 @@ def test_sql_agrees(spark):
     got = sorted(tuple(r[c] for c in names) for r in q.query(spark, SF).collect())
     assert got == rows
     assert 0.5 < sum(r[-1] for r in rows) / len(rows) < 1
+
+
+def test_long_ranges_of_alike_sums():
+    import numpy as np
+
+    from seqprep.llm.textkernel import Text
+
+    one = np.array([bin(i).count("1") % 2 for i in range(2048)], np.uint8) + 97
+    other = np.uint8(97 + 98) - one
+    for n in (511, 512, 1024, 2048):
+        data = np.concatenate([one[:n], [32], other[:n], [32], one[:n]]).astype(np.uint8)
+        h = Text(data, np.array([0, len(data)])).word_hashes()
+        assert h[0] == h[2] != h[1], n
