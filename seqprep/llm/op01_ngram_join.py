@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import components, old_ids, partitions, table, unique_ids
-from .textkernel import mix, signed, texts
+from .textkernel import mix, signed, texts, trimmed
 
 _U = np.uint64
 BANDS, ROWS = 34, 6
@@ -217,7 +217,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     n = partitions(spark)
     base, names = unique_ids(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), "doc_id", "text")
-    signed_rows = table(base.mapInArrow(_signatures(width, bands, rows), "doc_id long, k1 long, k2 long, size int, bands array<long>"))
+    signed_rows = table(base.mapInArrow(trimmed(_signatures(width, bands, rows)), "doc_id long, k1 long, k2 long, size int, bands array<long>"))
     classes = table(signed_rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("copies")))
     firsts = signed_rows.join(classes, (signed_rows.doc_id == classes.copy_id) & (signed_rows.k1 == classes.k1) & (signed_rows.k2 == classes.k2)).select("doc_id", "size", "copies", "bands")
     least = int(np.ceil(threshold / (1 - threshold) - 1e-9)) if threshold < 1 else 1 << 31  # a smaller set and a different one have a union too large to link
@@ -226,8 +226,8 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     blocks = table(components(buckets.join(stars, ["band", "h"]).where("doc_id <> least").select(F.col("doc_id").alias("u"), F.col("least").alias("v"))))
     members = table(firsts.drop("bands").join(blocks.withColumnRenamed("id", "doc_id"), "doc_id"))
     pairs = block_pairs(members, threshold)
-    sets = base.join(members.select("doc_id"), "doc_id", "left_semi").mapInArrow(_gram_sets(width), "doc_id long, grams array<long>")
-    found = table(sets.join(pairs, "doc_id").repartition(n, "component", "p", "q").sortWithinPartitions("component", "p", "q").mapInArrow(_verify(threshold), _FOUND))
+    sets = base.join(members.select("doc_id"), "doc_id", "left_semi").mapInArrow(trimmed(_gram_sets(width)), "doc_id long, grams array<long>")
+    found = table(sets.join(pairs, "doc_id").repartition(n, "component", "p", "q").sortWithinPartitions("component", "p", "q").mapInArrow(trimmed(_verify(threshold)), _FOUND))
     links = found.where("other is null").groupBy("doc_id").agg(F.sum("n_links").alias("links")).withColumnRenamed("doc_id", "l_id")
     linked = components(found.where("other is not null").select(F.col("doc_id").alias("u"), F.col("other").alias("v"))).withColumnRenamed("id", "c_id")
     classed = classes.join(links, F.col("copy_id") == F.col("l_id"), "left").join(linked, F.col("copy_id") == F.col("c_id"), "left")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import boxed, chosen, table
 from .op10_extraction import main_text
-from .textkernel import _U, flat, pieces
+from .textkernel import _U, flat, pieces, trimmed
 
 BUCKETS = 1 << 13
 #: Rows that declare a language, for it to have a model.
@@ -114,7 +114,7 @@ def language_id(rows: DataFrame, id_col: str, text: str, declared: str | None =
     base = rows.select(F.col(id_col).cast("long").alias("id"), given(text).alias("text"), some(F.lower(label)).alias("declared"), some(address).alias("host"), path.alias("path"))
     domain = F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)
     if html:  # extracted once
-        base = table(base.select("text", "id", "declared", "host", "path").mapInArrow(_extract, "text string, id long, declared string, host string, path string"))
+        base = table(base.select("text", "id", "declared", "host", "path").mapInArrow(trimmed(_extract), "text string, id long, declared string, host string, path string"))
     base = base.withColumn("domain", F.when(domain == "", F.col("host")).otherwise(domain)).withColumn("suffix", F.concat_ws("/", F.regexp_extract("host", r"\.([^.]+)$", 1), "path"))
     sizes = base.groupBy("declared").agg(F.count("*").alias("n"))
     languages = [r[0] for r in sizes.where(F.col("declared").isNotNull() & (F.col("n") >= LEAST)).orderBy("declared").collect()]  # codes of two or three letters
@@ -127,12 +127,12 @@ def language_id(rows: DataFrame, id_col: str, text: str, declared: str | None =
         return out(base.select("id", "host", "declared", F.lit(0).cast("long").alias("n_trigrams"), none.alias("text_lang"), none.alias("lang"), F.lit(0.0).alias("prob"), F.lit(False).alias("kept")))
     size = len(languages)
     model = np.zeros((size, BUCKETS))
-    for r in base.select("text", "declared").mapInArrow(_counts(languages), "k int, cell int, n long").groupBy("k", "cell").agg(F.sum("n").alias("n")).toPandas().itertuples(index=False):  # a bounded table
+    for r in base.select("text", "declared").mapInArrow(trimmed(_counts(languages)), "k int, cell int, n long").groupBy("k", "cell").agg(F.sum("n").alias("n")).toPandas().itertuples(index=False):  # a bounded table
         model[r.k, r.cell] = r.n
     even = model.sum(axis=0) / max(model.sum(), 1)
     model = np.log((model + 50 * even + 1e-3) / (model.sum(axis=1, keepdims=True) + 50 + 1e-3 * BUCKETS)).astype(np.float32)
     shared = spark.sparkContext.broadcast(model)
-    scored = table(base.select("id", "declared", "host", "domain", "suffix", "text").mapInArrow(_likelihoods(shared), "id long, declared string, host string, domain string, suffix string, n long, ll array<double>"))
+    scored = table(base.select("id", "declared", "host", "domain", "suffix", "text").mapInArrow(trimmed(_likelihoods(shared)), "id long, declared string, host string, domain string, suffix string, n long, ll array<double>"))
     guess = F.array_position("ll", F.array_max("ll")).cast("int") - 1
     scored = scored.withColumn("guess", F.when(F.col("n") > 0, guess))
     all_ = np.array(_tally(scored.where("guess is not null"), [], size).first()[0]) if scored.where("guess is not null").limit(1).count() else np.full(size, 1 / size)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .textkernel import SPACE, Text, _U, flat, mix, pieces, signed
+from .textkernel import SPACE, Text, _U, flat, mix, pieces, signed, trimmed
 
 #: Labelled documents of which the models and the fit are made, at most.
 SAMPLE = 16_000
@@ -129,7 +129,7 @@ def _distinct():
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """h, six (first bytes), shared (continuation count over all rows of docs(text), from sketches) of each word."""
-    sketches = docs.select("text").mapInArrow(_corpus_counts, "h long, six long, " + ", ".join(f"{p} long" for p in _PLANES))
+    sketches = docs.select("text").mapInArrow(trimmed(_corpus_counts), "h long, six long, " + ", ".join(f"{p} long" for p in _PLANES))
     return sketches.groupBy("h").agg(F.max("six").alias("six"), *[F.bit_or(p).alias(p) for p in _PLANES]).select("h", "six", _distinct().alias("shared"))
 
 
@@ -143,7 +143,7 @@ def _class_pairs(batches):
 
 def class_counts(sample: DataFrame) -> DataFrame:
     """h, six, c0, c1 of each word of sample(text, class): exact continuation counts in the classes."""
-    pairs = sample.select("class", "text").mapInArrow(_class_pairs, "class int, h long, six long, before long").distinct()
+    pairs = sample.select("class", "text").mapInArrow(trimmed(_class_pairs), "class int, h long, six long, before long").distinct()
     return pairs.groupBy("h", "six").agg(*[F.count_if(F.col("class") == c).alias(f"c{c}") for c in (0, 1)])
 
 
@@ -280,7 +280,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     weights = None
     if model is not None:
         shared = spark.sparkContext.broadcast((model, None))
-        got = rows_of(picked.where(fitted)).mapInArrow(_score(shared), "class int, passage double, whole double, score double").toPandas()  # a quarter of the sample
+        got = rows_of(picked.where(fitted)).mapInArrow(trimmed(_score(shared)), "class int, passage double, whole double, score double").toPandas()  # a quarter of the sample
         y = got["class"].to_numpy(float)
         if 0 < y.sum() < len(y):
             share = {c: sizes[c] / min(sizes[c], max(1, sample // 2)) for c in sizes}
@@ -288,7 +288,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     only = 1.0 if set(sizes) == {1} else 0.0
     model = model or Model([np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64)], [np.zeros(0)] * 3)
     shared = spark.sparkContext.broadcast((model, weights))
-    scored = base.mapInArrow(_score(shared), "doc_id long, passage double, whole double, score double")
+    scored = base.mapInArrow(trimmed(_score(shared)), "doc_id long, passage double, whole double, score double")
     score = F.col("score") if weights is not None else F.lit(only)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), (score >= cut).cast("int").alias("predicted"), "passage", "whole")
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .piece_lattice import DEFAULT_MODEL, LONGEST, Lattice, PieceTable, Trie, load, pretokens
-from .textkernel import _U
+from .textkernel import _U, trimmed
 
 REMEMBERED = 1_000_000
 
@@ -59,7 +59,7 @@ def token_counts(docs: DataFrame, model: str = DEFAULT_MODEL, id_col: str = "doc
     """
     shared = docs.sparkSession.sparkContext.broadcast(load(model))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return base.mapInArrow(_run(shared), "doc_id long, n_pretokens long, n_tokens long")
+    return base.mapInArrow(trimmed(_run(shared)), "doc_id long, n_pretokens long, n_tokens long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import old_ids, partitions, table, unique_ids
-from .textkernel import _BASE, flat, mix, pieces
+from .textkernel import _BASE, flat, mix, pieces, trimmed
 
 _U = np.uint64
 #: Bytes of a gram whose hash picks the anchors.
@@ -519,14 +519,14 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     rows, names = unique_ids(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), "doc_id", "text")
     n = partitions(spark)
-    anchors = rows.mapInArrow(_anchor_rows(length, gram), _ANCHORS)
-    counted = rows.sample(SAMPLE, 1).mapInArrow(_anchor_rows(length, gram), _ANCHORS).where("not settled").groupBy("kh").agg(F.count("*").alias("c"))
+    anchors = rows.mapInArrow(trimmed(_anchor_rows(length, gram)), _ANCHORS)
+    counted = rows.sample(SAMPLE, 1).mapInArrow(trimmed(_anchor_rows(length, gram)), _ANCHORS).where("not settled").groupBy("kh").agg(F.count("*").alias("c"))
     hot = table(counted.where(F.col("c") >= SHARD_CONTEXTS * SAMPLE).orderBy(F.desc("c"), "kh").limit(HOT).select(F.col("kh").alias("hot_kh")))
     anchors = anchors.join(F.broadcast(hot), F.col("kh") == F.col("hot_kh"), "left").select("kh", "ch", "doc_id", "lo", "n", "settled", F.col("hot_kh").isNotNull().alias("hot"))  # HOT rows at most
 
     def settled(anchors: DataFrame) -> DataFrame:
         dealt = anchors.repartition(n, "kh", F.when(F.col("hot"), F.col("ch")).otherwise(0))
-        return table(dealt.sortWithinPartitions("kh", "ch", "doc_id", "lo").mapInArrow(_by_anchor, _RANGES))
+        return table(dealt.sortWithinPartitions("kh", "ch", "doc_id", "lo").mapInArrow(trimmed(_by_anchor), _RANGES))
 
     dealt = rows.repartition(n, "doc_id")
 
@@ -535,23 +535,23 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return dealt.join(edges.hint("shuffle_hash"), "doc_id")
 
     ranges = settled(anchors)
-    large = with_ranges(ranges.where("parts > 1 or parts = -1")).mapInArrow(_extended(length, gram, INTERVAL), _ANCHORS).withColumn("hot", F.lit(True))
+    large = with_ranges(ranges.where("parts > 1 or parts = -1")).mapInArrow(trimmed(_extended(length, gram, INTERVAL)), _ANCHORS).withColumn("hot", F.lit(True))
     split = settled(large)
     kinds = split.where("parts = -1").groupBy(F.col("kh").alias("key")).agg(F.count("*").alias("kinds")).where("kinds > 1")
     parts = F.ceil(F.col("kinds") / SHARD_CONTEXTS).cast("int").alias("parts")
     edges = split.where("parts = -1").join(kinds, F.col("kh") == F.col("key")).select("doc_id", "lo", "n", "kh", parts).union(ranges.where("parts = 1"))
     shards = (
         with_ranges(edges)
-        .mapInArrow(_cut_contexts(length), "kh long, parts int, doc_id long, lo int, n int, context binary")
+        .mapInArrow(trimmed(_cut_contexts(length)), "kh long, parts int, doc_id long, lo int, n int, context binary")
         .withColumn("salt", F.expr("cast(pmod(xxhash64(doc_id, lo), parts) as int)"))
         .repartition(n, "kh", "salt")
         .sortWithinPartitions("kh", "salt")
     )
-    runs = shards.mapInArrow(_by_shard(length), _MARKS).withColumn("slice", F.shiftright("d1", 56).cast("int"))
-    marks = runs.repartition(n, F.coalesce("d1", "doc_id"), F.col("d2")).sortWithinPartitions("slice", "shard").mapInArrow(_merge_shards, "doc_id long, lo int, n int")
+    runs = shards.mapInArrow(trimmed(_by_shard(length)), _MARKS).withColumn("slice", F.shiftright("d1", 56).cast("int"))
+    marks = runs.repartition(n, F.coalesce("d1", "doc_id"), F.col("d2")).sortWithinPartitions("slice", "shard").mapInArrow(trimmed(_merge_shards), "doc_id long, lo int, n int")
     marks = marks.union(split.where("parts = 0").select("doc_id", "lo", "n"))
     marks = marks.union(ranges.where("parts = 0").select("doc_id", "lo", "n")).groupBy("doc_id").agg(F.collect_list("lo").alias("los"), F.collect_list("n").alias("ns"))
-    result = dealt.join(marks.hint("shuffle_hash"), "doc_id", "left").mapInArrow(_cut(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+    result = dealt.join(marks.hint("shuffle_hash"), "doc_id", "left").mapInArrow(trimmed(_cut(length)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
     return old_ids(result, names, ["doc_id"])
 
 

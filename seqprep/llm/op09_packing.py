@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from .common import partitions, table
 from .op05_token_counts import token_counts
 from .piece_lattice import DEFAULT_MODEL
+from .textkernel import trimmed
 
 LENGTHS = (512, 1024, 2048, 4096)
 OVERHEAD = 16
@@ -100,7 +101,7 @@ def best_fit_packing(items: DataFrame, sizes: Sequence[int] = LENGTHS, overhead:
     some = cut.where("length > 0")
     shards = max(1, -(-some.count() // SHARD))
     dealt = some.withColumn("shard", F.pmod(F.xxhash64("place", "piece"), F.lit(shards)))
-    packed = dealt.repartition(min(shards, max(partitions(spark), shards // 8)), "shard").mapInArrow(_shard(tuple(sizes), overhead), "doc_id long, piece int, length long, bin_id long, bin_start long, capacity long")
+    packed = dealt.repartition(min(shards, max(partitions(spark), shards // 8)), "shard").mapInArrow(trimmed(_shard(tuple(sizes), overhead)), "doc_id long, piece int, length long, bin_id long, bin_start long, capacity long")
     none = F.lit(None).cast("long")
     return packed.unionByName(cut.where("length = 0").select("doc_id", "piece", "length", none.alias("bin_id"), none.alias("bin_start"), none.alias("capacity")))
 

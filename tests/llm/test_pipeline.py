@@ -1,4 +1,7 @@
+import platform
 import re
+import subprocess
+import sys
 
 import pytest
 
@@ -68,3 +71,39 @@ def test_stages_take_odd_rows(spark, number):
         if number < 4:
             assert got.columns == [f.split()[0] for f in schema.split(", ")]
         got.collect()
+
+
+def test_tasks_give_back_memory(spark, monkeypatch):
+    frame, functions, gave = type(spark.range(0)), [], []
+    plain = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, function, *a, **b: functions.append(function) or plain(self, function, *a, **b))
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, SF)
+    assert len(functions) > 15
+    monkeypatch.setattr("seqprep.llm.textkernel.give_back", lambda: gave.append(1))
+    for n, function in enumerate(functions):
+        list(function(iter(())))
+        assert len(gave) == n + 1
+
+
+@pytest.mark.skipif(sys.platform != "linux" or platform.libc_ver()[0] != "glibc", reason="reads /proc; other C libraries keep other memory")
+def test_worker_after_a_task():
+    """A worker of its own: what it keeps after a task of op8 over 40 MB is a small part of what the task used."""
+    code = """
+import re
+from pathlib import Path
+import numpy as np, pyarrow as pa
+from seqprep.llm import op08_suffix_dedup as op8
+from seqprep.llm.textkernel import trimmed
+used = lambda: int(re.search(r"\\nPss_Anon:\\s+(\\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) / 1024
+rng = np.random.default_rng(1)
+made = lambda n: pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array([rng.integers(97, 123, 2000, np.uint8).tobytes().decode() for _ in range(n)])], names=["doc_id", "text"])
+task = lambda sizes: sum(b.num_rows for b in trimmed(op8._anchor_rows(100, 24))(made(n) for n in sizes))
+task([10])
+before = used()
+assert task([2000] * 10)
+print(used() - before)
+"""
+    grown = float(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, timeout=120).stdout)
+    assert grown < 25
