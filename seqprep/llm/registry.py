@@ -13,6 +13,7 @@ from . import (
     op08_suffix_dedup,
     op09_packing,
     op10_extraction,
+    op11_decontamination,
 )
 
 QUERIES = {
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_suffix_dedup": op08_suffix_dedup.query,
     "op9_packing": op09_packing.query,
     "op10_html_extraction": op10_extraction.query,
+    "op11_decontamination": op11_decontamination.query,
 }
 
 ORACLE = {
@@ -33,4 +35,5 @@ ORACLE = {
     "op3_quality_rules": op03_quality.SQL,
     "op6_embedding_dedup": op06_embedding_dedup.SQL,
     "op8_suffix_dedup": op08_suffix_dedup.SQL,
+    "op11_decontamination": op11_decontamination.SQL,
 }
