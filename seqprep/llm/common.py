@@ -7,7 +7,20 @@ from pyspark.sql import functions as F
 
 from ..plans.storage import cleanup, new_path, numbered, shared_dir, table
 
-__all__ = ["boxed", "chosen", "cleanup", "components", "new_path", "numbered", "old_ids", "partitions", "shared_dir", "table", "unique_ids"]
+__all__ = ["boxed", "chosen", "cleanup", "components", "lookup", "new_path", "numbered", "old_ids", "partitions", "shared_dir", "table", "unique_ids"]
+
+
+#: Keys that more than one in HOT rows has are at most HOT - 1.
+HOT = 1024
+
+
+def lookup(rows: DataFrame, found: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
+    """rows joined with found: one row a key, with n, how many of the rows have it. Keys that hold more than one in HOT rows are looked up
+    by broadcast (fewer than HOT rows), the others by a shuffle, so no key makes a large task. Both tables are read twice: give written ones."""
+    least = (found.agg(F.sum(n)).first()[0] or 0) // HOT
+    hot = F.broadcast(found.where(F.col(n) > least))
+    rest = rows.join(hot.select(*keys), keys, "left_anti").join(found.where(F.col(n) <= least), keys)
+    return rows.join(hot, keys).unionByName(rest)
 
 
 def partitions(spark: SparkSession) -> int:

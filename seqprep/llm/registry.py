@@ -14,6 +14,7 @@ from . import (
     op09_packing,
     op10_extraction,
     op11_decontamination,
+    op12_divergence,
 )
 
 QUERIES = {
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_packing": op09_packing.query,
     "op10_html_extraction": op10_extraction.query,
     "op11_decontamination": op11_decontamination.query,
+    "op12_source_divergence": op12_divergence.query,
 }
 
 ORACLE = {
@@ -36,4 +38,5 @@ ORACLE = {
     "op6_embedding_dedup": op06_embedding_dedup.SQL,
     "op8_suffix_dedup": op08_suffix_dedup.SQL,
     "op11_decontamination": op11_decontamination.SQL,
+    "op12_source_divergence": op12_divergence.SQL,
 }
