@@ -15,6 +15,7 @@ from . import (
     op10_extraction,
     op11_decontamination,
     op12_divergence,
+    op13_prefix_trie,
 )
 
 QUERIES = {
@@ -30,6 +31,7 @@ QUERIES = {
     "op10_html_extraction": op10_extraction.query,
     "op11_decontamination": op11_decontamination.query,
     "op12_source_divergence": op12_divergence.query,
+    "op13_prefix_trie": op13_prefix_trie.query,
 }
 
 ORACLE = {
@@ -39,4 +41,5 @@ ORACLE = {
     "op8_suffix_dedup": op08_suffix_dedup.SQL,
     "op11_decontamination": op11_decontamination.SQL,
     "op12_source_divergence": op12_divergence.SQL,
+    "op13_prefix_trie": op13_prefix_trie.SQL,
 }
