@@ -1,15 +1,14 @@
 """Toxicity by two class-conditional Kneser-Ney models with shared backoff.
 
-The context of a word is its class (toxic or ordinary); the models are unigram models of a class, no word is conditioned on the word before it. A class
-counts a word once for each different word before it (continuation counts, so copies of a text add nothing), discounts each count and gives the freed mass to
-its model of six-byte stems, that to its model of four-byte stems, and that to the corpus: continuation counts over all documents, shared by both
-classes. A freed mass is passed on in proportion to the shared counts below a stem, so the probabilities of a class add up to one. Each class has its own discount at
-each level, such that both free the same share; so an expression that neither class has seen weighs nothing, and a rare inflection is judged by its stem.
-Words seen once are kept like all others: what the discount takes from them goes to their stems. Words before a word are counted over the corpus by sketches (LEVELS bitmaps of BITS bits, each with half
-the words of the one above; exact for a few words, off by about an eighth for many, with no ceiling).
+The context of a word is its class (toxic or ordinary). A class counts a word once for each different word before it (continuation counts, so copies of a text add
+nothing), discounts each count and gives the freed mass to its model of six-byte stems, that to its model of four-byte stems, and that to the corpus: continuation counts over all
+documents, shared by both classes. A freed mass is passed on in proportion to the shared counts below a stem, so the probabilities of a class add up to one. The discounts of counts of 1, 2 and
+3 or more are estimated for each class and level from the counts of counts (modified Kneser-Ney), so every word keeps a part of its own count. Words before a
+word are counted over the corpus by sketches (LEVELS bitmaps of BITS bits, each with half the words of the one above; exact for a few words, off by about an eighth for many, with no ceiling).
 
-A passage's score is the difference of the two log-likelihoods by its length in words; a logistic fit
-on labelled documents outside the models' counts turns the highest passage score and the document's own into a probability.
+A word's evidence is the difference of its two log-likelihoods. A document has, for each grade of how often the classes have seen a word (EDGES), the sum of the evidence by its length in
+words and the highest such sum over a passage; a logistic fit weighs them, so how far rare words can be trusted is learnt, not set. The fit uses every document of the sample, each
+scored by a model of the other folds only; the scores come from the model of all folds. Held-out labels enter neither.
 
 Labels come from a sample of at most SAMPLE documents, half of each class at most (the smallest hashes of labelled ids; the fit weighs the classes as they are
 among all labels), corpus counts from all documents. The class tables hold the words of the sample.
@@ -28,9 +27,10 @@ from .textkernel import SPACE, Text, _U, flat, mix, pieces, signed, trimmed
 
 #: Labelled documents of which the models and the fit are made, at most.
 SAMPLE = 16_000
-#: Discount of the class that frees more by it (that with fewer repeated words, as a rule); the other's is larger. Below 2, words that some ordinary topic
-#: brought into a few toxic documents weigh too much.
-DISCOUNT = 3.0
+#: Parts of the sample that are scored by models of the others, for the fit.
+FOLDS = 4
+#: Grades of a word's count over both classes: 0, 1, 2, 3 to 4, 5 to 8, 9 to 16, more.
+EDGES = (0, 1, 2, 4, 8, 16)
 #: Bitmaps of a word's sketch, bits of each, and bits set beyond which a bitmap is too full to be read.
 LEVELS, BITS, FULL = 28, 32, 24
 #: Words in a passage.
@@ -78,12 +78,18 @@ def _sketched(before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.bitwise_count((low & (~low + _U(1))) - _U(1)).astype(_U), _U(1) << (x >> _U(64 - 5))
 
 
+#: Words that a task packs at once, and packed rows that it holds before they go out.
+PACK, HELD = 250_000, 400_000
+
+
 def _corpus_counts(batches):
-    """For each task and word: its first bytes and the sketch of the words before it, two bitmaps in a long. One row a word, whatever its count."""
+    """For each task and word: its first bytes and the sketch of the words before it, two bitmaps in a long. A row a word and HELD packed rows, whatever the words' counts."""
     words, rows = [], 0
+    packed, held = [], 0
 
-    def pack():
-        h, six, level, bits = (np.concatenate(x) for x in zip(*words, strict=True))
+    def pack(parts):
+        h, six, level, bits = (np.concatenate(x) for x in zip(*parts, strict=True))
+        parts.clear()
         o = np.argsort((h & ~_U(31)) | level)
         h, level = h[o], level[o]
         s = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (level[1:] != level[:-1])))
@@ -94,8 +100,8 @@ def _corpus_counts(batches):
         h, six, level, bits = h[o], six[o], level[o].astype(np.int64), bits[o]
         first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
         word = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(h))))
-        for a in range(0, len(first), 1 << 16):
-            e = min(a + (1 << 16), len(first))
+        for a in range(0, len(first), 1 << 14):
+            e = min(a + (1 << 14), len(first))
             lo, hi = first[a], first[e] if e < len(first) else len(h)
             planes = np.zeros((len(_PLANES), e - a), _U)
             for odd in (0, 1):
@@ -109,14 +115,20 @@ def _corpus_counts(batches):
                 continue
             words.append((w.word, w.stems[0], *_sketched(w.before())))
             rows += len(w.word)
-            if rows > 2_000_000:
-                words[:] = [pack()]
-                rows = len(words[0][0])
-                if rows > 1_000_000:
-                    yield from out(*words.pop())
-                    rows = 0
+            if rows > PACK:
+                packed.append(pack(words))
+                rows = 0
+                held += len(packed[-1][0])
+                if held > HELD:
+                    packed.append(pack(packed))
+                    held = len(packed[-1][0])
+                    if held > HELD // 2:  # few words come again
+                        yield from out(*packed.pop())
+                        held = 0
     if words:
-        yield from out(*pack())
+        packed.append(pack(words))
+    if packed:
+        yield from out(*pack(packed))
 
 
 def _distinct():
@@ -135,72 +147,99 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 def _class_pairs(batches):
     for batch in batches:
-        kind = batch.column("class").to_numpy(zero_copy_only=False)
+        kind, fold = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("class", "fold"))
         for a, b, w in _slices(batch):
             if len(w.word):
-                yield pa.RecordBatch.from_arrays([pa.array(kind[a:b][w.text.row]), pa.array(signed(w.word)), pa.array(w.stems[0]), pa.array(signed(w.before()))], names=["class", "h", "six", "before"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[a:b][w.text.row]) for x in (kind, fold)] + [pa.array(signed(w.word)), pa.array(w.stems[0]), pa.array(signed(w.before()))], names=["class", "fold", "h", "six", "before"])
 
 
 def class_counts(sample: DataFrame) -> DataFrame:
-    """h, six, c0, c1 of each word of sample(text, class): exact continuation counts in the classes."""
-    pairs = sample.select("class", "text").mapInArrow(trimmed(_class_pairs), "class int, h long, six long, before long").distinct()
-    return pairs.groupBy("h", "six").agg(*[F.count_if(F.col("class") == c).alias(f"c{c}") for c in (0, 1)])
+    """h, six and c<class>_<k> of each word of sample(text, class, fold): exact continuation counts in a class without fold k, and (k = FOLDS) in all."""
+    pairs = sample.select("class", "fold", "text").mapInArrow(trimmed(_class_pairs), "class int, fold int, h long, six long, before long")
+    pairs = pairs.groupBy("class", "h", "six", "before").agg(F.bit_or(F.expr("shiftleft(1, fold)")).alias("folds"))
+    found = lambda c, k: F.count_if((F.col("class") == c) & (F.col("folds").bitwiseAND(~(1 << k)) != 0)).cast("int").alias(f"c{c}_{k}")
+    return pairs.groupBy("h", "six").agg(*[found(c, k) for c in (0, 1) for k in range(FOLDS + 1)])
 
 
 class Model:
-    """Log-ratio (toxic over ordinary) of each word in the tables, else of its longest stem there, else 0: both classes back off alike."""
+    """Log-ratios (toxic over ordinary) of the words in the tables, else of the longest stem there, and the grade of each word; one of each for each of the models that share the tables."""
+
+    def __init__(self, keys: list[np.ndarray], ratios: list[list[np.ndarray]], grades: list[np.ndarray], unseen: list[float]):
+        self.keys, self.ratios, self.grades, self.unseen = keys, ratios, grades, unseen
 
-    def __init__(self, keys: list[np.ndarray], ratios: list[np.ndarray]):
-        self.keys, self.ratios = keys, ratios
+    def only(self, k: int) -> Model:
+        return Model(self.keys, [self.ratios[k]], [self.grades[k]], [self.unseen[k]])
 
-    def of(self, levels: list[np.ndarray]) -> np.ndarray:
-        out = np.zeros(len(levels[0]))
+    def of(self, levels: list[np.ndarray], k: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """(log-ratio, grade) of each word by the k-th model."""
+        out, grade = np.full(len(levels[0]), self.unseen[k]), np.zeros(len(levels[0]), np.int8)
         left = np.arange(len(out))
-        for h, keys, ratios in zip(levels, self.keys, self.ratios, strict=True):
+        for level, (h, keys, ratios) in enumerate(zip(levels, self.keys, self.ratios[k], strict=True)):
             if not len(keys):
                 continue
             at = np.minimum(np.searchsorted(keys, h[left]), len(keys) - 1)
             hit = keys[at] == h[left]
             out[left[hit]] = ratios[at[hit]]
+            if not level:
+                grade[left[hit]] = self.grades[k][at[hit]]
             left = left[~hit]
-        return out
+        return out, grade
 
 
-def _discount(counts: np.ndarray, freed: float) -> float:
-    """The discount that frees so much: freed = sum(min(counts, discount))."""
-    falling = np.append(np.sort(counts)[::-1], 0.0)
-    sums = np.cumsum(falling[::-1])[::-1]  # of a count and those below
-    at = np.arange(1, len(falling))  # the counts above the discount
-    k = int(np.argmax(np.append(at * falling[1:] + sums[1:] <= freed, True)))  # the first that may be all above it
-    return float((freed - sums[k + 1]) / (k + 1)) if k < len(counts) else float(counts.max())
+def discounts(counts: np.ndarray) -> np.ndarray:
+    """What each count gives away: discounts of 1, 2 and 3 or more by the counts of counts, within (0, 1), (0, 2) and (0, 3); 0.75 where they tell nothing."""
+    n = np.bincount(np.minimum(counts, 5).astype(np.int64), minlength=6)[1:5].astype(float)
+    d = np.full(3, 0.75)
+    if n[0] and n[1]:
+        y = n[0] / (n[0] + 2 * n[1])
+        for k in range(3):
+            d[k] = k + 1 - (k + 2) * y * n[k + 1] / n[k] if n[k] else 0.75
+        d = np.clip(d, 0.05, [0.95, 1.95, 2.95])
+    return np.where(counts > 0, np.minimum(d[np.clip(counts, 1, 3).astype(np.int64) - 1], counts), 0.0)
 
 
-def fit(h: np.ndarray, six: np.ndarray, counts: np.ndarray, shared: np.ndarray, stems: list[tuple[np.ndarray, np.ndarray]], total: float) -> Model:
-    """The words of both classes: hash, first bytes, (2, words) counts and shared counts; (ascending keys, shared counts) of their six- and four-byte stems; sum of all shared counts."""
+def _exact(x: np.ndarray) -> np.ndarray:
+    """Multiples of 2^-20: their sums are exact, in any order."""
+    return np.round(x * 2**20) / 2**20
+
+
+def _fitted(of_six, of_four, counts, shared, stems, total) -> tuple[list[np.ndarray], np.ndarray, float]:
+    """(ratios of words, six- and four-byte stems, grades of the words, ratio of what no level knows) of one model."""
     (six_keys, six_shared), (four_keys, four_shared) = stems
-    of_six, of_four = np.searchsorted(six_keys, six), np.searchsorted(four_keys, six_keys >> 16)
+    grade = np.searchsorted(EDGES, counts.sum(axis=0), "left").astype(np.int8)
+    mass = counts.sum(axis=1)
+    if not mass.all():
+        return [np.zeros(len(x)) for x in (shared, six_keys, four_keys)], grade, 0.0
     c6 = np.array([np.bincount(of_six, c, minlength=len(six_keys)) for c in counts])
     c4 = np.array([np.bincount(of_four, c, minlength=len(four_keys)) for c in c6])
-    mass = counts.sum(axis=1)
-    p = None
-    ratios = []
-    for c, low in ((c4, four_shared / total), (c6, six_shared / four_shared[of_four]), (counts, shared / six_shared[of_six])):
-        freed = max(np.minimum(x, DISCOUNT).sum() / m for x, m in zip(c, mass, strict=True))
-        discount = np.array([_discount(x, freed * m) for x, m in zip(c, mass, strict=True)])
-        above = low if p is None else p[:, of_four if c is c6 else of_six] * low
-        p = np.maximum(c - discount[:, None], 0) / mass[:, None] + freed * above
-        ratios.append(np.round((np.log(p[1]) - np.log(p[0])) * 2**20) / 2**20)  # sums are exact, in any order
+    p, ratios, backoff = None, [], []
+    for c, low, above in ((c4, four_shared / total, None), (c6, six_shared / four_shared[of_four], of_four), (counts, shared / six_shared[of_six], of_six)):
+        given = np.array([discounts(x) for x in c])
+        freed = given.sum(axis=1) / mass
+        p = (c - given) / mass[:, None] + freed[:, None] * (low if p is None else p[:, above] * low)
+        ratios.append(np.log(p[1]) - np.log(p[0]))
+        backoff.append(float(np.log(freed[1]) - np.log(freed[0])))
+    four, six, words = backoff  # what a level doesn't know has the ratio of the level below, and that of the masses freed to it
+    return [_exact(ratios[2]), _exact(ratios[1] + words), _exact(ratios[0] + six + words)], grade, float(_exact(np.array(four + six + words)))
+
+
+def fit(h: np.ndarray, six: np.ndarray, counts: np.ndarray, shared: np.ndarray, stems: list[tuple[np.ndarray, np.ndarray]], total: float) -> Model:
+    """The words of both classes: hash, first bytes, (models, 2, words) counts and shared counts; (ascending keys, shared counts) of their six- and four-byte stems; sum of all shared counts."""
     o = np.argsort(h)
-    return Model([h[o], six_keys, four_keys], [ratios[2][o], ratios[1], ratios[0]])
+    h, six, counts, shared = h[o], six[o], counts[:, :, o], shared[o]
+    of_six, of_four = np.searchsorted(stems[0][0], six), np.searchsorted(stems[1][0], stems[0][0] >> 16)
+    found = [_fitted(of_six, of_four, c.astype(float), shared, stems, total) for c in counts]
+    return Model([h, stems[0][0], stems[1][0]], *(list(x) for x in zip(*found, strict=True)))
 
 
 def learn(sample: DataFrame, words: DataFrame) -> Model | None:
-    """The model of sample(text, class) over the corpus counts words; None where a class has no words. To the driver: the words and stems of the sample."""
+    """The models of sample(text, class, fold) without each fold, and of all, over the corpus counts words; None where a class has no words. To the driver: the words and stems of the sample."""
     seen = table(class_counts(sample))
     rows = seen.join(words.select("h", "shared"), "h").toArrow()
-    h, six, c0, c1, shared = (rows.column(c).to_numpy() for c in ("h", "six", "c0", "c1", "shared"))
-    counts = np.array([c0, c1], float)
-    if not len(h) or not counts.sum(axis=1).all():
+    h, six, shared = (rows.column(c).to_numpy() for c in ("h", "six", "shared"))
+    counts = np.array([[rows.column(f"c{c}_{k}").to_numpy() for c in (0, 1)] for k in range(FOLDS + 1)])
+    del rows
+    if not len(h) or not counts[FOLDS].sum(axis=1).all():
         return None
     sums = table(words.groupBy("six").agg(F.sum("shared").alias("shared")))
     four = F.shiftright("six", 16).alias("four")
@@ -213,38 +252,62 @@ def learn(sample: DataFrame, words: DataFrame) -> Model | None:
     return fit(h.view(_U), six, counts, shared, stems, sums.agg(F.sum("shared")).first()[0])
 
 
-def _features(w: _Words, rows: int, model: Model) -> np.ndarray:
-    """(rows, 2): highest mean log-ratio over a passage, and over the document; shorter documents count as filled up with unknown words."""
+#: Two for each grade.
+FEATURES = 2 * (len(EDGES) + 1)
+
+
+def _features(w: _Words, rows: int, model: Model, k: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """((rows, FEATURES): for each grade, the sum of log-ratios by the words of the document, and the highest over a passage; (rows, 2): the same over all grades); shorter documents count as filled up with unknown words."""
     t = w.text
-    x = model.of([w.word, *w.stems])
-    sums = np.concatenate([[0.0], np.cumsum(x)])
+    out, plain = np.zeros((rows, FEATURES)), np.zeros((rows, 2))
+    has = np.flatnonzero(t.n_words)
+    if not len(has):
+        return out, plain
+    x, grade = model.of([w.word, *w.stems], k)
     first, n = t.first[:-1], t.n_words
-    out = np.zeros((rows, 2))
-    has = np.flatnonzero(n)
-    out[has, 1] = (sums[first[has] + n[has]] - sums[first[has]]) / np.maximum(n[has], PASSAGE)
-    if len(has):
-        end = np.minimum(np.arange(len(x)) + PASSAGE, (first + n)[t.row])
-        passage = (sums[end] - sums[:-1]) / PASSAGE
-        out[has, 0] = np.maximum.reduceat(passage, first[has])
-    return out
+    end = np.minimum(np.arange(len(x)) + PASSAGE, (first + n)[t.row])
+    for g in range(-1, FEATURES // 2):
+        v = x if g < 0 else np.where(grade == g, x, 0.0)
+        sums = np.concatenate([[0.0], np.cumsum(v)])
+        to, at = (plain, 0) if g < 0 else (out, 2 * g)
+        to[has, at + 1] = (sums[first[has] + n[has]] - sums[first[has]]) / np.maximum(n[has], PASSAGE)
+        to[has, at] = np.maximum.reduceat((sums[end] - sums[:-1]) / PASSAGE, first[has])
+    return out, plain
+
+
+def _sampled(shared):
+    """Of sample rows (class, fold, text): class, and the features by the model without the row's fold."""
+
+    def run(batches):
+        model = shared.value[0]
+        for batch in batches:
+            f, fold = np.zeros((batch.num_rows, FEATURES)), batch.column("fold").to_numpy(zero_copy_only=False)
+            for a, b, w in _slices(batch):
+                for k in np.unique(fold[a:b]):
+                    mine = fold[a:b] == k
+                    f[a:b][mine] = _features(w, b - a, model, int(k))[0][mine]
+            yield pa.RecordBatch.from_arrays([batch.column("class"), *(pa.array(x) for x in f.T.copy())], names=["class", *(f"f{k}" for k in range(FEATURES))])
+
+    return run
 
 
 def _score(shared):
     def run(batches):
         model, weights = shared.value
         for batch in batches:
-            f = np.zeros((batch.num_rows, 2))
+            f, plain = np.zeros((batch.num_rows, FEATURES)), np.zeros((batch.num_rows, 2))
             for a, b, w in _slices(batch):
-                f[a:b] = _features(w, b - a, model)
+                f[a:b], plain[a:b] = _features(w, b - a, model)
             p = 1 / (1 + np.exp(-np.clip(f @ weights[1:] + weights[0], -30, 30))) if weights is not None else np.zeros(len(f))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c != "text"), pa.array(f[:, 0].copy()), pa.array(f[:, 1].copy()), pa.array(p)], names=[*(c for c in batch.schema.names if c != "text"), "passage", "whole", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(plain[:, 0].copy()), pa.array(plain[:, 1].copy()), pa.array(p)], names=["doc_id", "passage", "whole", "score"])
 
     return run
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Weights (intercept first) of a logistic fit of weighted rows with a small ridge, by Newton's steps."""
-    x = np.column_stack([np.ones(len(x)), x])
+    """Weights (intercept first) of a logistic fit of weighted rows with a small ridge on columns of unit variance, by Newton's steps."""
+    scale = np.append(1.0, np.where((sd := x.std(axis=0)) > 0, sd, 1.0))
+    x = np.column_stack([np.ones(len(x)), x]) / scale
     w = np.zeros(x.shape[1])
     ridge = np.diag([1e-6, *[1e-2] * (x.shape[1] - 1)])
     for _ in range(50):
@@ -253,7 +316,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
         w += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-6:
             break
-    return w
+    return w / scale
 
 
 def held_out(doc_id):
@@ -261,7 +324,7 @@ def held_out(doc_id):
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", cut: float = 0.3, sample: int = SAMPLE) -> DataFrame:
-    """One row per document: doc_id, held_out, score, predicted, and the log-ratios passage and whole.
+    """One row per document: doc_id, held_out, score, predicted, and the log-ratios passage and whole (over all grades: the highest mean over a passage, the mean).
 
     labels: id_col and label_col (0 or 1; other values and null ids are ignored, the higher of repeated labels holds). Labels of held-out
     ids are never used. Null and empty texts get the score of a text without evidence. Where the sample lacks one of the classes,
@@ -274,19 +337,20 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     sizes = {r[0]: r[1] for r in known.groupBy("class").agg(F.count("*")).collect()}
     some = [known.where(F.col("class") == c).orderBy(F.xxhash64("l_id"), "l_id").limit(max(1, sample // 2)) for c in (0, 1)]
     picked = table(some[0].union(some[1]))  # sample rows at most
-    fitted = F.pmod(F.xxhash64("l_id", F.lit(7)), F.lit(4)) == 0
-    rows_of = lambda ids: base.join(F.broadcast(ids), base.doc_id == ids.l_id).select("class", "text")
-    model = learn(rows_of(picked.where(~fitted)), table(word_counts(base))) if len(sizes) == 2 else None
+    ids = picked.withColumn("fold", F.pmod(F.xxhash64("l_id", F.lit(7)), F.lit(FOLDS)).cast("int"))
+    rows = base.join(F.broadcast(ids), base.doc_id == ids.l_id).select("class", "fold", "text")
+    model = learn(rows, table(word_counts(base))) if len(sizes) == 2 else None
     weights = None
     if model is not None:
         shared = spark.sparkContext.broadcast((model, None))
-        got = rows_of(picked.where(fitted)).mapInArrow(trimmed(_score(shared)), "class int, passage double, whole double, score double").toPandas()  # a quarter of the sample
+        got = rows.mapInArrow(trimmed(_sampled(shared)), "class int, " + ", ".join(f"f{k} double" for k in range(FEATURES))).toPandas()  # numbers of the sample's rows
+        shared.unpersist()
         y = got["class"].to_numpy(float)
         if 0 < y.sum() < len(y):
             share = {c: sizes[c] / min(sizes[c], max(1, sample // 2)) for c in sizes}
-            weights = _logistic(got[["passage", "whole"]].to_numpy(), y, np.where(y == 1, share[1], share[0]))
+            weights = _logistic(got[[f"f{k}" for k in range(FEATURES)]].to_numpy(), y, np.where(y == 1, share[1], share[0]))
     only = 1.0 if set(sizes) == {1} else 0.0
-    model = model or Model([np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64)], [np.zeros(0)] * 3)
+    model = model.only(FOLDS) if model else Model([np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64)], [[np.zeros(0)] * 3], [np.zeros(0, np.int8)], [0.0])
     shared = spark.sparkContext.broadcast((model, weights))
     scored = base.mapInArrow(trimmed(_score(shared)), "doc_id long, passage double, whole double, score double")
     score = F.col("score") if weights is not None else F.lit(only)

@@ -73,22 +73,24 @@ def brute(sample, shared):
         for w, n in shared.items():
             corpus[k][cut[k](w)] = corpus[k].get(cut[k](w), 0) + n
     mass = [sum(v[c] for v in count[0].values()) for c in (0, 1)]
-    free = lambda k, c, d: sum(min(v[c], d) for v in count[k].values()) / mass[c]
-    freed = [max(free(k, c, o4.DISCOUNT) for c in (0, 1)) for k in range(3)]
 
-    def solved(k, c):
-        low, high = 0.0, 1e6
-        for _ in range(80):
-            low, high = ((low + high) / 2, high) if free(k, c, (low + high) / 2) < freed[k] else (low, (low + high) / 2)
-        return high
+    def given(k, c):
+        """Discount of each count, by the counts of counts."""
+        n = [sum(v[c] == i for v in count[k].values()) for i in range(5)]
+        if not n[1] or not n[2]:
+            return lambda x: min(x, 0.75)
+        y = n[1] / (n[1] + 2 * n[2])
+        d = [0.0, *(min(max(i - (i + 1) * y * n[i + 1] / n[i] if n[i] else 0.75, 0.05), i - 0.05) for i in (1, 2, 3))]
+        return lambda x: min(x, d[min(x, 3)])
 
-    discount = [[solved(k, c) for c in (0, 1)] for k in range(3)]
+    discount = [[given(k, c) for c in (0, 1)] for k in range(3)]
+    freed = [[sum(discount[k][c](v[c]) for v in count[k].values()) / mass[c] for c in (0, 1)] for k in range(3)]
 
     def p(w, k, c):
         key = cut[k](w)
         below = corpus[k][key] / sum(corpus[k].values()) if k == 2 else p(w, k + 1, c) * corpus[k][key] / corpus[k + 1][cut[k + 1](w)]
         seen = count[k].get(key, (0, 0))[c]
-        return max(seen - discount[k][c], 0) / mass[c] + freed[k] * below
+        return (seen - discount[k][c](seen)) / mass[c] + freed[k][c] * below
 
     assert all(abs(sum(p(w, 0, c) for w in shared) - 1) < 1e-9 for c in (0, 1))  # a distribution for each class
     return words, {w: np.log(p(w, 0, 1) / p(w, 0, 0)) for w in shared}
@@ -108,9 +110,8 @@ def test_scores_equal_brute_force(spark):
     shared = {w: estimates[h(w)] for w in before}
     error = [shared[w] / len(b) - 1 for w, b in before.items()]
     assert len(shared) == len(estimates) and abs(np.mean(error)) < 0.05 and np.std(error) < 0.15
-    # the documents that the models are made of: labelled, not held out, three quarters of those
-    ids = spark.createDataFrame(labels, "d long, c int").selectExpr("d", "c", "pmod(xxhash64(d, 7), 4) = 0 as fitted").collect()
-    sample = [(rows[r.d][1], r.c) for r in ids if not r.fitted and zlib.crc32(str(r.d).encode()) % 4 != 2]
+    # the documents that the models are made of: labelled, not held out
+    sample = [(rows[d][1], c) for d, c in labels if zlib.crc32(str(d).encode()) % 4 != 2]
     words, ratio = brute(sample, shared)
     for d, t in rows:
         x = [ratio[w] for w in words(t)]
@@ -118,16 +119,50 @@ def test_scores_equal_brute_force(spark):
         assert abs(got[d].passage - max(sum(x[k : k + o4.PASSAGE]) / o4.PASSAGE for k in range(len(x)))) < 1e-5
 
 
+def stem(w):
+    return int.from_bytes(w.encode()[:6].ljust(6, b"\0"), "big")
+
+
+def fitted(words, counts, shared):
+    """The model of all folds, of words with these (2, words) counts."""
+    h, six = np.arange(1, len(words) + 1).astype(np.uint64), np.array([stem(w) for w in words])
+    six_keys = np.unique(six)
+    four_keys = np.unique(six_keys >> 16)
+    six_shared = np.bincount(np.searchsorted(six_keys, six), shared).astype(float)
+    four_shared = np.bincount(np.searchsorted(four_keys, six_keys >> 16), six_shared)
+    counts = np.array([counts] * (o4.FOLDS + 1))
+    model = o4.fit(h, six, counts, np.array(shared, float), [(six_keys, six_shared), (four_keys, four_shared)], float(sum(shared)))
+    return lambda word, text: model.of([np.array([word], np.uint64), np.array([stem(text)]), np.array([stem(text) >> 16])], o4.FOLDS)
+
+
 def test_backoff_is_shared():
-    """What neither class has seen weighs nothing, and a rare form is judged by its stem; a word seen once counts."""
-    stem = lambda w: int.from_bytes(w.encode()[:6].ljust(6, b"\0"), "big")
-    words = ["grimbles", "grimbly", "plain", "other"]
-    h, six = np.arange(1, 5).astype(np.uint64), np.array([stem(w) for w in words])
-    keys = [np.unique(six), np.unique(six >> 16)]
-    model = o4.fit(h, six, np.array([[0, 0, 400, 200], [30, 10, 50, 40.0]]), np.array([3, 1, 45, 24.0]), [(keys[0], np.array([30.0] * len(keys[0]))), (keys[1], np.array([60.0] * len(keys[1])))], 5000.0)
-    of = lambda word, text: model.of([np.array([word], np.uint64), np.array([stem(text)]), np.array([stem(text) >> 16])])[0]
-    assert of(9, "unknown") == 0
-    assert of(9, "grimblesque") > 1 and of(9, "grimace") > 0.5 and of(2, "grimbly") > 1 > of(3, "plain")
+    """A rare form is judged by its stem, beside what no level knows."""
+    words = ["grimbles", "grimbly", "plain", "other", *(f"x{k}" for k in range(40))]
+    one = [k % 3 == 0 for k in range(40)]
+    of = fitted(words, [[0, 0, 400, 200, *(1 + (k % 2) for k in range(40))], [30, 10, 50, 40, *map(int, one)]], [3, 1, 45, 24, *([2] * 40)])
+    unknown = of(99, "unknown")[0][0]
+    assert of(99, "grimblesque")[0][0] > unknown + 1 and of(99, "grimace")[0][0] > unknown + 0.5 and of(2, "grimbly")[0][0] > 1 > of(3, "plain")[0][0]
+    assert of(99, "unknown")[1][0] == 0 and of(3, "plain")[1][0] == len(o4.EDGES)
+
+
+def test_rare_words_weigh():
+    """Words that only the toxic class has count for it, from the first occurrence on."""
+    rng = np.random.default_rng(4)
+    words = [f"{chr(97 + k % 26)}{k}" for k in range(600)]
+    ordinary, toxic = np.zeros(600, int), np.zeros(600, int)
+    ordinary[:500] = rng.geometric(0.5, 500)
+    toxic[400:600] = rng.geometric(0.5, 200)
+    toxic[590:594] = (1, 2, 3, 8)
+    of = fitted(words, [ordinary, toxic], [3] * 600)
+    ratios = [of(k + 1, words[k])[0][0] for k in (590, 591, 592, 593)]
+    assert min(ratios) > 0 and max(ratios) == ratios[3]
+    assert [int(of(k + 1, words[k])[1][0]) for k in (590, 591, 592, 593)] == [1, 2, 3, 4]
+
+
+def test_discounts_stay_below_their_counts():
+    for counts in ([0, 0], [1], [1, 1, 2], [1] * 50 + [2] * 20 + [3] * 30 + [4] * 2, [5, 9, 70], [1, 2, 3, 4, 4, 4, 4, 4]):
+        given = o4.discounts(np.array(counts))
+        assert all((0 < g < min(c, 3)) if c else g == 0 for g, c in zip(given, counts, strict=True))
 
 
 def test_classes_are_sampled_alike(spark):
@@ -154,6 +189,8 @@ def test_backoff_counts_have_no_ceiling(spark):
 
 
 def test_class_counts_are_exact(spark):
-    df = spark.createDataFrame([("few rare few rare", 0), ("some rare", 1), ("few rare", 0)], "text string, class int")
-    got = sorted((r.c0, r.c1) for r in o4.class_counts(df).collect())
-    assert got == [(0, 1), (1, 1), (2, 0)]
+    df = spark.createDataFrame([("few rare few rare", 0, 0), ("some rare", 1, 1), ("few rare", 0, 3)], "text string, class int, fold int")
+    got = o4.class_counts(df).collect()
+    assert sorted((r.c0_4, r.c1_4) for r in got) == [(0, 1), (1, 1), (2, 0)]
+    assert sorted((r.c0_0, r.c1_0) for r in got) == [(0, 1), (1, 0), (1, 1)]  # without the first
+    assert sorted((r.c0_1, r.c1_1) for r in got) == [(0, 0), (1, 0), (2, 0)] and sorted((r.c0_3, r.c1_3) for r in got) == [(0, 1), (1, 1), (2, 0)]
