@@ -44,7 +44,7 @@ SAMPLE, HOT = 1 / 32, 10_000
 #: Bytes sorted at once in a shard; whole anchor groups, so one may exceed it.
 SORT_BYTES = 1 << 20
 #: Rows held by a task before its repeated contexts are settled.
-HELD_ROWS = 4_000_000
+HELD_ROWS = 300_000
 #: Rows of whole anchors that a task takes at once.
 CHUNK = 500_000
 _BITS = 21
@@ -169,9 +169,9 @@ def _anchor_rows(length: int, gram: int):
                 if len(r):
                     held.append((ids[row + r], lo + skipped, n, kh, ch))
                     rows += len(r)
-            if rows > HELD_ROWS:
-                yield from _settle(held)
-                held, rows = [], 0
+                if rows > HELD_ROWS:
+                    yield from _settle(held)
+                    held, rows = [], 0
         if held:
             yield from _settle(held)
 
