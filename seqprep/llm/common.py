@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.storage import cleanup, new_path, numbered, shared_dir, table
 
-__all__ = ["boxed", "chosen", "cleanup", "components", "lookup", "new_path", "numbered", "old_ids", "partitions", "shared_dir", "table", "unique_ids"]
+__all__ = ["boxed", "chosen", "cleanup", "components", "files_of", "lookup", "new_path", "numbered", "old_ids", "partitions", "shared_dir", "table", "unique_ids"]
 
 
 #: Keys that more than one in HOT rows has are at most HOT - 1.
@@ -27,6 +27,15 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows of a few numbers in a file.
+FILE_ROWS = 100_000
+
+
+def files_of(spark: SparkSession, rows: int) -> int:
+    """Files for so many small rows: at most one for each shuffle partition."""
+    return max(1, min(partitions(spark), -(-rows // FILE_ROWS)))
+
+
 def unique_ids(df: DataFrame, key: str, *more: str) -> tuple[DataFrame, DataFrame | None]:
     """(df with a unique, not null long id in key, None), or (df renumbered in key's order, the table of _seq and the old key).
 
@@ -67,16 +76,18 @@ def components(edges: DataFrame) -> DataFrame:
     """(id, component) for each node of edges(u, v): component is the smallest id that links reach.
 
     Large-star and small-star in turn: each round is a grouped minimum with map-side combine and a join that
-    adaptive execution can split for hubs; the number of rounds grows with the logarithm of the longest chain.
+    adaptive execution can split for hubs; the number of rounds grows with the logarithm of the longest chain. A round is written
+    as a file for FILE_ROWS edges that there were at first, not as one for each shuffle partition.
     """
-    e = edges.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).where("a <> b").distinct()
+    e = table(edges.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).where("a <> b").distinct())
+    files = files_of(e.sparkSession, e.count())
     while True:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u and v <> m").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
         low = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(low, "b").where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
-        e = table(small.union(low.select(F.col("m").alias("a"), "b")).distinct())
+        e = table(small.union(low.select(F.col("m").alias("a"), "b")).distinct().coalesce(files))
         ends = e.select(F.col("a").alias("x"), F.lit(0).alias("n"), F.lit(1).alias("up")).union(e.select(F.col("b").alias("x"), F.lit(1).alias("n"), F.lit(0).alias("up")))
         unsettled = ends.groupBy("x").agg(F.sum("n").alias("n"), F.max("up").alias("up")).where("n > 1 or (n = 1 and up = 1)").limit(1).count()
         if not unsettled:

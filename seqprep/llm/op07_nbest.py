@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .piece_lattice import DEFAULT_MODEL, LONGEST, PieceTable, Trie, load, nbest, pretokens
+from .textkernel import trimmed
 
 N_BEST = 3
 #: Bytes of the lists of segmentations that a task remembers, about.
@@ -129,7 +130,7 @@ def encode(docs: DataFrame, n: int = N_BEST, model: str = DEFAULT_MODEL, id_col:
     """
     shared = docs.sparkSession.sparkContext.broadcast(load(model))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return base.mapInArrow(_run(shared, n, with_text), "doc_id long, rank int, score double, ids array<int>" + ", text string" * with_text)
+    return base.mapInArrow(trimmed(_run(shared, n, with_text)), "doc_id long, rank int, score double, ids array<int>" + ", text string" * with_text)
 
 
 def decode(encoded: DataFrame, model: str = DEFAULT_MODEL, ids_col: str = "ids", text_col: str = "text") -> DataFrame:

@@ -16,8 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, table
+from .common import boxed, old_ids, partitions, table
 from .op05_token_counts import token_counts
+from .op07_nbest import encode
 from .piece_lattice import DEFAULT_MODEL
 from .textkernel import trimmed
 
@@ -111,5 +112,22 @@ def token_lengths(docs: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:
     return token_counts(docs, model).select("doc_id", F.col("n_tokens").alias("length"))
 
 
+def packed_sequences(docs: DataFrame, sizes: Sequence[int] = LENGTHS, overhead: int = OVERHEAD, model: str = DEFAULT_MODEL) -> DataFrame:
+    """best_fit_packing() of the texts of docs(doc_id, text) in tokens, with row_id and token_ids, the tokens of the piece: what a trainer reads, bin by bin.
+
+    row_id tells documents with one id apart: it is doc_id where ids are unique and not null, else the number of the row in the order (id, nulls last, text). Null
+    and empty texts: one row without tokens. No rows: no rows. Other columns are ignored.
+    """
+    rows, names = boxed(docs)
+    encoded = table(encode(rows, 1, model).select("doc_id", "ids"))  # the best segmentation
+    lengths = rows.select("doc_id").join(encoded.select("doc_id", F.size("ids").alias("length")), "doc_id", "left")
+    most = max(sizes)
+    at = F.sequence(F.lit(0), F.floor((F.size("ids") - 1) / most).cast("int"))
+    pieces = encoded.where(F.size("ids") > 0).select("doc_id", F.posexplode(F.transform(at, lambda k: F.slice("ids", k * most + 1, most))).alias("piece", "token_ids"))
+    packed = best_fit_packing(lengths, sizes, overhead).join(pieces, ["doc_id", "piece"], "left").withColumn("row_id", F.col("doc_id"))
+    none = F.array().cast("array<int>")
+    return old_ids(packed.withColumn("token_ids", F.coalesce("token_ids", none)), names, ["doc_id"])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(token_lengths(spark.read.parquet(f"{sf_dir}/documents.parquet")))

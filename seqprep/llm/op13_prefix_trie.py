@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import lookup, numbered, partitions, table
+from .common import files_of, lookup, numbered, partitions, table
 
 #: Conversations of a family (ids with one quotient) share the first turns of the family's first; HEADS - 1 turns at most.
 FAMILY, HEADS = 20, 4
@@ -62,14 +62,14 @@ def whole(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     return turns.withColumnRenamed("size", "len"), turns.where("pos = 0").select("conv", F.col("size").alias("len"))
 
 
-def _named(rows: DataFrame, keys: list[str], start: int = 0, **more: Column) -> tuple[DataFrame, int]:
+def _named(rows: DataFrame, keys: list[str], files: int, start: int = 0, **more: Column) -> tuple[DataFrame, int]:
     """(rows, a written table, with name and more: one dense number for each different value of keys, from start; the first number left)."""
-    found = table(rows.groupBy(*keys).agg(F.count("*").alias("n"), *[c.alias(a) for a, c in more.items()]).withColumn("_m", F.monotonically_increasing_id()))
+    found = table(rows.groupBy(*keys).agg(F.count("*").alias("n"), *[c.alias(a) for a, c in more.items()]).coalesce(files).withColumn("_m", F.monotonically_increasing_id()))
     part = F.shiftright("_m", 33)
     sizes = found.groupBy(part.alias("_p")).agg(F.count("*").alias("_k"))  # one row a partition
     offsets = sizes.select("_p", (F.sum("_k").over(Window.orderBy("_p")) - F.col("_k") + F.lit(start)).alias("_o"))
     names = found.join(F.broadcast(offsets), part == F.col("_p")).withColumn("name", F.col("_o") + F.col("_m").bitwiseAND((1 << 33) - 1))
-    return table(lookup(rows, names.drop("_m", "_p", "_o"), keys)), start + found.count()
+    return table(lookup(rows, names.drop("_m", "_p", "_o"), keys).coalesce(files)), start + found.count()
 
 
 def named_prefixes(turns: DataFrame) -> DataFrame:
@@ -77,20 +77,23 @@ def named_prefixes(turns: DataFrame) -> DataFrame:
 
     name: dense, from 1, the same for equal prefixes; owner: smallest conversation with the prefix; n, ends: how many have it, and end with it.
     """
-    longest = turns.agg(F.max("len")).first()[0] or 0
-    blocks = [_named(turns.select("conv", F.col("pos").alias("j"), "turn_key", "len"), ["turn_key"])[0].select("conv", "j", "len", "name")]
+    longest, total = turns.agg(F.max("len"), F.count("*")).first()
+    longest = longest or 0
+    files = lambda k: files_of(turns.sparkSession, total >> k)  # noqa: E731  there are total / 2^k blocks of 2^k turns, and prefixes that end with one, at most
+    blocks = [_named(turns.select("conv", F.col("pos").alias("j"), "turn_key", "len"), ["turn_key"], files(0))[0].select("conv", "j", "len", "name")]
     while (1 << len(blocks)) <= longest:
         halves = blocks[-1].groupBy("conv", F.shiftright("j", 1).alias("j")).agg(F.max("len").alias("len"), *[F.max(F.when(F.col("j") % 2 == k, F.col("name"))).alias(f"half{k}") for k in (0, 1)])
-        pairs = table(halves.where("half0 is not null and half1 is not null"))
-        blocks.append(_named(pairs, ["half0", "half1"])[0].select("conv", "j", "len", "name"))
+        k = len(blocks)
+        pairs = table(halves.where("half0 is not null and half1 is not null").coalesce(files(k)))
+        blocks.append(_named(pairs, ["half0", "half1"], files(k))[0].select("conv", "j", "len", "name"))
     done, next_name = None, 1
     for k in reversed(range(len(blocks))):
         even = blocks[k].where(F.col("j") % 2 == 0).select("conv", (F.col("j") * (1 << k)).alias("start"), "len", F.col("name").alias("block"))
         begun = even.where("start = 0").withColumn("prefix", F.lit(0).cast("long"))
         if done is not None:
             begun = begun.unionByName(even.where("start > 0").join(done.select("conv", F.col("depth").alias("start"), F.col("name").alias("prefix")), ["conv", "start"]))
-        rows = table(begun.select("conv", (F.col("start") + (1 << k)).alias("depth"), "len", "prefix", "block"))
-        made, next_name = _named(rows, ["prefix", "block"], next_name, owner=F.min("conv"), ends=F.count_if(F.col("depth") == F.col("len")))
+        rows = table(begun.select("conv", (F.col("start") + (1 << k)).alias("depth"), "len", "prefix", "block").coalesce(files(k)))
+        made, next_name = _named(rows, ["prefix", "block"], files(k), next_name, owner=F.min("conv"), ends=F.count_if(F.col("depth") == F.col("len")))
         made = made.select("conv", "depth", "len", "name", "owner", "n", "ends")
         done = made if done is None else done.unionByName(made)
     return done

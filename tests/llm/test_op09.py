@@ -100,3 +100,19 @@ def test_packing_equals_brute_force(spark):
             fill[k] += n
         costs.append(sum(min(s for s in o9.LENGTHS if s >= f) + o9.OVERHEAD for f in fill))
     assert sum(bins.values()) + o9.OVERHEAD * len(bins) == min(costs)
+
+
+def test_sequences_hold_all_tokens(spark):
+    rows = [(1, "a b c " * 4000), (1, "a b c " * 4000), (None, "x y"), (2, None), (3, "")]
+    df = spark.createDataFrame([(*r, "k", 1) for r in rows], "doc_id long, text string, token_ids string, length int")
+    got = o9.packed_sequences(df).collect()
+    table = o9.encode(spark.createDataFrame([(7, rows[0][1]), (8, "x y")], "doc_id long, text string"), 1).collect()
+    ids = {r.doc_id: r.ids for r in table}
+    by = {}
+    for r in sorted(got, key=lambda r: (r.row_id, r.piece)):
+        assert r.length == len(r.token_ids)
+        by.setdefault((r.row_id, r.doc_id), []).extend(r.token_ids)
+    assert sorted((str(d), len(x)) for (_, d), x in by.items()) == sorted([("1", len(ids[7]))] * 2 + [("None", len(ids[8])), ("2", 0), ("3", 0)])
+    assert all(x == {1: ids[7], None: ids[8]}.get(d, []) for (_, d), x in by.items())
+    assert len({(r.bin_id, r.bin_start) for r in got if r.length}) == sum(r.length > 0 for r in got)
+    assert o9.packed_sequences(df.limit(0)).collect() == []

@@ -3,6 +3,7 @@ import re
 import subprocess
 import sys
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -51,12 +52,16 @@ def test_stages_match_plain_versions(spark, tmp_path):
     rest = without_repeats(texts(seen[3][0]).items())
     assert texts(seen[3][1]) == rest
     assert all(r.n_chars == len(r.text) for r in seen[3][1].collect())
-    packed = {}
-    for r in seen[4][1].collect():
+    packed, tokens = {}, {}
+    for r in sorted(seen[4][1].collect(), key=lambda r: (r.doc_id, r.piece)):
         packed[r.doc_id] = packed.get(r.doc_id, 0) + r.length
+        tokens.setdefault(r.doc_id, []).extend(r.token_ids)
+        assert r.length == len(r.token_ids) and r.row_id == r.doc_id and r.bin_start + r.length <= r.capacity
     table = piece_lattice.load()
     count = lambda t: sum(len(piece_lattice.Lattice(x.encode(), table).best()) for x in re.findall(r"\n| +[^ \n]*|[^ \n]+", " " + t))
     assert packed == {d: count(t) for d, t in rest.items()}
+    offsets = np.cumsum([0, *(len(x) for x in tokens.values())])
+    assert dict(zip(tokens, table.decode(np.concatenate(list(tokens.values())), offsets), strict=True)) == rest  # the texts can be read from the sequences
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).collect())) == sorted(map(tuple, seen[4][1].collect()))
 
 
