@@ -563,6 +563,23 @@ def _(spark, t):
     return LoadCsv("path").map(spark.createDataFrame([(path,)], "path string"))
 
 
+@_query("load_csv_headers", "SELECT s_suppkey::VARCHAR AS key, s_name AS name, NULL::VARCHAR AS segment FROM supplier UNION ALL SELECT c_custkey::VARCHAR, c_name, c_mktsegment FROM customer")
+def _(spark, t):
+    paths = [(new_path(spark),), (new_path(spark),)]
+    t("supplier").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name")).write.csv(paths[0][0], header=True)
+    t("customer").select(F.col("c_mktsegment").alias("segment"), F.col("c_name").alias("name"), F.col("c_custkey").alias("key")).write.csv(paths[1][0], header=True)
+    return LoadCsv("path").map(spark.createDataFrame(paths, "path string")).select("key", "name", "segment")
+
+
+@_query("load_in_file_order", "SELECT row_number() OVER (ORDER BY k, key) - 1 AS n, key FROM (SELECT 0 AS k, r_regionkey AS key FROM region UNION ALL SELECT 1, c_custkey FROM customer)")
+def _(spark, t):
+    paths = [(0, new_path(spark)), (1, new_path(spark))]  # the smaller file first
+    t("region").select(F.col("r_regionkey").alias("key")).coalesce(1).sortWithinPartitions("key").write.json(paths[0][1])
+    t("customer").select(F.col("c_custkey").alias("key")).repartitionByRange(4, "key").sortWithinPartitions("key").write.json(paths[1][1])
+    made = LoadJsonl("path", schema="key long") >> o.EnumerateField("key", "n", same_id_for_repeated=False)
+    return made.map(spark.createDataFrame(paths, "at int, path string"), order_by=["at"]).select("n", "key")
+
+
 @_query("load_jsonl", "SELECT c_custkey, c_name, c_acctbal FROM customer")
 def _(spark, t):
     path = new_path(spark)

@@ -1,4 +1,7 @@
-"""Segments of a pipeline that are kept: computed once, later read from a table keyed by input plan, input files as they are now, and operators."""
+"""Segments of a pipeline that are kept: computed once, later read from a table keyed by input and operators.
+
+The input is known by its plan and its files as they are now; where some of it is no file (tables made of local data, other sources), by a hash of its rows.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +10,7 @@ import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..plans.core import Operator
 from ..plans.storage import shared_dir
@@ -50,8 +54,8 @@ def _kept(df: DataFrame, segment: tuple[Operator, ...], folder: str | None, remo
     if df.isStreaming:
         raise ValueError("streams can't be kept")
     spark = df.sparkSession
-    plan = f"{df._jdf.queryExecution().analyzed().canonicalized().toString()}{_versions(spark, df.inputFiles())}{remove_columns}"
-    key = hashlib.sha1((plan + "".join(o.fingerprint for o in segment)).encode()).hexdigest()
+    plan = f"{df._jdf.queryExecution().analyzed().canonicalized().toString()}{_versions(spark, df.inputFiles())}" if _of_files(df) else content_hash(df)
+    key = hashlib.sha1((f"{plan}{remove_columns}" + "".join(o.fingerprint for o in segment)).encode()).hexdigest()
     path = f"{folder or shared_dir(spark) + '/seqprep-cache'}/{key}"
     to, written = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (path, f"{path}-{uuid.uuid4().hex}"))
     files = to.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -66,6 +70,29 @@ def _kept(df: DataFrame, segment: tuple[Operator, ...], folder: str | None, remo
     return spark.read.parquet(path)
 
 
+def _of_files(df: DataFrame) -> bool:
+    """Whether all rows come from files (or ranges), so that plan and files tell them."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    kinds = []
+    for k in range(leaves.size()):
+        kind = leaves.apply(k).getClass().getSimpleName()
+        kinds.append(leaves.apply(k).relation().getClass().getSimpleName() if kind == "LogicalRelation" else kind)
+    return set(kinds) <= {"HadoopFsRelation", "Range"}
+
+
+def content_hash(df: DataFrame) -> str:
+    """A hash of the schema and the rows as a multiset, whatever their order and partitioning: count and sums of two hashes of each row, in one aggregate.
+
+    A row is hashed as JSON with its nulls, so a null and a missing neighbour, or a number and its text, differ. Columns that are named alike are told apart by place.
+    """
+    row = df.toDF(*[f"c{k}" for k in range(len(df.columns))]) if df.columns else df
+    text = F.to_json(F.struct(*row.columns), {"ignoreNullFields": "false"}) if df.columns else F.lit("")
+    digest = F.sha2(text, 256)
+    part = lambda at: F.sum(F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(20,0)")).cast("string")
+    got = row.agg(F.count(F.lit(1)).alias("n"), part(1).alias("a"), part(16).alias("b")).first()
+    return hashlib.sha1(f"{df.schema.json()}{got.n},{got.a},{got.b}".encode()).hexdigest()
+
+
 def _versions(spark: SparkSession, names: list[str]) -> list[tuple]:
     """Path, length and modification time of the files: one listing for each folder."""
     jvm, out = spark._jvm, []

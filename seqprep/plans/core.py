@@ -8,8 +8,10 @@ order of the files, and those operators make it dense.
 from __future__ import annotations
 
 import dataclasses
+import functools
 import hashlib
 import json
+import types
 from typing import Any, ClassVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +22,55 @@ from .storage import numbered
 ORDER = "__ord"
 
 
+def described(value: Any, seen: tuple[int, ...] = ()) -> Any:
+    """value as JSON data that is the same in every process: functions by code, constants, defaults, closure and the globals that they name; other objects by class and attributes."""
+    if value is None or isinstance(value, (bool, int, float, str)):
+        return [type(value).__name__, repr(value)]
+    if isinstance(value, bytes):
+        return ["bytes", hashlib.sha256(value).hexdigest()]
+    if id(value) in seen:
+        return ["again", seen.index(id(value))]
+    inner = functools.partial(described, seen=(*seen, id(value)))
+    if isinstance(value, (list, tuple)):
+        return [type(value).__name__, [inner(v) for v in value]]
+    if isinstance(value, (set, frozenset)):
+        return [type(value).__name__, sorted((inner(v) for v in value), key=json.dumps)]
+    if isinstance(value, dict):
+        return ["dict", [[inner(k), inner(v)] for k, v in value.items()]]
+    if isinstance(value, types.CodeType):
+        return ["code", value.co_code.hex(), inner(value.co_consts), value.co_names, value.co_varnames, value.co_flags]
+    if isinstance(value, types.FunctionType):
+        cells = [inner(c.cell_contents) for c in value.__closure__ or ()]
+        used = sorted(_names(value.__code__) & value.__globals__.keys())
+        return ["function", inner(value.__code__), inner(value.__defaults__), inner(value.__kwdefaults__), cells, [[n, inner(value.__globals__[n])] for n in used]]
+    if isinstance(value, types.MethodType):
+        return ["method", inner(value.__func__), inner(value.__self__)]
+    if isinstance(value, types.ModuleType):
+        return ["module", value.__name__]
+    if isinstance(value, functools.partial):
+        return ["partial", inner(value.func), inner(value.args), inner(value.keywords)]
+    if isinstance(value, type):
+        own = value.__module__ in ("__main__", "builtins") or not hasattr(value, "__dict__")
+        body = {k: v for k, v in vars(value).items() if isinstance(v, (types.FunctionType, int, str, float, tuple))} if own and value.__module__ == "__main__" else {}
+        return ["class", value.__module__, value.__qualname__, inner(dict(sorted(body.items())))]
+    if isinstance(value, types.BuiltinFunctionType):
+        return ["builtin", value.__module__, value.__qualname__]
+    if dataclasses.is_dataclass(value):
+        return ["data", inner(type(value)), [[f.name, inner(getattr(value, f.name))] for f in dataclasses.fields(value)]]
+    call = getattr(type(value), "__call__", None)
+    state = getattr(value, "__dict__", None)
+    if state is None and " at 0x" not in repr(value):
+        state = repr(value)
+    if state is None:
+        state = value.__reduce_ex__(4)[1:]
+    return ["object", inner(type(value)), inner(call) if isinstance(call, types.FunctionType) else None, inner(state)]
+
+
+def _names(code: types.CodeType) -> set[str]:
+    """Names that a function's code and the functions in it look up."""
+    return set(code.co_names).union(*(_names(c) for c in code.co_consts if isinstance(c, types.CodeType)))
+
+
 class FieldError(ValueError):
     """A field that an operator needs or promises isn't there."""
 
@@ -59,9 +110,9 @@ class Operator:
 
     @property
     def fingerprint(self) -> str:
-        """Stable over processes: of the class and its settings."""
-        fields = {f.name: getattr(self, f.name) for f in dataclasses.fields(self)}
-        return hashlib.sha1(json.dumps([self.name, fields], sort_keys=True, default=repr).encode()).hexdigest()
+        """Stable over processes: of the class and its settings; functions count by what they do, not by where they are."""
+        fields = {f.name: described(getattr(self, f.name)) for f in dataclasses.fields(self)}
+        return hashlib.sha1(json.dumps([self.name, fields], sort_keys=True).encode()).hexdigest()
 
     def __eq__(self, other: object) -> bool:
         return Pipeline(self) == other if isinstance(other, Pipeline) else isinstance(other, Operator) and self.fingerprint == other.fingerprint
