@@ -2,9 +2,12 @@
 
 Each text yields counts in one pass over its bytes. Four measures are put in integer buckets (exact below 64, then 32 buckets for each
 doubling, so a quantile is off by 1/32 at most); bucket counts are the sketch: they merge by addition, in map-side combine, in any order with
-one result, and a group's sketch has a few hundred rows however many documents it counts. A measure fails beyond the group's
-upper fence (third quartile plus FENCE times the distance from the median, plus SLACK); the thresholds of groups with fewer than
-LEAST documents come from their language, and of small languages from all documents.
+one result, and a group's sketch has a few hundred rows however many documents it counts.
+
+A group's quantile is taken over its documents. The quantile of a language, and of the corpus, is the median of its groups' quantiles, each counting with its documents, so it takes half of
+the documents in bad sources to move it; the corpus's is at least what half of the documents with the measure have, as most documents have no symbols or repeats at all. A group's fence is shrunk by
+counts, (n * own + SHRINK * language) / (n + SHRINK), and a language's likewise towards the corpus, so a small group follows its language; and it stays between the corpus's and CEILING
+times that, else a source of junk would raise its own fence beyond its junk. A measure fails above its fence.
 """
 
 from __future__ import annotations
@@ -17,15 +20,15 @@ from pyspark.sql import functions as F
 from .common import table
 from .textkernel import _U, mix, texts
 
-#: Measure: (as integer from the counts, slack added to its fence). Per thousand characters, words and words; hundredths of a character.
+#: Measure: as an integer from the counts (per thousand characters, words and words; hundredths of a character); quantile of its fence, in percent of the documents.
 MEASURES = {
-    "symbols": ("1000 * n_symbols div word_chars", 10),
-    "dup_lines": ("1000 * n_dup_lines div n_words", 10),
-    "repeats": ("1000 * n_repeat_words div n_words", 50),
-    "length": ("100 * word_chars div n_words", 50),
+    "symbols": ("1000 * n_symbols div word_chars", 95),
+    "dup_lines": ("1000 * n_dup_lines div n_words", 99),
+    "repeats": ("1000 * n_repeat_words div n_words", 98),
+    "length": ("100 * word_chars div n_words", 99),
 }
-FENCE = 4
-LEAST = 30
+#: Weight of the level above a fence, in documents; highest fence, in hundredths of the corpus's.
+SHRINK, CEILING = 50, 125
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -89,19 +92,41 @@ def floor_of(b):
     return ((b - shift * 32) * F.pow(F.lit(2.0), shift)).cast("long")
 
 
-def fences(counts: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, documents, fence of each measure): from the groups' bucket counts."""
+def quantiles(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, m, n, q, some, half) of the groups of counts and each measure: documents and their quantile, those where the measure is not zero and their median; from the groups' bucket counts."""
     from pyspark.sql import Window
 
     stacked = counts.select(*keys, F.explode(F.array(*[F.struct(F.lit(m).alias("m"), bucket(F.col(m)).alias("b")) for m in MEASURES])).alias("x")).select(*keys, "x.m", "x.b")
-    sketch = stacked.groupBy(*keys, "m", "b").agg(F.count("*").alias("n"))
+    sketch = stacked.groupBy(*keys, "m", "b").agg(F.count("*").alias("k"))
     w = Window.partitionBy(*keys, "m")
-    ranked = sketch.withColumn("total", F.sum("n").over(w)).withColumn("upto", F.sum("n").over(w.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)))
-    at = lambda q: F.min(F.when(F.col("upto") * 4 >= F.col("total") * q, floor_of(F.col("b"))))
-    quartiles = ranked.groupBy(*keys, "m").agg(at(2).alias("q2"), at(3).alias("q3"), F.max("total").alias("documents"))
-    slack = F.create_map(*[x for m, (_, s) in MEASURES.items() for x in (F.lit(m), F.lit(s))])
-    fence = F.col("q3") + F.lit(FENCE) * (F.col("q3") - F.col("q2")) + slack[F.col("m")]
-    return quartiles.groupBy(*keys).agg(F.max("documents").alias("documents"), *[F.max(F.when(F.col("m") == m, fence)).alias(f"f_{m}") for m in MEASURES])
+    ranked = sketch.withColumns({"n": F.sum("k").over(w), "none": F.sum(F.when(F.col("b") == 0, F.col("k")).otherwise(0)).over(w), "upto": F.sum("k").over(w.orderBy("b").rowsBetween(Window.unboundedPreceding, 0))})
+    quantile = F.create_map(*[x for m, (_, q) in MEASURES.items() for x in (F.lit(m), F.lit(q))])[F.col("m")]
+    c, value = F.col, floor_of(F.col("b"))
+    return ranked.groupBy(*keys, "m").agg(
+        F.max("n").alias("n"), F.min(F.when(c("upto") * 100 >= c("n") * quantile, value)).alias("q"), F.max(c("n") - c("none")).alias("some"), F.min(F.when((c("b") > 0) & ((c("upto") - c("none")) * 2 >= c("n") - c("none")), value)).alias("half")
+    )
+
+
+def medians(groups: DataFrame, keys: list[str], n: str = "n", q: str = "q") -> DataFrame:
+    """(keys, m, n, q): the sum of n and the median of q, each weighed by n, over the groups of quantiles()."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(*keys, "m")  # a row for each group and measure
+    ranked = groups.where(F.col(n) > 0).withColumn("total", F.sum(n).over(w)).withColumn("upto", F.sum(n).over(w.orderBy(q)))
+    return ranked.groupBy(*keys, "m").agg(F.max("total").alias("n"), F.min(F.when(F.col("upto") * 2 >= F.col("total"), F.col(q))).alias("q"))
+
+
+def fences(counts: DataFrame) -> DataFrame:
+    """(lang, source, f_<measure>) for each group of counts(lang, source, measures)."""
+    found = table(quantiles(counts, ["lang", "source"]))
+    named = lambda df, p: df.select(*[F.col(c).alias(f"{p}{c}") for c in df.columns])
+    half = medians(found, [], "some", "half").select(F.col("m").alias("h_m"), F.col("q").alias("h_q"))
+    all_ = named(medians(found, []), "a_").join(half, F.col("a_m") == F.col("h_m"), "left").withColumn("least", F.greatest("a_q", F.coalesce("h_q", F.lit(0).cast("long"))))
+    rows = found.join(named(medians(found, ["lang"]), "l_"), F.col("lang").eqNullSafe(F.col("l_lang")) & (F.col("m") == F.col("l_m"))).join(F.broadcast(all_), F.col("m") == F.col("a_m"))  # all_ has a row a measure
+    shrunk = lambda n, q, above: F.floor((n * q + SHRINK * above) / (n + SHRINK))
+    own = shrunk(F.col("n"), F.col("q"), shrunk(F.col("l_n"), F.col("l_q"), F.col("least")))
+    fence = F.greatest(F.least(own, F.floor(F.col("least") * CEILING / 100)), F.col("least")).cast("long")
+    return rows.withColumn("fence", fence).groupBy("lang", "source").agg(*[F.max(F.when(F.col("m") == k, F.col("fence"))).alias(f"f_{k}") for k in MEASURES])
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -116,13 +141,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     counts = base.mapInArrow(_count, "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in _COUNTS))
     counts = counts.withColumn("base_failed", F.expr("n_words < 10 or 100 * n_repeat_words > 20 * n_words"))
     counts = table(counts.withColumns({m: F.expr(f"if(n_words = 0, 0L, {e})") for m, (e, _) in MEASURES.items()}))
-    fine = counts.where("not base_failed")
-    own, by_lang, all_ = fences(fine, ["lang", "source"]), fences(fine, ["lang"]), fences(fine.withColumn("one", F.lit(1)), ["one"])
-    renamed = lambda df, p: df.select(*[F.col(c).alias(f"{p}{c}") for c in df.columns])
-    groups = renamed(own, "o_").join(renamed(by_lang, "l_"), F.col("o_lang").eqNullSafe(F.col("l_lang")), "left").crossJoin(F.broadcast(renamed(all_, "a_")))  # all_ has one row
-    choice = lambda m: F.when(F.col("o_documents") >= LEAST, F.col(f"o_f_{m}")).when(F.col("l_documents") >= LEAST, F.col(f"l_f_{m}")).otherwise(F.col(f"a_f_{m}"))
-    groups = groups.select("o_lang", "o_source", *[choice(m).alias(f"f_{m}") for m in MEASURES])
-    joined = counts.join(groups, F.col("lang").eqNullSafe(F.col("o_lang")) & F.col("source").eqNullSafe(F.col("o_source")), "left")
+    groups = fences(counts.where("not base_failed")).withColumnsRenamed({"lang": "g_lang", "source": "g_source"})
+    joined = counts.join(groups, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
     rule = F.when(F.col("base_failed"), None)
     for m in MEASURES:
         rule = rule.when(F.col(m) > F.col(f"f_{m}"), F.lit(m))
@@ -137,13 +157,14 @@ def _sql() -> str:
     bits = "length(bin({x}))"
     buck = lambda x: f"(greatest({bits.format(x=x)} - 6, 0) * 32 + ({x} >> greatest({bits.format(x=x)} - 6, 0)))"
     low = "((b - greatest(b // 32 - 1, 0) * 32) << greatest(b // 32 - 1, 0)::INT)"
-    stacked = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS m, {buck(m)} AS b, {s} AS slack FROM measured WHERE NOT base_failed" for m, (_, s) in MEASURES.items())
+    stacked = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS m, {buck(m)} AS b, {q} AS percent FROM measured WHERE NOT base_failed" for m, (_, q) in MEASURES.items())
 
-    def fence(name: str, keys: str) -> str:
+    def median(name: str, keys: str, n: str = "n", q: str = "q") -> str:
         k = f"{keys}, " if keys else ""
-        return f"""{name}_r AS (SELECT {k}m, b, slack, n, sum(n) OVER (PARTITION BY {k}m) AS total, sum(n) OVER (PARTITION BY {k}m ORDER BY b) AS upto FROM (SELECT {k}m, b, any_value(slack) AS slack, count(*) AS n FROM stacked GROUP BY ALL)),
-{name} AS (SELECT {k}m, max(total) AS documents, min({low}) FILTER (upto * 4 >= total * 3) + {FENCE} * (min({low}) FILTER (upto * 4 >= total * 3) - min({low}) FILTER (upto * 4 >= total * 2)) + max(slack) AS fence FROM {name}_r GROUP BY {k}m)"""
+        return f"""{name}_r AS (SELECT {k}m, {q} AS q, sum({n}) OVER (PARTITION BY {k}m) AS n, sum({n}) OVER (PARTITION BY {k}m ORDER BY {q}) AS upto FROM own WHERE {n} > 0),
+{name} AS (SELECT {k}m, max(n)::BIGINT AS n, min(q) FILTER (upto * 2 >= n) AS q FROM {name}_r GROUP BY {k}m)"""
 
+    shrunk = lambda n, q, above: f"(({n} * {q} + {SHRINK} * {above}) // ({n} + {SHRINK}))"
     rules = ", ".join(f"max(fence) FILTER (m = '{m}') AS f_{m}" for m in MEASURES)
     case = " ".join(f"WHEN {m} > f_{m} THEN '{m}'" for m in MEASURES)
     measures = ", ".join(f"CASE WHEN n_words = 0 THEN 0 ELSE {e.replace(' div ', ' // ')} END AS {m}" for m, (e, _) in MEASURES.items())
@@ -162,9 +183,12 @@ counted AS (SELECT w.rid, doc_id, lang, source, len(words)::BIGINT AS n_words, l
  FROM w LEFT JOIN covered USING (rid) LEFT JOIN dup USING (rid)),
 measured AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, {measures} FROM counted),
 stacked AS ({stacked}),
-{fence("own", "lang, source")}, {fence("bylang", "lang")}, {fence("every", "")},
-chosen AS (SELECT o.lang, o.source, o.m, CASE WHEN o.documents >= {LEAST} THEN o.fence WHEN l.documents >= {LEAST} THEN l.fence ELSE a.fence END AS fence
- FROM own o JOIN bylang l ON o.lang IS NOT DISTINCT FROM l.lang AND o.m = l.m JOIN every a ON o.m = a.m),
+own_r AS (SELECT *, sum(k) OVER g AS n, coalesce(sum(k) FILTER (b = 0) OVER g, 0) AS none, sum(k) OVER (g ORDER BY b) AS upto FROM (SELECT lang, source, m, b, percent, count(*) AS k FROM stacked GROUP BY ALL) WINDOW g AS (PARTITION BY lang, source, m)),
+own AS (SELECT lang, source, m, max(n)::BIGINT AS n, min({low}) FILTER (upto * 100 >= n * percent) AS q, max(n - none)::BIGINT AS some_n, min({low}) FILTER (b > 0 AND (upto - none) * 2 >= n - none) AS half FROM own_r GROUP BY lang, source, m),
+{median("bylang", "lang")}, {median("every", "")}, {median("halves", "", "some_n", "half")},
+corpus AS (SELECT e.m, greatest(e.q, coalesce(h.q, 0)) AS least FROM every e LEFT JOIN halves h ON e.m = h.m),
+chosen AS (SELECT o.lang, o.source, o.m, greatest(least({shrunk("o.n", "o.q", shrunk("l.n", "l.q", "a.least"))}, a.least * {CEILING} // 100), a.least) AS fence
+ FROM own o JOIN corpus a ON o.m = a.m JOIN bylang l ON o.lang IS NOT DISTINCT FROM l.lang AND o.m = l.m),
 groups AS (SELECT lang, source, {rules} FROM chosen GROUP BY lang, source),
 judged AS (SELECT x.*, CASE WHEN base_failed THEN NULL {case} END AS rule FROM measured x LEFT JOIN groups g ON x.lang IS NOT DISTINCT FROM g.lang AND x.source IS NOT DISTINCT FROM g.source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, symbols, dup_lines, repeats, length, rule, NOT base_failed AND rule IS NULL AS kept FROM judged

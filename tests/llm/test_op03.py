@@ -51,6 +51,42 @@ def test_sql_agrees(spark):
     assert 0.5 < sum(r[-1] for r in rows) / len(rows) < 1
 
 
+def test_fences_follow_their_groups(spark):
+    docs = spark.read.parquet(SF.replace("sf0.01", "sf0.1") + "/documents.parquet")
+    groups = q.fences(measured(spark, docs)).toPandas()
+    assert len(groups) == 80
+    kinds = {m: groups[f"f_{m}"].nunique() for m in q.MEASURES}
+    assert min(kinds.values()) > 1, kinds
+    assert all(groups[f"f_{m}"].max() <= groups[f"f_{m}"].min() * q.CEILING / 100 + 1 for m in q.MEASURES)
+
+
+def measured(spark, docs):
+    names = ("doc_id", "lang", "source")
+    rows = q.quality_rules(docs).drop("source", "lang")
+    return docs.select(*names).join(rows, "doc_id").where("not base_failed")
+
+
+def test_source_of_junk_is_rejected(spark):
+    """Where 30 % of a source is symbols, the source doesn't raise its fence beyond them."""
+    docs = spark.read.parquet(SF.replace("sf0.01", "sf0.1") + "/documents.parquet").select("doc_id", "text", "lang", "source")
+    plain = [r.text for r in docs.where("lang = 'en' and length(text) between 300 and 2000").limit(120).collect()]
+    plain = [plain[k % len(plain)] for k in range(120)]
+    junk = lambda t: " ".join(w + "#$%&*" * (len(w) > 2) for w in t.split())
+    made = spark.createDataFrame([(10_000_000 + k, junk(t) if k % 10 < 3 else t, "en", "junk") for k, t in enumerate(plain)], docs.schema)
+    got = {r.doc_id: r for r in q.quality_rules(docs.union(made)).where("doc_id >= 10000000").collect()}
+    rejected = [not r.kept for k, r in got.items() if (k - 10_000_000) % 10 < 3]
+    assert min(r.symbols for k, r in got.items() if (k - 10_000_000) % 10 < 3) > 200
+    assert all(rejected)
+    clean = [r for k, r in got.items() if (k - 10_000_000) % 10 >= 3 and not r.base_failed]
+    assert sum(r.rule != "symbols" or r.symbols > 150 for r in clean) == len(clean) and sum(r.kept for r in clean) > 0.8 * len(clean)
+
+
+def test_very_long_text(spark):
+    text = "\n".join(f"word{k} of line {k % 50_000} ends # here" for k in range(100_000))
+    got = q.quality_rules(spark.createDataFrame([(1, text, "en", "s")], "doc_id long, text string, lang string, source string")).first()
+    assert (got.n_words, got.n_symbols, got.n_dup_lines) == (700_000, 100_000, 0) and got.n_repeat_words > 0
+
+
 def test_long_ranges_of_alike_sums():
     import numpy as np
 
