@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 DEPTH = 512
 #: Factor of the densities in subtrees that are marked as boilerplate.
 WEIGHT = 0.1
+#: Share of the body's characters for each tag that a block of unmarked text reaches, if the page's main text is to be sought there.
+REACH = 0.4
 _NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
 _STOP = re.compile(r"[>\"']")
 _NAMED = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden|style)(?![\w-])(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -48,8 +50,11 @@ _BOILERPLATE = frozenset(
     "comment comments commentlist disqus respond reply replies cookie cookies consent notice notices gdpr popup modal overlay newsletter subscribe subscription signup login share sharing social "
     "related recommended recommendations widget toolbar pagination pager copyright disclaimer contentinfo complementary search skip".split()
 )
-#: Words before or after these that say that there is none, or that it is elsewhere.
-_ELSEWHERE = (frozenset("no not non without has have with hide".split()), frozenset(("free", "less", "none", "off")))
+#: Words that make a label with one of those: search-form, site-footer, post-comments.
+_PARTS = frozenset(
+    "form box bar list section container wrapper wrap area block blocks link links item items inner outer top bottom left right main site page global primary secondary header post posts article articles "
+    "entry user users reader story content body text title col column panel region zone slot unit row group btn button buttons icon icons the js ui".split()
+)
 _INSIDE = frozenset(("article", "main"))
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup header".split())
 
@@ -87,8 +92,9 @@ def _kind(name: str, more: str, inside: bool) -> tuple[bool, bool]:
 
 
 def _marks(label: str) -> bool:
-    words = _WORDS.findall(label)
-    return any(w in _BOILERPLATE and not (k and words[k - 1] in _ELSEWHERE[0]) and not (k + 1 < len(words) and words[k + 1] in _ELSEWHERE[1]) for k, w in enumerate(words))
+    """Whether a class, id or role names boilerplate, by all of its words: search and search-form do, search-and-rescue doesn't."""
+    words = [w for w in _WORDS.findall(label) if not w.isdigit()]
+    return any(w in _BOILERPLATE for w in words) and all(w in _BOILERPLATE or w in _PARTS for w in words)
 
 
 def _tokens(page: str):
@@ -281,10 +287,31 @@ def _reaches(node: _Node, least: float, weight: float) -> bool:
     return not node.dropped and node.chars > 0 and node.density * node.weight / weight >= least and node.linked * 2 < node.chars
 
 
+def _best(nodes: list[_Node]) -> _Node:
+    """The subtree of maximum density sum among the unmarked; among all, if no unmarked block in it has REACH of the body's characters for each tag."""
+    body = next((x for x in reversed(nodes) if x.name == "body"), nodes[0])
+    rate = lambda x: x.chars / max(x.tags, 1)
+    counted = lambda x: [(k.density, rate(k)) for k in _kids(x) if k.block and k.weight == 1.0 and k.linked * 2 < k.chars and k.name != "body" and _own(k)]
+    free = [(counted(x), x) for x in nodes if x.weight == 1.0 and x.linked * 2 < x.chars]
+    found = max((f for f in free if f[0]), key=lambda f: (sum(d for d, _ in f[0]), f[1].chars), default=None)
+    return found[1] if found is not None and max(r for _, r in found[0]) >= REACH * rate(body) else max(nodes, key=lambda x: (x.sum, x.chars))
+
+
+def _own(node: _Node) -> bool:
+    """Whether some text in it is in no marked subtree."""
+    todo = [node]
+    while todo:
+        x = todo.pop()
+        if any(isinstance(k, str) and not k.isspace() for k in x.kids):
+            return True
+        todo += [k for k in _kids(x) if k.weight == 1.0]
+    return False
+
+
 def _select(nodes: list[_Node]) -> tuple[list[_Node], float]:
     """(the main text's subtrees in page order, the threshold)."""
     root = nodes[0]
-    best = max(nodes, key=lambda x: (x.sum, x.chars))
+    best = _best(nodes)
     body = next((x for x in reversed(nodes) if x.name == "body"), root)
     path = _path(best, body)
     if path is None:  # the text is outside the body

@@ -5,7 +5,7 @@ import time
 
 import pytest
 
-from seqprep.llm.op10_extraction import html_extraction, main_text
+from seqprep.llm.op10_extraction import _marks, html_extraction, main_text
 
 LONG = "A long paragraph of running text that says something about the matter at hand, again and again, in many words."
 
@@ -169,3 +169,32 @@ def test_text_outside_the_body():
 def test_drawings_and_templates_end(inner):
     """No text after a drawing, formula or template that is self-closed or left open is lost."""
     assert main_text(f"<body><article><p>{LONG}</p>{inner}<p>{LONG}</p></article></body>") == f"{LONG} {LONG}"
+
+
+SENTENCE = "The crew left the harbour at dawn and found the boat before noon, {} miles out."
+
+
+def test_labels_name_boilerplate_as_a_whole():
+    story = " ".join(SENTENCE.format(k) for k in range(3))
+    page = f'<body><div class="search-and-rescue story"><p>{story}</p></div><div><p>{SENTENCE.format(9)}</p></div></body>'
+    assert main_text(page) == f"{story} {SENTENCE.format(9)}"
+    marked = {"search", "search-form", "site-footer", "post-comments", "comment-list", "ad-2", "cookie_banner"}
+    plain = {"search-and-rescue", "no-sidebar", "has-sidebar", "ad-free", "sharecropper", "story", "main", "commentary"}
+    assert {x for x in marked | plain if _marks(x)} == marked
+
+
+def test_short_article_before_long_comments():
+    comments = "".join(f"<p>{SENTENCE.format(k)} I was there, too, and saw all of it.</p>" for k in range(60))
+    article = SENTENCE.format(40)
+    for wrap in ("<div>{}</div>", "<article><p>{}</p></article>", "<div><p>{}</p></div>", "<main><div><p>{}</p></div></main>"):
+        page = f'<body>{wrap.format(article)}<div class="comments">{comments}</div></body>'
+        assert main_text(page) == article
+    inside = f'<body><main><p>{article}</p><section id="comment-list">{comments}</section></main></body>'
+    assert main_text(inside) == article
+
+
+def test_marked_text_stays_where_there_is_no_other():
+    text = " ".join(SENTENCE.format(k) for k in range(5))
+    body = f'<div class="widget"><p>{text}</p><p>{text}</p></div>'
+    assert main_text(f"<body>{body}</body>") == f"{text} {text}"
+    assert main_text(f"<body><h1>Found</h1>{body}</body>") == f"Found {text} {text}"
