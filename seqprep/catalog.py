@@ -199,6 +199,21 @@ def _(spark, t):
     return (o.TextToWords(("words",), "ws") >> o.MultiSequenceStrider(3, "words", ("words",), extra_length_per_seq=2)).map(turns).select("conv_id", nested("words").alias("words"))
 
 
+@_query(
+    "pack_turns_limited",
+    f"""WITH RECURSIVE t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS n, {_WS} AS w FROM conversations),
+    p AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY n, k) - 1 AS n, list_slice(w, 8 * k + 1, 8 * k + 8) AS w FROM (SELECT conv_id, n, w, unnest(range(greatest((len(w) + 7) // 8, 1))) AS k FROM t)),
+    r AS (SELECT conv_id, n, w, 0 AS g, 1 AS k, len(w) + 2 AS c FROM p WHERE n = 0 UNION ALL
+      SELECT p.conv_id, p.n, p.w, CASE WHEN r.k >= 5 OR r.c + len(p.w) + 2 > 36 THEN r.g + 1 ELSE r.g END, CASE WHEN r.k >= 5 OR r.c + len(p.w) + 2 > 36 THEN 1 ELSE r.k + 1 END,
+      CASE WHEN r.k >= 5 OR r.c + len(p.w) + 2 > 36 THEN 0 ELSE r.c END + len(p.w) + 2 FROM r JOIN p ON p.conv_id = r.conv_id AND p.n = r.n + 1)
+    SELECT conv_id, string_agg(array_to_string(w, ','), ';' ORDER BY n) AS words FROM r GROUP BY conv_id, g""",
+)
+def _(spark, t):
+    turns = t("conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("t")).select("conv_id", F.transform("t", lambda x: x["text"]).alias("words"))
+    lines = o.TextToWords(("words",), "ws").map(turns).select("conv_id", F.flatten(F.transform("words", lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(w) / 8) - 1, F.lit(0))), lambda k: F.slice(w, (k * 8 + 1).cast("int"), 8)))).alias("words"))
+    return o.MultiSequenceStrider(5, "words", ("words",), max_length=36, extra_length_per_seq=2).map(lines).select("conv_id", nested("words").alias("words"))
+
+
 @_query("value_to_sequence", f"WITH w AS (SELECT doc_id, {_WS} AS w FROM documents) SELECT doc_id, array_to_string(list_transform(range(greatest(len(w), 1)), lambda i: CASE WHEN i = 0 THEN 5 ELSE -100 END), ',') AS labels FROM w")
 def _(spark, t):
     rows = o.TextToWords(("text",), "ws").map(t("documents").select("doc_id", "text")).select("doc_id", F.array("text").alias("input_ids"), F.array(F.lit(5)).alias("labels"))

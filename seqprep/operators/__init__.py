@@ -2,7 +2,7 @@
 
 from .batch import FixedBatchSize, ListCollator, Padding, batches, collate, from_tokenizer_collator, tensor_collator
 from .cache import EndCaching, StartCaching
-from .custom import AddConstant, BatchFunction, Debug, RowFunction
+from .custom import AddConstant, BatchFunction, Debug, RowFunction, TableFunction
 from .evidence import EncoderWithEvidenceLocation, ReplaceIfNoEvidencePrompt, strider_with_evidence
 from .fields import ChangeFields, EnumerateField, ExtractPath, MakeField, RenameFields
 from .filters import Filter

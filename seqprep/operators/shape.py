@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Any, ClassVar
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -135,6 +135,34 @@ class SingleSequenceStriderWithLocations(SingleSequenceStrider):
         return extended(out.withColumns(cut).drop("__at", "__b", "__e"), "__pos")
 
 
+#: Sequences that the packing fold takes at a time: it copies at most this many groups at each step.
+_BLOCK = 256
+
+
+def _packed(sizes: Column, most: Column, count: Column) -> Column:
+    """[start, end) of consecutive groups of at most count sizes and a sum of at most most; one empty group for no sizes.
+
+    A fold over blocks of sizes, with a fold over the sizes in it, so that a long list of groups isn't copied at each size.
+    """
+    n = F.size(sizes)
+    span = lambda s, e: F.struct(s.cast("int").alias("s"), e.cast("int").alias("e"))
+    state = lambda s, c, done: F.struct(s.cast("int").alias("s"), c.cast("long").alias("c"), done.alias("done"))
+    none = F.slice(F.array(span(F.lit(0), F.lit(0))), 1, 0)
+
+    def step(a, v):
+        full = (v["j"] > a["s"]) & ((a["c"] + v["x"] > most) | (v["j"] - a["s"] >= count))
+        x = A.fail_if(v["x"] > most, "a sequence is longer than max_length", v["x"])
+        return F.when(full, state(v["j"], x, F.concat(a["done"], F.array(span(a["s"], v["j"]))))).otherwise(state(a["s"], a["c"] + x, a["done"]))
+
+    def block(a, b):
+        last = F.aggregate(b, state(a["last"]["s"], a["last"]["c"], none), step)
+        return F.struct(last.alias("last"), F.concat(a["blocks"], F.array(a["last"]["done"])).alias("blocks"))
+
+    blocks = F.transform(A.upto(F.ceil(n / _BLOCK).cast("int")), lambda k: F.transform(F.slice(sizes, k * _BLOCK + 1, _BLOCK), lambda x, i: F.struct((k * _BLOCK + i).cast("int").alias("j"), x.alias("x"))))
+    start = F.struct(state(F.lit(0), F.lit(0), none).alias("last"), F.slice(F.array(none), 1, 0).alias("blocks"))
+    return F.when(sizes.isNotNull(), F.aggregate(blocks, start, block, lambda a: F.concat(F.flatten(a["blocks"]), a["last"]["done"], F.array(span(a["last"]["s"], n)))))
+
+
 @dataclass(frozen=True, eq=False, repr=False)
 class MultiSequenceStrider(Operator):
     """Pack consecutive sequences of a list into groups of at most max_stride_count, and max_length symbols with extra_length_per_seq each.
@@ -158,20 +186,13 @@ class MultiSequenceStrider(Operator):
         most, count = F.lit(self.max_length if self.max_length is not None else 2**31 - 1).cast("long"), F.lit(self.max_stride_count)
         separators = (self.tokenizer.bos, self.tokenizer.sep, self.tokenizer.eos) if self.tokenizer else ()
         extra = self.extra_length_per_seq if self.extra_length_per_seq is not None else 2 * max(map(len, separators), default=0)
-        sizes = F.transform(F.col(self.length_reference_field), lambda x, j: F.struct(j.alias("j"), (F.size(x) + extra).cast("long").alias("x")))
-        group = lambda s, e, c: F.struct(s.cast("int").alias("s"), e.cast("int").alias("e"), c.cast("long").alias("c"))
-        start = F.array(group(F.lit(0), F.lit(0), F.lit(0)))
-
-        def step(a, v):
-            last = F.element_at(a, -1)
-            full = (last["c"] + v["x"] > most) | (v["j"] - last["s"] >= count)
-            added = F.concat(a, F.array(group(v["j"], v["j"] + 1, v["x"])))
-            grown = F.concat(F.slice(a, 1, F.size(a) - 1), F.array(group(last["s"], v["j"] + 1, last["c"] + v["x"])))
-            return F.when(v["x"] > most, F.raise_error(F.lit("a sequence is longer than max_length")).cast(T.ArrayType(T.StructType([T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType()), T.StructField("c", T.LongType())])))).when(full & (last["e"] > last["s"]), added).otherwise(grown)
-
-        out = df.select("*", F.posexplode(F.aggregate(sizes, start, step)).alias("__pos", "__g"))
-        cut = {c: F.slice(F.col(c), F.col("__g")["s"] + 1, F.col("__g")["e"] - F.col("__g")["s"]) for c in some}
-        return extended(out.withColumns(cut).drop("__g"), "__pos")
+        groups = _packed(F.transform(F.col(self.length_reference_field), lambda x: (F.size(x) + extra).cast("long")), most, count)
+        rest = [c for c in _fields(df) if c not in some]
+        order = [ORDER] if ORDER in df.columns else []
+        cut = F.transform("__g", lambda g: F.struct(*[F.slice(F.col(c), g["s"] + 1, g["e"] - g["s"]).alias(c) for c in some]))
+        out = df.withColumn("__g", groups).select(*rest, *order, F.posexplode(cut).alias("__pos", "__x"))  # lists are cut before a row becomes several
+        pick = [F.col("__x")[c].alias(c) if c in some else F.col(c) for c in _fields(df)]
+        return extended(out.select(*pick, *order, "__pos"), "__pos")
 
     def outputs(self, df):
         return list(self.fields_to_stride or df.columns)
