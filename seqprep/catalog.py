@@ -602,6 +602,33 @@ def _(spark, t):
     return LoadJsonl("path", schema="c_custkey long, c_name string, c_acctbal double").map(spark.createDataFrame([(path,)], "path string"))
 
 
+_RAGGED_SQL = "SELECT c_custkey AS key, CASE WHEN c_custkey % 3 = 0 THEN c_name END AS name, CASE WHEN c_custkey % 3 = 1 THEN c_mktsegment END AS last, CASE WHEN c_custkey % 3 = 2 THEN c_nationkey ELSE -1 END AS nation FROM customer"
+
+
+def _ragged(c: str) -> Column:
+    """Customers as JSON lines of three shapes; the key is a number or a text."""
+    parts = [F.to_json(F.struct(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"))), F.to_json(F.struct(F.col("c_custkey").cast("string").alias("key"), F.array(F.lit("x"), "c_mktsegment").alias("tags")))]
+    return F.when(F.col(c) % 3 == 0, parts[0]).when(F.col(c) % 3 == 1, parts[1]).otherwise(F.to_json(F.struct(F.col("c_custkey").alias("key"), F.struct(F.array(F.struct(F.col("c_nationkey").alias("the nation"))).alias("list")).alias("in"))))
+
+
+_RAGGED = o.ExtractPath({"key": "v.key", "name": "v.name", "last": "v.tags.-1", "nation": ("v", "in.list.0", "the nation")}, {"key": "long", "name": "string", "last": "string", "nation": "int"}, "null") >> o.ChangeFields(("key", "name", "last", "nation"))
+
+
+@_query("load_ragged", _RAGGED_SQL)
+def _(spark, t):
+    path = new_path(spark)
+    t("customer").select(_ragged("c_custkey").alias("value")).write.text(path)
+    return (LoadJsonl("path", ragged="v") >> _RAGGED).map(spark.createDataFrame([(path,)], "path string")).withColumn("nation", F.coalesce("nation", F.lit(-1)))
+
+
+@_query("extract_variant", "SELECT conv_id, string_agg(coalesce(role, '?') || ':' || length(coalesce(text, '')), ',' ORDER BY turn, text) AS turns, count(*) AS n FROM conversations GROUP BY conv_id")
+def _(spark, t):
+    turn = F.struct("turn", "text", F.coalesce("role", F.lit("?")).alias("role"), F.length(F.coalesce("text", F.lit(""))).alias("chars"))
+    lines = t("conversations").groupBy("conv_id").agg(F.parse_json(F.to_json(F.struct(F.sort_array(F.collect_list(turn)).alias("turns")))).alias("v"))
+    made = o.ExtractPath({"roles": ("v", "turns", ["role"]), "chars": ("v", "turns", ["chars"])}, {"roles": "array<string>", "chars": "array<int>"}).map(lines)
+    return made.select("conv_id", F.array_join(F.zip_with("roles", "chars", lambda a, b: F.concat(a, F.lit(":"), b.cast("string"))), ",").alias("turns"), long(F.size("roles")).alias("n"))
+
+
 def _two(spark, t, strategy):
     paths = []
     for rows in (t("supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name")), t("customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"))):

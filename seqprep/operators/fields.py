@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from typing import Any, ClassVar
 
@@ -106,12 +107,29 @@ class EnumerateField(Operator):
         return [self.destination_field or self.field]
 
 
+def _variant(c: Column, steps: Any) -> Column:
+    """A step or dotted steps into a variant, as a variant; missing: null. A list [step]: an array of variants, one for each element."""
+    if isinstance(steps, list):
+        return F.transform(F.variant_get(c, "$", "array<variant>"), lambda x: path(x, T.VariantType(), tuple(steps))[0])
+    for step in str(steps).split("."):
+        if re.fullmatch(r"-\d+", step):
+            c = F.try_element_at(F.try_variant_get(c, "$", "array<variant>"), F.lit(int(step)))
+        elif step.isdigit():
+            c = F.coalesce(F.try_variant_get(c, f"$[{step}]", "variant"), F.try_variant_get(c, f"$['{step}']", "variant"))
+        else:
+            mark = '"' if "'" in step else "'"
+            c = F.try_variant_get(c, f"$[{mark}{step}{mark}]", "variant")
+    return c
+
+
 def path(c: Column, kind: T.DataType, steps: Any) -> tuple[Column, T.DataType]:
     """Follow a path: a dotted string, a tuple of steps in turn, a list [step] for each element; numbers index, from the end if negative."""
     if isinstance(steps, tuple):
         for s in steps:
             c, kind = path(c, kind, s)
         return c, kind
+    if isinstance(kind, T.VariantType) and steps not in ([], ""):
+        return _variant(c, steps), kind if not isinstance(steps, list) else T.ArrayType(kind)
     if isinstance(steps, list):
         if not isinstance(kind, T.ArrayType):
             raise FieldError(f"{steps} needs a list, not {kind.simpleString()}")
@@ -137,9 +155,21 @@ def path(c: Column, kind: T.DataType, steps: Any) -> tuple[Column, T.DataType]:
 
 @dataclass(frozen=True, eq=False, repr=False)
 class ExtractPath(Operator):
-    """New fields from paths into nested fields: {name: path}, where a path starts with a field's name."""
+    """New fields from paths into nested fields: {name: path}, where a path starts with a field's name.
+
+    What a path finds in a variant gets the type that types (DDL) names, else stays a variant. A value that can't be cast to it is an error, a JSON null is
+    null, and a path that leads nowhere is an error or, with missing="null", null.
+    """
 
     spec_fields: dict[str, Any]
+    types: dict[str, str] | None = None
+    missing: str = "error"
+
+    def __post_init__(self):
+        if self.missing not in ("error", "null"):
+            raise ValueError("missing is error or null")
+        if unknown := set(self.types or ()) - set(self.spec_fields):
+            raise ValueError(f"no path {min(unknown)}")
 
     def columns(self, df):
         kind = T.StructType([f for f in df.schema if f.name != ORDER])
@@ -153,7 +183,20 @@ class ExtractPath(Operator):
                 raise FieldError(f"no {head} in {', '.join(kind.names)}")
             return path(F.col(f"`{head}`"), kind[head].dataType, (*([tail] if tail else []), *rest))
 
-        return {name: start(spec)[0] for name, spec in self.spec_fields.items()}
+        def typed(name, spec):
+            c, found = start(spec)
+            if T.VariantType() not in (found, A.leaf_type(found)):
+                return c
+            if self.missing == "error":
+                c = F.when(c.isNull(), F.raise_error(F.lit(f"nothing at {spec}"))).otherwise(c)
+            if name not in (self.types or {}):
+                return c
+            if isinstance(found, T.ArrayType):
+                want = T._parse_datatype_string(self.types[name])
+                return F.transform(c, lambda x: F.variant_get(x, "$", want.elementType.simpleString()))
+            return F.variant_get(c, "$", self.types[name])
+
+        return {name: typed(name, spec) for name, spec in self.spec_fields.items()}
 
     def outputs(self, df):
         return list(self.spec_fields)

@@ -115,12 +115,20 @@ def _placed(old: DataFrame, new: DataFrame, files: list[tuple[str, int]], *lead:
 
 @dataclass(frozen=True, eq=False, repr=False)
 class LoadJsonl(Operator):
-    """One JSON object a line; a malformed line is an error. schema: DDL, else inferred from all files."""
+    """One JSON object a line; a malformed line is an error. schema: DDL, else inferred from all files.
+
+    ragged: each line is one variant in that field, so lines may have other fields and types than others have; ExtractPath reads it.
+    """
 
     kind: ClassVar[str] = "G"
     paths_field: str
     encoding: str = "utf-8"
     schema: str | None = None
+    ragged: str | None = None
+
+    def __post_init__(self):
+        if self.schema and self.ragged:
+            raise ValueError("give schema or ragged")
 
     def inputs(self):
         return (self.paths_field,)
@@ -128,6 +136,8 @@ class LoadJsonl(Operator):
     def transform(self, df):
         read = df.sparkSession.read.options(mode="FAILFAST", encoding=self.encoding)
         files = listed_files(df.sparkSession, _paths(df, self.paths_field))
+        if self.ragged:
+            read = read.option("singleVariantColumn", self.ragged)
         return _placed(df, (read.schema(self.schema) if self.schema else read).json(_readable(df.sparkSession, [f for f, _ in files])), files)
 
     def outputs(self, df):
