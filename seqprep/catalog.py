@@ -357,6 +357,14 @@ def _(spark, t):
     return o.Lookup("o_orderstatus", {"F": "done", "O": "open", "P": "partly"}).map(t("orders").select("o_orderkey", "o_orderstatus"))
 
 
+@_query("lookup_table", f"""WITH w AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, {_WS} AS w FROM documents)), t AS (SELECT word, count(DISTINCT doc_id) AS n FROM w GROUP BY word),
+  r AS (SELECT doc_id, string_agg(n, ',' ORDER BY i) AS found FROM w JOIN t USING (word) GROUP BY doc_id) SELECT doc_id, coalesce(found, '') AS found FROM documents LEFT JOIN r USING (doc_id)""")
+def _(spark, t):
+    words = o.TextToWords(("text",), "ws").map(t("documents").select("doc_id", "text")).withColumnRenamed("text", "found")
+    known = words.select("doc_id", F.explode("found").alias("word")).distinct().groupBy("word").agg(F.count("*").alias("n"))
+    return o.LookupTable("found", known, "word", "n").map(words).select("doc_id", F.coalesce(text("found"), F.lit("")).alias("found"))
+
+
 @_query("one_hot", "SELECT l_orderkey, l_linenumber AS number, array_to_string(list_transform(range(8), lambda i: (i = l_linenumber)::INT), ',') AS l_linenumber FROM lineitem")
 def _(spark, t):
     rows = t("lineitem").select("l_orderkey", F.col("l_linenumber").alias("number"), "l_linenumber")

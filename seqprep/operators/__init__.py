@@ -6,6 +6,7 @@ from .custom import AddConstant, BatchFunction, Debug, RowFunction, TableFunctio
 from .evidence import EncoderWithEvidenceLocation, ReplaceIfNoEvidencePrompt, strider_with_evidence
 from .fields import ChangeFields, EnumerateField, ExtractPath, MakeField, RenameFields
 from .filters import Filter
+from .lookup import LookupTable
 from .masks import IndicesToMask, MakeAttentionMask, MaskToIndices, MaskToRange, OneVsOther, RangeToMask, UniqueAnswer
 from .prompt import FillEncodedPrompt, FillTextPrompt
 from .shape import Flatten, LabelsMasker, MultiSequenceStrider, SequencesConcatenate, SingleSequenceStrider, SingleSequenceStriderWithLocations, SingleValueToSequence, Unpacking

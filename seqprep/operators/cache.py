@@ -54,8 +54,7 @@ def _kept(df: DataFrame, segment: tuple[Operator, ...], folder: str | None, remo
     if df.isStreaming:
         raise ValueError("streams can't be kept")
     spark = df.sparkSession
-    plan = f"{df._jdf.queryExecution().analyzed().canonicalized().toString()}{_versions(spark, df.inputFiles())}" if _of_files(df) else content_hash(df)
-    key = hashlib.sha1((f"{plan}{remove_columns}" + "".join(o.fingerprint for o in segment)).encode()).hexdigest()
+    key = hashlib.sha1((f"{identity(df)}{remove_columns}" + "".join(o.fingerprint for o in segment)).encode()).hexdigest()
     path = f"{folder or shared_dir(spark) + '/seqprep-cache'}/{key}"
     to, written = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (path, f"{path}-{uuid.uuid4().hex}"))
     files = to.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -70,6 +69,11 @@ def _kept(df: DataFrame, segment: tuple[Operator, ...], folder: str | None, remo
     return spark.read.parquet(path)
 
 
+def identity(df: DataFrame) -> str:
+    """Plan and file versions, or where some rows are of no file, a hash of the rows."""
+    return f"{df._jdf.queryExecution().analyzed().canonicalized().toString()}{_versions(df.sparkSession, df.inputFiles())}" if _of_files(df) else content_hash(df)
+
+
 def _of_files(df: DataFrame) -> bool:
     """Whether all rows come from files (or ranges), so that plan and files tell them."""
     leaves = df._jdf.queryExecution().analyzed().collectLeaves()
