@@ -528,6 +528,51 @@ def _(spark, t):
     return o.Jinja("{{ c_name }} ||| {{ c_mktsegment }} ||| {{ c_nationkey }}", return_multiple_targets=True).map(t("customer")).select("c_custkey", "source", text("target").alias("target"))
 
 
+def _source(df: DataFrame, key: str, template: str) -> DataFrame:
+    return o.Jinja(template).map(df).select(key, "source")
+
+
+@_query("template_set", "SELECT c_custkey, lower(c_name) || ' is in ' || CASE WHEN c_acctbal > 5000 THEN 'credit' WHEN c_acctbal > 0 THEN 'balance' ELSE 'debt' END || ', ' || c_mktsegment AS source FROM customer")
+def _(spark, t):
+    template = """{% set who = c_name | lower %}{% set state = "debt" %}{% if c_acctbal > 5000 %}{% set state = "credit" %}{% elif c_acctbal > 0 %}{% set state = "balance" %}{% endif %}{{ who }} is in {{ state }}, {{ c_mktsegment }}"""
+    return _source(t("customer"), "c_custkey", template)
+
+
+@_query("template_macro", "SELECT c_custkey, '<name: ' || c_name || '><segment=' || c_mktsegment || '>' || CASE WHEN c_nationkey = 3 THEN '<three: yes>' ELSE '' END AS source FROM customer")
+def _(spark, t):
+    template = """{% macro tag(name, value, mark=": ") %}<{{ name }}{{ mark }}{{ value }}>{% endmacro %}{{ tag("name", c_name) }}{{ tag("segment", c_mktsegment, mark="=") }}{% if c_nationkey == 3 %}{{ tag("three", value="yes") }}{% endif %}"""
+    return _source(t("customer"), "c_custkey", template)
+
+
+@_query("template_choice", "SELECT c_custkey, CASE WHEN c_acctbal > 5000 THEN 'much' WHEN c_acctbal > 0 THEN 'some' ELSE 'none' END || ' ' || right(c_name, 3) || ' ' || left(c_name, 4) || CASE WHEN c_nationkey = 1 THEN ' one' ELSE '' END AS source FROM customer")
+def _(spark, t):
+    template = """{{ ["none", "some", "much"][2 if c_acctbal > 5000 else 1 if c_acctbal > 0 else 0] }} {{ c_name[-3:] }} {{ c_name[:4] }}{{ " one" if c_nationkey == 1 }}"""
+    return _source(t("customer"), "c_custkey", template)
+
+
+@_query(
+    "template_range",
+    "WITH w AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS k, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations) SELECT conv_id, string_agg(k || '/' || n || ' ' || coalesce(role, '?') || ' [' || coalesce(text, '') || ']', '' ORDER BY k) AS source FROM w GROUP BY conv_id",
+)
+def _(spark, t):
+    turns = t("conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text", "role"))).alias("t"))
+    lists = turns.select("conv_id", F.transform("t", lambda x: x["text"]).alias("texts"), F.transform("t", lambda x: x["role"]).alias("roles"))
+    return _source(lists, "conv_id", """{% for i in range(texts | length) %}{{ loop.index }}/{{ loop.length }} {{ roles[i] | default("?") }} [{{ texts[i] }}]{% endfor %}""")
+
+
+@_query("template_methods", "SELECT o_orderkey, upper(o_orderpriority) || '; ' || len(string_split(o_orderpriority, '-')) || '; ' || replace(o_orderpriority, '-', ' + ') || '; ' || string_split(o_orderpriority, '-')[1] || CASE WHEN starts_with(o_orderpriority, '1') OR ends_with(o_orderpriority, 'LOW') THEN ' (end)' ELSE '' END AS source FROM orders")
+def _(spark, t):
+    template = """{% set parts = o_orderpriority.split("-") %}{{ o_orderpriority.lower().upper().strip() }}; {{ parts | length }}; {{ " + ".join(parts) }}; {{ parts[0] }}{% if o_orderpriority.startswith("1") or o_orderpriority.endswith("LOW") %} (end){% endif %}"""
+    return _source(t("orders"), "o_orderkey", template)
+
+
+@_query("template_scopes", f"WITH w AS (SELECT doc_id, {_WS} AS w FROM documents) SELECT doc_id, array_to_string(list_transform(w, lambda x: '<' || x || CASE WHEN length(x) > 6 THEN ' long>' ELSE '>' END), '') || ' start' AS source FROM w")
+def _(spark, t):
+    words = o.TextToWords(("text",), "ws").map(t("documents").select("doc_id", "text"))
+    template = """{% set last = "start" %}{% set kind = "" %}{% for x in text %}{% set last = x %}{% if x | length > 6 %}{% set kind = " long" %}{% endif %}<{{ last + kind }}>{% endfor %} {{ last }}"""
+    return _source(words, "doc_id", template)
+
+
 _SHOT = "{% for s in __shots__ %}{{ s.c_name }}: {{ s.c_mktsegment }}; {% endfor %}{{ c_name }}: ||| {{ c_mktsegment }}"
 
 

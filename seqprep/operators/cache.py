@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,20 +33,21 @@ class EndCaching(Operator):
         return df.columns
 
 
-def run_segments(operators: tuple[Operator, ...], df: DataFrame, remove_columns: bool) -> DataFrame:
+def run_segments(operators: tuple[Operator, ...], df: DataFrame, remove_columns: bool, watch: Callable[[int, DataFrame], DataFrame] = lambda _, df: df) -> DataFrame:
+    """The operators in turn; watch gets the number of each operator (of a kept segment's last) and its result, and gives the result to go on with."""
     at = 0
     while at < len(operators):
         o = operators[at]
         if isinstance(o, EndCaching):
             raise ValueError("EndCaching without StartCaching")
         if not isinstance(o, StartCaching):
-            df = o.apply(df, remove_columns)
+            df = watch(at, o.apply(df, remove_columns))
             at += 1
             continue
         end = next((k for k in range(at + 1, len(operators)) if isinstance(operators[k], (EndCaching, StartCaching))), None)
         if end is None or isinstance(operators[end], StartCaching):
             raise ValueError("StartCaching without EndCaching")
-        df = _kept(df, operators[at + 1 : end], o.cache_dir, remove_columns)
+        df = watch(end, _kept(df, operators[at + 1 : end], o.cache_dir, remove_columns))
         at = end + 1
     return df
 

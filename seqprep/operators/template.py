@@ -1,8 +1,12 @@
 """A bounded template language compiled to Columns.
 
-Text, {{ value }}, {% for x in list %}, {% if %} / {% elif %} / {% else %}, comments {# #}, and white space control with -. Values are literals,
-paths (a.b, a[0], a["b"]), loop.index, loop.index0, loop.first, loop.last, comparisons, and / or / not, and filters: length join lower
-upper trim default replace first last. Anything else is an error when the template is compiled. Undefined names print as nothing.
+Text, {{ value }}, {% for x in list %}, {% if %} / {% elif %} / {% else %}, {% set x = value %}, {% macro f(a, b=value) %}, comments {# #}, and white space
+control with -. Values are literals, lists, paths (a.b, a[0], a["b"], a[i]), slices, loop.index, loop.index0, loop.first, loop.last, loop.length,
+x if test else y, comparisons, and / or / not, +, range(), calls of macros, the methods upper lower strip split join replace startswith endswith of texts, and
+filters: length join lower upper trim default replace first last. Anything else is an error when the template is compiled. Undefined names print as nothing.
+
+A set holds to the end of its scope: a loop's body (for one round) or a macro is one, a branch isn't, so names set in branches have the value of the branch taken. Macros are
+compiled where they are called, with the names known where they are defined; none calls itself.
 """
 
 from __future__ import annotations
@@ -64,6 +68,17 @@ def parse(template: str) -> list[_Node]:
                 raise TemplateError(body)
             into.append(_Node("for", (m[1], m[2])))
             open_.append(("for", into[-1].parts))
+        elif word == "set":
+            m = re.fullmatch(r"(\w+)\s*=(?!=)\s*(.+)", rest.strip(), re.S)
+            if not m:
+                raise TemplateError(body)
+            into.append(_Node("set", (m[1], m[2])))
+        elif word == "macro":
+            m = re.fullmatch(r"(\w+)\s*\((.*)\)", rest.strip(), re.S)
+            if not m:
+                raise TemplateError(body)
+            into.append(_Node("macro", (m[1], _parsed(f"lambda {m[2]}: 0").args)))
+            open_.append(("macro", into[-1].parts))
         elif word == "if":
             node = _Node("if", [(rest, [])])
             into.append(node)
@@ -73,7 +88,7 @@ def parse(template: str) -> list[_Node]:
             node = ifs[-1]
             node.value.append((rest if word == "elif" else None, []))
             open_[-1] = ("if", node.value[-1][1])
-        elif word in ("endfor", "endif") and open_[-1][0] == word[3:]:
+        elif word in ("endfor", "endif", "endmacro") and open_[-1][0] == word[3:]:
             if word == "endif":
                 ifs.pop()
             open_.pop()
@@ -88,67 +103,133 @@ _Typed = tuple[Column, T.DataType]
 _S = T.StringType()
 
 
-def _value(text: str, names: dict[str, _Typed]) -> _Typed | None:
+@dataclass(frozen=True)
+class _Macro:
+    """Parameters with their defaults, body, and the names known where it is defined."""
+
+    parameters: tuple[tuple[str, ast.expr | None], ...]
+    parts: list
+    names: dict
+
+
+def _parsed(text: str) -> ast.expr:
+    """A value's text as a tree. The filter mark is Python's |, which binds tighter than comparisons as filters do; an if without else gives nothing."""
+    for t in (text.strip(), f"{text.strip()} else undefined"):
+        try:
+            return ast.parse(t, mode="eval").body
+        except SyntaxError:
+            continue
+    raise TemplateError(text)
+
+
+def _value(text: str, names: dict[str, Any]) -> _Typed | None:
     """The value of an expression with filters; None if undefined."""
-    first, *filters = _split(text, "|")
+    return _expression(_parsed(text), names)
+
+
+def _number(e: ast.expr, names) -> Column:
+    got = _expression(e, names)
+    if got is None or not isinstance(got[1], T.IntegralType):
+        raise TemplateError(f"{ast.unparse(e)} isn't a whole number")
+    return got[0].cast("int")
+
+
+def _item(base: _Typed, e: ast.expr, names) -> _Typed | None:
+    """base[e]."""
+    c, kind = base
+    if isinstance(e, ast.Slice):
+        if e.step is not None or not isinstance(kind, (T.ArrayType, T.StringType)):
+            raise TemplateError(f"unsupported slice {ast.unparse(e)}")
+        n = A.size_of(c, kind)
+        bound = lambda x: F.when(x < 0, F.greatest(n + x, F.lit(0))).otherwise(x)
+        low = F.lit(0) if e.lower is None else bound(_number(e.lower, names))
+        return A.cut(c, kind, low, (n if e.upper is None else F.least(bound(_number(e.upper, names)), n)) - low), kind
     try:
-        tree = ast.parse(first.strip().replace("true", "True").replace("false", "False") if first.strip() in ("true", "false") else first.strip(), mode="eval").body
-    except SyntaxError as e:
-        raise TemplateError(text) from e
-    got = _expression(tree, names)
-    for f in filters:
-        got = _filter(f.strip(), got, names)
-    return got
-
-
-def _split(text: str, mark: str) -> list[str]:
-    out, depth, quote, at = [], 0, "", 0
-    for k, c in enumerate(text):
-        if quote:
-            quote = "" if c == quote else quote
-        elif c in "\"'":
-            quote = c
-        elif c in "([":
-            depth += 1
-        elif c in ")]":
-            depth -= 1
-        elif c == mark and not depth:
-            out.append(text[at:k])
-            at = k + 1
-    return [*out, text[at:]]
-
-
-def _expression(e: ast.expr, names: dict[str, _Typed]) -> _Typed | None:
+        key = ast.literal_eval(e)
+    except ValueError:
+        key = None
+    if key is None:
+        if isinstance(kind, T.ArrayType):
+            k = _number(e, names)
+            return F.try_element_at(c, F.when(k < 0, k).otherwise(k + 1)), kind.elementType
+        got = _expression(e, names)
+        if isinstance(kind, T.MapType) and got is not None:
+            return F.try_element_at(c, got[0]), kind.valueType
+        raise TemplateError(f"unsupported: [{ast.unparse(e)}]")
+    if isinstance(kind, T.StructType):
+        return (c.getField(key), kind[key].dataType) if key in kind.names else None
+    if isinstance(kind, T.MapType):
+        return F.try_element_at(c, F.lit(key)), kind.valueType
+    if isinstance(kind, T.ArrayType) and isinstance(key, int):
+        return F.try_element_at(c, F.lit(key + 1 if key >= 0 else key)), kind.elementType
+    return None
+
+
+def _same(values: list[_Typed]) -> tuple[list[Column], T.DataType]:
+    """Values made one type: that of the first, or the wider of two kinds of numbers."""
+    kind = values[0][1]
+    for _, k in values[1:]:
+        if k != kind:
+            if not isinstance(k, T.NumericType) or not isinstance(kind, T.NumericType):
+                raise TemplateError(f"{kind.simpleString()} and {k.simpleString()} in one place")
+            kind = T.LongType() if isinstance(k, T.IntegralType) and isinstance(kind, T.IntegralType) else T.DoubleType()
+    return [c.cast(kind) for c, _ in values], kind
+
+
+def _expression(e: ast.expr, names: dict[str, Any]) -> _Typed | None:
     if isinstance(e, ast.Constant):
         kind = {str: _S, bool: T.BooleanType(), int: T.LongType(), float: T.DoubleType()}.get(type(e.value))
         if kind is None:
             raise TemplateError(ast.unparse(e))
         return F.lit(e.value), kind
     if isinstance(e, ast.Name):
-        return names.get(e.id)
+        if e.id in ("true", "false") and e.id not in names:
+            return F.lit(e.id == "true"), T.BooleanType()
+        got = names.get(e.id)
+        if isinstance(got, _Macro):
+            raise TemplateError(f"{e.id} is a macro")
+        return got
+    if isinstance(e, (ast.List, ast.Tuple)):
+        parts = [_expression(x, names) for x in e.elts]
+        if not parts or None in parts:
+            raise TemplateError(f"unsupported: {ast.unparse(e)}")
+        found, kind = _same(parts)
+        return F.array(*found), T.ArrayType(kind)
     if isinstance(e, ast.UnaryOp) and isinstance(e.op, ast.USub) and isinstance(e.operand, ast.Constant):
-        return F.lit(-e.operand.value), T.LongType()
+        return F.lit(-e.operand.value), T.LongType() if isinstance(e.operand.value, int) else T.DoubleType()
+    if isinstance(e, ast.Attribute) and isinstance(e.value, ast.Name) and e.value.id == "loop":
+        return names.get(f"loop.{e.attr}")
     if isinstance(e, (ast.Attribute, ast.Subscript)):
-        if isinstance(e, ast.Attribute) and isinstance(e.value, ast.Name) and e.value.id == "loop":
-            return names.get(f"loop.{e.attr}")
         base = _expression(e.value, names)
         if base is None:
             return None
-        if isinstance(e, ast.Attribute):
-            key: Any = e.attr
-        else:
-            try:
-                key = ast.literal_eval(e.slice)
-            except ValueError as x:
-                raise TemplateError(ast.unparse(e)) from x
-        c, kind = base
-        if isinstance(kind, T.StructType):
-            return (c.getField(key), kind[key].dataType) if key in kind.names else None
-        if isinstance(kind, T.MapType):
-            return F.try_element_at(c, F.lit(key)), kind.valueType
-        if isinstance(kind, T.ArrayType) and isinstance(key, int):
-            return F.try_element_at(c, F.lit(key + 1 if key >= 0 else key)), kind.elementType
-        return None
+        return _item(base, ast.Constant(e.attr) if isinstance(e, ast.Attribute) else e.slice, names)
+    if isinstance(e, ast.IfExp):
+        test, values = truth(_expression(e.test, names)), [_expression(x, names) for x in (e.body, e.orelse)]
+        known = [v for v in values if v is not None]
+        if not known:
+            return None
+        found, kind = _same(known) if len({v[1] for v in known}) == 1 or all(isinstance(v[1], T.NumericType) for v in known) else ([shown(v) for v in known], _S)
+        found = iter(found)
+        a, b = (next(found) if v is not None else F.lit(None).cast(kind) for v in values)
+        return F.when(test, a).otherwise(b), kind
+    if isinstance(e, ast.BinOp) and isinstance(e.op, ast.BitOr):
+        if isinstance(e.left, ast.BinOp) and not isinstance(e.left.op, ast.BitOr):
+            raise TemplateError(f"a filter of a sum: {ast.unparse(e)}")
+        if isinstance(e.right, ast.Name):
+            return _filter(e.right.id, [], _expression(e.left, names))
+        if isinstance(e.right, ast.Call) and isinstance(e.right.func, ast.Name) and not e.right.keywords:
+            return _filter(e.right.func.id, [_expression(x, names) for x in e.right.args], _expression(e.left, names))
+    if isinstance(e, ast.BinOp) and isinstance(e.op, ast.Add):
+        a, b = _expression(e.left, names), _expression(e.right, names)
+        if a is not None and b is not None:
+            if all(isinstance(x[1], T.NumericType) for x in (a, b)):
+                (x, y), kind = _same([a, b])
+                return x + y, kind
+            if a[1] == b[1] and isinstance(a[1], (T.StringType, T.ArrayType)):
+                return F.concat(a[0], b[0]), a[1]
+    if isinstance(e, ast.Call):
+        return _call(e, names)
     if isinstance(e, ast.BoolOp):
         parts = [truth(_expression(x, names)) for x in e.values]
         out = parts[0]
@@ -163,7 +244,7 @@ def _expression(e: ast.expr, names: dict[str, _Typed]) -> _Typed | None:
             return F.lit(isinstance(e.ops[0], ast.NotEq)), T.BooleanType()
         op, x, y = type(e.ops[0]), a[0], b[0]
         if op in (ast.In, ast.NotIn):
-            found = F.array_contains(y, x) if isinstance(b[1], T.ArrayType) else F.contains(y, x)
+            found = F.coalesce(F.array_contains(y, x) if isinstance(b[1], T.ArrayType) else F.contains(y, x), F.lit(False))
             return (found if op is ast.In else ~found), T.BooleanType()
         made = {ast.Eq: lambda: x.eqNullSafe(y), ast.NotEq: lambda: ~x.eqNullSafe(y), ast.Lt: lambda: x < y, ast.LtE: lambda: x <= y, ast.Gt: lambda: x > y, ast.GtE: lambda: x >= y}.get(op)
         if made:
@@ -171,6 +252,42 @@ def _expression(e: ast.expr, names: dict[str, _Typed]) -> _Typed | None:
     raise TemplateError(f"unsupported: {ast.unparse(e)}")
 
 
+def _call(e: ast.Call, names: dict[str, Any]) -> _Typed | None:
+    """range, a macro, or a method of a text."""
+    if isinstance(e.func, ast.Name) and isinstance(names.get(e.func.id), _Macro):
+        return _expanded(e, names)
+    if isinstance(e.func, ast.Name) and e.func.id == "range" and 1 <= len(e.args) <= 3 and not e.keywords:
+        given = [_number(x, names) for x in e.args]
+        start, stop = (F.lit(0), given[0]) if len(given) == 1 else given[:2]
+        step = given[2] if len(given) == 3 else F.lit(1)
+        return F.transform(A.upto(F.ceil((stop - start) / step).cast("int")), lambda i: (start + i * step).cast("long")), T.ArrayType(T.LongType())
+    if isinstance(e.func, ast.Attribute) and not e.keywords:
+        base = _expression(e.func.value, names)
+        if base is None:
+            return None
+        args, name = [_expression(x, names) for x in e.args], e.func.attr
+        if isinstance(base[1], T.StringType) and None not in args:
+            c, text = base[0], [a for a, _ in args]
+            counts = {"upper": 0, "lower": 0, "strip": 0, "replace": 2, "startswith": 1, "endswith": 1, "split": 1, "join": 1}
+            if counts.get(name) == len(args):
+                made = {"upper": lambda: F.upper(c), "lower": lambda: F.lower(c), "strip": lambda: strip(c), "replace": lambda: F.replace(c, *text), "startswith": lambda: F.startswith(c, *text), "endswith": lambda: F.endswith(c, *text), "split": lambda: F.split(c, F.concat(F.lit("\\Q"), *text, F.lit("\\E"))), "join": lambda: _join(args[0], c)}[name]()
+                return made, {"startswith": T.BooleanType(), "endswith": T.BooleanType(), "split": T.ArrayType(_S)}.get(name, _S)
+            if name == "split" and not args:
+                return F.filter(F.split(strip(c), r"(?U)\s+"), lambda x: F.length(x) > 0), T.ArrayType(_S)
+    raise TemplateError(f"unsupported: {ast.unparse(e)}")
+
+
+def _expanded(e: ast.Call, names: dict[str, Any]) -> _Typed:
+    macro = names[e.func.id]
+    given = dict(zip([p for p, _ in macro.parameters], e.args, strict=False)) | {k.arg: k.value for k in e.keywords}
+    if len(e.args) > len(macro.parameters) or set(given) - {p for p, _ in macro.parameters}:
+        raise TemplateError(f"arguments of {ast.unparse(e)}")
+    inner = dict(macro.names)
+    for p, default in macro.parameters:
+        inner[p] = _expression(given[p], names) if p in given else _expression(default, macro.names) if default is not None else None
+    return render(macro.parts, inner), _S
+
+
 def truth(v: _Typed | None) -> Column:
     if v is None:
         return F.lit(False)
@@ -191,12 +308,7 @@ def shown(v: _Typed | None) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
-def _filter(text: str, v: _Typed | None, names) -> _Typed | None:
-    m = re.fullmatch(r"(\w+)(?:\((.*)\))?", text, re.S)
-    if not m:
-        raise TemplateError(text)
-    args = [_value(a, names) for a in _split(m[2], ",")] if m[2] else []
-    name = m[1]
+def _filter(name: str, args: list[_Typed | None], v: _Typed | None) -> _Typed | None:
     if name == "default":
         return args[0] if v is None else (F.coalesce(v[0], args[0][0].cast(v[1])), v[1])
     if name == "length":
@@ -225,7 +337,8 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
 
 
-def render(nodes: list[_Node], names: dict[str, _Typed]) -> Column:
+def render(nodes: list[_Node], names: dict[str, Any]) -> Column:
+    """The text of nodes; names is their scope, to which their sets are added."""
     parts: list[Column] = []
     for n in nodes:
         if n.kind == "text":
@@ -233,11 +346,23 @@ def render(nodes: list[_Node], names: dict[str, _Typed]) -> Column:
         elif n.kind == "print":
             parts.append(shown(_value(n.value, names)))
         elif n.kind == "if":
-            out = F.lit("")
-            for test, body in reversed(n.value):
-                made = render(body, names)
-                out = made if test is None else F.when(truth(_value(test, names)), made).otherwise(out)
+            out, found = F.lit(""), []
+            for test, body in n.value:
+                inner = dict(names)
+                found.append((None if test is None else truth(_value(test, names)), inner, render(body, inner)))
+            for test, _, made in reversed(found):
+                out = made if test is None else F.when(test, made).otherwise(out)
             parts.append(out)
+            for name in sorted({k for _, inner, _ in found for k in inner if inner[k] is not names.get(k)}):
+                names[name] = _merged(name, names.get(name), [(test, inner.get(name)) for test, inner, _ in found])
+        elif n.kind == "set":
+            names[n.value[0]] = _value(n.value[1], names)
+        elif n.kind == "macro":
+            given = n.value[1]
+            if given.vararg or given.kwarg or given.kwonlyargs or given.posonlyargs:
+                raise TemplateError(f"parameters of {n.value[0]}")
+            defaults = [None] * (len(given.args) - len(given.defaults)) + given.defaults
+            names[n.value[0]] = _Macro(tuple((a.arg, d) for a, d in zip(given.args, defaults, strict=True)), n.parts, dict(names))
         else:
             over = _value(n.value[1], names)
             if over is None:
@@ -249,38 +374,63 @@ def render(nodes: list[_Node], names: dict[str, _Typed]) -> Column:
     return F.concat(*parts) if len(parts) > 1 else parts[0] if parts else F.lit("")
 
 
+def _merged(name: str, old: _Typed | None, branches: list[tuple[Column | None, _Typed | None]]) -> _Typed | None:
+    """A name after branches: its value in the one taken, as it was if none is."""
+    known = [v for v in (old, *[v for _, v in branches]) if v is not None]
+    if any(isinstance(v, _Macro) for v in known):
+        raise TemplateError(f"macro {name} in a branch")
+    if not known:
+        return None
+    same = len({v[1] for v in known}) == 1 or all(isinstance(v[1], T.NumericType) for v in known)
+    kind = _same(known)[1] if same else _S
+    of = lambda v: F.lit(None).cast(kind) if v is None else v[0].cast(kind) if same else shown(v)
+    out = of(old)
+    for test, v in reversed(branches):
+        out = of(v) if test is None else F.when(test, of(v)).otherwise(out)
+    return out, kind
+
+
 def _loop(n: _Node, over: _Typed, names: dict[str, _Typed]) -> Column:
     c, kind = over
 
     def body(x, i):
-        loop = {"loop.index": (i + 1, T.IntegerType()), "loop.index0": (i, T.IntegerType()), "loop.first": (i == 0, T.BooleanType()), "loop.last": (i == F.size(c) - 1, T.BooleanType())}
+        loop = {"loop.index": (i + 1, T.IntegerType()), "loop.index0": (i, T.IntegerType()), "loop.first": (i == 0, T.BooleanType()), "loop.last": (i == F.size(c) - 1, T.BooleanType()), "loop.length": (F.size(c), T.IntegerType())}
         return render(n.parts, names | loop | {n.value[0]: (x, kind.elementType)})
 
     return F.coalesce(F.array_join(F.transform(c, body), ""), F.lit(""))
 
 
-def variables(nodes: list[_Node], bound: frozenset[str] = frozenset({"loop"})) -> set[str]:
-    """Names that a template takes from the data."""
+def _free(e: ast.AST) -> set[str]:
+    """Names in an expression but those of filters and functions."""
+    if isinstance(e, ast.Name):
+        return {e.id}
+    if isinstance(e, ast.BinOp) and isinstance(e.op, ast.BitOr):
+        return _free(e.left).union(*(_free(x) for x in getattr(e.right, "args", ())))
+    if isinstance(e, ast.Call) and isinstance(e.func, ast.Name):
+        return set().union(*(_free(x) for x in (*e.args, *e.keywords)))
+    return set().union(*(_free(x) for x in ast.iter_child_nodes(e)))
 
-    def of(text: str) -> set[str]:
-        found = set()
-        for part in _split(text, "|"):
-            try:
-                found |= {x.id for x in ast.walk(ast.parse(part.strip(), mode="eval")) if isinstance(x, ast.Name)}
-            except SyntaxError:
-                continue
-        head = _split(text, "|")[1:]
-        return found - {re.match(r"\s*(\w+)", h)[1] for h in head if re.match(r"\s*\w+", h)} - bound - {"true", "false", "none"}
 
+def variables(nodes: list[_Node], bound: frozenset[str] = frozenset({"loop", "true", "false", "none", "undefined"})) -> set[str]:
+    """Names that a template takes from the data. A name set before, be it in one branch, isn't one."""
     out: set[str] = set()
+    seen = set(bound)
     for n in nodes:
         if n.kind == "print":
-            out |= of(n.value)
+            out |= _free(_parsed(n.value)) - seen
+        elif n.kind == "set":
+            out |= _free(_parsed(n.value[1])) - seen
+            seen.add(n.value[0])
+        elif n.kind == "macro":
+            given = n.value[1]
+            out |= set().union(*(_free(d) for d in given.defaults)) - seen
+            out |= variables(n.parts, frozenset(seen | {a.arg for a in given.args}))
         elif n.kind == "if":
             for test, body in n.value:
-                out |= (of(test) if test else set()) | variables(body, bound)
+                out |= (_free(_parsed(test)) - seen if test else set()) | variables(body, frozenset(seen))
+            seen |= {x.value[0] for _, body in n.value for x in body if x.kind == "set"}
         elif n.kind == "for":
-            out |= of(n.value[1]) | variables(n.parts, bound | {n.value[0]})
+            out |= (_free(_parsed(n.value[1])) - seen) | variables(n.parts, frozenset(seen | {n.value[0]}))
     return out
 
 

@@ -12,6 +12,7 @@ import functools
 import hashlib
 import json
 import types
+from collections.abc import Callable
 from typing import Any, ClassVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -170,7 +171,8 @@ class Pipeline:
     def fingerprint(self) -> str:
         return hashlib.sha1("".join(o.fingerprint for o in self.operators).encode()).hexdigest()
 
-    def map(self, df: DataFrame, order_by: list[str] | None = None, remove_columns: bool = False) -> DataFrame:
+    def map(self, df: DataFrame, order_by: list[str] | None = None, remove_columns: bool = False, watch: Callable[[int, DataFrame], DataFrame] = lambda _, df: df) -> DataFrame:
+        """The operators in turn; watch(number, result) gets what goes in (-1) and what each gives, and returns what to go on with (see plans.counts)."""
         from ..operators.cache import run_segments
 
         ordered = any(o.kind in "BS" for o in self.operators)
@@ -179,7 +181,7 @@ class Pipeline:
         if ordered and ORDER not in df.columns:
             df = numbered(df, [F.col(c) for c in order_by], ORDER) if order_by else df.withColumn(ORDER, F.monotonically_increasing_id())
             df = df.withColumn(ORDER, F.array(ORDER))
-        return run_segments(self.operators, df, remove_columns).drop(ORDER)
+        return run_segments(self.operators, watch(-1, df), remove_columns, watch).drop(ORDER)
 
     apply = map
 
