@@ -99,6 +99,11 @@ def fail_if(bad: Column, message: str, c: Column) -> Column:
     return F.when(bad, F.raise_error(F.lit(message))).otherwise(c)
 
 
+def bound(c: Column, use: Callable[[Column], Column]) -> Column:
+    """use(c), where c is evaluated once a row although use names it in a loop: Spark puts an expression that is named once in place of its name, loops too."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
 def before(sizes: Column, i: Column) -> Column:
     """Sum of the first i sizes."""
     return F.aggregate(F.slice(sizes, 1, i), F.lit(0), lambda a, x: a + x)

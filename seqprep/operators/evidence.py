@@ -27,8 +27,8 @@ class EncoderWithEvidenceLocation(EncodeFields):
         offset = f"{self.offset_prefix}_{self.context_field}"
         more = EncodeFields(self.fields_to_encode, self.tokenizer, self.is_split_into_words, tuple(dict.fromkeys((*self.fields_to_return_offset_mapping, self.context_field))), self.offset_prefix)
         out = df.withColumns(more.columns(df))
-        hit = lambda o: F.exists(F.col(self.location_field), lambda p: (p[0] >= 0) & (o[0] < p[1]) & (o[1] > p[0]))
-        out = out.withColumn(self.location_field, F.transform(F.col(offset), lambda o: F.when(hit(o), F.lit(1)).otherwise(F.lit(0))))
+        hit = lambda places, o: F.exists(places, lambda p: (p[0] >= 0) & (o[0] < p[1]) & (o[1] > p[0]))
+        out = out.withColumn(self.location_field, A.bound(F.col(self.location_field), lambda places: F.transform(F.col(offset), lambda o: F.when(hit(places, o), F.lit(1)).otherwise(F.lit(0)))))
         return out if self.context_field in self.fields_to_return_offset_mapping else out.drop(offset)
 
     def outputs(self, df):

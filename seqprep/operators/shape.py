@@ -90,20 +90,24 @@ class SingleSequenceStrider(Operator):
     def inputs(self):
         return tuple(self.field_to_stride)
 
-    def _windows(self, df):
+    def _starts(self, df):
         first = self.field_to_stride[0]
         n, step = A.size_of(F.col(first), df.schema[first].dataType), F.lit(self.stride or self.max_length)
         if self.keep_last:
             last = F.greatest(n - 1, F.lit(0))
         else:
             last = F.greatest(n - self.max_length, F.lit(0))
-        starts = F.when(n < self.max_length, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), last, step))
-        return df.select("*", F.posexplode(starts).alias("__pos", "__at"))
+        return F.when(n < self.max_length, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), last, step))
+
+    def _windows(self, df):
+        return df.select("*", F.posexplode(self._starts(df)).alias("__pos", "__at"))
 
     def transform(self, df):
-        out = self._windows(df)
-        cut = {c: A.cut(F.col(c), df.schema[c].dataType, F.col("__at"), F.lit(self.max_length)) for c in self.field_to_stride}
-        return extended(out.withColumns(cut).drop("__at"), "__pos")
+        """Windows are cut before a row becomes several, so that no row holds a whole sequence for each of its windows."""
+        cut = lambda at: F.struct(*[A.cut(F.col(c), df.schema[c].dataType, at, F.lit(self.max_length)).alias(c) for c in dict.fromkeys(self.field_to_stride)])
+        rest = [F.col(c) for c in df.columns if c not in self.field_to_stride]
+        out = df.select(*rest, F.posexplode(F.transform(self._starts(df), cut)).alias("__pos", "__cut"))
+        return extended(out.select(*[F.col("__cut")[c].alias(c) if c in self.field_to_stride else F.col(c) for c in df.columns], "__pos"), "__pos")
 
     def outputs(self, df):
         return list(self.field_to_stride)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 from typing import Any
@@ -18,6 +19,10 @@ from ..functions import arrays as A
 from ..plans.core import Operator
 
 
+#: Tokens gathered before a function hands rows on: its memory follows these and the longest row, not the batch.
+_HELD = 1 << 18
+
+
 @lru_cache(maxsize=16)
 def _built(text: str):
     from tokenizers import Tokenizer
@@ -66,19 +71,23 @@ class TokenizerSpec:
 def _lists(parts: list, values) -> pa.ListArray:
     """Lists of the lengths of the parts over values, their concatenation."""
     ends = np.zeros(len(parts) + 1, np.int32)
-    np.cumsum([len(x) for x in parts], out=ends[1:])
-    return pa.ListArray.from_arrays(pa.array(ends), values)
+    np.cumsum([0 if x is None else len(x) for x in parts], out=ends[1:])
+    return pa.ListArray.from_arrays(pa.array(ends), values, mask=pa.array([x is None for x in parts], pa.bool_()))
+
+
+def _flat(parts: list[np.ndarray | None]) -> np.ndarray:
+    return np.concatenate([*(x for x in parts if x is not None), np.zeros(0, np.int32)])
 
 
-def _integers(parts: list[np.ndarray]) -> pa.ListArray:
-    return _lists(parts, pa.array(np.concatenate([*parts, np.zeros(0, np.int32)])))
+def _integers(parts: list[np.ndarray | None]) -> pa.ListArray:
+    return _lists(parts, pa.array(_flat(parts)))
 
 
-def _pairs(parts: list[np.ndarray]) -> pa.ListArray:
+def _pairs(parts: list[np.ndarray | None]) -> pa.ListArray:
     """Lists of [start, end) from flat arrays of starts and ends."""
-    flat = np.concatenate([*parts, np.zeros(0, np.int32)])
+    flat = _flat(parts)
     each = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, 2, dtype=np.int32)), pa.array(flat))
-    return _lists([x[::2] for x in parts], each)
+    return _lists([None if x is None else x[::2] for x in parts], each)
 
 
 def _flat_offsets(e) -> np.ndarray:
@@ -152,7 +161,7 @@ class Tokenize(Operator):
         plain, op = self.plain(), self
 
         @F.arrow_udf(schema)
-        def run(column: pa.Array) -> pa.Array:
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             from tokenizers import Tokenizer
 
             t = Tokenizer.from_str(op.tokenizer.json)
@@ -160,21 +169,26 @@ class Tokenize(Operator):
             t.no_truncation()
             if op.max_length is not None:
                 t.enable_truncation(op.max_length)
-            found: dict[str, list] = {c: [] for c in plain}
-            counts: list[int | None] = []
-            for value in column:
-                value = value.as_py()
-                if value is None:
-                    counts.append(None)
-                    continue
-                texts = value if listed else [value]
-                got = []
-                for k, e in enumerate(t.encode_batch(texts, is_pretokenized=op.is_split_into_words, add_special_tokens=op.add_special_tokens)):
-                    got += [(k, x) for x in ([e, *e.overflowing] if op.return_overflowing_tokens else [e])]
-                counts.append(len(got))
-                for c in plain:
-                    found[c] += [_OUTPUTS[c](texts[k], k, e) for k, e in got]
-            return pa.StructArray.from_arrays([_rows(_ITEMS.get(c, _integers)(found[c]), counts, many) for c in plain], names=plain)
+            for column in batches:
+                found: dict[str, list] = {c: [] for c in plain}
+                counts: list[int | None] = []
+                held = 0
+                for place, value in enumerate(column, 1):
+                    value = value.as_py()
+                    if value is None:
+                        counts.append(None)
+                    else:
+                        texts = value if listed else [value]
+                        got = []
+                        for k, e in enumerate(t.encode_batch(texts, is_pretokenized=op.is_split_into_words, add_special_tokens=op.add_special_tokens)):
+                            got += [(k, x) for x in ([e, *e.overflowing] if op.return_overflowing_tokens else [e])]
+                        counts.append(len(got))
+                        held += sum(len(e) for _, e in got)
+                        for c in plain:
+                            found[c] += [_OUTPUTS[c](texts[k], k, e) for k, e in got]
+                    if held >= _HELD or place == len(column):
+                        yield pa.StructArray.from_arrays([_rows(_ITEMS.get(c, _integers)(found[c]), counts, many) for c in plain], names=plain)
+                        found, counts, held = {c: [] for c in plain}, [], 0
 
         made = run(F.col(self.input_field))
         return {self.named(c): made[c] for c in plain}
@@ -238,28 +252,39 @@ class EncodeFields(Operator):
         nested = {c: A.depth(df.schema[c].dataType) > base for c in self.fields_to_encode}
         schema = T.StructType([T.StructField(c, T.ArrayType(_I) if nested[c] else _I) for c in self.fields_to_encode] + [T.StructField(f"{self.offset_prefix}_{c}", T.ArrayType(_L) if nested[c] else _L) for c in self.fields_to_return_offset_mapping])
 
+        def made_of(found: dict[str, tuple[list, list, list]]) -> pa.Array:
+            out: dict[str, pa.Array] = {}
+            for c, (ids, offsets, counts) in found.items():
+                out[c] = _rows(_integers(ids), counts, nested[c])
+                if c in op.fields_to_return_offset_mapping:
+                    out[f"{op.offset_prefix}_{c}"] = _rows(_pairs(offsets), counts, nested[c])
+            return pa.StructArray.from_arrays([out[n] for n in names], names=names)
+
         @F.arrow_udf(schema)
-        def run(*columns: pa.Array) -> pa.Array:
+        def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
             from tokenizers import Tokenizer
 
             t = Tokenizer.from_str(op.tokenizer.json)
             t.no_truncation()
             t.no_padding()
-            out: dict[str, pa.Array] = {}
-            for c, column in zip(op.fields_to_encode, columns, strict=True):
-                with_offsets = c in op.fields_to_return_offset_mapping
-                ids, offsets, counts = [], [], []
-                for value in column:
-                    value = value.as_py()
-                    texts = [] if value is None else value if nested[c] else [value]
-                    es = t.encode_batch(texts, is_pretokenized=op.is_split_into_words, add_special_tokens=False)
-                    counts.append(None if value is None else len(es))
-                    ids += [np.array(e.ids, np.int32) for e in es]
-                    offsets += [_flat_offsets(e) for e in es] if with_offsets else []
-                out[c] = _rows(_integers(ids), counts, nested[c])
-                if with_offsets:
-                    out[f"{op.offset_prefix}_{c}"] = _rows(_pairs(offsets), counts, nested[c])
-            return pa.StructArray.from_arrays([out[n] for n in names], names=names)
+            for batch in batches:
+                columns = batch if isinstance(batch, tuple) else (batch,)
+                found, held = {c: ([], [], []) for c in op.fields_to_encode}, 0
+                for place, row in enumerate(zip(*columns, strict=True), 1):
+                    for c, value in zip(op.fields_to_encode, row, strict=True):
+                        ids, offsets, counts = found[c]
+                        value = value.as_py()
+                        texts = [] if value is None else value if nested[c] else [value]
+                        counts.append(None if value is None else len(texts))
+                        for text in texts:
+                            e = None if text is None else t.encode(text, is_pretokenized=op.is_split_into_words, add_special_tokens=False)
+                            ids.append(None if e is None else np.array(e.ids, np.int32))
+                            held += 0 if e is None else len(e)
+                            if c in op.fields_to_return_offset_mapping:
+                                offsets.append(None if e is None else _flat_offsets(e))
+                    if held >= _HELD or place == len(columns[0]):
+                        yield made_of(found)
+                        found, held = {c: ([], [], []) for c in op.fields_to_encode}, 0
 
         made = run(*[F.col(c) for c in self.fields_to_encode])
         return {n: made[n] for n in names}
@@ -287,15 +312,23 @@ class Decode(Operator):
         op = self
 
         @F.arrow_udf("array<string>" if nested else "string")
-        def run(column: pa.Array) -> pa.Array:
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             t = _built(op.tokenizer.json)
+            kind = pa.list_(pa.string()) if nested else pa.string()
 
             def one(ids):
                 text = t.decode(ids, skip_special_tokens=op.skip_special_tokens)
                 return re.sub(r" ([.?!,]|n't|'(?:m|s|ve|re)\b)", r"\1", text) if op.clean_up_tokenization_spaces else text
 
-            made = (None if (x := v.as_py()) is None else [one(y) for y in x] if nested else one(x) for v in column)
-            return pa.array(made, pa.list_(pa.string()) if nested else pa.string())
+            for column in batches:
+                made, held = [], 0
+                for place, v in enumerate(column, 1):
+                    x = None if not v.is_valid else v.as_py() if nested else v.values.to_numpy(zero_copy_only=False).tolist()
+                    made.append(None if x is None else [one(y) for y in x] if nested else one(x))
+                    held += 0 if x is None else sum(map(len, x)) if nested else len(x)
+                    if held >= _HELD or place == len(column):
+                        yield pa.array(made, kind)
+                        made, held = [], 0
 
         return run
 
