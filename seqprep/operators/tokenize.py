@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import itertools
+import json
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 from typing import Any
@@ -19,6 +21,8 @@ from ..functions import arrays as A
 from ..plans.core import Operator
 
 
+#: Pieces that a function remembers.
+_KNOWN = 1 << 17
 #: Tokens gathered before a function hands rows on: its memory follows these and the longest row, not the batch.
 _HELD = 1 << 18
 
@@ -68,6 +72,95 @@ class TokenizerSpec:
         return _built(self.json).encode(text, add_special_tokens=False).ids
 
 
+#: The pieces that byte-level tokenizers cut a text into. Letters and digits are Python's here; a text with a character that the library takes for another kind goes to the library.
+_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+
+
+@dataclass(frozen=True)
+class _Joined:
+    """What an encoding of the library has, of pieces put together: ids and flat offsets."""
+
+    ids: np.ndarray
+    flat: np.ndarray
+
+    def __len__(self):
+        return len(self.ids)
+
+    type_ids = special_tokens_mask = property(lambda self: np.zeros(len(self), np.int32))
+    attention_mask = property(lambda self: np.ones(len(self), np.int32))
+    overflowing = ()
+
+
+class _Places(dict):
+    """Where the ids and offsets of a piece are among those of all pieces that are remembered; a new piece is encoded."""
+
+    def __init__(self, t):
+        super().__init__()
+        self.t, self.model = t, t.model
+        self.ids, self.flat, self.ends = array("i"), array("i"), array("q", [0])
+
+    def __missing__(self, piece: str) -> int:
+        if piece.isascii() and piece.isprintable():  # its bytes stand for themselves, but for the space
+            end = 0
+            for token in self.model.tokenize(piece.replace(" ", "\u0120")):
+                self.ids.append(token.id)
+                self.flat.append(end)
+                end += len(token.value)
+                self.flat.append(end)
+        else:
+            e = self.t.encode(piece, add_special_tokens=False)
+            self.ids.extend(e.ids)
+            self.flat.extend(itertools.chain.from_iterable(e.offsets))
+        self.ends.append(len(self.ids))
+        self[piece] = place = len(self)
+        return place
+
+
+class _Pieces:
+    """Texts encoded by their pieces, each of which is encoded once while it is remembered: a byte-level pair encoding never looks beyond a piece."""
+
+    def __init__(self, t):
+        self.t, self.added = t, [x.content for x in t.get_added_tokens_decoder().values()]
+        self.alike, self.other, self.places = set(), set(), _Places(t)
+
+    @staticmethod
+    def fit(description: str) -> bool:
+        d = json.loads(description)
+        model, cut = d["model"], d["pre_tokenizer"] or {}
+        plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
+        return plain and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space", True) and d["normalizer"] is None and d["post_processor"] is None
+
+    def _is_alike(self, c: str) -> bool:
+        probe = f"a{c}1{c}!{c} {c}"
+        return [probe[a:b] for _, (a, b) in self.t.pre_tokenizer.pre_tokenize_str(probe)] == _PIECE.findall(probe)
+
+    def __call__(self, text: str) -> _Joined | None:
+        """None: the library has to encode this text."""
+        seen = set(text)
+        for c in seen - self.alike - self.other:
+            (self.alike if self._is_alike(c) else self.other).add(c)
+        if not self.other.isdisjoint(seen) or any(x in text for x in self.added):
+            return None
+        pieces = _PIECE.findall(text)
+        if not pieces:
+            return _Joined(np.zeros(0, np.int32), np.zeros(0, np.int32))
+        if len(self.places) > _KNOWN:
+            self.places = _Places(self.t)
+        at = np.fromiter(map(self.places.__getitem__, pieces), np.int64, len(pieces))
+        ids, flat, ends = (np.frombuffer(x, kind) for x, kind in ((self.places.ids, np.int32), (self.places.flat, np.int32), (self.places.ends, np.int64)))
+        sizes = np.fromiter(map(len, pieces), np.int32, len(pieces))
+        n = ends[at + 1] - ends[at]
+        take = np.arange(n.sum()) + np.repeat(ends[at] - np.cumsum(n) + n, n)
+        flat = flat.reshape(-1, 2)[take] + np.repeat(np.cumsum(sizes, dtype=np.int32) - sizes, n)[:, None]
+        return _Joined(ids[take], flat.reshape(-1))
+
+
+def _encoder(t, description: str, by_pieces: bool, **how: Any) -> Callable[[Any], Any]:
+    """Encodes one text: by its pieces if the tokenizer and the caller allow it, or else by the library."""
+    joined = _Pieces(t) if by_pieces and _Pieces.fit(description) else lambda text: None
+    return lambda text: t.encode(text, **how) if (made := joined(text)) is None else made
+
+
 def _lists(parts: list, values) -> pa.ListArray:
     """Lists of the lengths of the parts over values, their concatenation."""
     ends = np.zeros(len(parts) + 1, np.int32)
@@ -91,7 +184,7 @@ def _pairs(parts: list[np.ndarray | None]) -> pa.ListArray:
 
 
 def _flat_offsets(e) -> np.ndarray:
-    return np.fromiter(itertools.chain.from_iterable(e.offsets), np.int32, 2 * len(e))
+    return e.flat if isinstance(e, _Joined) else np.fromiter(itertools.chain.from_iterable(e.offsets), np.int32, 2 * len(e))
 
 
 def _rows(items: pa.Array, counts: list[int | None], many: bool) -> pa.Array:
@@ -169,6 +262,8 @@ class Tokenize(Operator):
             t.no_truncation()
             if op.max_length is not None:
                 t.enable_truncation(op.max_length)
+            plainly = op.max_length is None and not (op.is_split_into_words or op.return_word_ids or op.return_words)
+            encode = _encoder(t, op.tokenizer.json, plainly, is_pretokenized=op.is_split_into_words, add_special_tokens=op.add_special_tokens)
             for column in batches:
                 found: dict[str, list] = {c: [] for c in plain}
                 counts: list[int | None] = []
@@ -180,7 +275,7 @@ class Tokenize(Operator):
                     else:
                         texts = value if listed else [value]
                         got = []
-                        for k, e in enumerate(t.encode_batch(texts, is_pretokenized=op.is_split_into_words, add_special_tokens=op.add_special_tokens)):
+                        for k, e in enumerate(map(encode, texts)):
                             got += [(k, x) for x in ([e, *e.overflowing] if op.return_overflowing_tokens else [e])]
                         counts.append(len(got))
                         held += sum(len(e) for _, e in got)
@@ -267,6 +362,7 @@ class EncodeFields(Operator):
             t = Tokenizer.from_str(op.tokenizer.json)
             t.no_truncation()
             t.no_padding()
+            encode = _encoder(t, op.tokenizer.json, not op.is_split_into_words, is_pretokenized=op.is_split_into_words, add_special_tokens=False)
             for batch in batches:
                 columns = batch if isinstance(batch, tuple) else (batch,)
                 found, held = {c: ([], [], []) for c in op.fields_to_encode}, 0
@@ -277,7 +373,7 @@ class EncodeFields(Operator):
                         texts = [] if value is None else value if nested[c] else [value]
                         counts.append(None if value is None else len(texts))
                         for text in texts:
-                            e = None if text is None else t.encode(text, is_pretokenized=op.is_split_into_words, add_special_tokens=False)
+                            e = None if text is None else encode(text)
                             ids.append(None if e is None else np.array(e.ids, np.int32))
                             held += 0 if e is None else len(e)
                             if c in op.fields_to_return_offset_mapping:
