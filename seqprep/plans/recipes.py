@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from typing import Any
 
+from ..functions.arrays import depth
 from ..operators.batch import FixedBatchSize, ListCollator, from_tokenizer_collator
 from ..operators.evidence import EncoderWithEvidenceLocation, ReplaceIfNoEvidencePrompt, strider_with_evidence
 from ..operators.fields import ChangeFields, MakeField, RenameFields
@@ -98,15 +99,46 @@ class _Skipping(Operator):
         return df.columns
 
 
+class _Encoded(Operator):
+    """A list that gives rows of their own is encoded before the rows multiply, so that what is repeated is encoded once; lists of lists after it."""
+
+    kind = "G"
+
+    def __init__(self, encoder: EncodeFields, unpacking: Unpacking):
+        object.__setattr__(self, "encoder", encoder)
+        object.__setattr__(self, "unpacking", unpacking)
+
+    @property
+    def fingerprint(self):
+        return f"{self.encoder.fingerprint}{self.unpacking.fingerprint}"
+
+    def inputs(self):
+        return tuple(dict.fromkeys((*self.encoder.inputs(), *self.unpacking.inputs())))
+
+    def transform(self, df):
+        flat = all(depth(df.schema[c].dataType) == 1 for c in self.unpacking.fields_to_unpack)
+        for part in (self.encoder, self.unpacking) if flat else (self.unpacking, self.encoder):
+            df = part.transform(df)
+        return df
+
+    def outputs(self, df):
+        return df.columns
+
+
 def evidence_prompting(tokenizer: TokenizerSpec, source_template: str, target_template: str, no_evidence_template: str, context_field: str = "context", evidence_field: str = "evidences", question_field: str = "question", answer_field: str | None = "answers", max_length: int = 512, stride: int | None = None, train: bool = True) -> Pipeline:
     """Long contexts with evidence: joined, strided with a mask of the evidence; where a window has none, another target. Training rows have one answer each."""
     names = tuple(dict.fromkeys((*fields_of(source_template), *fields_of(target_template), *fields_of(no_evidence_template))))
     parts: list[Operator] = [ConcatenateContext(context_field)]
+    encoder: Operator = EncoderWithEvidenceLocation(names, tokenizer, context_field=context_field, location_field="locations")
     if train and answer_field:
-        parts.append(Unpacking((answer_field,), ignored_behavior="repeat"))
+        unpacking = Unpacking((answer_field,), ignored_behavior="repeat")
+        if answer_field in (context_field, evidence_field):
+            parts.append(unpacking)
+        else:
+            encoder = _Encoded(encoder, unpacking)
     parts += [
         AddEvidencesLocation(context_field, evidence_field, "locations"),
-        EncoderWithEvidenceLocation(names, tokenizer, context_field=context_field, location_field="locations"),
+        encoder,
         strider_with_evidence(context_field, "locations", max_length, stride),
         FillEncodedPrompt(source_template, tokenizer, output_rename_map={"input_ids": "__ids", "attention_mask": "__mask"}),
     ]
