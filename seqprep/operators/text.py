@@ -251,8 +251,17 @@ class TruncateMultipleNestedFields(TruncateMultipleFields):
     def _cut(self, df, c, n):
         if A.depth(df.schema[c].dataType) < 2:
             return super()._cut(df, c, n)
-        sizes = F.transform(F.col(c), lambda x: F.size(x))
-        return F.transform(F.col(c), lambda x, i: F.slice(x, 1, F.least(F.greatest(n - A.before(sizes, i), F.lit(0)), F.size(x))))
+        state = lambda i, left, at: F.struct(i.cast("int").alias("i"), left.cast("long").alias("left"), at.cast("int").alias("at"))
+
+        def step(a, x):
+            goes_on = F.when(a["left"] >= F.size(x), state(a["i"] + 1, a["left"] - F.size(x), a["at"])).otherwise(state(a["i"] + 1, a["left"], a["i"]))
+            return F.when(a["at"].isNull(), goes_on).otherwise(a)
+
+        def cut(a):
+            part = lambda x: F.slice(x, 1, F.least(F.greatest(a["left"], F.lit(0)).cast("int"), F.size(x)))
+            return F.transform(F.col(c), lambda x, i: F.when(a["at"].isNull() | (i < a["at"]), x).when(i == a["at"], part(x)).otherwise(F.slice(x, 1, 0)))
+
+        return F.aggregate(F.col(c), state(F.lit(0), n, F.lit(None)), step, cut)  # one fold finds the list that the cut falls into
 
 
 @dataclass(frozen=True, eq=False, repr=False)
