@@ -21,8 +21,8 @@ from ..functions import arrays as A
 from ..plans.core import Operator
 
 
-#: Pieces that a function remembers.
-_KNOWN = 1 << 17
+#: Pieces that a Python worker remembers of a tokenizer, and at most four times as many tokens.
+_KNOWN = 1 << 19
 #: Tokens gathered before a function hands rows on: its memory follows these and the longest row, not the batch.
 _HELD = 1 << 18
 
@@ -34,6 +34,19 @@ def _built(text: str):
     return Tokenizer.from_str(text)
 
 
+@lru_cache(maxsize=4)
+def _plain(text: str, max_length: int | None = None):
+    """Without padding, and cut to max_length only. It stays with the Python worker, as all that is cached here: the next task needn't build it."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_str(text)
+    t.no_padding()
+    t.no_truncation()
+    if max_length is not None:
+        t.enable_truncation(max_length)
+    return t
+
+
 @dataclass(frozen=True)
 class TokenizerSpec:
     """A tokenizer's JSON, the ids of its special tokens (empty: it has none) and the longest input of its model (None: not known)."""
@@ -72,45 +85,70 @@ class TokenizerSpec:
         return _built(self.json).encode(text, add_special_tokens=False).ids
 
 
+#: The characters that stand for the bytes in the tokens of byte-level tokenizers.
+_SHOWN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_HIDDEN = [b for b in range(256) if b not in _SHOWN]
+_CHARS = {b: chr(b if b in _SHOWN else 256 + _HIDDEN.index(b)) for b in range(256)}
+_BYTES = {c: b for b, c in _CHARS.items()}
+
 #: The pieces that byte-level tokenizers cut a text into. Letters and digits are Python's here; a text with a character that the library takes for another kind goes to the library.
-_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+_PIECE = re.compile(r" ?[^\W\d_]+|'(?:[stmd]|re|ve|ll)| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 
 
 @dataclass(frozen=True)
 class _Joined:
-    """What an encoding of the library has, of pieces put together: ids and flat offsets."""
+    """What an encoding of the library has, of pieces put together: ids and flat offsets, which are made when they are asked for."""
 
     ids: np.ndarray
-    flat: np.ndarray
+    offsets_of: Callable[[], np.ndarray]
 
     def __len__(self):
         return len(self.ids)
 
+    flat = property(lambda self: self.offsets_of())
     type_ids = special_tokens_mask = property(lambda self: np.zeros(len(self), np.int32))
     attention_mask = property(lambda self: np.ones(len(self), np.int32))
     overflowing = ()
 
 
+class _Unlike(Exception):
+    """A piece has a character that the library may cut elsewhere."""
+
+
 class _Places(dict):
-    """Where the ids and offsets of a piece are among those of all pieces that are remembered; a new piece is encoded."""
+    """Where the ids and offsets of a piece are among those of all pieces that are remembered; a piece that older places don't have either is encoded."""
 
-    def __init__(self, t):
+    def __init__(self, of: _Pieces, older: _Places | None = None):
         super().__init__()
-        self.t, self.model = t, t.model
+        self.model, self.sizes, self.are_alike, self.older = of.t.model, of.sizes, of.are_alike, older
         self.ids, self.flat, self.ends = array("i"), array("i"), array("q", [0])
 
     def __missing__(self, piece: str) -> int:
-        if piece.isascii() and piece.isprintable():  # its bytes stand for themselves, but for the space
+        older = self.older
+        known = None if older is None else older.get(piece)
+        if known is not None:
+            a, b = older.ends[known], older.ends[known + 1]
+            self.ids += older.ids[a:b]
+            self.flat += older.flat[2 * a : 2 * b]
+        elif not self.are_alike(piece):
+            raise _Unlike
+        elif piece.isascii() and piece.isprintable():  # its bytes stand for themselves, but for the space
             end = 0
             for token in self.model.tokenize(piece.replace(" ", "\u0120")):
-                self.ids.append(token.id)
+                k = token.id
+                self.ids.append(k)
                 self.flat.append(end)
-                end += len(token.value)
+                end += self.sizes[k]
                 self.flat.append(end)
-        else:
-            e = self.t.encode(piece, add_special_tokens=False)
-            self.ids.extend(e.ids)
-            self.flat.extend(itertools.chain.from_iterable(e.offsets))
+        else:  # a token that holds a part of a character has the whole character's place
+            at = [k for k, c in enumerate(piece) for _ in c.encode()]
+            end = 0
+            for token in self.model.tokenize(piece.encode().decode("latin-1").translate(_CHARS)):
+                k = token.id
+                self.ids.append(k)
+                self.flat.append(at[end])
+                end += self.sizes[k]
+                self.flat.append(at[end - 1] + 1)
         self.ends.append(len(self.ids))
         self[piece] = place = len(self)
         return place
@@ -121,43 +159,65 @@ class _Pieces:
 
     def __init__(self, t):
         self.t, self.added = t, [x.content for x in t.get_added_tokens_decoder().values()]
-        self.alike, self.other, self.places = set(), set(), _Places(t)
+        self.alike, self.other = set(), set()
+        self.sizes = {k: len(token) for token, k in t.get_vocab().items()}
+        self.places = _Places(self)
 
     @staticmethod
     def fit(description: str) -> bool:
         d = json.loads(description)
         model, cut = d["model"], d["pre_tokenizer"] or {}
         plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
-        return plain and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space", True) and d["normalizer"] is None and d["post_processor"] is None
+        return plain and all(c in model["vocab"] for c in _BYTES) and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space", True) and d["normalizer"] is None and d["post_processor"] is None
 
     def _is_alike(self, c: str) -> bool:
         probe = f"a{c}1{c}!{c} {c}"
         return [probe[a:b] for _, (a, b) in self.t.pre_tokenizer.pre_tokenize_str(probe)] == _PIECE.findall(probe)
 
+    def are_alike(self, piece: str) -> bool:
+        if not self.alike.issuperset(piece):
+            for c in set(piece) - self.alike - self.other:
+                (self.alike if self._is_alike(c) else self.other).add(c)
+        return self.alike.issuperset(piece)
+
     def __call__(self, text: str) -> _Joined | None:
         """None: the library has to encode this text."""
-        seen = set(text)
-        for c in seen - self.alike - self.other:
-            (self.alike if self._is_alike(c) else self.other).add(c)
-        if not self.other.isdisjoint(seen) or any(x in text for x in self.added):
+        if any(x in text for x in self.added):
             return None
         pieces = _PIECE.findall(text)
-        if not pieces:
-            return _Joined(np.zeros(0, np.int32), np.zeros(0, np.int32))
-        if len(self.places) > _KNOWN:
-            self.places = _Places(self.t)
-        at = np.fromiter(map(self.places.__getitem__, pieces), np.int64, len(pieces))
-        ids, flat, ends = (np.frombuffer(x, kind) for x, kind in ((self.places.ids, np.int32), (self.places.flat, np.int32), (self.places.ends, np.int64)))
-        sizes = np.fromiter(map(len, pieces), np.int32, len(pieces))
-        n = ends[at + 1] - ends[at]
-        take = np.arange(n.sum()) + np.repeat(ends[at] - np.cumsum(n) + n, n)
-        flat = flat.reshape(-1, 2)[take] + np.repeat(np.cumsum(sizes, dtype=np.int32) - sizes, n)[:, None]
-        return _Joined(ids[take], flat.reshape(-1))
+        places = self.places
+        if len(places) > _KNOWN // 2 or len(places.ids) > 2 * _KNOWN:  # those that come again move on, the others go with the next change
+            places.older = None
+            self.places = places = _Places(self, places)
+        try:  # every character is in a piece, and a piece that is remembered was looked at
+            at = np.fromiter(map(places.__getitem__, pieces), np.int64, len(pieces))
+        except _Unlike:
+            return None
+        ends = np.frombuffer(places.ends, np.int64)
+        first = ends[at]
+        n = ends[at + 1] - first
+        take = np.arange(n.sum()) + np.repeat(first - np.cumsum(n) + n, n)
+
+        def offsets() -> np.ndarray:
+            sizes = np.fromiter(map(len, pieces), np.int32, len(pieces))
+            flat = np.frombuffer(places.flat, np.int32).reshape(-1, 2)[take]
+            flat += np.repeat(np.cumsum(sizes, dtype=np.int32) - sizes, n)[:, None]
+            return flat.reshape(-1)
+
+        return _Joined(np.frombuffer(places.ids, np.int32)[take], offsets)
+
+
+@lru_cache(maxsize=2)
+def _remembered(description: str) -> _Pieces | None:
+    """The pieces that tasks of a Python worker hand on to the next."""
+    return _Pieces(_plain(description)) if _Pieces.fit(description) else None
 
 
 def _encoder(t, description: str, by_pieces: bool, **how: Any) -> Callable[[Any], Any]:
     """Encodes one text: by its pieces if the tokenizer and the caller allow it, or else by the library."""
-    joined = _Pieces(t) if by_pieces and _Pieces.fit(description) else lambda text: None
+    joined = _remembered(description) if by_pieces else None
+    if joined is None:
+        return lambda text: t.encode(text, **how)
     return lambda text: t.encode(text, **how) if (made := joined(text)) is None else made
 
 
@@ -255,13 +315,7 @@ class Tokenize(Operator):
 
         @F.arrow_udf(schema)
         def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            from tokenizers import Tokenizer
-
-            t = Tokenizer.from_str(op.tokenizer.json)
-            t.no_padding()
-            t.no_truncation()
-            if op.max_length is not None:
-                t.enable_truncation(op.max_length)
+            t = _plain(op.tokenizer.json, op.max_length)
             plainly = op.max_length is None and not (op.is_split_into_words or op.return_word_ids or op.return_words)
             encode = _encoder(t, op.tokenizer.json, plainly, is_pretokenized=op.is_split_into_words, add_special_tokens=op.add_special_tokens)
             for column in batches:
@@ -357,11 +411,7 @@ class EncodeFields(Operator):
 
         @F.arrow_udf(schema)
         def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-            from tokenizers import Tokenizer
-
-            t = Tokenizer.from_str(op.tokenizer.json)
-            t.no_truncation()
-            t.no_padding()
+            t = _plain(op.tokenizer.json)
             encode = _encoder(t, op.tokenizer.json, not op.is_split_into_words, is_pretokenized=op.is_split_into_words, add_special_tokens=False)
             for batch in batches:
                 columns = batch if isinstance(batch, tuple) else (batch,)
