@@ -13,6 +13,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -436,6 +437,38 @@ class EncodeFields(Operator):
         return {n: made[n] for n in names}
 
 
+@lru_cache(maxsize=4)
+def _token_bytes(description: str, skip_special_tokens: bool) -> tuple[np.ndarray, np.ndarray] | None:
+    """The bytes of all tokens by id, one after another, and their ends; none for an id without a token, as the last one. None: a text isn't its tokens' bytes."""
+    if (json.loads(description)["decoder"] or {}).get("type") != "ByteLevel":
+        return None
+    t = _built(description)
+    skipped = {x.content for x in t.get_added_tokens_decoder().values() if x.special and skip_special_tokens}
+    names = {k: token for token, k in t.get_vocab().items()} | {k: x.content for k, x in t.get_added_tokens_decoder().items()}
+    parts = [b"" if (x := names.get(k, "")) in skipped else bytes(map(_BYTES.get, x)) if _BYTES.keys() >= set(x) else x.encode() for k in range(max(names, default=0) + 2)]
+    return np.frombuffer(b"".join(parts), np.uint8), np.cumsum([0, *map(len, parts)])
+
+
+def _put_together(lists: pa.ListArray, data: np.ndarray, ends: np.ndarray) -> pa.StringArray | None:
+    """Texts of lists of ids from the bytes of tokens; None: a text isn't valid, or an id isn't."""
+    flat = lists.flatten()
+    ids = None if flat.null_count else flat.to_numpy()
+    if ids is None or len(ids) and ids.min() < 0:
+        return None
+    at = np.minimum(ids, len(ends) - 2)
+    n = ends[at + 1] - ends[at]
+    until = np.cumsum(n)
+    made = data[np.arange(n.sum()) + np.repeat(ends[at] - until + n, n)]
+    rows = np.cumsum([0, *pc.fill_null(pc.list_value_length(lists), 0).to_numpy()])
+    places = np.concatenate([[0], until])[rows].astype(np.int32)
+    texts = pa.StringArray.from_buffers(len(lists), pa.py_buffer(places), pa.py_buffer(made))
+    try:
+        texts.validate(full=True)
+    except pa.ArrowInvalid:
+        return None
+    return pc.if_else(lists.is_valid(), texts, pa.scalar(None, pa.string())) if lists.null_count else texts
+
+
 @dataclass(frozen=True, eq=False, repr=False)
 class Decode(Operator):
     """Ids as text, lists of ids as lists of texts."""
@@ -459,22 +492,30 @@ class Decode(Operator):
 
         @F.arrow_udf("array<string>" if nested else "string")
         def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            t = _built(op.tokenizer.json)
-            kind = pa.list_(pa.string()) if nested else pa.string()
+            t, known = _built(op.tokenizer.json), _token_bytes(op.tokenizer.json, op.skip_special_tokens)
 
-            def one(ids):
-                text = t.decode(ids, skip_special_tokens=op.skip_special_tokens)
-                return re.sub(r" ([.?!,]|n't|'(?:m|s|ve|re)\b)", r"\1", text) if op.clean_up_tokenization_spaces else text
+            def texts(lists: pa.ListArray) -> pa.Array:
+                made = known and _put_together(lists, *known)
+                if made is None:
+                    made = pa.array([None if x is None else t.decode(x, skip_special_tokens=op.skip_special_tokens) for x in lists.to_pylist()], pa.string())
+                if op.clean_up_tokenization_spaces:
+                    made = pa.array([x and re.sub(r" ([.?!,]|n't|'(?:m|s|ve|re)\b)", r"\1", x) for x in made.to_pylist()], pa.string())
+                return made
 
             for column in batches:
-                made, held = [], 0
-                for place, v in enumerate(column, 1):
-                    x = None if not v.is_valid else v.as_py() if nested else v.values.to_numpy(zero_copy_only=False).tolist()
-                    made.append(None if x is None else [one(y) for y in x] if nested else one(x))
-                    held += 0 if x is None else sum(map(len, x)) if nested else len(x)
+                counts = pc.list_value_length(column).to_pylist()
+                ends = np.cumsum([0, *(n or 0 for n in counts)])
+                sizes = counts
+                if nested:
+                    each = np.cumsum([0, *pc.fill_null(pc.list_value_length(column.flatten()), 0).to_numpy()])
+                    sizes = np.diff(each[ends])
+                begin = held = 0
+                for place, n in enumerate(sizes, 1):
+                    held += n or 0
                     if held >= _HELD or place == len(column):
-                        yield pa.array(made, kind)
-                        made, held = [], 0
+                        part = column.slice(begin, place - begin)
+                        yield _rows(texts(part.flatten()), counts[begin:place], True) if nested else texts(part)
+                        begin, held = place, 0
 
         return run
 
