@@ -5,10 +5,11 @@ from __future__ import annotations
 import itertools
 import json
 import re
+import sys
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import cache, lru_cache
 from typing import Any
 
 import numpy as np
@@ -26,6 +27,8 @@ from ..plans.core import Operator
 _KNOWN = 1 << 19
 #: Tokens gathered before a function hands rows on: its memory follows these and the longest row, not the batch.
 _HELD = 1 << 18
+#: Characters of the texts that are encoded together; a longer text is by itself.
+_TAKEN = 1 << 20
 
 
 @lru_cache(maxsize=16)
@@ -91,68 +94,85 @@ _SHOWN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _HIDDEN = [b for b in range(256) if b not in _SHOWN]
 _CHARS = {b: chr(b if b in _SHOWN else 256 + _HIDDEN.index(b)) for b in range(256)}
 _BYTES = {c: b for b, c in _CHARS.items()}
+_SHOWN_AS = np.array([ord(_CHARS[b]) for b in range(256)], np.uint32)
 
 #: The pieces that byte-level tokenizers cut a text into. Letters and digits are Python's here; a text with a character that the library takes for another kind goes to the library.
 _PIECE = re.compile(r" ?[^\W\d_]+|'(?:[stmd]|re|ve|ll)| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+#: Kinds of characters, in the order of their numbers from 1; 0 has not been looked at.
+_KINDS = re.compile(r"([^\W\d_])|(\d)|((?:[^\s\w]|_))|(\s)")
+_SPACE, _UNLIKE = 4, 5
 
 
 @dataclass(frozen=True)
 class _Joined:
-    """What an encoding of the library has, of pieces put together: ids and flat offsets, which are made when they are asked for."""
+    """What an encoding of the library has, of pieces put together: ids, and flat offsets among those of the texts encoded with it, which are made when they are asked for."""
 
     ids: np.ndarray
+    begin: int
     offsets_of: Callable[[], np.ndarray]
 
     def __len__(self):
         return len(self.ids)
 
-    flat = property(lambda self: self.offsets_of())
+    flat = property(lambda self: self.offsets_of()[2 * self.begin : 2 * (self.begin + len(self))])
     type_ids = special_tokens_mask = property(lambda self: np.zeros(len(self), np.int32))
     attention_mask = property(lambda self: np.ones(len(self), np.int32))
     overflowing = ()
 
 
-class _Unlike(Exception):
-    """A piece has a character that the library may cut elsewhere."""
+def _spans(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (n[0] of them), first[1], ..."""
+    until = np.cumsum(n)
+    return np.arange(n.sum()) + np.repeat(first - until + n, n)
 
 
 class _Places(dict):
-    """Where the ids and offsets of a piece are among those of all pieces that are remembered; a piece that older places don't have either is encoded."""
+    """Where the ids and offsets of a piece are among those of all pieces that are remembered."""
 
     def __init__(self, of: _Pieces, older: _Places | None = None):
         super().__init__()
-        self.model, self.sizes, self.are_alike, self.older = of.t.model, of.sizes, of.are_alike, older
+        self.of, self.older = of, older
         self.ids, self.flat, self.ends = array("i"), array("i"), array("q", [0])
 
-    def __missing__(self, piece: str) -> int:
+    def at(self, pieces: list[str]) -> np.ndarray:
+        """The places of different pieces; those that older places don't have either are encoded."""
+        found = [*map(self.get, pieces)]
+        new = [x for x, place in zip(pieces, found, strict=True) if place is None]
         older = self.older
-        known = None if older is None else older.get(piece)
-        if known is not None:
-            a, b = older.ends[known], older.ends[known + 1]
-            self.ids += older.ids[a:b]
-            self.flat += older.flat[2 * a : 2 * b]
-        elif not self.are_alike(piece):
-            raise _Unlike
-        elif piece.isascii() and piece.isprintable():  # its bytes stand for themselves, but for the space
-            end = 0
-            for token in self.model.tokenize(piece.replace(" ", "\u0120")):
-                k = token.id
-                self.ids.append(k)
-                self.flat.append(end)
-                end += self.sizes[k]
-                self.flat.append(end)
-        else:  # a token that holds a part of a character has the whole character's place
-            at = [k for k, c in enumerate(piece) for _ in c.encode()]
-            end = 0
-            for token in self.model.tokenize(piece.encode().decode("latin-1").translate(_CHARS)):
-                k = token.id
-                self.ids.append(k)
-                self.flat.append(at[end])
-                end += self.sizes[k]
-                self.flat.append(at[end - 1] + 1)
-        self.ends.append(len(self.ids))
-        self[piece] = place = len(self)
-        return place
+        again = [x for x in new if x in older] if older else []
+        if again:
+            place, ends = np.fromiter(map(older.__getitem__, again), np.int64, len(again)), np.frombuffer(older.ends, np.int64)
+            n = ends[place + 1] - ends[place]
+            take = _spans(ends[place], n)
+            self._add(again, n, np.frombuffer(older.ids, np.int32)[take], np.frombuffer(older.flat, np.int32).reshape(-1, 2)[take])
+            new = [x for x in new if x not in older]
+        if new:
+            self._add(new, *self.of.encode(new))
+        return np.array([self[x] if place is None else place for x, place in zip(pieces, found, strict=True)], np.int64)
+
+    def _add(self, pieces: list[str], n: np.ndarray, ids: np.ndarray, flat: np.ndarray) -> None:
+        self.update(zip(pieces, itertools.count(len(self))))
+        self.ends.frombytes((np.cumsum(n, dtype=np.int64) + len(self.ids)).tobytes())
+        self.ids.frombytes(ids.astype(np.int32).tobytes())
+        self.flat.frombytes(flat.astype(np.int32).tobytes())
+
+
+def _starts(codes: np.ndarray, kinds: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Where the pieces of texts, one after another, start: what _PIECE finds, for all characters at once. begins: where texts that aren't empty start."""
+    n = len(codes)
+    first, space = np.zeros(n + 3, bool), kinds == _SPACE
+    first[begins] = first[n:] = True
+    start = np.ones(n + 3, bool)
+    start[1:n] = (kinds[1:] != kinds[:-1]) & (space[1:] | (codes[:-1] != ord(" ")))  # a space goes with what follows it
+    start[1 : n - 1] |= space[:-2] & space[1:-1] & ~space[2:] & ~first[2:n]  # the last of several spaces is apart, but not at the end of a text
+    start |= first
+    quotes = np.flatnonzero(start[:n] & (codes == ord("'")))
+    one, two = (np.append(codes, [0, 0, 0])[quotes + k] for k in (1, 2))
+    short = ~first[quotes + 1] & np.isin(one, [*map(ord, "stmd")])
+    long = ~first[quotes + 1] & ~first[quotes + 2] & (((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l")))
+    start[quotes[short | long] + 1] = False
+    start[quotes[short] + 2] = start[quotes[long] + 3] = True
+    return np.flatnonzero(start[:n])
 
 
 class _Pieces:
@@ -160,8 +180,10 @@ class _Pieces:
 
     def __init__(self, t):
         self.t, self.added = t, [x.content for x in t.get_added_tokens_decoder().values()]
-        self.alike, self.other = set(), set()
-        self.sizes = {k: len(token) for token, k in t.get_vocab().items()}
+        self.kinds = np.zeros(sys.maxunicode + 1, np.uint8)
+        vocabulary = t.get_vocab()
+        self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int32)
+        self.sizes[[*vocabulary.values()]] = [*map(len, vocabulary)]
         self.places = _Places(self)
 
     @staticmethod
@@ -171,41 +193,73 @@ class _Pieces:
         plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
         return plain and all(c in model["vocab"] for c in _BYTES) and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space", True) and d["normalizer"] is None and d["post_processor"] is None
 
-    def _is_alike(self, c: str) -> bool:
+    def _kind(self, c: str) -> int:
         probe = f"a{c}1{c}!{c} {c}"
-        return [probe[a:b] for _, (a, b) in self.t.pre_tokenizer.pre_tokenize_str(probe)] == _PIECE.findall(probe)
-
-    def are_alike(self, piece: str) -> bool:
-        if not self.alike.issuperset(piece):
-            for c in set(piece) - self.alike - self.other:
-                (self.alike if self._is_alike(c) else self.other).add(c)
-        return self.alike.issuperset(piece)
+        alike = [probe[a:b] for _, (a, b) in self.t.pre_tokenizer.pre_tokenize_str(probe)] == _PIECE.findall(probe)
+        return _KINDS.fullmatch(c).lastindex if alike else _UNLIKE
+
+    def _kinds(self, codes: np.ndarray) -> np.ndarray:
+        kinds = self.kinds[codes]
+        if not kinds.all():
+            for k in np.unique(codes[kinds == 0]).tolist():
+                self.kinds[k] = self._kind(chr(k))
+            kinds = self.kinds[codes]
+        return kinds
+
+    def encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The number of tokens of each piece, and the ids and offsets of all; a token that holds a part of a character has the whole character's place."""
+        data = np.frombuffer("".join(pieces).encode(), np.uint8)
+        begins = (data & 0xC0) != 0x80
+        chars = np.cumsum([0, *map(len, pieces)])
+        cuts = np.append(np.flatnonzero(begins), len(data))[chars].tolist()
+        shown, tokenize = _SHOWN_AS[data].tobytes().decode("utf-32-le"), self.t.model.tokenize
+        tokens = [[x.id for x in tokenize(shown[a:b])] for a, b in itertools.pairwise(cuts)]
+        n = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        ids = np.fromiter(itertools.chain.from_iterable(tokens), np.int32, n.sum())
+        until, char = np.cumsum(self.sizes[ids]), np.cumsum(begins) - 1
+        flat = np.stack([char[until - self.sizes[ids]], char[until - 1] + 1], 1) - np.repeat(chars[:-1], n)[:, None]
+        return n, ids, flat
 
     def __call__(self, text: str) -> _Joined | None:
+        return self.together([text])[0]
+
+    def together(self, texts: list[str]) -> list[_Joined | None]:
         """None: the library has to encode this text."""
-        if any(x in text for x in self.added):
-            return None
-        pieces = _PIECE.findall(text)
+        fit = [not any(x in text for x in self.added) for text in texts]
+        whole = "".join(itertools.compress(texts, fit))
+        codes = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+        kinds = self._kinds(codes)
+        if _UNLIKE in kinds:
+            ends = np.cumsum([len(text) if ok else 0 for text, ok in zip(texts, fit, strict=True)])
+            unlike = {*np.searchsorted(ends, np.flatnonzero(kinds == _UNLIKE), "right").tolist()}
+            made = iter(self.together([text for k, text in enumerate(texts) if fit[k] and k not in unlike]))
+            return [next(made) if ok and k not in unlike else None for k, ok in enumerate(fit)]
+        rows = np.cumsum([0, *(len(text) for text in itertools.compress(texts, fit))])
+        if not len(codes):
+            return [_Joined(np.zeros(0, np.int32), 0, lambda: np.zeros(0, np.int32)) if ok else None for ok in fit]
+        starts = _starts(codes, kinds, rows[:-1][np.diff(rows) > 0])
+        data = np.frombuffer(whole.encode(), np.uint8)
+        at = np.append(starts if len(data) == len(codes) else np.flatnonzero((data & 0xC0) != 0x80)[starts], len(data))
+        pieces = pa.StringArray.from_buffers(len(starts), pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data)).dictionary_encode()
         places = self.places
         if len(places) > _KNOWN // 2 or len(places.ids) > 2 * _KNOWN:  # those that come again move on, the others go with the next change
             places.older = None
             self.places = places = _Places(self, places)
-        try:  # every character is in a piece, and a piece that is remembered was looked at
-            at = np.fromiter(map(places.__getitem__, pieces), np.int64, len(pieces))
-        except _Unlike:
-            return None
-        ends = np.frombuffer(places.ends, np.int64)
-        first = ends[at]
-        n = ends[at + 1] - first
-        take = np.arange(n.sum()) + np.repeat(first - np.cumsum(n) + n, n)
+        place = places.at(pieces.dictionary.to_numpy(zero_copy_only=False).tolist())
+        which, ends = pieces.indices.to_numpy(), np.frombuffer(places.ends, np.int64)
+        n = (ends[place + 1] - ends[place])[which]
+        take = _spans(ends[place][which], n)
 
+        @cache
         def offsets() -> np.ndarray:
-            sizes = np.fromiter(map(len, pieces), np.int32, len(pieces))
             flat = np.frombuffer(places.flat, np.int32).reshape(-1, 2)[take]
-            flat += np.repeat(np.cumsum(sizes, dtype=np.int32) - sizes, n)[:, None]
+            flat += np.repeat((starts - rows[np.searchsorted(rows, starts, "right") - 1]).astype(np.int32), n)[:, None]
             return flat.reshape(-1)
 
-        return _Joined(np.frombuffer(places.ids, np.int32)[take], offsets)
+        ids = np.frombuffer(places.ids, np.int32)[take]
+        tokens = np.append(0, np.cumsum(n))[np.searchsorted(starts, rows)].tolist()
+        made = (_Joined(ids[a:b], a, offsets) for a, b in itertools.pairwise(tokens))
+        return [next(made) if ok else None for ok in fit]
 
 
 @lru_cache(maxsize=2)
@@ -214,12 +268,29 @@ def _remembered(description: str) -> _Pieces | None:
     return _Pieces(_plain(description)) if _Pieces.fit(description) else None
 
 
-def _encoder(t, description: str, by_pieces: bool, **how: Any) -> Callable[[Any], Any]:
-    """Encodes one text: by its pieces if the tokenizer and the caller allow it, or else by the library."""
+def _encoder(t, description: str, by_pieces: bool, **how: Any) -> Callable[[list[str]], Iterator[Any]]:
+    """Encodes texts: together, by their pieces, if the tokenizer and the caller allow it, or else by the library, one after another."""
     joined = _remembered(description) if by_pieces else None
     if joined is None:
-        return lambda text: t.encode(text, **how)
-    return lambda text: t.encode(text, **how) if (made := joined(text)) is None else made
+        return lambda texts: (t.encode(text, **how) for text in texts)
+    return lambda texts: (t.encode(text, **how) if made is None else made for text, made in zip(texts, joined.together(texts), strict=True))
+
+
+def _characters(value: Any) -> int:
+    return 0 if value is None else len(value) if isinstance(value, str) else sum(map(_characters, value))
+
+
+def _taken(columns: Iterable[pa.Array]) -> Iterator[list[tuple]]:
+    """The rows of a batch, by _TAKEN characters."""
+    part, size = [], 0
+    for row in zip(*columns, strict=True):
+        part.append(tuple(x.as_py() for x in row))
+        size += _characters(part[-1])
+        if size >= _TAKEN:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
 
 
 def _lists(parts: list, values) -> pa.ListArray:
@@ -310,38 +381,41 @@ class Tokenize(Operator):
         kind = df.schema[self.input_field].dataType
         listed = A.depth(kind) > (1 if self.is_split_into_words else 0)
         many = listed or self.return_overflowing_tokens
-        one = {"offset_mapping": _L, "length": T.IntegerType(), "overflow_to_sample_mapping": T.IntegerType(), "words": T.ArrayType(T.StringType())}
-        schema = T.StructType([T.StructField(c, T.ArrayType(one.get(c, _I)) if many else one.get(c, _I)) for c in self.plain()])
+        one = {"offset_mapping": _L, "overflow_to_sample_mapping": T.IntegerType(), "words": T.ArrayType(T.StringType())}
         plain, op = self.plain(), self
+        sent = [c for c in plain if c not in ("attention_mask", "length")]  # these follow from the ids: nothing is padded
+        schema = T.StructType([T.StructField(c, T.ArrayType(one.get(c, _I)) if many else one.get(c, _I)) for c in sent])
 
         @F.arrow_udf(schema)
         def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             t = _plain(op.tokenizer.json, op.max_length)
             plainly = op.max_length is None and not (op.is_split_into_words or op.return_word_ids or op.return_words)
             encode = _encoder(t, op.tokenizer.json, plainly, is_pretokenized=op.is_split_into_words, add_special_tokens=op.add_special_tokens)
-            for column in batches:
-                found: dict[str, list] = {c: [] for c in plain}
+            for part in itertools.chain.from_iterable(_taken([column]) for column in batches):
+                encoded = encode([text for (value,) in part if value is not None for text in (value if listed else [value])])
+                found: dict[str, list] = {c: [] for c in sent}
                 counts: list[int | None] = []
                 held = 0
-                for place, value in enumerate(column, 1):
-                    value = value.as_py()
+                for place, (value,) in enumerate(part, 1):
                     if value is None:
                         counts.append(None)
                     else:
                         texts = value if listed else [value]
                         got = []
-                        for k, e in enumerate(map(encode, texts)):
+                        for k, e in zip(range(len(texts)), encoded):  # noqa: B905  the next row's stay
                             got += [(k, x) for x in ([e, *e.overflowing] if op.return_overflowing_tokens else [e])]
                         counts.append(len(got))
                         held += sum(len(e) for _, e in got)
-                        for c in plain:
+                        for c in sent:
                             found[c] += [_OUTPUTS[c](texts[k], k, e) for k, e in got]
-                    if held >= _HELD or place == len(column):
-                        yield pa.StructArray.from_arrays([_rows(_ITEMS.get(c, _integers)(found[c]), counts, many) for c in plain], names=plain)
-                        found, counts, held = {c: [] for c in plain}, [], 0
+                    if held >= _HELD or place == len(part):
+                        yield pa.StructArray.from_arrays([_rows(_ITEMS.get(c, _integers)(found[c]), counts, many) for c in sent], names=sent)
+                        found, counts, held = {c: [] for c in sent}, [], 0
 
         made = run(F.col(self.input_field))
-        return {self.named(c): made[c] for c in plain}
+        each = (lambda f: F.transform(made["input_ids"], f)) if many else lambda f: f(made["input_ids"])
+        follow = {"attention_mask": lambda ids: F.transform(ids, lambda _: F.lit(1)), "length": F.size}
+        return {self.named(c): each(follow[c]) if c in follow else made[c] for c in plain}
 
     def transform(self, df):
         made = self.columns(df)
@@ -363,17 +437,14 @@ def _words(text, e) -> list[str | None]:
 _OUTPUTS = {
     "input_ids": lambda text, k, e: np.array(e.ids, np.int32),
     "token_type_ids": lambda text, k, e: np.array(e.type_ids, np.int32),
-    "attention_mask": lambda text, k, e: np.array(e.attention_mask, np.int32),
     "special_tokens_mask": lambda text, k, e: np.array(e.special_tokens_mask, np.int32),
     "offset_mapping": lambda text, k, e: _flat_offsets(e),
-    "length": lambda text, k, e: len(e),
     "overflow_to_sample_mapping": lambda text, k, e: k,
     "word_ids": lambda text, k, e: e.word_ids,
     "words": lambda text, k, e: _words(text, e),
 }
 _ITEMS = {
     "offset_mapping": _pairs,
-    "length": lambda x: pa.array(x, pa.int32()),
     "overflow_to_sample_mapping": lambda x: pa.array(x, pa.int32()),
     "word_ids": lambda x: pa.array(x, pa.list_(pa.int32())),
     "words": lambda x: pa.array(x, pa.list_(pa.string())),
@@ -414,22 +485,21 @@ class EncodeFields(Operator):
         def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
             t = _plain(op.tokenizer.json)
             encode = _encoder(t, op.tokenizer.json, not op.is_split_into_words, is_pretokenized=op.is_split_into_words, add_special_tokens=False)
-            for batch in batches:
-                columns = batch if isinstance(batch, tuple) else (batch,)
+            for part in itertools.chain.from_iterable(_taken(batch if isinstance(batch, tuple) else (batch,)) for batch in batches):
+                listed = [[([] if value is None else value if nested[c] else [value]) for c, value in zip(op.fields_to_encode, row, strict=True)] for row in part]
+                encoded = encode([text for row in listed for texts in row for text in texts if text is not None])
                 found, held = {c: ([], [], []) for c in op.fields_to_encode}, 0
-                for place, row in enumerate(zip(*columns, strict=True), 1):
-                    for c, value in zip(op.fields_to_encode, row, strict=True):
+                for place, (row, values) in enumerate(zip(listed, part, strict=True), 1):
+                    for c, texts, value in zip(op.fields_to_encode, row, values, strict=True):
                         ids, offsets, counts = found[c]
-                        value = value.as_py()
-                        texts = [] if value is None else value if nested[c] else [value]
                         counts.append(None if value is None else len(texts))
                         for text in texts:
-                            e = None if text is None else encode(text)
+                            e = None if text is None else next(encoded)
                             ids.append(None if e is None else np.array(e.ids, np.int32))
                             held += 0 if e is None else len(e)
                             if c in op.fields_to_return_offset_mapping:
                                 offsets.append(None if e is None else _flat_offsets(e))
-                    if held >= _HELD or place == len(columns[0]):
+                    if held >= _HELD or place == len(part):
                         yield made_of(found)
                         found, held = {c: ([], [], []) for c in op.fields_to_encode}, 0
 
@@ -458,7 +528,7 @@ def _put_together(lists: pa.ListArray, data: np.ndarray, ends: np.ndarray) -> pa
     at = np.minimum(ids, len(ends) - 2)
     n = ends[at + 1] - ends[at]
     until = np.cumsum(n)
-    made = data[np.arange(n.sum()) + np.repeat(ends[at] - until + n, n)]
+    made = data[_spans(ends[at], n)]
     rows = np.cumsum([0, *pc.fill_null(pc.list_value_length(lists), 0).to_numpy()])
     places = np.concatenate([[0], until])[rows].astype(np.int32)
     texts = pa.StringArray.from_buffers(len(lists), pa.py_buffer(places), pa.py_buffer(made))
