@@ -6,7 +6,6 @@ import itertools
 import json
 import re
 import sys
-from array import array
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import cache, lru_cache
@@ -126,35 +125,42 @@ def _spans(first: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.arange(n.sum()) + np.repeat(first - until + n, n)
 
 
-class _Places(dict):
+class _Places:
     """Where the ids and offsets of a piece are among those of all pieces that are remembered."""
 
     def __init__(self, of: _Pieces, older: _Places | None = None):
-        super().__init__()
         self.of, self.older = of, older
-        self.ids, self.flat, self.ends = array("i"), array("i"), array("q", [0])
+        self.pieces, self.ids, self.flat, self.ends = pa.array([], pa.string()), np.zeros(0, np.int32), np.zeros((0, 2), np.int32), np.zeros(1, np.int64)
 
-    def at(self, pieces: list[str]) -> np.ndarray:
+    def __len__(self):
+        return len(self.pieces)
+
+    def at(self, pieces: pa.StringArray) -> np.ndarray:
         """The places of different pieces; those that older places don't have either are encoded."""
-        found = [*map(self.get, pieces)]
-        new = [x for x, place in zip(pieces, found, strict=True) if place is None]
-        older = self.older
-        again = [x for x in new if x in older] if older else []
-        if again:
-            place, ends = np.fromiter(map(older.__getitem__, again), np.int64, len(again)), np.frombuffer(older.ends, np.int64)
-            n = ends[place + 1] - ends[place]
-            take = _spans(ends[place], n)
-            self._add(again, n, np.frombuffer(older.ids, np.int32)[take], np.frombuffer(older.flat, np.int32).reshape(-1, 2)[take])
-            new = [x for x in new if x not in older]
-        if new:
-            self._add(new, *self.of.encode(new))
-        return np.array([self[x] if place is None else place for x, place in zip(pieces, found, strict=True)], np.int64)
-
-    def _add(self, pieces: list[str], n: np.ndarray, ids: np.ndarray, flat: np.ndarray) -> None:
-        self.update(zip(pieces, itertools.count(len(self))))
-        self.ends.frombytes((np.cumsum(n, dtype=np.int64) + len(self.ids)).tobytes())
-        self.ids.frombytes(ids.astype(np.int32).tobytes())
-        self.flat.frombytes(flat.astype(np.int32).tobytes())
+        found, older = _found(pieces, self.pieces), self.older
+        new = np.flatnonzero(found < 0)
+        if older and len(new):
+            place = _found(pieces.take(pa.array(new)), older.pieces)
+            again, new, place = new[place >= 0], new[place < 0], place[place >= 0]
+            n = older.ends[place + 1] - older.ends[place]
+            take = _spans(older.ends[place], n)
+            found[again] = self._added(pieces.take(pa.array(again)), n, older.ids[take], older.flat[take])
+        if len(new):
+            more = pieces.take(pa.array(new))
+            found[new] = self._added(more, *self.of.encode(more))
+        return found
+
+    def _added(self, pieces: pa.StringArray, n: np.ndarray, ids: np.ndarray, flat: np.ndarray) -> np.ndarray:
+        begin = len(self)
+        self.pieces = pa.concat_arrays([self.pieces, pieces])
+        self.ends = np.concatenate([self.ends, np.cumsum(n) + len(self.ids)])
+        self.ids, self.flat = np.concatenate([self.ids, ids]), np.concatenate([self.flat, flat])
+        return np.arange(begin, len(self))
+
+
+def _found(pieces: pa.StringArray, among: pa.StringArray) -> np.ndarray:
+    """The place of each piece, or -1."""
+    return pc.fill_null(pc.index_in(pieces, among), -1).to_numpy().astype(np.int64)
 
 
 def _starts(codes: np.ndarray, kinds: np.ndarray, begins: np.ndarray) -> np.ndarray:
@@ -206,19 +212,20 @@ class _Pieces:
             kinds = self.kinds[codes]
         return kinds
 
-    def encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def encode(self, pieces: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The number of tokens of each piece, and the ids and offsets of all; a token that holds a part of a character has the whole character's place."""
-        data = np.frombuffer("".join(pieces).encode(), np.uint8)
-        begins = (data & 0xC0) != 0x80
-        chars = np.cumsum([0, *map(len, pieces)])
-        cuts = np.append(np.flatnonzero(begins), len(data))[chars].tolist()
+        _, ends, data = pieces.buffers()
+        cuts = np.frombuffer(ends, np.int32)[pieces.offset :][: len(pieces) + 1]
+        data = np.frombuffer(data, np.uint8)[cuts[0] : cuts[-1]]
+        cuts = cuts - cuts[0]
+        char = np.cumsum((data & 0xC0) != 0x80) - 1
         shown, tokenize = _SHOWN_AS[data].tobytes().decode("utf-32-le"), self.t.model.tokenize
-        tokens = [[x.id for x in tokenize(shown[a:b])] for a, b in itertools.pairwise(cuts)]
+        tokens = [[x.id for x in tokenize(shown[a:b])] for a, b in itertools.pairwise(cuts.tolist())]
         n = np.fromiter(map(len, tokens), np.int64, len(tokens))
         ids = np.fromiter(itertools.chain.from_iterable(tokens), np.int32, n.sum())
-        until, char = np.cumsum(self.sizes[ids]), np.cumsum(begins) - 1
-        flat = np.stack([char[until - self.sizes[ids]], char[until - 1] + 1], 1) - np.repeat(chars[:-1], n)[:, None]
-        return n, ids, flat
+        until = np.cumsum(self.sizes[ids])
+        flat = np.stack([char[until - self.sizes[ids]], char[until - 1] + 1], 1) - np.repeat(char[cuts[:-1]], n)[:, None]
+        return n, ids, flat.astype(np.int32)
 
     def __call__(self, text: str) -> _Joined | None:
         return self.together([text])[0]
@@ -245,18 +252,18 @@ class _Pieces:
         if len(places) > _KNOWN // 2 or len(places.ids) > 2 * _KNOWN:  # those that come again move on, the others go with the next change
             places.older = None
             self.places = places = _Places(self, places)
-        place = places.at(pieces.dictionary.to_numpy(zero_copy_only=False).tolist())
-        which, ends = pieces.indices.to_numpy(), np.frombuffer(places.ends, np.int64)
-        n = (ends[place + 1] - ends[place])[which]
-        take = _spans(ends[place][which], n)
+        place = places.at(pieces.dictionary)
+        which, first = pieces.indices.to_numpy(), places.ends[place]
+        n = (places.ends[place + 1] - first)[which]
+        take = _spans(first[which], n)
 
         @cache
         def offsets() -> np.ndarray:
-            flat = np.frombuffer(places.flat, np.int32).reshape(-1, 2)[take]
+            flat = places.flat[take]
             flat += np.repeat((starts - rows[np.searchsorted(rows, starts, "right") - 1]).astype(np.int32), n)[:, None]
             return flat.reshape(-1)
 
-        ids = np.frombuffer(places.ids, np.int32)[take]
+        ids = places.ids[take]
         tokens = np.append(0, np.cumsum(n))[np.searchsorted(starts, rows)].tolist()
         made = (_Joined(ids[a:b], a, offsets) for a, b in itertools.pairwise(tokens))
         return [next(made) if ok else None for ok in fit]
